@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens
+from . import ann, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
+from .shared import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc32(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    records = warc.with_revisits(warc.convert(warc.archives(pages, "page_id", "url", "html")))
+    path = shared_path(spark, "warc")
+    warc.write_warc(records, path)
+    read = warc.referred(warc.read_warc(spark, path).drop("payload"))
+    return read.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = quality_classifier.remainder("doc_id", 4) == 2
@@ -42,6 +52,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -55,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op4_token_counts, op5_packing, op7_language_id, op9_piece_codec, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
