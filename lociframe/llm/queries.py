@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
+from . import ann, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
 from .shared import shared_path
 
 
@@ -27,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return tokens.length_histogram(counted)
@@ -69,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"

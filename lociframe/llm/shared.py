@@ -106,7 +106,7 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int =
         keep = (counts >= size) if k == size else (counts == k)
         if len(words) < k or not keep.any():
             continue
-        h = np.full(len(words) - k + 1, np.uint64(k) * _BASE, np.uint64)
+        h = np.full(len(words) - k + 1, k * int(_BASE) % (1 << 64), np.uint64)
         for i in range(k):
             h = (h ^ words[i : len(words) - k + 1 + i]) * np.uint64(0xFF51AFD7ED558CCD)
             h ^= h >> np.uint64(32)
