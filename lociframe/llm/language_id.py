@@ -144,13 +144,14 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int =
     return Model(languages, symbols, flat, np.concatenate(bits))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns to carry, lang_pred, score and bits_per_byte of every row."""
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """id, the columns to carry, lang_pred, score and bits_per_byte of every row; the last three names get the
+    prefix, which keeps them apart from carried columns."""
     kept = list(dict.fromkeys([id_col, *carry]))
     text = F.col(text_col).cast("string")
     step = docs.select(*kept, F.lower(text).alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     if model is None:
-        return step.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return step.select(*kept, F.lit(UNKNOWN).alias(prefix + "lang_pred"), F.lit(0.0).alias(prefix + "score"), F.lit(None).cast("double").alias(prefix + "bits_per_byte"))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # MAX_CONTEXTS by alphabet by languages at most
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +165,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 letters = batch.column("__letters").slice(low, high - low).to_numpy(zero_copy_only=False)
                 cols = {c: batch.column(c).slice(low, high - low) for c in kept}
                 yield pa.RecordBatch.from_pydict(cols | {
-                    "lang_pred": pa.array(np.where(letters, names[best], UNKNOWN), pa.string()),
-                    "score": np.where(letters, 1 / np.exp2(-margin).sum(1), 0.0),
-                    "bits_per_byte": bits[np.arange(len(bits)), best] / size,
+                    prefix + "lang_pred": pa.array(np.where(letters, names[best], UNKNOWN), pa.string()),
+                    prefix + "score": np.where(letters, 1 / np.exp2(-margin).sum(1), 0.0),
+                    prefix + "bits_per_byte": bits[np.arange(len(bits)), best] / size,
                 })
 
-    schema = step.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = step.select(*kept).schema.add(prefix + "lang_pred", "string").add(prefix + "score", "double").add(prefix + "bits_per_byte", "double")
     return step.mapInArrow(run, schema)

@@ -113,7 +113,7 @@ def remainder(id_col: str, k: int) -> Column:
 
 def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
     for batch in it:
-        for low, high, data, offsets in text_blocks(batch.column("text")):
+        for low, high, data, offsets in text_blocks(batch.column("__text")):
             yield batch, low, high, statistics(data, offsets)
 
 
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, max_train / max(n, 1))
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     # at most about max_train rows of two numbers each: small enough for every executor
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(marks), "id")
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, high, x in _rows(it):
@@ -174,18 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         measured.unpersist()
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns to carry, and score (0 to 1) of every row."""
-    kept = [id_col, *carry]
-    step = docs.select(*kept, F.col(text_col).alias("text")) if text_col not in kept else docs.select(*kept)
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """id, the columns to carry, and the score (0 to 1) of every row, in the column out, which no carried column may be."""
+    kept = list(dict.fromkeys([id_col, *carry]))
+    step = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
     if model is None:
-        return step.select(*kept, F.lit(0.5).alias("score"))
+        return step.select(*kept, F.lit(0.5).alias(out))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: N_FEATURES by N_STATISTICS numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, low, high, x in _rows(it):
             cols = {c: batch.column(c).slice(low, high - low) for c in kept}
-            yield pa.RecordBatch.from_pydict(cols | {"score": np.clip(cast.value.score(x), 0, 1)})
+            yield pa.RecordBatch.from_pydict(cols | {out: np.clip(cast.value.score(x), 0, 1)})
 
-    schema = step.select(*kept).schema.add("score", "double")
+    schema = step.select(*kept).schema.add(out, "double")
     return step.mapInArrow(run, schema)
