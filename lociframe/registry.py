@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import matrix_queries
+
+MODULES = (matrix_queries,)
+
 
 def queries():
-    return {}
+    return {name: pair[0] for module in MODULES for name, pair in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: pair[1] for module in MODULES for name, pair in module.QUERIES.items() if pair[1]}
