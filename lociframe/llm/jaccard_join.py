@@ -330,18 +330,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = stored(named.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "classes")
     members = stored(buckets(signed.where("id is not null")), "buckets")
     shared = stored(members.select("sid").distinct().join(classes, "sid"), "shared")
-    # only texts of classes that share a bucket are moved
-    needed = stored(texts.join(shared.select("sid", F.col("rep").alias("id")), "id").select("sid", "text"), "texts")
     points = shared.select("sid", "n", "point")
     rows = members.join(points, "sid").withColumn("comp", F.col("sid"))
     pairs = stored(candidates(dealt(rows, False), False), "pairs")
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOT_OVER).select("bucket")
+    large = stored(members.join(large, "bucket", "left_semi"), "large")
+    # only texts of classes in pairs to verify, or that may come into such later, are kept
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")).distinct()
+    wanted = stored(wanted.join(shared, "sid").select("sid", F.col("rep").alias("id")), "wanted")
+    needed = stored(texts.join(wanted, "id").select("sid", "text"), "texts")
     links = stored(verified(pairs, needed), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOT_OVER).select("bucket")
-    large = stored(large, "large")
     if not large.isEmpty():
         roots = stored(roots, "roots")
-        rest = members.join(large, "bucket", "left_semi").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        rest = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         open_ = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
         rest = rest.join(open_, "bucket", "left_semi").join(points, "sid")
         more = candidates(dealt(rest, True), True).join(pairs, ["a", "b"], "left_anti")
