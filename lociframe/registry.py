@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import matrix_queries
+from .plans import interval_queries, matrix_queries
 
-MODULES = (matrix_queries,)
+MODULES = (matrix_queries, interval_queries)
 
 
 def queries():
