@@ -48,7 +48,7 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return sums.join(F.broadcast(total), F.lit(True)).agg(F.sum(share).alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 5, levels: int = 2) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 4) -> DataFrame:
     """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters.
 
     Moves are made for all nodes of a round at once; a hash of node and round lets half of them move, which stops pairs of
