@@ -42,7 +42,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    records = warc.with_revisits(warc.convert(warc.archives(pages, "page_id", "url", "html")))
+    files = warc.archives(pages, "page_id", "url", "html")
+    records = warc.with_revisits(warc.convert(files), warc.convert(files, payloads=False))
     path = shared_path(spark, "warc")
     warc.write_warc(records, path)
     read = warc.referred(warc.read_warc(spark, path).drop("payload"))

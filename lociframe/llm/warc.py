@@ -115,8 +115,8 @@ def archives(pages: DataFrame, key_col: str, url_col: str, html_col: str, versio
     return pages.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate((key_col, url_col, html_col))]).mapInArrow(run, "content binary")
 
 
-def convert(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """The RECORD rows of ARC files' bytes."""
+def convert(files: DataFrame, content_col: str = "content", payloads: bool = True) -> DataFrame:
+    """The RECORD rows of ARC files' bytes; without payloads, http_head and payload are null."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -127,18 +127,22 @@ def convert(files: DataFrame, content_col: str = "content") -> DataFrame:
         for batch in it:
             for content in batch.column(0):
                 rows = [convert_record(r) for r in read_arc(content.as_py() or b"")]
+                if not payloads:
+                    rows = [(*r[:4], None, None, *r[6:]) for r in rows]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return files.select(content_col).mapInArrow(run, fields)
 
 
-def with_revisits(records: DataFrame, key_type: str = "bigint") -> DataFrame:
+def with_revisits(records: DataFrame, known: DataFrame | None = None, key_type: str = "bigint") -> DataFrame:
     """records with refers_to: the record id of the response that a revisit refers to, else null.
 
+    known may hold the same records without payloads, where these are cheaper to make.
+
     Equal payloads are known by digest and length. Only ids and digests are shuffled to find them, and
     one row a digest comes from each task, so a payload that fills the table makes no hot task."""
-    slim = records.select("record_id", F.col("key").cast(key_type).alias("k"), "payload_digest", "payload_bytes")
+    slim = (records if known is None else known).select("record_id", F.col("key").cast(key_type).alias("k"), "payload_digest", "payload_bytes")
     order = F.struct(F.col("k").isNull().alias("no"), "k", "record_id")
     first = slim.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").drop("last")
     again = slim.join(first, ["payload_digest", "payload_bytes"]).where("not (k <=> first.k)")
@@ -158,7 +162,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
 
     done = records.select("record_id", "url", "date", "http_head", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "value string")
     # a record ends with CR LF CR LF; the last LF is the text sink's line separator
-    done.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    done.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _warc(r: dict) -> str:
