@@ -11,8 +11,11 @@ first n - ceil(0.8 n) + 1 of each, so a class goes to the buckets of these token
 first; which are frequent is read off a bounded sample of documents, and a wrong guess costs time, not
 links. Buckets with the same members are searched once. In a bucket a packed R-tree of the points is
 joined with itself: boxes of points that can't reach the bound are left out, and surviving pairs are
-verified on the texts' full sets. Buckets of many members first try a few pivots; what these
-connect needs no further comparison, and the rest is joined exhaustively, large buckets in blocks.
+verified on the texts' full sets. What is connected needs no further comparison, so buckets of over
+PIVOT_OVER members go through three rounds: a class meets pivots in two of its buckets; a class meets the
+member it is likeliest to link with in two buckets that still hold several components; and buckets that
+then still do are joined exhaustively, large ones in blocks. The first two rounds have a few pairs a class,
+whatever the size of a group, and only the last one is needed for a whole result.
 
 Null texts and texts without words have size 0 and link with nothing. Rows with a null id take no part
 and get a null component. Repeated rows are copies of one another. Extra columns are not read; an empty
@@ -31,12 +34,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
 
-GROUPS = 64
+GROUPS = 256
+CEILING = 255
 SAMPLE_DOCS = 20_000
 FREQUENT = 8
 MAX_FREQUENT = 200_000
-PIVOT_OVER = 48
-BLOCK = 16_384
+PIVOT_OVER = 8
+BLOCK = 4096
 LEAF = 16
 RUN_ROWS = 1_000_000
 
@@ -59,15 +63,15 @@ def set_hash(tokens: np.ndarray) -> int:
 
 
 def group_counts(tokens: np.ndarray) -> np.ndarray:
-    """The point of a set; counts stop at 65535."""
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+    """The point of a set; counts stop at CEILING."""
+    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), CEILING).astype(np.uint8)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The largest intersection of sets with points up to a and b: summed coordinate minima (a count at its ceiling bounds nothing)."""
     least = np.minimum(a, b)
     total = least.sum(-1, dtype=np.int64)
-    return np.where((least == 65535).any(-1), np.iinfo(np.int64).max // 16, total) if len(total) and least.max() == 65535 else total
+    return np.where((least == CEILING).any(-1), np.iinfo(np.int64).max // 16, total) if len(total) and least.max() == CEILING else total
 
 
 def frequent_tokens(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +166,14 @@ def _runs(it: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62) ->
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(bucket, sid, m): the classes of every token that two or more share, once for each distinct list of classes."""
+    """(bucket, sid, m): the classes of every token that two or more share, once for each distinct list of m classes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for table, begins, part in _runs(it, ["token"], RUN_ROWS):
             token, sid = (table.column(c).to_numpy() for c in ("token", "sid"))
             if part:
-                yield pa.RecordBatch.from_pydict({"bucket": token, "sid": sid})
+                yield pa.RecordBatch.from_pydict({"bucket": token, "sid": sid, "m": np.full(len(token), RUN_ROWS)})
                 continue
             run_of = np.zeros(len(token), np.int64)
             run_of[begins[1:]] = 1
@@ -189,16 +193,16 @@ def buckets(signed: DataFrame) -> DataFrame:
                 seen.clear()
             pick = use[run_of]
             if pick.any():
-                yield pa.RecordBatch.from_pydict({"bucket": name[run_of[pick]], "sid": sid[pick]})
+                yield pa.RecordBatch.from_pydict({"bucket": name[run_of[pick]], "sid": sid[pick], "m": sizes[run_of[pick]]})
 
     posted = signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "sid")
-    found = posted.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long")
+    found = posted.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long, m long")
     return found.distinct()
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of different comp (and of different side, if sides are given) whose bound allows a link, by
-    joining a packed R-tree with itself."""
+    joining a packed R-tree with itself; some at a time."""
     order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], sizes))
     p, n, c = points[order], sizes[order], comp[order]
     levels = [(p, n, c, c)]
@@ -207,7 +211,6 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
         at = np.arange(0, len(lo), LEAF)
         levels.append((np.maximum.reduceat(hi, at), np.minimum.reduceat(lo, at), np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at)))
     a, b = np.triu_indices(len(levels[-1][1]))
-    out_a, out_b = [], []
     stack = [(len(levels) - 1, a, b)]
     while stack:
         level, a, b = stack.pop()
@@ -226,8 +229,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
             keep = a < b
             if side is not None:
                 keep &= side[order[a]] != side[order[b]]
-            out_a.append(order[a[keep]])
-            out_b.append(order[b[keep]])
+            yield order[a[keep]], order[b[keep]]
             continue
         below = len(levels[level - 1][1])
         for part in range(0, len(a), 256):
@@ -237,43 +239,58 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
             i, j = i.ravel(), j.ravel()
             real = (i < below) & (j < below) & (i <= j)
             stack.append((level - 1, i[real], j[real]))
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
 
 
-def pivot_pairs(points: np.ndarray, sizes: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pivot_pairs(points: np.ndarray, sizes: np.ndarray, sid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that the bound allows with two pivots: the member of the smallest mixed id, and the middle one by size."""
-    out_a, out_b = [], []
     for pivot in {int(mix(sid.view(np.uint64)).argmin()), int(np.argsort(sizes, kind="stable")[len(sizes) // 2])}:
         near = 9 * overlap_bound(points, points[pivot]) >= 4 * (sizes + sizes[pivot])
         near[pivot] = False
-        out_b.append(np.flatnonzero(near))
-        out_a.append(np.full(len(out_b[-1]), pivot))
-    return np.concatenate(out_a), np.concatenate(out_b)
+        found = np.flatnonzero(near)
+        yield np.full(len(found), pivot), found
 
 
-def candidates(rows: DataFrame, exhaustive: bool) -> DataFrame:
-    """(a, b) with a < b: the class pairs to verify, of rows (bucket, i, j, side, sid, comp, n, point)."""
+def likeliest_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each member with the one of another comp whose bound exceeds what a link asks for by most, if any does."""
+    most, with_ = np.full(len(sizes), -1.0), np.full(len(sizes), -1)
+    for a, b in tree_pairs(points, sizes, comp):
+        over = overlap_bound(points[a], points[b]) / (sizes[a] + sizes[b])
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((over, x))
+            last = order[np.append(x[order][1:] != x[order][:-1], True)] if len(x) else order
+            last = last[over[last] > most[x[last]]]
+            most[x[last]], with_[x[last]] = over[last], y[last]
+    found = np.flatnonzero(with_ >= 0)
+    yield found, with_[found]
+
+
+def candidates(rows: DataFrame, round_: str) -> DataFrame:
+    """(a, b) with a < b: the class pairs to verify, of rows (bucket, i, j, side, sid, comp, n, point); round_ is
+    pivots, likeliest or all."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins, _ in _runs(it, ["bucket", "i", "j"]):
             sid, comp, n, side, i, j = (table.column(c).to_numpy() for c in ("sid", "comp", "n", "side", "i", "j"))
-            point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             ends = np.append(begins[1:], len(sid))
             two = begins[ends - begins == 2]
             ok = (9 * overlap_bound(point[two], point[two + 1]) >= 4 * (n[two] + n[two + 1])) & (comp[two] != comp[two + 1]) & ((i[two] == j[two]) | (side[two] != side[two + 1]))
-            found = [(sid[two[ok]], sid[two[ok] + 1])]
+            found, held = [(sid[two[ok]], sid[two[ok] + 1])], 0
             for low, high in zip(begins, ends, strict=True):
                 if high - low > 2:
                     own = slice(int(low), int(high))
-                    if not exhaustive and high - low > PIVOT_OVER:
-                        x, y = pivot_pairs(point[own], n[own], sid[own])
+                    if round_ == "pivots" and high - low > PIVOT_OVER:
+                        pairs = pivot_pairs(point[own], n[own], sid[own])
+                    elif round_ == "likeliest":
+                        pairs = likeliest_pairs(point[own], n[own], comp[own])
                     else:
-                        x, y = tree_pairs(point[own], n[own], comp[own], side[own] if i[low] != j[low] else None)
-                    found.append((sid[own][x], sid[own][y]))
-                    if sum(len(f[0]) for f in found) > 200_000:
-                        yield _pair_batch(found)
-                        found = []
+                        pairs = tree_pairs(point[own], n[own], comp[own], side[own] if i[low] != j[low] else None)
+                    for x, y in pairs:
+                        found.append((sid[own][x], sid[own][y]))
+                        held += len(x)
+                        if held > 200_000:
+                            yield _pair_batch(found)
+                            found, held = [], 0
             if found:
                 yield _pair_batch(found)
 
@@ -299,6 +316,13 @@ def dealt(rows: DataFrame, cross: bool) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
+def two_each(members: DataFrame, seed: int) -> DataFrame:
+    """(bucket, sid): two buckets of each class at most, those of the smallest hashes, so like classes choose alike."""
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "bucket").alias("h"), "bucket")).alias(f"b{k}") for k in (seed, seed + 1)]
+    chosen = members.groupBy("sid").agg(*least)
+    return chosen.select(F.explode(F.array_distinct(F.array(*[F.col(f"b{k}.bucket") for k in (seed, seed + 1)]))).alias("bucket"), "sid")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts' sets link; texts has (sid, text)."""
 
@@ -331,24 +355,28 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     members = stored(buckets(signed.where("id is not null")), "buckets")
     shared = stored(members.select("sid").distinct().join(classes, "sid"), "shared")
     points = shared.select("sid", "n", "point")
-    rows = members.join(points, "sid").withColumn("comp", F.col("sid"))
-    pairs = stored(candidates(dealt(rows, False), False), "pairs")
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOT_OVER).select("bucket")
-    large = stored(members.join(large, "bucket", "left_semi"), "large")
+    large = members.where(F.col("m") > PIVOT_OVER).select("bucket", "sid")
+    few = members.where(F.col("m") <= PIVOT_OVER).select("bucket", "sid").unionByName(two_each(large, 0))
+    pairs = stored(candidates(dealt(few.join(points, "sid").withColumn("comp", F.col("sid")), False), "pivots"), "pairs")
     # only texts of classes in pairs to verify, or that may come into such later, are kept
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")).distinct()
     wanted = stored(wanted.join(shared, "sid").select("sid", F.col("rep").alias("id")), "wanted")
     needed = stored(texts.join(wanted, "id").select("sid", "text"), "texts")
     links = stored(verified(pairs, needed), "links")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    if not large.isEmpty():
-        roots = stored(roots, "roots")
-        rest = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
-        rest = rest.join(open_, "bucket", "left_semi").join(points, "sid")
-        more = candidates(dealt(rest, True), True).join(pairs, ["a", "b"], "left_anti")
+    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    for round_ in ("likeliest", "all"):
+        placed = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        several = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
+        large = stored(placed.join(several, "bucket", "left_semi").select("bucket", "sid"), "open")
+        if large.isEmpty():
+            break
+        rows = large if round_ == "all" else two_each(large, 2)
+        rows = rows.join(points, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        more = stored(candidates(dealt(rows, round_ == "all"), round_).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(more, needed), "links")
-        roots = components(links.unionByName(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        pairs, links = pairs.unionByName(more), links.unionByName(found)
+        if not found.isEmpty():
+            roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     rooted = classes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     named_root = stored(rooted.join(least, "root").select("sid", "component"), "component-of")
