@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """True if every node of edges (u, v) either has one edge to a smaller node, or is such a node itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out")))
+    odd = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 or (out = 1 and least = 0)")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v): root is the smallest node it reaches.
 
-    Rounds join edges with each node's smallest neighbour until nothing changes; every round is stored."""
+    Rounds join edges with each node's smallest neighbour until all are stars; every round is stored."""
     edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
-    while True:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,9 +28,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         moved = large.join(small, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = stored(moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    stars = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(stars.select("node"), "node", "left_anti"))
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

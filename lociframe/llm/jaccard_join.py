@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
+from .shared import free_shuffles, lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
 
 GROUPS = 256
 CEILING = 255
@@ -43,6 +43,7 @@ PIVOT_OVER = 8
 BLOCK = 4096
 LEAF = 16
 RUN_ROWS = 1_000_000
+BROADCAST_PAIRS = 100_000
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,8 +304,9 @@ def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def dealt(rows: DataFrame, cross: bool) -> DataFrame:
-    """rows dealt out by bucket, buckets over BLOCK members in blocks; with cross, every two blocks meet once."""
+def dealt(rows: DataFrame, points: DataFrame, cross: bool) -> DataFrame:
+    """rows (bucket, sid, comp) with their points, dealt out by bucket, buckets over BLOCK members in blocks; with
+    cross, every two blocks meet once. The points join last, so they are shuffled once."""
     large = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")).where("parts > 1")
     rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("parts")))
@@ -313,7 +315,7 @@ def dealt(rows: DataFrame, cross: bool) -> DataFrame:
         rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
     else:
         rows = rows.withColumns({"i": F.col("side"), "j": F.col("side")})
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.join(points, "sid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def two_each(members: DataFrame, seed: int) -> DataFrame:
@@ -324,7 +326,7 @@ def two_each(members: DataFrame, seed: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts' sets link; texts has (sid, text)."""
+    """The pairs (a stored table) whose texts' sets link; texts has (sid, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -341,6 +343,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         keep[k] = 9 * both >= 4 * (len(x) + len(y)) and set_hash(x) == a[k] and set_hash(y) == b[k]
                 yield own.select(["a", "b"]).filter(pa.array(keep))
 
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:
+        asked = F.broadcast(asked)  # two longs a pair at most
+    texts = texts.join(asked, "sid", "left_semi")
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
@@ -353,29 +359,32 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = signed.where("id is not null and sid is not null")
     classes = stored(named.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "classes")
     members = stored(buckets(signed.where("id is not null")), "buckets")
+    free_shuffles(docs.sparkSession)
     shared = stored(members.select("sid").distinct().join(classes, "sid"), "shared")
     points = shared.select("sid", "n", "point")
     large = members.where(F.col("m") > PIVOT_OVER).select("bucket", "sid")
     few = members.where(F.col("m") <= PIVOT_OVER).select("bucket", "sid").unionByName(two_each(large, 0))
-    pairs = stored(candidates(dealt(few.join(points, "sid").withColumn("comp", F.col("sid")), False), "pivots"), "pairs")
+    pairs = stored(candidates(dealt(few.withColumn("comp", F.col("sid")), points, False), "pivots"), "pairs")
     # only texts of classes in pairs to verify, or that may come into such later, are kept
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")).distinct()
     wanted = stored(wanted.join(shared, "sid").select("sid", F.col("rep").alias("id")), "wanted")
     needed = stored(texts.join(wanted, "id").select("sid", "text"), "texts")
     links = stored(verified(pairs, needed), "links")
+    free_shuffles(docs.sparkSession)
     roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     for round_ in ("likeliest", "all"):
         placed = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         several = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
         large = stored(placed.join(several, "bucket", "left_semi").select("bucket", "sid"), "open")
-        if large.isEmpty():
+        if not large.count():
             break
         rows = large if round_ == "all" else two_each(large, 2)
-        rows = rows.join(points, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        more = stored(candidates(dealt(rows, round_ == "all"), round_).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        rows = rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        more = stored(candidates(dealt(rows, points, round_ == "all"), round_).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(more, needed), "links")
+        free_shuffles(docs.sparkSession)
         pairs, links = pairs.unionByName(more), links.unionByName(found)
-        if not found.isEmpty():
+        if found.count():
             roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     rooted = classes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected the plans that made them; ask for that between
+    steps whose results are stored, so that the disk holds the shuffles of one step and not of all."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of about limit bytes; null texts are empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
