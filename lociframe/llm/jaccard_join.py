@@ -93,7 +93,8 @@ def frequent_tokens(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n (set size), sid (the class; null for empty sets), point and prefix; the last two once a class and task."""
+    """id, n (set size), sid (the class; null for empty sets), point and prefix; the last two once a class and
+    task, on a row with an id, as rows without one are left out later."""
     cast = texts.sparkSession.sparkContext.broadcast(frequent)  # MAX_FREQUENT numbers at most
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +106,18 @@ def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
                 at = np.minimum(np.searchsorted(often, tokens), max(len(often) - 1, 0))
                 rank = np.where(often[at] == tokens, counts[at], 0) if len(often) else np.zeros(len(tokens), np.int64)
                 sids, points, prefixes = [], [], []
-                for a, b in zip(starts[:-1], starts[1:], strict=True):
+                ids = batch.column("id").slice(low, high - low)
+                for a, b, known in zip(starts[:-1], starts[1:], ids.is_valid().to_pylist(), strict=True):
                     own, n = tokens[a:b], int(b - a)
                     sid = set_hash(own) if n else None
-                    new = sid is not None and sid not in seen
+                    new = known and sid is not None and sid not in seen
                     sids.append(sid)
                     points.append(group_counts(own).tobytes() if new else None)
                     prefixes.append(own[np.argsort(rank[a:b], kind="stable")[: n - -(-4 * n // 5) + 1]].view(np.int64) if new else None)
                     if new:
                         seen.add(sid)
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column("id").slice(low, high - low), "n": np.diff(starts), "sid": pa.array(sids, pa.int64()),
+                    "id": ids, "n": np.diff(starts), "sid": pa.array(sids, pa.int64()),
                     "point": pa.array(points, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 })
 

@@ -130,6 +130,13 @@ def test_jaccard_join(docs, none, monkeypatch, pivot, block):
         assert sorted(kept, key=repr) == sorted([i for i in root if find(i) == i] + [None], key=repr)
 
 
+def test_jaccard_join_with_a_null_id_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.component_id) for r in jaccard_join.similarity_components(docs).collect()}
+    assert found == {(None, None), (1, 1), (2, 1)}
+
+
 def test_tree_pairs_against_all_pairs():
     rng = np.random.default_rng(0)
     base = rng.poisson(3, (40, jaccard_join.GROUPS))
