@@ -48,20 +48,24 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return sums.join(F.broadcast(total), F.lit(True)).agg(F.sum(share).alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 4) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
     """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters.
 
-    Moves are made for all nodes of a round at once; a hash of node and round lets half of them move, which stops pairs of
-    nodes from swapping for ever. Level by level the graph shrinks; edges within a cluster become a self loop."""
+    Moves are made for all nodes of a round at once. A sweep is two rounds: a hash of node and sweep names the half that may
+    move in the first, the others may in the second, which stops pairs of nodes from swapping for ever. Sweeps go on until
+    one moves nothing (100 at most, as in the reference), and levels until no clusters merge. Level by level the graph
+    shrinks; edges within a cluster become a self loop."""
     label = materialized(nodes.select("node", F.col("node").alias("cluster")), "louvain")
     graph = materialized(symmetric(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain-graph")
-    for level in range(levels):
+    level = 0
+    while True:
         degree = materialized(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
         m2 = degree.agg(F.sum("k")).first()[0]
         if not m2:
             break
         own = degree.select("node", F.col("node").alias("c"), "k")
-        for turn in range(rounds):
+        nodes_before, moving = own.count(), True
+        for turn in range(2 * sweeps):
             totals = own.groupBy("c").agg(F.sum("k").alias("tot"))
             links = graph.where("src != dst").join(own.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("w"))
             stay = own.select("node", "c").withColumn("w", F.lit(0.0))
@@ -69,14 +73,19 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
             rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
             gain = F.col("w") - resolution * F.col("k") * rest / m2
             best = choice.withColumn("gain", gain).groupBy("node").agg(F.max_by("c", F.struct(F.round("gain", 9), -F.col("c"))).alias("to"), F.max("now").alias("now"), F.max("k").alias("k"), F.max("gain").alias("g"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("g0"))
-            free = F.pmod(F.xxhash64("node", F.lit(level * 100 + turn)), F.lit(2)) == 0
+            free = F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
             moves = free & (F.col("g") > F.col("g0") + 1e-9)
             step = materialized(best.select("node", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("c"), "k", moves.alias("moved")), "louvain-step")
             own = step.select("node", "c", "k")
-            if turn % 2 and step.where("moved").isEmpty():
+            moved = not step.where("moved").isEmpty()
+            if turn % 2 and not (moved or moving):
                 break
+            moving = moved
         label = materialized(label.join(own.select(F.col("node").alias("cluster"), "c"), "cluster", "left").select("node", F.coalesce("c", "cluster").alias("cluster")), "louvain")
         a, b = own.select(F.col("node").alias("src"), F.col("c").alias("cs")), own.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
         graph = materialized(graph.join(a, "src").join(b, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-graph")
+        level += 1
+        if own.select("c").distinct().count() >= nodes_before:
+            break
     names = label.select("cluster").distinct().withColumn("dense", F.dense_rank().over(Window.orderBy("cluster")) - 1)
     return label.join(names, "cluster").select("node", F.col("dense").alias("cluster"))

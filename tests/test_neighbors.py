@@ -106,6 +106,12 @@ def test_louvain_finds_blobs(spark, blobs):
     assert graph.modularity(found, edges).first()[0] > graph.modularity(single, edges).first()[0]
 
 
+def test_louvain_goes_on_until_nothing_merges(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(299)], "src long, dst long, weight double")
+    nodes = spark.range(300).select(F.col("id").alias("node"))
+    assert graph.louvain(nodes, edges, 0.0).select("cluster").distinct().count() == 1  # at resolution 0 all merges gain
+
+
 def test_connected_path(spark, rows):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in [*range(21), 30, 31, 40]], "node long")
