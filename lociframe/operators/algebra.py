@@ -177,10 +177,12 @@ def impute(source: DataFrame, target: DataFrame, values: DataFrame, n_pv: int =
     return neighbors.weighted_values(neighbors.imputation_weights(near), values)
 
 
-def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 5, inner: int = 4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 20, inner: int = 20, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """(cell_id, vec, batch) with batch effects removed, and the objective after each round.
 
-    Soft k-means on unit vectors with a diversity penalty (E / (O + E))^theta, then a ridge correction for each cluster.
+    Soft k-means on unit vectors with a diversity penalty (E / (O + E))^theta, then a ridge correction of the original
+    vectors for each cluster. Inner rounds end when the objective's sum over three changes by under 1e-5 of itself, outer
+    ones when a round gains under 1e-6; rounds and inner are the most there can be.
     Every step is one pass of partition sums of clusters by batches by dimensions; the driver holds those only."""
     n = emb.count()
     k = k or max(1, min(round(n / 30), 100))
@@ -190,19 +192,19 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     centers = unit(np.array([r.vec for r in first]))
     k = len(centers)
     penalty = np.ones((k, len(batches)))
-    current, objective = emb.select(F.col("cell_id").alias("id"), "vec", "batch"), []
+    current, objective = emb.select(F.col("cell_id").alias("id"), "vec", "batch", F.col("vec").alias("orig")), []
 
     def soft(x: np.ndarray, b: np.ndarray, centers: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = 2 * (1 - unit(x) @ centers.T)
         r = np.exp(-(d - d.min(1, keepdims=True)) / sigma) * penalty[:, b].T
         return r / np.maximum(r.sum(1, keepdims=True), 1e-300), d
 
-    def sums(rows: DataFrame, f) -> list[np.ndarray]:
+    def sums(rows: DataFrame, f, *more: str) -> list[np.ndarray]:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for part in parts:
                 if len(part):
-                    made = f(_stack(part["vec"]), part["batch"].map(place).to_numpy())
+                    made = f(_stack(part["vec"]), part["batch"].map(place).to_numpy(), *[_stack(part[c]) for c in more])
                     total = made if total is None else [p + q for p, q in zip(total, made, strict=True)]
             if total is not None:
                 yield pd.DataFrame({"k": range(len(total)), "a": [np.asarray(x, float).tobytes() for x in total]})
@@ -214,6 +216,7 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
         return [out[i] for i in sorted(out)]
 
     for _ in range(rounds):
+        costs: list[float] = []
         for _ in range(inner):
             def step(x: np.ndarray, b: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
                 r, d = soft(x, b, centers, penalty)
@@ -223,14 +226,18 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
             centers, o = unit(c.reshape(k, -1)), o.reshape(k, -1)
             expected = o.sum(1, keepdims=True) * o.sum(0) / max(o.sum(), 1e-300)
             penalty = (expected / np.maximum(o + expected, 1e-300)) ** theta
-        objective.append(float(cost[0]) * 2000 / n)
+            mixed = sigma * theta * (o * np.log((np.maximum(o, 1e-8) + np.maximum(expected, 1e-8)) / np.maximum(expected, 1e-8))).sum()
+            costs.append(float(cost[0] + mixed) * 2000 / n)
+            if len(costs) > 4 and abs(sum(costs[-4:-1]) - sum(costs[-3:])) < 1e-5 * abs(sum(costs[-4:-1])):
+                break
+        objective.append(costs[-1])
 
-        def design(x: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        def design(x: np.ndarray, b: np.ndarray, orig: np.ndarray) -> list[np.ndarray]:
             r, _ = soft(x, b, centers, penalty)
             one = np.eye(len(batches))[b]
-            return [r.T @ one, np.stack([(one * r[:, [j]]).T @ x for j in range(k)])]
+            return [r.T @ one, np.stack([(one * r[:, [j]]).T @ orig for j in range(k)])]
 
-        mass, moment = sums(current, design)
+        mass, moment = sums(current, design, "orig")
         mass, moment = mass.reshape(k, -1), moment.reshape(k, len(batches), -1)
         shift = np.zeros((k, len(batches), moment.shape[2]))
         for j in range(k):
@@ -245,9 +252,9 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
                 if len(part):
                     x, b = _stack(part["vec"]), part["batch"].map(place).to_numpy()
                     r, _ = soft(x, b, centers, penalty)
-                    yield pd.DataFrame({"id": part["id"], "vec": list(x - np.einsum("nk,knd->nd", r, shift[:, b])), "batch": part["batch"]})
+                    yield pd.DataFrame({"id": part["id"], "vec": list(_stack(part["orig"]) - np.einsum("nk,knd->nd", r, shift[:, b])), "batch": part["batch"], "orig": part["orig"]})
 
         current = materialized(current.mapInPandas(correct, current.schema), "harmony")
         if len(objective) > 1 and 0 <= (objective[-2] - objective[-1]) / max(abs(objective[-2]), 1e-300) < 1e-6:
             break
-    return current.withColumnRenamed("id", "cell_id"), objective
+    return current.select(F.col("id").alias("cell_id"), "vec", "batch"), objective

@@ -13,18 +13,23 @@ def _sizes(spark, sf):
     return m.table(spark, sf, "supplier").count(), m.table(spark, sf, "part").count()
 
 
+def _components(rows, cells, features, **more):
+    """The survey's decomposition: 50 components, 20 more in the sketch, 5 power iterations."""
+    return algebra.embed(rows, cells, features, k=50, over=20, iterations=5, **more)[0]
+
+
 def _flat(emb):
     return emb.select("cell_id", F.posexplode("vec").alias("component", "value"))
 
 
 def lsi_embedding(spark, sf):
     cells, features = _sizes(spark, sf)
-    return _flat(algebra.embed(matrix.tfidf(m.counts(spark, sf), cells), cells, features)[0])
+    return _flat(_components(matrix.tfidf(m.counts(spark, sf), cells), cells, features))
 
 
 def pca_embedding(spark, sf):
     cells, features = _sizes(spark, sf)
-    return _flat(algebra.embed(matrix.log_normalize(m.counts(spark, sf)), cells, features, center=True)[0])
+    return _flat(_components(matrix.log_normalize(m.counts(spark, sf)), cells, features, center=True))
 
 
 def _snn(emb, k=15):
@@ -47,7 +52,7 @@ def connected_split(spark, sf):
 
 def harmony(spark, sf):
     emb = m.embedding(spark, sf).select("cell_id", "vec", (F.col("cell_id") % 3).cast("int").alias("batch"))
-    return _flat(algebra.harmony(emb, [0, 1, 2], rounds=2, inner=2)[0])
+    return _flat(algebra.harmony(emb, [0, 1, 2])[0])
 
 
 def spage_impute(spark, sf):
@@ -63,13 +68,14 @@ def single_sample_pipeline(spark, sf):
     counts = m.materialized(m.counts(spark, sf), "counts")
     top = matrix.top_features(counts, m.features(spark, sf), 0.05).select("feature_id")
     rows = matrix.tfidf(counts, cells).join(top, "feature_id", "left_semi")
-    emb = algebra.embed(rows, cells, features)[0].select("cell_id", F.slice("vec", 2, 9).alias("vec"))
+    emb = _components(rows, cells, features).select("cell_id", F.slice("vec", 2, 49).alias("vec"))
     emb = m.materialized(emb, "embedding")
-    return graph.louvain(_nodes(emb), m.materialized(_snn(emb, 10), "snn"), 0.8)
+    return graph.louvain(_nodes(emb), m.materialized(neighbors.snn(neighbors.knn(emb, emb, 20, exclude_self=True)), "snn"), 0.8)
 
 
 def multi_sample_pipeline(spark, sf):
-    """Two samples' peaks unified, counts mapped onto them and set side by side, TF-IDF, SVD, batch correction, clusters."""
+    """Two samples' peaks unified, counts mapped onto them and set side by side, top features, TF-IDF of
+    these, SVD without its first component, batch correction, neighbours, clusters."""
     n = m.table(spark, sf, "supplier").count()
     peaks = m.intervals(spark, sf)
     unified = m.materialized(iv.numbered(iv.unify(peaks)).withColumn("feature_id", F.xxhash64("unified_id")), "unified")
@@ -78,10 +84,12 @@ def multi_sample_pipeline(spark, sf):
     items = m.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("feature_id"), F.col("l_suppkey").alias("cell_id")).agg(F.sum("l_quantity").alias("value"))
     parts = [(matrix.remap(items.where(F.col("feature_id") % 2 == s), mapping), n) for s in (0, 1)]
     counts = m.materialized(matrix.concat_cells(parts), "counts")
-    emb = algebra.embed(matrix.tfidf(counts, 2 * n), 2 * n, unified.count(), k=8)[0]
+    top = m.materialized(matrix.top_features(counts, unified, 0.05).select("feature_id"), "top")
+    rows = m.materialized(matrix.tfidf(counts.join(top, "feature_id", "left_semi"), 2 * n), "tfidf")
+    emb = _components(rows, 2 * n, top.count()).select("cell_id", F.slice("vec", 2, 49).alias("vec"))
     emb = m.materialized(emb.withColumn("batch", (F.col("cell_id") >= n).cast("int")), "embedding")
-    fixed = algebra.harmony(emb, [0, 1], k=5, rounds=2, inner=2)[0]
-    return graph.louvain(_nodes(fixed), m.materialized(_snn(fixed, 10), "snn"), 0.6)
+    fixed = algebra.harmony(emb, [0, 1])[0]
+    return graph.louvain(_nodes(fixed), m.materialized(neighbors.snn(neighbors.knn(fixed, fixed, 20, exclude_self=True)), "snn"), 0.6)
 
 
 def wnn_pipeline(spark, sf):

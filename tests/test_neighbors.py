@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.operators import algebra, graph, neighbors, spatial
+from lociframe.plans import analysis_queries
 
 E = "cell_id long, vec array<double>"
 
@@ -142,6 +143,39 @@ def test_harmony_moves_batches_together(spark, blobs):
     assert np.isfinite(objective).all()
 
 
+def test_multi_sample_steps(spark, tmp_path, monkeypatch):
+    """Top features before TF-IDF, 50 components less the first, 20 by 20 rounds at most, 20 neighbours."""
+    orders = [(i, 22 * i, f"1992-01-{1 + i % 28:02d}") for i in range(1, 41)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i,) for i in range(30)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    items = [(i, j, 1.0) for i in range(1, 41) for j in range(30) if (i > 1 or j == 0) and (i * j) % 3 < 2 and i != 29]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = {}
+
+    def embed(rows, cells, features, **more):
+        seen.update(more, features=features, used=rows.select("feature_id").distinct().count())
+        return rows.select("cell_id", F.array(*[F.lit(float(i)) for i in range(50)]).alias("vec")).distinct(), None
+
+    def harmony(emb, batches, **more):
+        seen.update(first=list(emb.first().vec), harmony=more)
+        return emb, []
+
+    def knn(a, b, k, **more):
+        seen["k"] = k
+        return spark.createDataFrame([], "src long, dst long")
+
+    monkeypatch.setattr(algebra, "embed", embed)
+    monkeypatch.setattr(algebra, "harmony", harmony)
+    monkeypatch.setattr(neighbors, "knn", knn)
+    unified = []
+    top = analysis_queries.matrix.top_features
+    monkeypatch.setattr(analysis_queries.matrix, "top_features", lambda c, f, cut: unified.append(f.count()) or top(c, f, cut))
+    analysis_queries.multi_sample_pipeline(spark, str(tmp_path))
+    assert seen["features"] == seen["used"] <= unified[0]
+    assert seen["first"] == [float(i) for i in range(1, 50)] and seen["harmony"] == {}
+    assert (seen["k"], seen["over"], seen["iterations"]) == (20, 20, 5)
+
+
 def test_imputation_recovers_values(spark, blobs):
     x, emb = blobs
     source, target = emb.where("cell_id % 2 = 0"), emb.where("cell_id % 2 = 1")
