@@ -147,9 +147,10 @@ def show_peak_gene_links(data: Dataset, gene) -> DataFrame:
     return data.links.where(F.col("gene") == gene)
 
 
-@action("peaks", "genes")
-def link_peaks(data: Dataset, peaks: DataFrame, genes: DataFrame, distance: int = 500_000) -> DataFrame:
-    return intervals.band_join(peaks, genes, distance)
+@action("peaks", "genes", "peak_counts")
+def link_peaks(data: Dataset, peaks: DataFrame, genes: DataFrame, peak_counts: DataFrame, distance: int = 500_000, **more) -> DataFrame:
+    """genes' names are feature ids of data.counts; peak_counts: peak_id, cell_id, value over the same cells."""
+    return intervals.link_peaks(peak_counts, data.counts.withColumnRenamed("feature_id", "gene"), peaks, genes, data.n_cells(), distance, **more)
 
 
 @action()

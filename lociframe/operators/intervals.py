@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genomic import normal_tail
+from ..model import materialized
 
 BIN = 10_000
 
@@ -68,17 +69,26 @@ def trans_pool_sizes(peaks: DataFrame, genes: DataFrame) -> DataFrame:
     return genes.join(own, "chr", "left").join(F.broadcast(total), F.lit(True)).select("gene", (F.col("total") - F.coalesce("own", F.lit(0))).alias("n_trans"))
 
 
-def stride_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most so many rows at even steps of the order by id.
+def _placed(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows with __place, their place from 0 in the order by id.
 
-    Partitions are numbered by their sizes, so no task sees more than its own range of ids."""
-    n = rows.count()
-    step = max(1, -(-n // most))
-    ranged = rows.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("__part", F.spark_partition_id())
+    Partitions are numbered by their sizes, so no task sees more than its own range of ids; they are stored, so both uses
+    see the same ranges."""
+    ranged = materialized(rows.repartitionByRange(id_col).withColumn("__part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     place = F.row_number().over(Window.partitionBy("__part").orderBy(id_col)) - 1
-    return ranged.withColumn("__place", place).join(F.broadcast(before), "__part").where((F.col("__place") + F.col("__before")) % step == 0).drop("__part", "__place", "__before")
+    return ranged.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn("__place", F.col("__place") + F.col("__before")).drop("__part", "__before")
+
+
+def stride_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """All rows, or of n over most those at places floor(i * n / most) of the order by id."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    # some i lies in [place * most / n, (place + 1) * most / n)
+    first = F.expr(f"(__place * {most}L + {n - 1}L) div {n}L")
+    return _placed(rows, id_col).where(first * n < (F.col("__place") + 1) * most).drop("__place")
 
 
 def background(targets: DataFrame, pool: DataFrame, n: int, most: int = 5000) -> DataFrame:
@@ -104,6 +114,43 @@ def background(targets: DataFrame, pool: DataFrame, n: int, most: int = 5000) ->
     return targets.select("id", "chr", "weight").mapInPandas(run, "id long, pool_id long, rank int")
 
 
+def trans_background(peaks: DataFrame, n: int, most: int = 5000) -> DataFrame:
+    """id, pool_id, rank: for each of peaks(peak_id, chr, weight) the n peaks of its chromosome's pool nearest in weight,
+    ties to the smaller id.
+
+    A chromosome's pool is all peaks on others, or of over most those at even steps of the order by id. The places of a
+    chromosome's own peaks, one number each, meet in one task to find the places of its pool."""
+    placed = materialized(_placed(peaks.select("peak_id", "chr", "weight"), "peak_id"), "placed")
+    total = placed.count()
+
+    def pool(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(part["__place"].to_numpy())
+        others = total - len(own)
+        size = min(others, most)
+        want = np.arange(size) * others // max(size, 1)
+        place = want + np.searchsorted(own - np.arange(len(own)), want, side="right")
+        return pd.DataFrame({"chr": part["chr"].iloc[:1].repeat(size).to_numpy(), "__place": place})
+
+    def nearest(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("pool_id")
+        names, weight = held["pool_id"].to_numpy(), held["weight"].to_numpy(float)
+        out = [pd.DataFrame({"id": [], "pool_id": [], "rank": []})]
+        for low in range(0, len(part), 256):
+            own = part.iloc[low : low + 256]
+            order = np.argsort(np.abs(own["weight"].to_numpy(float)[:, None] - weight), axis=1, kind="stable")[:, :n]
+            k = order.shape[1]
+            out.append(pd.DataFrame({"id": np.repeat(own["peak_id"].to_numpy(), k), "pool_id": names[order.ravel()], "rank": np.tile(np.arange(1, k + 1), len(own))}))
+        return pd.concat(out)
+
+    parts = placed.groupBy("chr").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("long").alias("parts"))
+    pools = placed.select("chr", "__place").groupBy("chr").applyInPandas(pool, "chr string, __place long")
+    pools = pools.join(placed.select("__place", F.col("peak_id").alias("pool_id"), "weight"), "__place").join(parts, "chr")
+    pools = pools.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pools = materialized(pools.select("chr", "part", "pool_id", "weight"), "pools")
+    targets = placed.join(parts, "chr").withColumn("part", F.pmod(F.xxhash64("peak_id"), F.col("parts")))
+    return targets.groupBy("chr", "part").cogroup(pools.groupBy("chr", "part")).applyInPandas(nearest, "id long, pool_id long, rank int")
+
+
 def pearson(left: DataFrame, right: DataFrame, pairs: DataFrame, n_cells: int) -> DataFrame:
     """a, b, r of pairs(a, b): Pearson over all cells, zeros included, of left(a, cell_id, x) and right(b, cell_id, y)."""
     sx = left.groupBy("a").agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
@@ -125,6 +172,31 @@ def score_links(links: DataFrame, null: DataFrame, score_cutoff: float = 0.05, p
     return rows.withColumn("pvalue", normal_tail(F.col("zscore"))).where(F.col("pvalue") < p_cutoff).drop("k", "mu", "sd")
 
 
+def link_peaks(peak_counts: DataFrame, gene_counts: DataFrame, peaks: DataFrame, genes: DataFrame, n_cells: int, distance: int = 500_000, min_cells: int = 10, score_cutoff: float = 0.05, p_cutoff: float = 0.05, n_sample: int = 200, most: int = 5000) -> DataFrame:
+    """gene, peak_id, r, zscore, pvalue, distance of all pairs in the band that stand out from the peak's background.
+
+    peak_counts(peak_id, cell_id, value), gene_counts(gene, cell_id, value), peaks(peak_id, chr, start, end) and
+    genes(gene, chr, tss). Peaks and genes need min_cells entries, genes two peaks in the band. A pair's null is the gene's
+    r with the n_sample peaks on other chromosomes nearest in total to its peak."""
+    weights = peak_counts.groupBy("peak_id").agg(F.sum("value").cast("double").alias("weight"), F.count(F.lit(1)).alias("nnz")).where(F.col("nnz") >= min_cells)
+    peaks = materialized(peaks.join(weights, "peak_id").select("peak_id", "chr", "start", "end", "weight"), "peaks")
+    genes = genes.join(gene_counts.groupBy("gene").agg(F.count(F.lit(1)).alias("nnz")).where(F.col("nnz") >= min_cells), "gene")
+    band = materialized(band_join(peaks, genes, distance), "band")
+    band = band.join(band.groupBy("gene").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").select("gene"), "gene")
+    left = gene_counts.select(F.col("gene").alias("a"), "cell_id", F.col("value").alias("x"))
+    right = peak_counts.select(F.col("peak_id").alias("b"), "cell_id", F.col("value").alias("y"))
+    r = pearson(left, right, band.select(F.col("gene").alias("a"), F.col("peak_id").alias("b")), n_cells)
+    found = materialized(r.where(F.abs("r") > score_cutoff), "links")
+    pool = trans_background(peaks, n_sample, most).select(F.col("id").alias("peak_id"), "pool_id")
+    asked = materialized(found.select(F.col("a").alias("gene"), F.col("b").alias("peak_id")).join(pool, "peak_id"), "asked")
+    null = pearson(left, right, asked.select(F.col("gene").alias("a"), F.col("pool_id").alias("b")).distinct(), n_cells)
+    null = asked.join(null.select(F.col("a").alias("gene"), F.col("b").alias("pool_id"), "r"), ["gene", "pool_id"])
+    pair = F.struct("gene", "peak_id")
+    links = found.select(F.col("a").alias("gene"), F.col("b").alias("peak_id"), "r")
+    scored = score_links(links.select(pair.alias("gene"), "r"), null.select(pair.alias("gene"), "r"), score_cutoff, p_cutoff)
+    return scored.select("gene.gene", "gene.peak_id", "r", "zscore", "pvalue").join(band, ["gene", "peak_id"])
+
+
 def in_region(fragments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Fragments with end >= start and start <= end of the region; chromosome names match without case or 'chr'."""
     bare = lambda c: F.regexp_replace(F.lower(c), "^chr", "")

@@ -84,9 +84,16 @@ def _weights(spark, sf):
 
 
 def background_match(spark, sf):
-    """Five background peaks of every peak, from a pool of 5000 at even steps of the id."""
-    w = _weights(spark, sf)
-    return iv.background(w.select(F.col("peak_id").alias("id"), "chr", "weight"), iv.stride_sample(w, "peak_id", 5000), 5)
+    """Five background peaks of every peak, from its chromosome's pool of 5000 at even steps of the id."""
+    return iv.trans_background(_weights(spark, sf), 5)
+
+
+def link_peaks(spark, sf):
+    """Links over all pairs of the band; the tables' peaks have at most seven cells, so two are enough here."""
+    peak_counts = m.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("peak_id"), F.col("l_suppkey").alias("cell_id")).agg(F.sum("l_quantity").alias("value"))
+    gene_counts = m.counts(spark, sf).withColumnRenamed("feature_id", "gene")
+    n_cells = m.table(spark, sf, "supplier").count()
+    return iv.link_peaks(peak_counts, gene_counts, m.intervals(spark, sf), m.tss(spark, sf), n_cells, DISTANCE, min_cells=2)
 
 
 def _links(spark, sf):
@@ -193,6 +200,7 @@ QUERIES = {
     "tss_band_join": (tss_band_join, f"WITH {IV}, {TSS}, {_BAND} SELECT gene, peak_id, distance FROM band"),
     "trans_pool": (trans_pool, f"WITH {IV}, {TSS}, own AS (SELECT chr, count(*) AS own FROM iv GROUP BY 1) SELECT gene, (SELECT count(*) FROM iv) - coalesce(own, 0) AS n_trans FROM tss LEFT JOIN own USING (chr)"),
     "background_match": (background_match, None),
+    "link_peaks": (link_peaks, None),
     "pearson_links": (pearson_links, f"WITH {_PEAR} SELECT a, b, round(r, 6) + 0.0 AS r FROM r"),
     "link_zscores": (link_zscores, f"WITH {_PEAR}, nl AS (SELECT a % 20 AS gene, count(*) AS k, avg(r) AS mu, stddev_samp(r) AS sd FROM r WHERE b % 2 = 1 GROUP BY 1 HAVING count(*) >= 5 AND stddev_samp(r) >= 1e-10), z AS (SELECT gene, a AS peak_id, b AS partner, r, (r - mu) / sd AS zscore FROM r JOIN nl ON gene = a % 20 WHERE b % 2 = 0 AND abs(r) > 0.05) SELECT gene, peak_id, partner, round(r, 6) + 0.0 AS r, round(zscore, 5) + 0.0 AS zscore, round({genomic.normal_tail_sql('zscore')}, 5) + 0.0 AS pvalue FROM z WHERE {genomic.normal_tail_sql('zscore')} < 0.2"),
     "links_by_gene": (links_by_gene, f"WITH {IV}, {TSS}, {_BAND}, k AS (SELECT gene, peak_id, row_number() OVER (PARTITION BY gene ORDER BY peak_id) AS k FROM band) SELECT gene, count(*) AS n, string_agg(CASE WHEN k <= 5 THEN CAST(peak_id AS VARCHAR) END, ',' ORDER BY peak_id) AS first_peaks FROM k GROUP BY 1"),
