@@ -1,24 +1,27 @@
 """Exact n-gram Jaccard join with a count-vector R-tree.
 
 A document's set is its distinct runs of five words (A-Z lower-cased), or its whole word sequence if
-shorter. Texts with equal sets form a class, known by a 64-bit hash of the set. Each class is a point:
-its tokens' hashes are counted in GROUPS groups, and the intersection of two sets is at most the sum of
-the smaller counts. Two sets link when 100 * intersection >= 80 * union, that is 9 * intersection >=
-4 * (size + size).
-
-The index is dealt out by token: in any global order of the tokens, two sets that link share one of the
-first n - ceil(0.8 n) + 1 of each, so a class goes to the buckets of these tokens only. Rare tokens come
-first; which are frequent is read off a bounded sample of documents, and a wrong guess costs time, not
-links. Buckets with the same members are searched once. In a bucket a packed R-tree of the points is
-joined with itself: boxes of points that can't reach the bound are left out, and surviving pairs are
-verified on the texts' full sets. What is connected needs no further comparison, so buckets of over
-PIVOT_OVER members go through three rounds: a class meets pivots in two of its buckets; a class meets the
-member it is likeliest to link with in two buckets that still hold several components; and buckets that
-then still do are joined exhaustively, large ones in blocks. The first two rounds have a few pairs a class,
-whatever the size of a group, and only the last one is needed for a whole result.
+shorter. Texts with equal sets form a class, known by a 64-bit hash of the set. Two sets link when
+100 * intersection >= 80 * union, that is 9 * intersection >= 4 * (size + size).
+
+Tokens are hashed into groups, twice. Coarsely, the counts of a set's tokens in GROUPS groups are its point,
+and the intersection of two sets is at most the sum of the smaller counts; a packed R-tree of points leaves
+out boxes that can't reach what a link asks for, and surviving pairs are verified on the texts' full sets.
+Finely, groups deal the points out: two sets that link differ in at most (size + size) / 9 tokens, so among
+more groups than that one holds the same tokens in both, and a set goes to the buckets named by the contents
+of its first size / 4 + 1 groups that hold any. The number of groups is the power of two that suits
+size + size, so a set has buckets at one or two levels. Tokens of many documents (a common passage, say) are
+left out of the contents; what a sample tells of them decides how much work there is, never the result.
+Sets with too few groups left also go to the buckets of their prefix: in any global order, two sets that
+link share one of the first n - ceil(0.8 n) + 1 tokens of each, and rare tokens come first.
+
+What is connected needs no further comparison. First each class meets the pivots of two of its buckets, which
+settles large groups of copies at one pair a class; then buckets that still hold several components are
+searched, large ones in blocks, by the trees of their points.
 
 Null texts and texts without words have size 0 and link with nothing. Rows with a null id take no part
-and get a null component. Repeated rows are copies of one another. Extra columns are not read; an empty
+and get a null component. Repeated rows are copies of one another; ties can't arise, as all links count.
+Very long texts are read a block at a time and have no other treatment. Extra columns are not read; an empty
 table gives an empty result.
 """
 
@@ -32,18 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_shuffles, lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
+from .shared import few_rows, free_shuffles, lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
 
 GROUPS = 256
 CEILING = 255
+#: Token frequencies are read off about so many documents; tokens in fewer of them than FREQUENT count as rare.
 SAMPLE_DOCS = 20_000
 FREQUENT = 8
 MAX_FREQUENT = 200_000
-PIVOT_OVER = 8
+#: Tokens in one of so many sampled documents name no bucket.
+OFTEN_ONE_IN = 200
 BLOCK = 4096
 LEAF = 16
 RUN_ROWS = 1_000_000
-BROADCAST_PAIRS = 100_000
+#: Open rows up to which all open buckets are searched at once.
+SEARCH_AT_ONCE = 2_000_000
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +63,18 @@ def token_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """One signed 64-bit number for a set of tokens."""
-    total = int(np.add.reduce(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)) + len(tokens) * 0x9E3779B97F4A7C15
-    return int(mix(np.array([total % (1 << 64)], np.uint64)).view(np.int64)[0])
+def set_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One signed 64-bit number for each set of tokens."""
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
+    return mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def group_counts(tokens: np.ndarray) -> np.ndarray:
-    """The point of a set; counts stop at CEILING."""
-    return np.minimum(np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), CEILING).astype(np.uint8)
+def group_counts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The point of each set; counts stop at CEILING."""
+    n = len(starts) - 1
+    at = np.repeat(np.arange(n), np.diff(starts)) * GROUPS + (tokens & np.uint64(GROUPS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * GROUPS), CEILING).astype(np.uint8).reshape(n, GROUPS)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,6 +84,44 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((least == CEILING).any(-1), np.iinfo(np.int64).max // 16, total) if len(total) and least.max() == CEILING else total
 
 
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of points up to a and b and of that total size can link."""
+    return 9 * overlap_bound(a, b) >= 4 * sizes
+
+
+def _level(total: np.ndarray) -> np.ndarray:
+    """The level of two sets of that total size: 2 ** level groups, a third more than tokens in which they may differ."""
+    return np.maximum(1, np.ceil(np.log2(np.maximum(total, 1) * 0.15))).astype(np.int64)
+
+
+def group_keys(tokens: np.ndarray, starts: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key) of the buckets named by groups' contents, and which sets have too few groups for that to suffice.
+
+    Sets of fewer than four tokens link with no other set and have none."""
+    n = np.diff(starts)
+    of = np.repeat(np.arange(len(n)), n)
+    use = n[of] >= 4
+    if len(often):
+        use &= often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] != tokens
+    tokens, of = tokens[use], of[use]
+    differ, low, high = n // 4, _level(n + -(-4 * n // 5)), _level(n + 5 * n // 4)
+    sets, keys, poor = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.zeros(len(n), bool)
+    for level, on in ((low, n >= 4), (high, (n >= 4) & (high > low))):
+        own, owner = tokens[on[of]], of[on[of]]
+        group = own >> (64 - level[owner]).astype(np.uint64)
+        first = np.ones(len(own), bool)
+        first[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(first)
+        contents = np.add.reduceat(mix(own ^ np.uint64(0x6A09E667F3BCC909)), at) if len(at) else own
+        owner = owner[at]
+        begins = np.searchsorted(owner, np.arange(len(n) + 1))
+        poor |= on & (np.diff(begins) <= differ)
+        taken = np.arange(len(at)) - begins[owner] <= differ[owner]
+        sets.append(owner[taken])
+        keys.append(mix(contents[taken] + level[owner[taken]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(sets), np.concatenate(keys), poor
+
+
 def frequent_tokens(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in FREQUENT or more of about SAMPLE_DOCS documents, sorted, and their counts; MAX_FREQUENT at most."""
 
@@ -92,36 +139,55 @@ def frequent_tokens(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], found["n"].to_numpy(np.int64)[order]
 
 
-def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, n (set size), sid (the class; null for empty sets), point and prefix; the last two once a class and
-    task, on a row with an id, as rows without one are left out later."""
-    cast = texts.sparkSession.sparkContext.broadcast(frequent)  # MAX_FREQUENT numbers at most
+def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """A list of values for each of n rows."""
+    order = np.argsort(of, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(n + 1)), pa.int32()), pa.array(values[order].view(np.int64)))
+
+
+def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_docs: int) -> DataFrame:
+    """id, n (set size), sid (the class; null for empty sets), point, keys and hot (buckets, and those of tokens in
+    many documents); the last three once a class and task, on a row with an id, as rows without one are left
+    out later."""
+    least = max(FREQUENT, min(n_docs, SAMPLE_DOCS) // OFTEN_ONE_IN)
+    cast = texts.sparkSession.sparkContext.broadcast((*frequent, frequent[0][frequent[1] >= least]))  # MAX_FREQUENT numbers at most
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = cast.value
+        known, counts, often = cast.value
         seen: set[int] = set()
+
+        def prefix(own: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            rank = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), np.int64)
+            return own[np.argsort(rank, kind="stable")[: len(own) - -(-4 * len(own) // 5) + 1]]
+
         for batch in it:
             for low, high, data, offsets in text_blocks(batch.column("text")):
                 tokens, starts = token_sets(data, offsets)
-                at = np.minimum(np.searchsorted(often, tokens), max(len(often) - 1, 0))
-                rank = np.where(often[at] == tokens, counts[at], 0) if len(often) else np.zeros(len(tokens), np.int64)
-                sids, points, prefixes = [], [], []
-                ids = batch.column("id").slice(low, high - low)
-                for a, b, known in zip(starts[:-1], starts[1:], ids.is_valid().to_pylist(), strict=True):
-                    own, n = tokens[a:b], int(b - a)
-                    sid = set_hash(own) if n else None
-                    new = known and sid is not None and sid not in seen
-                    sids.append(sid)
-                    points.append(group_counts(own).tobytes() if new else None)
-                    prefixes.append(own[np.argsort(rank[a:b], kind="stable")[: n - -(-4 * n // 5) + 1]].view(np.int64) if new else None)
-                    if new:
-                        seen.add(sid)
+                n, sid, ids = np.diff(starts), set_hashes(tokens, starts), batch.column("id").slice(low, high - low)
+                new = np.zeros(high - low, bool)
+                for k in np.flatnonzero((n > 0) & ids.is_valid().to_numpy(zero_copy_only=False)):
+                    if (s := int(sid[k])) not in seen:
+                        seen.add(s)
+                        new[k] = True
+                rows = np.flatnonzero(new)
+                own = tokens[np.repeat(new, n)]
+                begins = np.concatenate(([0], np.cumsum(n[rows])))
+                of, keys, poor = group_keys(own, begins, often)
+                rest = [(k, prefix(own[begins[k] : begins[k + 1]])) for k in np.flatnonzero(poor)]
+                po = np.repeat(np.array([k for k, _ in rest], np.int64), [len(p) for _, p in rest])
+                pk = np.concatenate([np.zeros(0, np.uint64), *[p for _, p in rest]])
+                hot = np.isin(pk, often)
+                pk = mix(pk ^ np.uint64(0xBB67AE8584CAA73B))
+                points = np.full(high - low, None, object)
+                points[rows] = [p.tobytes() for p in group_counts(own, begins)]
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids, "n": np.diff(starts), "sid": pa.array(sids, pa.int64()),
-                    "point": pa.array(points, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                    "id": ids, "n": n, "sid": pa.array(sid, mask=n == 0), "point": pa.array(points, pa.binary()),
+                    "keys": _lists(rows[np.concatenate((of, po[~hot]))], np.concatenate((keys, pk[~hot])), high - low),
+                    "hot": _lists(rows[po[hot]], pk[hot], high - low),
                 })
 
-    return texts.mapInArrow(run, "id long, n long, sid long, point binary, prefix array<long>")
+    return texts.mapInArrow(run, "id long, n long, sid long, point binary, keys array<long>, hot array<long>")
 
 
 def _runs(it: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
@@ -169,19 +235,20 @@ def _runs(it: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62) ->
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(bucket, sid, m): the classes of every token that two or more share, once for each distinct list of m classes."""
+    """(bucket, sid, m): the classes of every key that two or more share, m of them about; once for each distinct
+    list of classes, but for keys in many documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for table, begins, part in _runs(it, ["token"], RUN_ROWS):
-            token, sid = (table.column(c).to_numpy() for c in ("token", "sid"))
+        for table, begins, part in _runs(it, ["key"], RUN_ROWS):
+            key, sid = (table.column(c).to_numpy() for c in ("key", "sid"))
             if part:
-                yield pa.RecordBatch.from_pydict({"bucket": token, "sid": sid, "m": np.full(len(token), RUN_ROWS)})
+                yield pa.RecordBatch.from_pydict({"bucket": key, "sid": sid, "m": np.full(len(key), RUN_ROWS)})
                 continue
-            run_of = np.zeros(len(token), np.int64)
+            run_of = np.zeros(len(key), np.int64)
             run_of[begins[1:]] = 1
             run_of = np.cumsum(run_of)
-            first = np.ones(len(token), bool)
+            first = np.ones(len(key), bool)
             first[1:] = (sid[1:] != sid[:-1]) | (run_of[1:] != run_of[:-1])
             sid, run_of = sid[first], run_of[first]
             sizes = np.bincount(run_of)
@@ -198,9 +265,12 @@ def buckets(signed: DataFrame) -> DataFrame:
             if pick.any():
                 yield pa.RecordBatch.from_pydict({"bucket": name[run_of[pick]], "sid": sid[pick], "m": sizes[run_of[pick]]})
 
-    posted = signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "sid")
-    found = posted.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "bucket long, sid long, m long")
-    return found.distinct()
+    posted = signed.select(F.explode("keys").alias("key"), "sid")
+    found = posted.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "bucket long, sid long, m long")
+    # keys known to be in many documents need no meeting in one task to find that out
+    hot = signed.select(F.explode("hot").alias("bucket"), "sid").distinct()
+    sizes = hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")  # MAX_FREQUENT rows at most
+    return found.unionByName(hot.join(F.broadcast(sizes), "bucket").select("bucket", "sid", "m")).distinct()
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -224,7 +294,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
         hi, lo, c0, c1 = levels[level]
         apart = (c0[a] != c1[b]) | (c1[a] != c0[b])
         a, b = a[apart], b[apart]
-        near = 9 * overlap_bound(hi[a], hi[b]) >= 4 * (lo[a] + lo[b])
+        near = may_link(hi[a], hi[b], lo[a] + lo[b])
         a, b = a[near], b[near]
         if not len(a):
             continue
@@ -244,15 +314,6 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, side: np
             stack.append((level - 1, i[real], j[real]))
 
 
-def pivot_pairs(points: np.ndarray, sizes: np.ndarray, sid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that the bound allows with two pivots: the member of the smallest mixed id, and the middle one by size."""
-    for pivot in {int(mix(sid.view(np.uint64)).argmin()), int(np.argsort(sizes, kind="stable")[len(sizes) // 2])}:
-        near = 9 * overlap_bound(points, points[pivot]) >= 4 * (sizes + sizes[pivot])
-        near[pivot] = False
-        found = np.flatnonzero(near)
-        yield np.full(len(found), pivot), found
-
-
 def likeliest_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each member with the one of another comp whose bound exceeds what a link asks for by most, if any does."""
     most, with_ = np.full(len(sizes), -1.0), np.full(len(sizes), -1)
@@ -267,9 +328,29 @@ def likeliest_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray) ->
     yield found, with_[found]
 
 
-def candidates(rows: DataFrame, round_: str) -> DataFrame:
-    """(a, b) with a < b: the class pairs to verify, of rows (bucket, i, j, side, sid, comp, n, point); round_ is
-    pivots, likeliest or all."""
+def star_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each class with the pivots of two of its buckets, if their points allow a link. The two
+    are those of the smallest hashes, so like classes choose alike; a pivot is the member of the smallest hash."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("point", "q"))
+            n, a, b = batch.column("n").to_numpy() + batch.column("o").to_numpy(), batch.column("sid").to_numpy(), batch.column("t").to_numpy()
+            keep = may_link(p, q, n)
+            yield _pair_batch([(a[keep], b[keep])])
+
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "bucket").alias("h"), "bucket")).alias(f"b{k}") for k in (0, 1)]
+    chosen = members.groupBy("sid").agg(*least).join(points, "sid")
+    chosen = chosen.select(F.explode(F.array_distinct(F.array("b0.bucket", "b1.bucket"))).alias("bucket"), "sid", "n", "point")
+    pivots = chosen.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n", "point")).alias("v"))
+    met = chosen.join(pivots.select("bucket", F.col("v.sid").alias("t"), F.col("v.n").alias("o"), F.col("v.point").alias("q")), "bucket").where("sid != t")
+    return met.select("sid", "n", "point", "t", "o", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(rows: DataFrame, points: DataFrame, likeliest: bool) -> DataFrame:
+    """(a, b) with a < b: the pairs of open buckets, rows (bucket, sid, m, comp), that the trees let through, of
+    different comp; or each class's likeliest partner of them. Buckets over BLOCK members come in blocks; every
+    two blocks meet once, or each stays by itself for the likeliest partners."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begins, _ in _runs(it, ["bucket", "i", "j"]):
@@ -277,14 +358,12 @@ def candidates(rows: DataFrame, round_: str) -> DataFrame:
             point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
             ends = np.append(begins[1:], len(sid))
             two = begins[ends - begins == 2]
-            ok = (9 * overlap_bound(point[two], point[two + 1]) >= 4 * (n[two] + n[two + 1])) & (comp[two] != comp[two + 1]) & ((i[two] == j[two]) | (side[two] != side[two + 1]))
+            ok = may_link(point[two], point[two + 1], n[two] + n[two + 1]) & (comp[two] != comp[two + 1]) & ((i[two] == j[two]) | (side[two] != side[two + 1]))
             found, held = [(sid[two[ok]], sid[two[ok] + 1])], 0
             for low, high in zip(begins, ends, strict=True):
                 if high - low > 2:
                     own = slice(int(low), int(high))
-                    if round_ == "pivots" and high - low > PIVOT_OVER:
-                        pairs = pivot_pairs(point[own], n[own], sid[own])
-                    elif round_ == "likeliest":
+                    if likeliest:
                         pairs = likeliest_pairs(point[own], n[own], comp[own])
                     else:
                         pairs = tree_pairs(point[own], n[own], comp[own], side[own] if i[low] != j[low] else None)
@@ -294,10 +373,16 @@ def candidates(rows: DataFrame, round_: str) -> DataFrame:
                         if held > 200_000:
                             yield _pair_batch(found)
                             found, held = [], 0
-            if found:
-                yield _pair_batch(found)
+            yield _pair_batch(found)
 
-    return rows.select("bucket", "i", "j", "side", "sid", "comp", "n", "point").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("side", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    if likeliest:
+        rows = rows.withColumns({"i": F.col("side"), "j": F.col("side")})
+    else:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    rows = rows.join(points, "sid").select("bucket", "i", "j", "side", "sid", "comp", "n", "point")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -306,27 +391,6 @@ def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def dealt(rows: DataFrame, points: DataFrame, cross: bool) -> DataFrame:
-    """rows (bucket, sid, comp) with their points, dealt out by bucket, buckets over BLOCK members in blocks; with
-    cross, every two blocks meet once. The points join last, so they are shuffled once."""
-    large = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts")).where("parts > 1")
-    rows = rows.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    if cross:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        rows = rows.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    else:
-        rows = rows.withColumns({"i": F.col("side"), "j": F.col("side")})
-    return rows.join(points, "sid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-
-def two_each(members: DataFrame, seed: int) -> DataFrame:
-    """(bucket, sid): two buckets of each class at most, those of the smallest hashes, so like classes choose alike."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(k), "bucket").alias("h"), "bucket")).alias(f"b{k}") for k in (seed, seed + 1)]
-    chosen = members.groupBy("sid").agg(*least)
-    return chosen.select(F.explode(F.array_distinct(F.array(*[F.col(f"b{k}.bucket") for k in (seed, seed + 1)]))).alias("bucket"), "sid")
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a stored table) whose texts' sets link; texts has (sid, text)."""
 
@@ -335,71 +399,74 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for low, high, data, offsets in text_blocks(batch.column("ta")):
                 own = batch.slice(low, high - low)
                 left, ls = token_sets(data, offsets)
-                keep = np.zeros(high - low, bool)
-                a, b = own.column("a").to_pylist(), own.column("b").to_pylist()
+                keep = set_hashes(left, ls) == own.column("a").to_numpy()
                 for low2, high2, data2, offsets2 in text_blocks(own.column("tb")):
                     right, rs = token_sets(data2, offsets2)
+                    keep[low2:high2] &= set_hashes(right, rs) == own.column("b").to_numpy()[low2:high2]
                     for k in range(low2, high2):
                         x, y = left[ls[k] : ls[k + 1]], right[rs[k - low2] : rs[k - low2 + 1]]
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[k] = 9 * both >= 4 * (len(x) + len(y)) and set_hash(x) == a[k] and set_hash(y) == b[k]
+                        keep[k] &= 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
                 yield own.select(["a", "b"]).filter(pa.array(keep))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        asked = F.broadcast(asked)  # two longs a pair at most
+    asked = few_rows(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), 2 * pairs.count())
     texts = texts.join(asked, "sid", "left_semi")
     left = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (.., sid) with the component that sid is known to be in, itself at least."""
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(signatures(texts, frequent_tokens(texts, docs.count())), "signatures")
+    n_docs = docs.count()
+    signed = stored(signatures(texts, frequent_tokens(texts, n_docs), n_docs), "signatures")
     named = signed.where("id is not null and sid is not null")
     classes = stored(named.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "classes")
-    members = stored(buckets(signed.where("id is not null")), "buckets")
-    free_shuffles(docs.sparkSession)
+    members = stored(buckets(named), "buckets")
+    free_shuffles(spark)
     shared = stored(members.select("sid").distinct().join(classes, "sid"), "shared")
     points = shared.select("sid", "n", "point")
-    large = members.where(F.col("m") > PIVOT_OVER).select("bucket", "sid")
-    few = members.where(F.col("m") <= PIVOT_OVER).select("bucket", "sid").unionByName(two_each(large, 0))
-    pairs = stored(candidates(dealt(few.withColumn("comp", F.col("sid")), points, False), "pivots"), "pairs")
-    # only texts of classes in pairs to verify, or that may come into such later, are kept
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")).distinct()
-    wanted = stored(wanted.join(shared, "sid").select("sid", F.col("rep").alias("id")), "wanted")
-    needed = stored(texts.join(wanted, "id").select("sid", "text"), "texts")
+    reps = few_rows(shared.select(F.col("rep").alias("id"), "sid"), shared.count())
+    needed = stored(texts.join(reps, "id").select("sid", "text"), "texts")
+    pairs = stored(star_pairs(members, points), "pairs")
     links = stored(verified(pairs, needed), "links")
-    free_shuffles(docs.sparkSession)
-    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    for round_ in ("likeliest", "all"):
-        placed = large.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    free_shuffles(spark)
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    open_ = members
+    for likeliest in (True, False):
+        placed = _placed(open_, roots)
         several = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
-        large = stored(placed.join(several, "bucket", "left_semi").select("bucket", "sid"), "open")
-        if not large.count():
+        open_ = stored(placed.join(several, "bucket", "left_semi"), "open")
+        work = open_.agg(F.sum("m")).first()[0]  # pairs at most, twice
+        if work is None:
             break
-        rows = large if round_ == "all" else two_each(large, 2)
-        rows = rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        more = stored(candidates(dealt(rows, points, round_ == "all"), round_).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if likeliest and work <= SEARCH_AT_ONCE:
+            open_ = open_.drop("comp")
+            continue
+        more = stored(candidates(open_, points, likeliest).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(more, needed), "links")
-        free_shuffles(docs.sparkSession)
-        pairs, links = pairs.unionByName(more), links.unionByName(found)
+        free_shuffles(spark)
+        pairs, links, open_ = pairs.unionByName(more), links.unionByName(found), open_.drop("comp")
         if found.count():
-            roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    rooted = classes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named_root = stored(rooted.join(least, "root").select("sid", "component"), "component-of")
-    out = signed.select("id", "n", "sid").join(named_root, "sid", "left")
+            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = _placed(classes.select("sid", "rep"), roots)
+    least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("sid", "component")
+    out = signed.select("id", "n", "sid").join(least, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; of rows that repeat an id one stays, rows with a null id all do."""
     found = similarity_components(docs, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("__id")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    gone = stored(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id")).distinct(), "gone")
+    gone = few_rows(gone, gone.count())
+    kept = docs.join(gone, F.col(id_col).cast("long") == gone["id"], "left_anti")
     twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
     if twice.isEmpty():
         return kept

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,16 +12,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+#: Rows of two longs that may be broadcast, 16 MB.
+BROADCAST_ROWS = 1_000_000
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, a temporary one serves a driver that
+    runs its tasks itself; on a cluster it is an error, as executors wouldn't see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lociframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +49,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(df: DataFrame, n: int) -> DataFrame:
+    """df, of n rows of two longs at most, marked for broadcast if it is small enough for that."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver has collected the plans that made them; ask for that between
     steps whose results are stored, so that the disk holds the shuffles of one step and not of all."""

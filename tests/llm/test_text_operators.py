@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lociframe.llm import ann, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
+from lociframe.llm import ann, components, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
 from lociframe.llm.shared import word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,10 +97,12 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize(("pivot", "block"), [(8, 4096), (2, 20)])
-def test_jaccard_join(docs, none, monkeypatch, pivot, block):
-    monkeypatch.setattr(jaccard_join, "PIVOT_OVER", pivot)
+@pytest.mark.parametrize(("often", "block", "at_once", "edges"), [(200, 4096, 2_000_000, 1_000_000), (8, 5, 0, 7)])
+def test_jaccard_join(docs, none, monkeypatch, often, block, at_once, edges):
+    monkeypatch.setattr(jaccard_join, "OFTEN_ONE_IN", often)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "SEARCH_AT_ONCE", at_once)
+    monkeypatch.setattr(components, "EDGES_A_TASK", edges)
     rows = pairs(docs)
 
     def shingles(t):
@@ -124,7 +126,7 @@ def test_jaccard_join(docs, none, monkeypatch, pivot, block):
     found = jaccard_join.similarity_components(docs)
     assert sorted((tuple(r) for r in found.collect()), key=repr) == want
     assert len({w[2] for w in want}) < len(want) - 10
-    if pivot == 8:
+    if often == 200:
         assert jaccard_join.similarity_components(none).count() == 0
         kept = [r.doc_id for r in jaccard_join.one_of_each(docs).select("doc_id").collect()]
         assert sorted(kept, key=repr) == sorted([i for i in root if find(i) == i] + [None], key=repr)
@@ -137,6 +139,42 @@ def test_jaccard_join_with_a_null_id_first(spark):
     assert found == {(None, None), (1, 1), (2, 1)}
 
 
+def test_linked_sets_share_a_bucket():
+    """Of sets that link, those of too few groups apart, all share a key; whichever tokens count as frequent."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [*range(1, 40), *range(40, 900, 43)]:
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for _ in range(12):
+            out, new = rng.integers(0, n // 7 + 1), rng.integers(0, n // 7 + 1)
+            sets.append(np.unique(np.concatenate((rng.permutation(base)[out:], rng.integers(0, 1 << 63, new, dtype=np.uint64)))))
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    for share in (0, 0.1, 0.5):
+        flat = np.concatenate(sets)
+        often = np.unique(flat[rng.random(len(flat)) < share])
+        of, keys, poor = jaccard_join.group_keys(flat, starts, often)
+        own = [set(keys[of == k].tolist()) for k in range(len(sets))]
+        linked = 0
+        for k in range(len(sets)):
+            for j in range(k - k % 12, k):
+                both = len(np.intersect1d(sets[k], sets[j]))
+                if 9 * both >= 4 * (len(sets[k]) + len(sets[j])) and not np.array_equal(sets[k], sets[j]):
+                    linked += 1
+                    assert own[k] & own[j] or (poor[k] and poor[j])
+        assert linked > 300 and (share or poor.mean() < 0.2)
+
+
+def test_least_labels():
+    rng = np.random.default_rng(9)
+    u, v = rng.integers(0, 400, 250), rng.integers(0, 400, 250)
+    nodes, roots = components.least_labels(u, v)
+    want = {int(x): int(x) for x in nodes}
+    for _ in range(len(want)):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            want[a] = want[b] = min(want[a], want[b])
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == want
+
+
 def test_tree_pairs_against_all_pairs():
     rng = np.random.default_rng(0)
     base = rng.poisson(3, (40, jaccard_join.GROUPS))
