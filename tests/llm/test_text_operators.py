@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from lociframe.llm import ann, components, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
-from lociframe.llm.shared import word_spans
+from lociframe.llm.shared import mix, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -144,10 +144,10 @@ def test_linked_sets_share_a_bucket():
     rng = np.random.default_rng(5)
     sets = []
     for n in [*range(1, 40), *range(40, 900, 43)]:
-        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        base = mix(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         for _ in range(12):
             out, new = rng.integers(0, n // 7 + 1), rng.integers(0, n // 7 + 1)
-            sets.append(np.unique(np.concatenate((rng.permutation(base)[out:], rng.integers(0, 1 << 63, new, dtype=np.uint64)))))
+            sets.append(np.unique(np.concatenate((rng.permutation(base)[out:], mix(rng.integers(0, 1 << 63, new, dtype=np.uint64))))))
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     for share in (0, 0.1, 0.5):
         flat = np.concatenate(sets)
