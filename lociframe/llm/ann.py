@@ -4,13 +4,16 @@ Distinct vectors are scaled to length 1, so cosine order is Euclidean order. Eac
 vector by floor((a x + b) / w) for Gaussian a. A query visits its own bucket and the perturbed buckets of
 every table in the order of their estimated chance of success (the squared distance to the cell borders
 crossed); in a bucket, queries meet its vectors in blocks, and only the nearest few of each leave it.
-The few of all tables are merged and reranked by exact double precision cosine.
+The few of all tables are merged and reranked by one double precision cosine a pair, which doesn't hang on
+the block that a pair met in.
 
 Copies of a vector are hashed once: a class of equal vectors keeps its smallest ids, as many as can be
 answers. Buckets over MAX_BUCKET vectors are dealt out in blocks, so none is cut. Null and zero vectors and
-such with null or non-finite components take no part; ties go to the smaller id; rows that repeat an id
+such with null or non-finite components take no part; vectors of any finite size are scaled by a power of
+two, which is exact, before they are multiplied; ties go to the smaller id; rows that repeat an id
 with another vector are vectors of their own; extra columns are not read; an empty table gives no row.
-A query with fewer answers than asked is searched among all vectors.
+A query with fewer answers than asked is searched among all vectors; vectors of another length are another
+space, so it may then still have fewer.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ WIDTH = 1.2
 PROBES = 60
 MAX_BUCKET = 8192
 SEED = 11
+#: Classes that leave a bucket beside those asked for, as block products round otherwise than the final score.
+SPARE = 3
 
 
 def usable(vector: Column) -> Column:
@@ -77,10 +82,23 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in column.to_numpy(zero_copy_only=False)]) if len(column) else np.zeros((0, 1))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component to between 0.5 and 1, so that squares stay finite."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x with that of y, whatever other rows there are."""
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+    return dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+
+
 def _packed(distinct: DataFrame) -> DataFrame:
+    """class, ids and vec: the scaled components as bytes."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            vec = [np.asarray(v, np.float64).tobytes() for v in batch.column("vec").to_numpy(zero_copy_only=False)]
+            vec = [scaled(np.asarray(v, np.float64)).tobytes() for v in batch.column("vec").to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_pydict({"class": batch.column("class"), "ids": batch.column("ids"), "vec": pa.array(vec, pa.binary())})
 
     return distinct.select("class", "ids", "vec").mapInArrow(run, "class long, ids array<long>, vec binary")
@@ -98,7 +116,7 @@ def _placed(packed: DataFrame, n_probes: int) -> DataFrame:
                     pick = np.flatnonzero(np.array(sizes) == size)
                     some = own.take(pa.array(pick))
                     x = _stack(some.column("vec"))
-                    x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     for t in range(TABLES):
                         found = probes(*hash_cells(x, t), n_probes)
                         row = np.repeat(np.arange(len(x)), found.shape[1])
@@ -130,6 +148,7 @@ def _nearest(keep: int):
 
 
 def _joined(queries: DataFrame, rows: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # both may come from one frame; names of its own keep them apart
     found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_nearest(keep), "query long, class long, score double")
     return found.groupBy("query", "class").agg(F.max("score").alias("score"))
 
@@ -143,8 +162,22 @@ def exhaustive(queries: DataFrame, packed: DataFrame, keep: int) -> DataFrame:
 
 
 def _answers(hits: DataFrame, asked: DataFrame, packed: DataFrame, keep: int, k: int) -> DataFrame:
+    """The k nearest rows of each asked row, of hits (query, class, score), of which the keep best a query are reranked."""
+
+    def rerank(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if len(batch):
+                x, y = ([np.frombuffer(v) for v in batch.column(c).to_pylist()] for c in ("qvec", "vec"))
+                score = np.empty(len(batch))
+                for size in {len(v) for v in x}:
+                    of = [i for i, v in enumerate(x) if len(v) == size]
+                    score[of] = cosines(np.stack([x[i] for i in of]), np.stack([y[i] for i in of]))
+                yield pa.RecordBatch.from_pydict({"query": batch.column("query"), "ids": batch.column("ids"), "score": score})
+
     top = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("nth") <= keep)
-    pairs = top.join(packed.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
+    of = packed.select(F.col("class").alias("query"), F.col("vec").alias("qvec"))
+    met = top.select("query", "class").join(packed, "class").join(of, "query").select("query", "qvec", "vec", "ids")
+    pairs = met.mapInArrow(rerank, "query long, ids array<long>, score double").select("query", "score", F.explode("ids").alias("vec_id"))
     pairs = asked.select(F.col("class").alias("query"), F.col("id").alias("query_id")).join(pairs, "query").where("query_id != vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -152,10 +185,10 @@ def _answers(hits: DataFrame, asked: DataFrame, packed: DataFrame, keep: int, k:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", n_probes: int = PROBES, exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): for each row of is_query, its k nearest found among the other rows."""
-    keep = k + 1  # the query's own class may be one
+    keep = k + 1 + SPARE  # the query's own class may be one
     distinct, rows = classes(vectors, id_col, vec_col, k)
     distinct = stored(distinct, "ann-classes")
-    packed = _packed(distinct)
+    packed = stored(_packed(distinct), "ann-vectors")
     queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
     asked = stored(rows.join(queries, "id").join(distinct.select("k1", "k2", "class"), ["k1", "k2"]).select("id", "class").distinct(), "ann-queries")
     probing = packed.join(asked.select("class").distinct(), "class", "left_semi")
