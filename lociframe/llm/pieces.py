@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .shared import spread, text_blocks
 from .word_cache import WordTable, span_strings
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ids": lists})
 
-    return step.mapInArrow(run, docs.select(*carry).schema.add("ids", "array<int>"))
+    return step.mapInArrow(run, docs.select(*carry).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
