@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Rows of two longs that may be broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
 SEPARATORS = np.zeros(256, bool)
