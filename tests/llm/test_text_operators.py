@@ -330,15 +330,53 @@ def test_language(spark, none):
     assert language_id.fit(none) is None and language_id.identify(test, None).first().lang_pred == "und"
 
 
-def test_code_lengths_are_a_probability():
-    lang = np.array(["a"] * 3)
-    pack = lambda s: int.from_bytes(s, "big")
-    model = language_id.build(lang, np.array([pack(b"   a"), pack(b"  ab"), pack(b" aba")]), np.array([3, 2, 1]))
-    data = np.frombuffer(b"ab", np.uint8)
-    bits, size = model.lengths(data, np.array([0, 2]))
-    # after three separators: a 3/4; b 2/3; then the separator, which escapes from 'ab' (1/2) and its suffixes
-    assert size.tolist() == [3] and bits[0, 0] > -np.log2(0.75 * 2 / 3)
-    assert np.all(model.bits >= 0)
+def mapped(text):
+    """Bytes as the trees see them: lower case, all ASCII but letters one separator."""
+    return bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+
+
+def brute_bits(train, text):
+    """The code length of text after the training texts, by counting every context afresh: orders 3 to 0, escape C, then 8 bits."""
+    seen = defaultdict(Counter)
+    for t in train:
+        data = b"   " + mapped(t) + b" "
+        for i in range(3, len(data)):
+            for k in range(4):
+                seen[data[i - k : i]][data[i]] += 1
+    data, bits = b"   " + mapped(text) + b" ", 0.0
+    for i in range(3, len(data)):
+        for k in (3, 2, 1, 0):
+            c = seen.get(data[i - k : i])
+            if c and data[i] in c:
+                bits += np.log2((sum(c.values()) + len(c)) / c[data[i]])
+                break
+            if c:
+                bits += np.log2((sum(c.values()) + len(c)) / len(c))
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEP", 11)
+    rnd = random.Random(12)
+    letters = {f"l{k}": "abcdefgh é日ж."[k : k + 6] for k in range(5)}
+    train = {lang: ["".join(rnd.choice(of) for _ in range(rnd.randint(0, 40))) for _ in range(6)] for lang, of in letters.items()}
+    model = language_id.fit(spark.createDataFrame([(t, lang) for lang, ts in train.items() for t in ts], "text string, lang string"))
+    texts = ["".join(rnd.choice("abcdefgh é日жx") for _ in range(n)) for n in (0, 1, 2, 3, 17, 60)]
+    data = b"".join(t.encode() for t in texts)
+    bits, size = model.lengths(np.frombuffer(data, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]]))
+    assert size.tolist() == [len(t.encode()) + 1 for t in texts]
+    for k, t in enumerate(texts):
+        assert bits[k] == pytest.approx([brute_bits(train[lang], t) for lang in model.languages], rel=1e-5), t
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(0x4E00 + k)} " * 5, f"l{k:03}") for k in range(260)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_docs=1)
+    assert len(model.languages) == 260
+    assert language_id.identify(docs, model, carry=("lang",)).where("lang = lang_pred").count() == 260
 
 
 def test_quality_classifier(spark, none):
