@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import few_rows, free_shuffles, lower_ascii, mix, shingle_hashes, stored, text_blocks, word_hashes, word_spans
+from .shared import few_rows, free_shuffles, lower_ascii, mix, shingle_hashes, short_batches, stored, text_blocks, word_hashes, word_spans
 
 GROUPS = 256
 CEILING = 255
@@ -422,6 +422,7 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n_docs = docs.count()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .shared import short_batches
 from .tokens import lower_word_encoder
 
 CAPACITY = 2048
@@ -106,6 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """A row for each piece: id, start, length, ids (its tokens), doc_tokens, sequence_id, offset.
 
     sequence_id holds the partition's number in its high bits, so tasks need not agree on a counter."""
+    short_batches(docs.sparkSession)
     step = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), F.spark_partition_id().alias("__part"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

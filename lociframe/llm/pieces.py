@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import spread, text_blocks
+from .shared import short_batches, spread, text_blocks
 from .word_cache import WordTable, span_strings
 
 MARK = "▁"
@@ -213,6 +213,7 @@ def _slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Recor
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to carry and ids, an array of the text's ids with begin and end."""
+    short_batches(docs.sparkSession)
     step = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to carry and text, decoded from the array of ids (null ids: null)."""
+    short_batches(encoded.sparkSession)
     step = encoded.select(*carry, F.col(ids_col).alias("__ids"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +246,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 of every
     row, encoding and decoding in one pass so that ids never leave the task."""
+    short_batches(docs.sparkSession)
     step = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

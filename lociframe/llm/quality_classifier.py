@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, text_blocks, word_hashes, word_spans
+from .shared import lower_ascii, short_batches, text_blocks, word_hashes, word_spans
 
 MAX_TRAIN = 20_000
 N_FEATURES = 256
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of the given labels (rows of null label or id are left out; a document's conflicting labels vote).
 
     labels must hold the rows to learn from only. A hash of the id keeps about max_train of them."""
+    short_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null")
     n = marks.count()
     share = min(1.0, max_train / max(n, 1))
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """id, the columns to carry, and the score (0 to 1) of every row, in the column out, which no carried column may be."""
+    short_batches(docs.sparkSession)
     kept = list(dict.fromkeys([id_col, *carry]))
     step = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
     if model is None:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 512 << 10
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 1000
 #: Rows of two longs that may be broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
 SEPARATORS = np.zeros(256, bool)
@@ -49,6 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of TEXT_ROWS rows, unless the session says otherwise: batches are buffered whole on both sides of
+    a Python worker, and Spark's usual 10,000 rows of text, or of pairs of long ones, take hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def few_rows(df: DataFrame, n: int) -> DataFrame:
     """df, of n rows of two longs at most, marked for broadcast if it is small enough for that."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df

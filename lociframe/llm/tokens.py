@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, text_blocks, word_spans
+from .shared import lower_ascii, short_batches, text_blocks, word_spans
 from .word_cache import WordTable, span_strings
 
 #: Marks that these vocabularies' pre-tokenisers always part from a letter before them, if white space follows.
@@ -86,6 +86,7 @@ def rank_encoder(path: str, pattern: str):
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns to carry and n_tokens of every row."""
+    short_batches(docs.sparkSession)
     step = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

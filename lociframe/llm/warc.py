@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import short_batches
+
 #: The field names of an ARC record's header line by the file's version, in order (fixed values of the format).
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -112,6 +114,7 @@ def archives(pages: DataFrame, key_col: str, url_col: str, html_col: str, versio
                 keys, urls, htmls = (c.to_pylist() for c in batch.slice(low, ROWS_PER_ARCHIVE).columns)
                 yield pa.RecordBatch.from_pydict({"content": [write_arc(((k, u, (h or "").encode()) for k, u, h in zip(keys, urls, htmls, strict=True)), version)]})
 
+    short_batches(pages.sparkSession)
     return pages.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate((key_col, url_col, html_col))]).mapInArrow(run, "content binary")
 
 
