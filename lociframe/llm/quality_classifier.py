@@ -24,6 +24,8 @@ N_FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1e-2
 BINS = 400
+#: Tasks among which the labelled rows are dealt, whatever the session's number of shuffle partitions.
+FIT_TASKS = 8
 #: Byte classes of the statistics: upper, lower, digit, white space, bar, shout, symbol, other ASCII, lead byte, continuation.
 _CLASS = np.full(256, 7, np.uint8)
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\n\v\f\r", "|", "!", "#*$%&<>@^~_=+\\/{}[]")):
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cols = {"id": batch.column("id").slice(low, high - low).cast(pa.string()), "y": batch.column("y").slice(low, high - low), "x": pa.array(list(x), pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(cols)
 
-    measured = train.mapInArrow(measure, "id string, y double, x array<double>").repartition(8, "id").persist()
+    measured = train.mapInArrow(measure, "id string, y double, x array<double>").repartition(FIT_TASKS, "id").coalesce(FIT_TASKS).persist()
     try:
         means = [f(F.col("x")[k]).alias(f"{f.__name__}{k}") for f in (F.avg, F.stddev_pop) for k in range(N_STATISTICS)]
         first = measured.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), *means).first()
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"a": [a.tobytes()]})
 
         fitted = measured.where(~held) if first["n"] >= 50 else measured
-        sums = fitted.select("x", "y").mapInArrow(equations, "a binary").collect()  # one fixed-size sum from each of 8 partitions
+        sums = fitted.select("x", "y").mapInArrow(equations, "a binary").collect()  # one sum of half a MB from each of FIT_TASKS tasks
         a = sum(np.frombuffer(r.a).reshape(N_FEATURES + 1, N_FEATURES + 2) for r in sums)
         size = max(first["n"], 1)
         model.ridge = np.linalg.solve(a[:, :-1] + RIDGE * size / 100 * np.diag(np.append(np.ones(N_FEATURES), 1e-6)), a[:, -1])
