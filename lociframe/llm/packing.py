@@ -3,11 +3,13 @@
 Each task packs the documents of its partition as they come. Full windows are cut off a document first;
 the rest goes to the fill level h, or into a new window (h = 0), for which the sum of the squared counts
 of partially filled windows grows least, that is where N(h + s) - N(h) is smallest (ties to the fullest
-window). A level array counts and holds the open windows. At the end of a partition the open windows are
-poured into one another, fullest first, and the last one is cut at powers of two, which need no padding.
+window). A level array counts and holds the open windows. At the end of a partition the gaps of the fuller
+open windows are filled with the contents of the emptiest ones, cut where a gap ends, so only as many tokens
+move as the gaps hold; the one window left over is cut at powers of two, which need no padding.
 
-A null text is an empty document of the end id alone. Repeated rows are packed as often as they occur;
-null ids and extra columns pass through; an empty table gives no piece.
+A null text is an empty document of the end id alone. A very long text fills windows of its own but for its
+rest. Repeated rows are packed as often as they occur; null ids and extra columns pass through; an empty
+table gives no piece.
 """
 
 from __future__ import annotations
@@ -80,20 +82,38 @@ def pack_partition(sizes: Iterator[int], capacity: int = CAPACITY) -> Iterator[t
             yield from _closed(held.pop(window), window)
         else:
             levels.put(window, level + size)
-    # pour the open windows together, fullest first
-    rest = [held[w] for level in range(capacity, 0, -1) for w in levels.open[level]]
-    pieces = [p for window in rest for p in window]
-    total = sum(p[2] for p in pieces)
-    targets = [capacity] * (total // capacity) + powers_of_two(total % capacity)
-    fill, room = [], targets.pop(0) if targets else 0
-    for doc, start, size in pieces:
-        while size:
+    yield from _level_out([(w, held[w]) for level in range(capacity, 0, -1) for w in levels.open[level]], windows, capacity)
+
+
+def _level_out(rest: list[tuple[int, list]], windows: int, capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The open windows, fullest first: gaps filled from the emptiest, the last one cut at powers of two into new windows."""
+    i, j = 0, len(rest) - 1
+    while i < j:
+        window, pieces = rest[i]
+        room = capacity - sum(p[2] for p in pieces)
+        while room and i < j:
+            doc, start, size = rest[j][1].pop()
             n = min(size, room)
-            fill.append((doc, start, n))
-            start, size, room = start + n, size - n, room - n
-            if not room:
-                yield from _closed(fill, windows)
-                fill, windows, room = [], windows + 1, targets.pop(0) if targets else 0
+            if n < size:
+                rest[j][1].append((doc, start, size - n))
+            pieces.append((doc, start + size - n, n))
+            room -= n
+            j -= not rest[j][1]
+        if not room:
+            yield from _closed(pieces, window)
+            i += 1
+    if i == j:
+        pieces = rest[i][1]
+        targets = powers_of_two(sum(p[2] for p in pieces))
+        fill, room = [], targets.pop(0)
+        for doc, start, size in pieces:
+            while size:
+                n = min(size, room)
+                fill.append((doc, start, n))
+                start, size, room = start + n, size - n, room - n
+                if not room:
+                    yield from _closed(fill, windows)
+                    fill, windows, room = [], windows + 1, targets.pop(0) if targets else 0
 
 
 def _closed(pieces: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, int, int, int, int]]:

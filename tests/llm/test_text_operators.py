@@ -242,6 +242,50 @@ def test_level_choice_grows_squares_least():
         assert squares(levels.place(size)) == min(map(squares, options))
 
 
+def brute_squares(sizes, capacity):
+    """The windows that the squares rule makes, as lists of (document, start, length), closed ones and those left open."""
+    closed, windows = [], []  # open windows in the order of their last change
+    for doc, n in enumerate(sizes):
+        start = 0
+        while n - start >= capacity:
+            closed.append([(doc, start, capacity)])
+            start += capacity
+        if n == start:
+            continue
+        fills = Counter(sum(p[2] for p in w) for w in windows)
+
+        def squares(h, size=n - start, fills=fills):
+            after = fills.copy()
+            after[h] -= h > 0
+            if h + size < capacity:
+                after[h + size] += 1
+            return sum(x * x for x in after.values())
+
+        level = min([h for h in fills if h + n - start <= capacity] + [0], key=lambda h: (squares(h), -h))
+        own = next((w for w in reversed(windows) if level and sum(p[2] for p in w) == level), [])
+        windows = [w for w in windows if w is not own]
+        own.append((doc, start, n - start))
+        (closed if level + n - start == capacity else windows).append(own)
+    return closed, windows
+
+
+def test_packing_follows_the_squares():
+    """Windows that fill up are those of the rule; at the end only what the gaps of open windows hold moves."""
+    rng = np.random.default_rng(21)
+    sizes = np.minimum(rng.geometric(0.12, 400), 40).tolist()
+    made = defaultdict(list)
+    for doc, start, n, window, offset in packing.pack_partition(iter(sizes), 16):
+        made[window].append((offset, doc, start, n))
+    closed, left = brute_squares(sizes, 16)
+    found = sorted(sorted(p[1:] for p in w) for w in made.values())
+    assert all(w in found for w in (sorted(w) for w in closed)) and len(closed) > 200
+    stays = sum(p in w2 for w in left for p in w for w2 in found)
+    gaps = sum(16 - sum(p[2] for p in w) for w in left)
+    assert sum(len(w) for w in left) - stays <= gaps
+    fills = [sum(p[2] for p in w) for w in found]
+    assert sum(fills) == sum(sizes) and sum(f < 16 for f in fills) <= 4 and all(f == 16 or f & (f - 1) == 0 for f in fills)
+
+
 def test_pieces_match_the_library(docs, none):
     import sentencepiece
 
@@ -304,6 +348,31 @@ def test_arc_stops_at_a_broken_record():
     assert [r["block"][-3:] for r in warc.read_arc(data)] == [b"abc", b"efg"] and len(list(warc.read_arc(data[:-1]))) == 1 and list(warc.read_arc(b"")) == []
 
 
+def test_arc_with_broken_headers():
+    data = warc.write_arc(iter([("1", "http://a", b"abc"), ("2", "http://b", b"defg")]))
+    cut = data.index(b"\nhttp://b")
+    keys = lambda d: [r["URL"] for r in warc.read_arc(d)]
+    assert keys(data) == ["http://a", "http://b"]
+    for bad in (b"\nhttp://x 0.0.0.0", b"\nhttp://x 0.0.0.0 20240101 text/html many", b"\nhttp://x 0.0.0.0 soon text/html 3", b"\n\r\n\xff\xfe"):
+        assert keys(data[:cut] + bad + data[cut:]) == ["http://a", "http://b"]
+    assert keys(data.replace(b"1 0 lociframe", b"v 0 lociframe")) == ["http://a", "http://b"]
+    for junk in (b"junk", b"\x00" * 50, b"filedesc://x 0 0 0 none\n1 0 x\n", b"filedesc://x\n", b"\n\n"):
+        assert keys(junk) == []
+
+
+def test_warc_parts_of_any_size():
+    rows = [{"record_id": f"urn:{k}", "url": "u", "date": "d", "http_head": b"h", "payload": bytes([65 + k]) * 50 * k, "payload_bytes": 50 * k, "payload_digest": "x", "refers_to": None, "refers_to_url": None, "refers_to_date": None} for k in range(9)]
+    import gzip
+
+    data = b"".join(gzip.compress(warc._warc(r).encode() + b"\n") for r in rows)
+    assert b"".join(warc.inflated(data)) == gzip.decompress(data)
+    for size in (1, 7, 1000):
+        plain = gzip.decompress(data)
+        found = list(warc.parse_warc(plain[k : k + size] for k in range(0, len(plain), size)))
+        assert [(h["WARC-Record-ID"], b.partition(b"\r\n\r\n")[2]) for h, b in found] == [(f"<{r['record_id']}>", r["payload"]) for r in rows]
+    assert len(list(warc.parse_warc(warc.inflated(data[:-20])))) == 8
+
+
 def test_binary_payloads(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe"
     data = warc.write_arc(iter([])) + b"\nhttp://x 0.0.0.0 2001020304 a/b %d\n" % len(block) + block
