@@ -7,16 +7,18 @@ digests. Records with equal payloads become one response, the one with the small
 of it; keys that are null come after all others, and rows that repeat the smallest key are responses too.
 
 Null payloads are empty ones, null addresses 'urn:none'. Extra columns are not read. An empty table
-gives no record. A record that its declared length breaks off ends the file it is in.
+gives no record. Very long payloads are one record each, held whole by the task that has it. In an ARC file, a
+line that is no header (too few fields, no number for a date or a length) is skipped up to the next that is,
+a record that its declared length breaks off ends the file, and bytes without a version block hold no record.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -35,7 +37,9 @@ DEFAULT_DATE = "20240101000000"
 KEY_HEADER = "X-Archive-Key"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS_PER_ARCHIVE = 256
-RECORDS_PER_FILE = 4000
+RECORDS_PER_FILE = 1000
+#: Bytes that are decompressed at a time.
+STEP = 1 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 RECORD = "record_id string, key string, url string, date string, http_head binary, payload binary, payload_bytes long, payload_digest string"
@@ -65,28 +69,27 @@ def write_arc(rows: Iterator[tuple[str | None, str | None, bytes]], version: int
 
 def read_arc(data: bytes) -> Iterator[dict]:
     """Each record's header fields by name and its block, under 'block'."""
-    end = data.find(b"\n")
-    if end < 0:
+    first, _, rest = data.partition(b"\n")
+    length = first.rsplit(b" ", 1)[-1]
+    if not first.startswith(b"filedesc:") or not length.isdigit():
         return
-    length = int(data[:end].rsplit(b" ", 1)[1])
-    about = data[end + 1 : end + 1 + length].split(b"\n")
-    names = ARC_FIELDS.get(int(about[0].split(b" ")[0]), ARC_FIELDS[1])
-    if len(about) > 1 and about[1].strip():
-        names = tuple(about[1].decode().split())
-    at = end + 1 + length
-    while at < len(data):
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        end = data.find(b"\n", at)
-        if end < 0:
-            return
-        values = data[at:end].decode("utf-8", "replace").split(" ")
-        head = dict(zip(names, [" ".join(values[: len(values) - len(names) + 1]), *values[len(values) - len(names) + 1 :]], strict=False))
+    about = rest[: int(length)].decode("utf-8", "replace").split("\n")
+    version, names = about[0].split(" ")[0], tuple("".join(about[1:2]).split())
+    if not {"URL", "Archive-date"} < set(names) or names[-1] != "Archive-length":
+        names = ARC_FIELDS.get(int(version) if version.isdigit() else 1, ARC_FIELDS[1])
+    at = len(first) + 1 + int(length)
+    while (end := data.find(b"\n", at)) >= 0:
+        values = data[at:end].decode("utf-8", "replace").strip("\r").split(" ")
+        at = end + 1
+        spare = len(values) - len(names)  # spaces in the address
+        head = dict(zip(names, [" ".join(values[: spare + 1]), *values[spare + 1 :]], strict=True)) if spare >= 0 else {}
+        if not (head and head["Archive-length"].isdigit() and re.fullmatch(r"\d{8,14}", head["Archive-date"])):
+            continue
         length = int(head["Archive-length"])
-        if end + 1 + length > len(data):
+        if at + length > len(data):
             return
-        yield head | {"block": data[end + 1 : end + 1 + length]}
-        at = end + 1 + length
+        yield head | {"block": data[at : at + length]}
+        at += length
 
 
 def _head_value(head: bytes, name: str) -> str | None:
@@ -139,17 +142,18 @@ def convert(files: DataFrame, content_col: str = "content", payloads: bool = Tru
 
 
 def with_revisits(records: DataFrame, known: DataFrame | None = None, key_type: str = "bigint") -> DataFrame:
-    """records with refers_to: the record id of the response that a revisit refers to, else null.
+    """records with refers_to, refers_to_url and refers_to_date: of the response that a revisit refers to, else null.
 
     known may hold the same records without payloads, where these are cheaper to make.
 
     Equal payloads are known by digest and length. Only ids and digests are shuffled to find them, and
     one row a digest comes from each task, so a payload that fills the table makes no hot task."""
-    slim = (records if known is None else known).select("record_id", F.col("key").cast(key_type).alias("k"), "payload_digest", "payload_bytes")
-    order = F.struct(F.col("k").isNull().alias("no"), "k", "record_id")
+    slim = (records if known is None else known).select("record_id", F.col("key").cast(key_type).alias("k"), "url", "date", "payload_digest", "payload_bytes")
+    order = F.struct(F.col("k").isNull().alias("no"), "k", "record_id", "url", "date")
     first = slim.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first != last").drop("last")
     again = slim.join(first, ["payload_digest", "payload_bytes"]).where("not (k <=> first.k)")
-    again = again.groupBy("record_id").agg(F.min("first.record_id").alias("refers_to"))  # repeated rows share a record id
+    again = again.groupBy("record_id").agg(F.min("first").alias("first"))  # repeated rows share a record id
+    again = again.select("record_id", F.col("first.record_id").alias("refers_to"), F.col("first.url").alias("refers_to_url"), F.col("first.date").alias("refers_to_date"))
     return records.join(again, "record_id", "left")
 
 
@@ -163,7 +167,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
             for low in range(0, len(batch), 256):
                 yield pa.RecordBatch.from_pydict({"value": pa.array([_warc(r) for r in batch.slice(low, 256).to_pylist()], pa.string())})
 
-    done = records.select("record_id", "url", "date", "http_head", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "value string")
+    done = records.select("record_id", "url", "date", "http_head", "payload", "payload_bytes", "payload_digest", "refers_to", "refers_to_url", "refers_to_date").mapInArrow(run, "value string")
     # a record ends with CR LF CR LF; the last LF is the text sink's line separator
     done.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -176,7 +180,7 @@ def _warc(r: dict) -> str:
         f"WARC-Payload-Digest: sha1:{r['payload_digest']}", f"X-Payload-Length: {r['payload_bytes']}", "Content-Type: application/http;msgtype=response",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{r['refers_to']}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{r['refers_to']}>", f"WARC-Refers-To-Target-URI: {r['refers_to_url']}", f"WARC-Refers-To-Date: {r['refers_to_date']}"]
     try:
         text = block.decode()
     except UnicodeDecodeError:
@@ -186,14 +190,39 @@ def _warc(r: dict) -> str:
     return "\r\n".join([*lines, f"Content-Length: {size}", "", ""]) + text + "\r\n\r"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Each record's header and block."""
-    at = 0
-    while (begin := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", begin)
-        head = dict(line.split(": ", 1) for line in data[begin:end].decode().split("\r\n")[1:])
-        at = end + 4 + int(head["Content-Length"])
-        block = data[end + 4 : at]
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members that follow one another, STEP bytes at a time; a member that breaks off ends them."""
+    while data:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            out = member.decompress(data, STEP)
+            data = member.unconsumed_tail
+            if not (out or data or member.eof):
+                return
+            yield out
+        data = member.unused_data
+
+
+def parse_warc(parts: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Each record's header and block; what is held is one record and one part."""
+    held = bytearray()
+
+    def find(what: bytes, at: int) -> int:
+        while (found := held.find(what, at)) < 0:
+            if (more := next(parts, None)) is None:
+                return -1
+            held.extend(more)
+        return found
+
+    while (begin := find(b"WARC/1.", 0)) >= 0 and (end := find(b"\r\n\r\n", begin)) >= 0:
+        head = dict(line.split(": ", 1) for line in held[begin:end].decode().split("\r\n")[1:])
+        last = end + 4 + int(head["Content-Length"])
+        while len(held) < last:
+            if (more := next(parts, None)) is None:
+                return
+            held.extend(more)
+        block = bytes(held[end + 4 : last])
+        del held[:last]
         yield head, base64.b64decode(block) if head.get("X-Block-Encoding") == "base64" else block
 
 
@@ -216,7 +245,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in it:
             for content in batch.column(0):
                 rows = []
-                for head, block in parse_warc(gzip.decompress(content.as_py())):
+                for head, block in parse_warc(inflated(content.as_py())):
                     rows.append(row(head, block))
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
