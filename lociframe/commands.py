@@ -201,11 +201,114 @@ def run_qc(data: Dataset, mito_prefix: str = "mt-") -> DataFrame:
     return summaries.qc_metrics(data.counts.join(mito, "feature_id", "left"), data.cells, F.coalesce("mito", F.lit(False)))
 
 
+def filtered(data: Dataset, mito_prefix: str = "mt-") -> DataFrame:
+    """The counts of the cells and features that the settings let through: thresholds of the QC step, then min_cells."""
+    s = data.settings
+    kept = summaries.qc_filter(run_qc(data, mito_prefix), int(s["min_features"]), s["min_total"], s["max_mito_pct"])
+    counts = data.counts.join(kept.select("cell_id"), "cell_id", "left_semi")
+    wide = matrix.filter_axis_min_entries(counts, "feature_id", int(s["min_cells"]))
+    return counts.join(wide.select("feature_id"), "feature_id", "left_semi")
+
+
+@action()
+def filter_cells(data: Dataset, mito_prefix: str = "mt-") -> DataFrame:
+    """What the settings leave of the counts, by cell."""
+    return matrix.axis_sums(filtered(data, mito_prefix), "cell_id")
+
+
 @action()
 def normalize(data: Dataset) -> DataFrame:
     return matrix.log_normalize(data.counts)
 
 
+def variable_features(data: Dataset, counts: DataFrame, most: int = 300_000_000) -> DataFrame:
+    """The settings' number of variable features of counts, fewer where their entries would be too many."""
+    n_cells = counts.select("cell_id").distinct().count()
+    top = matrix.highly_variable(counts, n_cells, int(data.settings["n_top"]))
+    nnz = counts.join(top.select("feature_id"), "feature_id", "left_semi").count()
+    return top.limit(matrix.memory_capped_top(int(data.settings["n_top"]), nnz, most))
+
+
+@action()
+def run_pca(data: Dataset) -> DataFrame:
+    """cell_id, vec: the settings' number of components of the filtered, normalised, variable features."""
+    from .operators import algebra
+
+    rows = matrix.log_normalize(filtered(data))
+    top = variable_features(data, rows).select("feature_id")
+    return algebra.embed(rows.join(top, "feature_id", "left_semi"), data.n_cells(), data.features.count(), k=int(data.settings["n_components"]), center=True)[0]
+
+
+@action()
+def run_umap(data: Dataset) -> DataFrame:
+    """cell_id, x, y: the first two components of the embedding. The layout of the reference is a third party's; this one
+    stands in for it, so min_dist has no effect."""
+    return data.embedding.select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+
+
+@action("gene")
+def gene_info(data: Dataset, gene: str) -> DataFrame:
+    """One row: the feature, its cells, total and mean over the cells that express it."""
+    own = data.counts.where(F.col("feature_id") == data.feature(gene))
+    return own.agg(F.first("feature_id").alias("feature_id"), F.count_if(F.col("value") > 0).alias("n_cells"), F.sum("value").alias("total"), F.avg(F.when(F.col("value") > 0, F.col("value"))).alias("mean"))
+
+
+@action("reference", "reference_values")
+def impute_gene(data: Dataset, reference: DataFrame, reference_values: DataFrame) -> DataFrame:
+    """Values of the data set's cells from a reference: embeddings (cell_id, vec) of the shared features and values
+    (cell_id, feature_id, value) to impute."""
+    from .operators import algebra
+
+    return algebra.impute(reference, data.embedding, reference_values)
+
+
+@action("other")
+def wnn_integrate(data: Dataset, other: DataFrame, k: int | None = None) -> DataFrame:
+    """node, cluster over both modalities' neighbours: other(cell_id, vec) holds the same cells."""
+    from .model import materialized
+
+    k = int(k or data.settings["n_neighbors"])
+    first, second = (materialized(neighbors.knn(x, x, k, exclude_self=True), "knn") for x in (data.embedding, other))
+    merged = neighbors.merge_neighbors(first, second, neighbors.modality_weights(first, second), k).where("src != dst")
+    return graph.louvain(data.embedding.select(F.col("cell_id").alias("node")), materialized(neighbors.snn(merged), "snn"), data.settings["resolution"])
+
+
+@action()
+def region_segmentation(data: Dataset, k: int = 15, cell: float = 50.0, components: int = 20) -> DataFrame:
+    """node, cluster of regions: own and neighbourhood expression of dense values, weighed by lambda, and their components."""
+    from .model import materialized
+    from .operators import algebra, spatial
+
+    rows = matrix.log_normalize(data.counts)
+    top = variable_features(data, rows).select("feature_id")
+    cells = data.points.select(F.col("id").alias("cell_id"), "x", "y")
+    # dense over the variable features, whose number the settings bound
+    grid = cells.select("cell_id").join(F.broadcast(top), F.lit(True)).join(rows, ["cell_id", "feature_id"], "left").select("cell_id", "feature_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+    near = materialized(spatial.spatial_knn(cells, k, cell), "spatial")
+    wide = neighbors.banksy_matrix(grid, near, data.settings["lambda"]).groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "value"))), lambda x: x.value).alias("vec"))
+    emb = materialized(algebra.dense_pca(materialized(wide, "banksy"), components)[0], "embedding")
+    edges = materialized(neighbors.snn(neighbors.knn(emb, emb, k, exclude_self=True)), "snn")
+    return graph.louvain(emb.select(F.col("cell_id").alias("node")), edges, data.settings["resolution"])
+
+
+@action("motifs", "peaks", "background")
+def tf_motif_analysis(data: Dataset, motifs: DataFrame, peaks: DataFrame, background: DataFrame) -> DataFrame:
+    """motif, fold, p_val, p_val_adj, .. of motifs(motif, peak_id) in peaks against background (peak_id each), the best first."""
+    from .operators import display
+
+    return display.top_motifs(stats.motif_enrichment(motifs, peaks, background).withColumn("score", -F.log10(F.greatest("p_val", F.lit(1e-320)))))
+
+
+@action("cluster", "other_cells")
+def highlight_across(data: Dataset, cluster, other_cells: DataFrame) -> DataFrame:
+    """cell_id, highlighted in another modality's view: the cells that are the highlighted ones here, by barcode."""
+    from .operators import display
+
+    own = highlight_cluster(data, cluster).join(data.cells.select("cell_id", "barcode"), "cell_id")
+    pairs = display.aligned_cells(own.where("highlighted"), other_cells)
+    return other_cells.select("cell_id").join(pairs.select(F.col("second_id").alias("cell_id"), F.lit(True).alias("hit")), "cell_id", "left").select("cell_id", F.coalesce("hit", F.lit(False)).alias("highlighted"))
+
+
 def update(data: Dataset, **changes: float) -> Dataset:
     """The data set with changed parameters; a result depends on them when it is asked for again."""
     unknown = set(changes) - set(DEFAULTS)

@@ -158,5 +158,10 @@ def gate(confidence: Column, has_required: Column) -> Column:
     return F.when(has_required, F.greatest(confidence, F.lit(0.75))).otherwise(F.least(confidence, F.lit(0.3)))
 
 
+def gated(action: Column, confidence: Column, has_required: Column) -> Column:
+    """The action, or NONE where the scorer is below .3 sure or the parameter check leaves it below .5."""
+    return F.when((confidence < 0.3) | (gate(confidence, has_required) < 0.5), F.lit("NONE")).otherwise(action)
+
+
 def ambiguous(top: Column, second: Column) -> Column:
     return (top < 0.6) & (top - F.coalesce(second, F.lit(0.0)) < 0.15)

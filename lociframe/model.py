@@ -8,6 +8,7 @@ of rows of the cell dimension, never by count(value).
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -24,18 +25,33 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again, to cut the lineage of iterations."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, deleted when the driver's JVM ends.
+
+    Where that is unset, a temporary folder serves a driver that runs its tasks itself; on a cluster it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lociframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, to cut the lineage of iterations."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, stored, dealt out by ranges of keys, with __part, the number of the range: what a window over all rows would
+    need one task for takes a window within each range and one over a row for each range."""
+    return materialized(rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()), "ranged")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:

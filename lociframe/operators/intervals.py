@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genomic import normal_tail
-from ..model import materialized
+from ..model import materialized, ranged
 
 BIN = 10_000
 
 
 def unify(intervals: DataFrame) -> DataFrame:
-    """Islands of touching or overlapping intervals of each chromosome: chr, start, end, n."""
-    order = Window.partitionBy("chr").orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
-    marked = intervals.select("chr", "start", "end").withColumn("new", opened)
-    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
+    """Islands of touching or overlapping intervals of each chromosome: chr, start, end, n.
+
+    Intervals are dealt out by ranges of (chr, start), so a chromosome takes as many tasks as it fills; each range hands
+    its farthest end and its number of islands to the ones after it."""
+    rows = ranged(intervals.select("chr", "start", "end"), "chr", "start", "end")
+    later = Window.partitionBy("chr").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy("chr", "__part").agg(F.max("end").alias("reach")).withColumn("before", F.max("reach").over(later)).drop("reach")
+    order = Window.partitionBy("__part", "chr").orderBy("start", "end")
+    so_far = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    marked = rows.join(F.broadcast(reach), ["chr", "__part"])  # a row for each range and chromosome in it
+    marked = marked.withColumn("new", F.coalesce((F.col("start") > so_far).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order))
+    opened = marked.groupBy("chr", "__part").agg(F.sum("new").alias("opened"))
+    offset = opened.withColumn("offset", F.coalesce(F.sum("opened").over(later), F.lit(0))).drop("opened")
+    found = marked.join(F.broadcast(offset), ["chr", "__part"]).withColumn("island", F.col("island") + F.col("offset"))
+    return found.groupBy("chr", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
 def _binned(rows: DataFrame, start: Column, end: Column, size: int) -> DataFrame:
@@ -74,11 +85,11 @@ def _placed(rows: DataFrame, id_col: str) -> DataFrame:
 
     Partitions are numbered by their sizes, so no task sees more than its own range of ids; they are stored, so both uses
     see the same ranges."""
-    ranged = materialized(rows.repartitionByRange(id_col).withColumn("__part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    rows = ranged(rows, id_col)
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     place = F.row_number().over(Window.partitionBy("__part").orderBy(id_col)) - 1
-    return ranged.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn("__place", F.col("__place") + F.col("__before")).drop("__part", "__before")
+    return rows.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn("__place", F.col("__place") + F.col("__before")).drop("__part", "__before")
 
 
 def stride_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -197,10 +208,24 @@ def link_peaks(peak_counts: DataFrame, gene_counts: DataFrame, peaks: DataFrame,
     return scored.select("gene.gene", "gene.peak_id", "r", "zscore", "pvalue").join(band, ["gene", "peak_id"])
 
 
+def chromosome_spellings(chrom: str) -> list[str] | None:
+    """All spellings of a chromosome's name with and without 'chr' in either case; None if there are over 256."""
+    bare = re.sub("^chr", "", chrom.lower())
+    letters = [sorted({c, c.upper()}) for c in bare]
+    if math.prod(map(len, letters)) > 28:
+        return None
+    fronts = ["", *("".join(x) for x in itertools.product("cC", "hH", "rR"))]
+    return sorted(f + "".join(x) for f in fronts for x in itertools.product(*letters))
+
+
 def in_region(fragments: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """Fragments with end >= start and start <= end of the region; chromosome names match without case or 'chr'."""
+    """Fragments with end >= start and start <= end of the region; chromosome names match without case or 'chr'.
+
+    Short names are looked for in all their spellings, which scans and partitions can be pruned by."""
     bare = lambda c: F.regexp_replace(F.lower(c), "^chr", "")
-    return fragments.where((bare(F.col("chrom")) == bare(F.lit(chrom))) & (F.col("end") >= start) & (F.col("start") <= end))
+    names = chromosome_spellings(chrom)
+    hit = F.col("chrom").isin(names) if names else bare(F.col("chrom")) == bare(F.lit(chrom))
+    return fragments.where(hit & (F.col("end") >= start) & (F.col("start") <= end))
 
 
 def links_in_region(links: DataFrame, chrom: str, start: int, end: int) -> DataFrame:

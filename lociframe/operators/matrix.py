@@ -83,10 +83,14 @@ def subset(counts: DataFrame, axis: str, order: DataFrame) -> DataFrame:
     return kept.select(F.col("new_id").alias(axis), other, "value")
 
 
-def concat_cells(parts: list[tuple[DataFrame, int]]) -> DataFrame:
-    """Matrices of the same features side by side: (counts, number of cells) of each; cells are offset in turn."""
+def concat_cells(parts: list[tuple]) -> DataFrame:
+    """Matrices of the same features side by side: (counts, number of cells) of each; cells are offset in turn.
+
+    Parts that say their number of features, (counts, number of cells, number of features), must agree in it."""
+    if len({p[2] for p in parts if len(p) > 2}) > 1:
+        raise ValueError("matrices of different features can't be set side by side")
     out, offset = None, 0
-    for counts, n_cells in parts:
+    for counts, n_cells, *_ in parts:
         moved = counts.select("feature_id", (F.col("cell_id") + offset).alias("cell_id"), "value")
         out = moved if out is None else out.unionByName(moved)
         offset += n_cells

@@ -33,7 +33,13 @@ def _nearest(metric: str, k: int, exclude_self: bool):
             dist = np.round(dist, 12)
             if exclude_self:
                 dist[some["id"].to_numpy()[:, None] == names] = np.inf
-            top = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            if k < len(names):  # the k nearest and all that tie with the last of them; then only these are sorted
+                last = np.partition(dist, k - 1, axis=1)[:, k - 1, None]
+                width = int((dist <= last).sum(1).max())
+                some_at = np.sort(np.argpartition(dist, width - 1, axis=1)[:, :width], axis=1)
+                top = np.take_along_axis(some_at, np.argsort(np.take_along_axis(dist, some_at, 1), axis=1, kind="stable")[:, :k], 1)
+            else:
+                top = np.argsort(dist, axis=1, kind="stable")
             near = np.take_along_axis(dist, top, 1)
             real = near < np.inf
             out.append(pd.DataFrame({"src": np.repeat(some["id"].to_numpy(), top.shape[1])[real.ravel()], "dst": names[top[real]], "dist": near[real]}))
@@ -152,13 +158,12 @@ def gaussian_weights(neighbors: DataFrame) -> DataFrame:
 
 def zscore_columns(values: DataFrame, group: str, col: str, population: bool = False) -> DataFrame:
     """col as a z-score within group: sample spread (under 1e-10 counts as 1), or population spread (1e-12 or less gives 0)."""
-    own = Window.partitionBy(group)
-    centred = F.col(col) - F.avg(col).over(own)
-    if population:
-        sd = F.stddev_pop(col).over(own)
-        return values.withColumn(col, F.when(sd <= 1e-12, F.lit(0.0)).otherwise(F.try_divide(centred, sd)))
-    sd = F.coalesce(F.stddev_samp(col).over(own), F.lit(0.0))
-    return values.withColumn(col, centred / F.when(sd < 1e-10, F.lit(1.0)).otherwise(sd))
+    spread = (F.stddev_pop if population else F.stddev_samp)(col)
+    stats = values.groupBy(group).agg(F.avg(col).alias("__mean"), F.coalesce(spread, F.lit(0.0)).alias("__sd"))
+    rows = values.join(stats, group)
+    centred, sd = F.col(col) - F.col("__mean"), F.col("__sd")
+    score = F.when(sd <= 1e-12, F.lit(0.0)).otherwise(F.try_divide(centred, sd)) if population else centred / F.when(sd < 1e-10, F.lit(1.0)).otherwise(sd)
+    return rows.select(*[score.alias(col) if c == col else F.col(c) for c in values.columns])
 
 
 def banksy_matrix(values: DataFrame, neighbors: DataFrame, lam: float = 0.3) -> DataFrame:

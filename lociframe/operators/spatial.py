@@ -108,28 +108,28 @@ def image_tiles(spark, width: int, height: int, tile: int = 512, m: Affine = (1,
 def spatial_knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     """src, rank, dst, dist (squared): the exact k nearest of points(cell_id, x, y), self left out.
 
-    Each point meets the points of the 3 x 3 grid cells around it; where its k-th distance reaches beyond these,
-    the ring is doubled for the points still open, until none is."""
+    Each point meets the points of the 3 x 3 grid cells around it; where its k-th distance reaches beyond these, it meets
+    those of a grid of twice the size, until none is open. A point on its own, however far, is nine rows a round."""
     from ..model import materialized
 
-    base = points.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"))
     far = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    reach, open_, done, most = 1, points, None, min(k, far[2] - 1)
-    widest = int(max(far[0], far[1]) / cell) + 2
+    size, open_, done, most, extent = cell, points, None, min(k, far[2] - 1), max(far[0] or 0, far[1] or 0)
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    at = lambda c: F.floor(F.col(c) / size)
     while True:
-        side = F.sequence(F.lit(-reach), F.lit(reach))
-        q = open_.select("cell_id", "x", "y", F.explode(side).alias("dx"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).select("*", F.explode(side).alias("dy"))
-        q = q.select(F.col("cell_id").alias("src"), "x", "y", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy"))
+        base = points.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), at("x").alias("gx"), at("y").alias("gy"))
+        q = open_.select(F.col("cell_id").alias("src"), "x", "y", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+        q = q.select("src", "x", "y", (at("x") + F.col("dx")).alias("gx"), (at("y") + F.col("dy")).alias("gy"))
         dist = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
         near = q.join(base, ["gx", "gy"]).where("src != dst").withColumn("dist", dist)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
         ranked = materialized(ranked, "spatial-knn")
         settled = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("worst"))
-        if reach < widest:
-            settled = settled.where((F.col("n") >= most) & (F.col("worst") <= float((reach * cell) ** 2)))
+        if size < extent:
+            settled = settled.where((F.col("n") >= most) & (F.col("worst") <= float(size**2)))
         part = ranked.join(settled.select("src"), "src", "left_semi")
         done = part if done is None else done.unionByName(part)
         open_ = open_.join(settled.select(F.col("src").alias("cell_id")), "cell_id", "left_anti")
-        if reach >= widest or open_.isEmpty():
+        if size >= extent or open_.isEmpty():
             return done
-        reach *= 2
+        size *= 2

@@ -9,18 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genomic import normal_tail
+from ..model import ranged
 
 PSEUDO = 1e-9
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, partition: list[str] | None = None, order: tuple[str, ...] = ()) -> DataFrame:
-    """tests with p_val_adj: min(1, running minimum of p m / rank from the largest p), within the partition."""
-    part = partition or []
-    up = Window.partitionBy(*part).orderBy(p, *order)
-    ranked = tests.withColumns({"__rank": F.row_number().over(up), "__m": F.count(F.lit(1)).over(Window.partitionBy(*part))})
-    ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__rank"))
-    rest = Window.partitionBy(*part).orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("p_val_adj", F.least(F.lit(1.0), F.min("__q").over(rest))).drop("__rank", "__m", "__q")
+    """tests with p_val_adj: min(1, running minimum of p m / rank from the largest p), within the partition.
+
+    Without a partition, tests are ranked in ranges of p: each range learns how many tests the ranges below it hold and
+    the least p m / rank of those above."""
+    if partition:
+        own = Window.partitionBy(*partition)
+        ranked = tests.withColumns({"__rank": F.row_number().over(own.orderBy(p, *order)), "__m": F.count(F.lit(1)).over(own)})
+        ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__rank"))
+        rest = own.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+        return ranked.withColumn("p_val_adj", F.least(F.lit(1.0), F.min("__q").over(rest))).drop("__rank", "__m", "__q")
+    rows = ranged(tests, p, *order)
+    parts = Window.orderBy("__part")  # over a row for each range
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__below"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
+    up = Window.partitionBy("__part").orderBy(p, *order)
+    q = F.col(p) * F.col("__m") / (F.row_number().over(up) + F.col("__below"))
+    ranked = rows.join(F.broadcast(sizes), "__part").withColumn("__q", q)
+    above = ranked.groupBy("__part").agg(F.min("__q").alias("__least"))
+    above = above.select("__part", F.min("__least").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
+    rest = F.min("__q").over(up.rowsBetween(0, Window.unboundedFollowing))
+    return ranked.join(F.broadcast(above), "__part").withColumn("p_val_adj", F.least(F.lit(1.0), rest, F.col("__above"))).drop("__part", "__below", "__m", "__q", "__above")
 
 
 def markers(counts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -50,8 +65,9 @@ def _rank_sum(rows: DataFrame, n1: int, n2: int, by: tuple[str, ...] = ()) -> Da
     r1 = F.col("r") + (n1 - F.col("p1")) * (F.col("z") + 1) / 2
     u = r1 - n1 * (n1 + 1) / 2
     variance = n1 * n2 / 12 * ((n + 1) - (F.col("ties") + cube(F.col("z"))) / (n * (n - 1.0)))
-    zed = F.when(variance > 1e-12, (u - n1 * n2 / 2) / F.sqrt(F.greatest(variance, F.lit(1e-300)))).otherwise(0.0)
-    p = F.when(variance > 1e-12, F.least(F.lit(1.0), 2 * normal_tail(zed))).otherwise(1.0)
+    sums = sums.withColumns({"u": u - n1 * n2 / 2, "variance": variance})  # columns of their own: the tail names z often
+    sums = sums.withColumn("zed", F.when(F.col("variance") > 1e-12, F.col("u") / F.sqrt(F.greatest("variance", F.lit(1e-300)))).otherwise(0.0))
+    p = F.when(F.col("variance") > 1e-12, F.least(F.lit(1.0), 2 * normal_tail(F.col("zed")))).otherwise(1.0)
     fold = F.ln((F.col("s1") / n1 + PSEUDO) / (F.col("s2") / n2 + PSEUDO))
     return benjamini_hochberg(sums.select(*by, "feature_id", p.alias("p_val"), fold.alias("avg_logFC"), (F.col("p1") / n1).alias("pct1"), (F.col("p2") / n2).alias("pct2")), "p_val", list(by), ("feature_id",))
 
@@ -99,6 +115,18 @@ def enrichment(chosen: DataFrame, sets: DataFrame, universe: int) -> DataFrame:
     return benjamini_hochberg(rows, "p_val", order=("term",))
 
 
+def motif_enrichment(motifs: DataFrame, peaks: DataFrame, background: DataFrame) -> DataFrame:
+    """motif, query_hits, background_hits, fold, p_val, p_val_adj of motifs(motif, peak_id): how much oftener peaks hold a motif
+    than the background does, and the chance of as many hits in as many peaks of the background."""
+    rows = motifs.select("motif", "peak_id").distinct()
+    hits = lambda chosen, name: rows.join(chosen.select("peak_id").distinct(), "peak_id", "left_semi").groupBy("motif").agg(F.count(F.lit(1)).alias(name))
+    n_query, n_background = peaks.select("peak_id").distinct().count(), background.select("peak_id").distinct().count()
+    both = hits(background, "background_hits").join(hits(peaks, "query_hits"), "motif", "left").withColumn("query_hits", F.coalesce("query_hits", F.lit(0).cast("long")))
+    fold = fold_enrichment(F.col("query_hits"), F.lit(float(n_query)), F.col("background_hits"), F.lit(float(n_background)))
+    scored = both.withColumn("fold", F.coalesce(fold, F.lit(0.0))).withColumn("p_val", hypergeometric_tail(F.col("query_hits"), F.col("background_hits"), F.lit(n_query), F.lit(n_background)))
+    return benjamini_hochberg(scored, "p_val", order=("motif",)).select("motif", "query_hits", "background_hits", "fold", "p_val", "p_val_adj")
+
+
 def pathway_themes(terms: DataFrame, keep: int = 80, themes: int = 8, related: int = 5) -> DataFrame:
     """theme, lead, related of the best terms(term, tokens, genes, p_val, p_val_adj, overlap).
 

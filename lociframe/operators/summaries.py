@@ -53,20 +53,34 @@ def dot_plot_scaled(stats: DataFrame, clamp: float = 4.0) -> DataFrame:
     return stats.withColumn("scaled", F.greatest(F.lit(-clamp), F.least(F.lit(clamp), z)))
 
 
+def _counted(values: DataFrame, group: str, col: str) -> DataFrame:
+    """group, v, t (rows of that value), last (rows up to it) and n (all): a window sees distinct values, not rows."""
+    tied = values.groupBy(group, F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("t"))
+    own = Window.partitionBy(group)
+    return tied.withColumns({"last": F.sum("t").over(own.orderBy("v")), "n": F.sum("t").over(own)})
+
+
+def _at(place: Column) -> Column:
+    """The value at a place from 0 of the sorted rows, as an aggregate over _counted rows."""
+    return F.max(F.when((place < F.col("last")) & (place >= F.col("last") - F.col("t")), F.col("v")))
+
+
 def violin(values: DataFrame, group: str, col: str) -> DataFrame:
     """n, min, max, mean and linearly interpolated quartiles by group, of finite values."""
     sound = values.where(F.col(col).isNotNull() & ~F.isnan(col) & (F.abs(col) != F.lit(float("inf"))))
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = sound.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"), q.alias("q"))
-    return found.select(group, "n", "min", "max", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    spots = {f"{name}{side}": _at(f((F.col("n") - 1) * q)) for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)) for side, f in (("0", F.floor), ("1", F.ceil))}
+    found = _counted(sound, group, col).groupBy(group).agg(
+        F.max("n").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("t")) / F.max("n")).alias("mean"), *[x.alias(k) for k, x in spots.items()]
+    )
+    between = lambda name, q: F.col(f"{name}0") + (F.col(f"{name}1") - F.col(f"{name}0")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+    return found.select(group, "n", "min", "max", "mean", between("a", 0.25).alias("q1"), between("b", 0.5).alias("median"), between("c", 0.75).alias("q3"))
 
 
 def violin_ranked(values: DataFrame, group: str, col: str) -> DataFrame:
     """Quartiles as the sorted values at places floor(n q); the median averages the two middle values."""
-    order = Window.partitionBy(group).orderBy(col)
-    ranked = values.select(group, F.col(col).alias("v"), (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("v")))
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), pick(F.floor(F.col("n") * 0.25)).alias("q1"), ((pick(F.floor((F.col("n") - 1) / 2)) + pick(F.floor(F.col("n") / 2))) / 2).alias("median"), pick(F.floor(F.col("n") * 0.75)).alias("q3"))
+    n = F.col("n")
+    rows = _counted(values.where(F.col(col).isNotNull()), group, col)
+    return rows.groupBy(group).agg(F.max("n").alias("n"), _at(F.floor(n * 0.25)).alias("q1"), ((_at(F.floor((n - 1) / 2)) + _at(F.floor(n / 2))) / 2).alias("median"), _at(F.floor(n * 0.75)).alias("q3"))
 
 
 def density(values: DataFrame, group: str, col: str, steps: int = 30, least_width: float = 0.1) -> DataFrame:

@@ -16,9 +16,16 @@ from ..functions.genomic import genome_of
 MICRONS_PER_PIXEL = 0.2125
 
 
+#: Begins the comment in which our writer repeats the size line, as a folder's parts have no first line.
+SIZE_COMMENT = "%%size "
+
+
 def matrix_market_shape(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Rows, columns and entries, from the first line that is no comment."""
-    line = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
+    """Rows, columns and entries: from our writer's comment, or else the first line that is no comment."""
+    lines = spark.read.text(path)
+    # a foreign file holds its comments in front; only a folder of parts is searched as a whole
+    line = lines.where(F.col("value").startswith(SIZE_COMMENT)).select(F.substring("value", len(SIZE_COMMENT) + 1, 100).alias("value")).first() if _is_folder(spark, path) else None
+    line = line or lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
     rows, cols, entries = (int(x) for x in line.value.split()[:3])
     return rows, cols, entries
 
@@ -43,6 +50,11 @@ def named_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("id"), F.coalesce(F.get(parts, F.lit(1)), parts[0]).alias("name"))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
 def _listing(spark: SparkSession, path: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -126,7 +138,7 @@ def xenium_cells(spark: SparkSession, path: str) -> DataFrame:
 def cell_polygons(spark: SparkSession, path: str) -> DataFrame:
     """cell, x, y (vertex means, the closing vertex included), vertices of a GeoJSON file's polygons with 3 vertices or more."""
     shape = "struct<features:array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<cell_id:string>>>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", shape).features).alias("f")).where("f.geometry.type = 'Polygon'").select(F.col("f.properties.cell_id").alias("cell"), F.col("f.geometry.coordinates")[0].alias("ring")).where(F.size("ring") >= 3)
     mean = lambda i: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[i]) / F.size("ring")
     return rows.select("cell", mean(0).alias("x"), mean(1).alias("y"), F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("vertices"))
@@ -152,7 +164,7 @@ def merfish_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def genome(spark: SparkSession, path: str) -> str | None:
     """The assembly that a summary file names."""
-    text = spark.read.option("wholetext", True).text(path).select(genome_of(F.col("value")).alias("g")).first()
+    text = spark.read.text(path, wholetext=True).select(genome_of(F.col("value")).alias("g")).first()
     return text.g if text else None
 
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import SIZE_COMMENT
+
 VERSION = 1
 
 
@@ -45,13 +47,12 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict] |
 
 
 def write_matrix_market(counts: DataFrame, n_features: int, n_cells: int, path: str) -> None:
-    """A folder of gzipped parts whose first holds the header; entries number from 1."""
-    entries = counts.count()
-    head = counts.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{n_features} {n_cells} {entries}")], "k int, line string")
+    """A folder of gzipped parts; entries number from 1. As no part is the first, a comment repeats the size line."""
+    size = f"{n_features} {n_cells} {counts.count()}"
+    head = counts.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{SIZE_COMMENT}{size}\n{size}",)], "line string")
     value = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
-    rows = counts.select(F.lit(1).alias("k"), F.concat_ws(" ", (F.col("feature_id") + 1).cast("string"), (F.col("cell_id") + 1).cast("string"), value).alias("line"))
-    head.coalesce(1).select("line").write.option("compression", "gzip").text(path)
-    rows.select("line").write.mode("append").option("compression", "gzip").text(path)
+    rows = counts.select(F.concat_ws(" ", (F.col("feature_id") + 1).cast("string"), (F.col("cell_id") + 1).cast("string"), value).alias("line"))
+    head.coalesce(1).unionByName(rows).write.option("compression", "gzip").text(path)
 
 
 def write_names(names: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe import commands
-from lociframe.sources import readers, results
+from lociframe.sources import folders, readers, results
 from lociframe.streaming import coverage
 
 
@@ -63,6 +63,35 @@ def test_matrix_round_trip(spark, tmp_path, rows):
     assert rows(readers.matrix_market(spark, f"file://{tmp_path}/m")) == rows(counts)
 
 
+def test_large_matrix_in_parts(spark, tmp_path, rows):
+    n = 120_000
+    counts = spark.range(n).select((F.col("id") % 700).alias("feature_id"), (F.col("id") * 7 % 300_000).alias("cell_id"), (F.col("id") % 9 + 1).cast("double").alias("value")).repartition(7)
+    counts = counts.unionByName(spark.createDataFrame([(999, 299_999, float(n + 1))], counts.schema))  # looks like the size line
+    path = f"file://{tmp_path}/m"
+    results.write_matrix_market(counts, 1000, 300_000, path)
+    assert readers.matrix_market_shape(spark, path) == (1000, 300_000, n + 1)
+    found = readers.matrix_market(spark, path)
+    assert found.count() == n + 1 and found.exceptAll(counts).isEmpty()
+
+
+def test_genome_on_a_later_line(spark, tmp_path):
+    assert readers.genome(spark, put(tmp_path, "summary.csv", "Sample,Genome\na,GRCh38\n")) == "hg38"
+
+
+def test_folders(spark, tmp_path):
+    for sub in ("outs/binned_outputs/square_016um/spatial", "outs/binned_outputs/square_008um/spatial"):
+        (tmp_path / sub).mkdir(parents=True)
+        put(tmp_path / sub, "tissue_positions.csv", f"barcode,in_tissue,pxl_row_in_fullres,pxl_col_in_fullres\n{sub.split('_')[-1][:3]},1,2,3\nz,0,1,1\n")
+    assert [tuple(r) for r in folders.visium_hd(spark, str(tmp_path)).cells.collect()] == [("008", 3.0, 2.0)]
+    with pytest.raises(FileNotFoundError):
+        folders.xenium(spark, str(tmp_path))
+    one = folders.Layout("xenium")
+    with pytest.raises(ValueError, match="1 samples"):
+        folders.integrated({"a": one})
+    with pytest.raises(ValueError, match="one kind"):
+        folders.integrated({"a": one, "b": folders.Layout("atac")})
+
+
 @pytest.fixture
 def data(spark):
     counts = spark.createDataFrame([(f, c, float((f * 7 + c * 3) % 5)) for f in range(6) for c in range(12) if (f * 7 + c * 3) % 5], "feature_id long, cell_id long, value double")

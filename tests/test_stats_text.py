@@ -71,3 +71,26 @@ def test_themes(spark):
     rows = [("t1", ["a", "b"], ["g1", "g2", "g3"], 0.001, 0.01, 3), ("t2", ["a", "c"], ["g1", "g2", "g3"], 0.002, 0.02, 3), ("t3", ["z"], ["h"], 0.003, 0.03, 1), ("t4", ["y"], ["i"], 0.5, 0.9, 1)]
     found = stats.pathway_themes(spark.createDataFrame(rows, "term string, tokens array<string>, genes array<string>, p_val double, p_val_adj double, overlap int")).orderBy("theme").collect()
     assert [(r.lead, r.related) for r in found] == [("t1", ["t2"]), ("t3", [])]
+
+
+def test_benjamini_hochberg_in_ranges(spark):
+    import random
+
+    rnd = random.Random(1)
+    p = [round(rnd.random() ** 3, 2) for _ in range(3000)]
+    found = stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "id long, p double").repartition(5), "p", order=("id",)).collect()
+    order = sorted(range(len(p)), key=lambda i: (p[i], i))
+    want, least = {}, 1.0
+    for k in range(len(order), 0, -1):
+        least = min(least, p[order[k - 1]] * len(p) / k)
+        want[order[k - 1]] = least
+    assert len(found) == len(p) and all(abs(r.p_val_adj - want[r.id]) < 1e-12 for r in found)
+    assert stats.benjamini_hochberg(spark.createDataFrame([], "id long, p double"), "p").count() == 0
+
+
+def test_motif_enrichment(spark):
+    motifs = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(0, 40, 4)], "motif string, peak_id long")
+    ids = lambda n: spark.range(n).select(F.col("id").alias("peak_id"))
+    found = {r.motif: r for r in stats.motif_enrichment(motifs, ids(10), ids(40)).collect()}
+    assert (found["a"].query_hits, found["a"].background_hits, found["a"].fold) == (10, 10, 4.0) and found["a"].p_val < 1e-7
+    assert found["b"].fold == 1.2 and 0.3 < found["b"].p_val <= found["b"].p_val_adj <= 1
