@@ -137,16 +137,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def sizes() -> Iterator[int]:
             nonlocal part
             number = 0
-            for batch in it:
-                part = batch.column("__part")[0].as_py() if len(batch) else part
-                texts, names = batch.column("__text"), batch.column(id_col)
-                for low in range(0, len(batch), 1024):
-                    found, starts = encode(texts.slice(low, 1024))
-                    for k in range(len(starts) - 1):
-                        ids = np.append(found[starts[k] : starts[k + 1]], np.uint32(end_id)).astype("<u4")
-                        live[number], counts[number] = (names[low + k].as_py(), ids), len(ids)
-                        yield len(ids)
-                        number += 1
+            for held in _together(it, 3000):
+                part, texts, names = held.column("__part")[0].as_py(), held.column("__text").combine_chunks(), held.column(id_col)
+                found, starts = encode(texts)
+                for k, name in enumerate(names.to_pylist()):
+                    ids = np.append(found[starts[k] : starts[k + 1]], np.uint32(end_id)).astype("<u4")
+                    live[number], counts[number] = (name, ids), len(ids)
+                    yield len(ids)
+                    number += 1
 
         out: list[tuple] = []
         for doc, start, n, window, offset in pack_partition(sizes(), capacity):
@@ -166,6 +164,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return step.mapInArrow(run, fields)
 
 
+def _together(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches, so many rows of them at a time: more words of more texts are the same."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        held += [batch] * (len(batch) > 0)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 

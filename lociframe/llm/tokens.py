@@ -9,6 +9,7 @@ they occur; extra columns are not read; an empty table gives an empty histogram.
 from __future__ import annotations
 
 import itertools
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,11 +22,33 @@ from pyspark.sql import functions as F
 from .shared import lower_ascii, short_batches, text_blocks, word_spans
 from .word_cache import WordTable, span_strings
 
-#: Marks that these vocabularies' pre-tokenisers always part from a letter before them, if white space follows.
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in ".,;:!?|"]] = True
-_LETTERS = np.zeros(256, bool)
-_LETTERS[97:123] = True
+#: Bytes of text whose words are looked up at once: the more, the more of them repeat.
+WORD_BLOCK = 4 << 20
+#: Classes of bytes by which such a vocabulary's pre-tokeniser parts a word: letters, digits, marks (no apostrophe, which
+#: may begin a contraction); 0: any other, next to which words stay whole.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[97:123], _CLASS[48:58] = 1, 2
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 3
+#: First byte of the capital sigma, whose small form depends on what follows.
+_SIGMA = 0xCE
+
+
+def parted(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words parted where letters, digits and marks meet, and around every digit."""
+    kind = _CLASS[data]
+    left, right = kind[:-1], kind[1:]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (left > 0) & (right > 0) & ((left != right) | (left == 2))
+    sigmas = np.concatenate(([0], np.cumsum(data == _SIGMA)))
+    for word in np.flatnonzero(sigmas[ends] > sigmas[begins]):
+        cut[begins[word] + 1 : ends[word]] = False
+    inside = np.flatnonzero(cut)
+    if not len(inside) or not len(begins):
+        return begins, ends, rows
+    of = np.searchsorted(begins, inside, "right") - 1
+    keep = (of >= 0) & (inside > begins[of]) & (inside < ends[of])
+    inside, of = inside[keep], of[keep]
+    return np.sort(np.concatenate((begins, inside))), np.sort(np.concatenate((ends, inside))), np.sort(np.concatenate((rows, rows[of])))
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +59,7 @@ def lower_word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
     White space ends a word for its pre-tokeniser and its normaliser works on one word at a time, so a
     text's ids are those of its words; each distinct word is encoded once. Texts that may hold one of the
     vocabulary's special tokens are encoded whole."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -49,13 +73,10 @@ def lower_word_encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.n
 
     def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         all_ids, all_sizes = [], []
-        for low, high, data, offsets in text_blocks(texts):
+        for low, high, data, offsets in text_blocks(texts, WORD_BLOCK):
             data = lower_ascii(data)
             begins, ends, rows = word_spans(data, offsets)
-            # a letter, one mark and the word's end: two words
-            last = ends - 1
-            cut = np.flatnonzero((ends - begins > 1) & _MARKS[data[last]] & _LETTERS[data[last - 1]])
-            begins, ends, rows = np.sort(np.concatenate([begins, last[cut]])), np.sort(np.concatenate([ends, last[cut]])), np.sort(np.concatenate([rows, rows[cut]]))
+            begins, ends, rows = parted(data, begins, ends, rows)
             ids, lengths = table.look_up(span_strings(data, begins, ends))
             sizes = np.bincount(rows, lengths, minlength=high - low).astype(np.int64)
             if (special := pc.match_substring(texts.slice(low, high - low), "<|")).true_count:

@@ -9,8 +9,8 @@ import pyarrow as pa
 
 from .shared import spread
 
-#: Words that a table holds before it starts anew: some 30 MB in each Python worker.
-MAX_WORDS = 150_000
+#: Words that a table holds before it shrinks: some 50 MB in each Python worker.
+MAX_WORDS = 250_000
 
 
 def span_strings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -317,7 +317,7 @@ def test_lower_words_encode_exactly():
     from tokenizers import Tokenizer
 
     tokenizer, encode, rnd = Tokenizer.from_file(WORDS), tokens.lower_word_encoder(WORDS), random.Random(2)
-    texts = ["".join(rnd.choice(["it's", "IT'S ", " ", "\xa0", "\x1c", "\x85", "É", "É", "İ", "ß", "ΑΣ ", "<|endoftext|>", "<|ENDOFTEXT|>", "a, ", "!!, ", "x. ", "12", "½", "\x0b"]) for _ in range(rnd.randint(0, 20))) for _ in range(800)] + [None]
+    texts = ["".join(rnd.choice(["it's", "IT'S ", " ", "\xa0", "\x1c", "\x85", "É", "É", "İ", "ß", "ΑΣ ", "<|endoftext|>", "<|ENDOFTEXT|>", "a, ", "!!, ", "x. ", "12", "½", "\x0b", "ab12cd", "'s", "'ve", "x'1", "***", "&&b", "é=", "\u0338", "Σ.b", "σΣ", "Σ", "b'", "\x1d", "don't3", "\u0301"]) for _ in range(rnd.randint(0, 20))) for _ in range(800)] + [None]
     ids, starts = encode(pa.array(texts))
     for k, t in enumerate(texts):
         assert tokenizer.encode(t or "", add_special_tokens=False).ids == ids[starts[k] : starts[k + 1]].tolist()
