@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_rows, short_batches, spread, stored, text_blocks
+from .shared import few_rows, fresh, short_batches, spread, stored, text_blocks
 
 MAX_DOCS = 600
 ORDER = 3
@@ -170,7 +170,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     short_batches(docs.sparkSession)
     kept = list(dict.fromkeys([id_col, *carry]))
     text = F.col(text_col).cast("string")
-    step = docs.select(*kept, F.lower(text).alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    text_name, letters_name = fresh(kept, "__text", "__letters")
+    step = docs.select(*kept, F.lower(text).alias(text_name), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters_name))
     if model is None:
         return step.select(*kept, F.lit(UNKNOWN).alias(prefix + "lang_pred"), F.lit(0.0).alias(prefix + "score"), F.lit(None).cast("double").alias(prefix + "bits_per_byte"))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # what about MAX_DOCS documents a language hold
@@ -179,11 +180,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         m = cast.value
         names = np.array(m.languages, object)
         for batch in it:
-            for low, high, data, offsets in text_blocks(batch.column("__text")):
+            for low, high, data, offsets in text_blocks(batch.column(text_name)):
                 bits, size = m.lengths(data, offsets)
                 best = bits.argmin(1)
                 margin = (bits - bits[np.arange(len(bits)), best, None]) * np.minimum(1, MARGIN_BYTES / size)[:, None]
-                letters = batch.column("__letters").slice(low, high - low).to_numpy(zero_copy_only=False)
+                letters = batch.column(letters_name).slice(low, high - low).to_numpy(zero_copy_only=False)
                 cols = {c: batch.column(c).slice(low, high - low) for c in kept}
                 yield pa.RecordBatch.from_pydict(cols | {
                     prefix + "lang_pred": pa.array(np.where(letters, names[best], UNKNOWN), pa.string()),

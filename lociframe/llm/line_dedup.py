@@ -5,8 +5,8 @@ without other characters form no window and are never removed. Every run of thre
 one another is hashed to 128 bits; of equal windows in the whole table the one with the smallest (id,
 place) stays, and every line that another occurrence covers goes.
 
-Null texts and texts of fewer than three lines have no window and stay as they are. Rows that repeat an id
-with the same text are one occurrence; windows of rows with a null id count for nothing and stay. Extra
+Null texts and texts of fewer than three lines have no window and stay as they are. Very long texts are
+one row like any other. Rows that repeat an id with the same text are one occurrence; windows of rows with a null id count for nothing and stay. Extra
 columns pass through; an empty table gives an empty result.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 WINDOW = 3
 _ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -42,10 +44,11 @@ def removed_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns with the repeated lines cut from the text, then n_lines and n_removed_lines (0 for a
     null text). A column of docs with one of these two names is replaced."""
-    gone = removed_places(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    step = docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn("__lines", F.split(F.col(text_col), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    id_, gone_, lines_ = fresh(docs.columns, "__id", "__gone", "__lines")
+    gone = removed_places(docs, id_col, text_col).select(F.col("id").alias(id_), F.col("gone").alias(gone_))
+    step = docs.join(gone, F.col(id_col) == F.col(id_), "left").withColumn(lines_, F.split(F.col(text_col), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(gone_))
+    left = F.array_join(F.transform(kept, lambda i: F.get(lines_, i)), "\n")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    out = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in names]
-    return step.select(*out, F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
+    out = [F.when(F.col(gone_).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in names]
+    return step.select(*out, F.greatest(F.size(lines_), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size(gone_), F.lit(0)).cast("long").alias("n_removed_lines"))

@@ -7,7 +7,7 @@ round every unfinished word finds its best-ranked adjacent pair and merges the l
 non-overlapping pairs with that rank at once; where the merged piece could at once take part in a pair
 of better rank, only the leftmost pair merges. Rounds go on until no word has a pair.
 
-Null texts are empty: begin and end ids only. Repeated rows give equal results; null ids and extra columns
+Null texts are empty: begin and end ids only. Very long texts are encoded whole. Repeated rows give equal results; null ids and extra columns
 pass through; an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import short_batches, spread, text_blocks
+from .shared import fresh, short_batches, spread, text_blocks
 from .word_cache import WordTable, span_strings
 
 MARK = "▁"
@@ -212,14 +212,16 @@ def _slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Recor
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to carry and ids, an array of the text's ids with begin and end."""
+    """The columns to carry and ids, an array of the text's ids with begin and end; a column to carry of that name gives way."""
+    carry = tuple(c for c in carry if c.lower() != "ids")
+    (text,) = fresh(list(carry), "__text")
     short_batches(docs.sparkSession)
-    step = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    step = docs.select(*carry, F.col(text_col).cast("string").alias(text))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in _slices(it):
-            ids, starts = model.encode(batch.column("__text"))
+            ids, starts = model.encode(batch.column(text))
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ids": lists})
 
@@ -227,14 +229,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to carry and text, decoded from the array of ids (null ids: null)."""
+    """The columns to carry and text, decoded from the array of ids (null ids: null); a column to carry of that name gives way."""
+    carry = tuple(c for c in carry if c.lower() != "text")
+    (ids_name,) = fresh(list(carry), "__ids")
     short_batches(encoded.sparkSession)
-    step = encoded.select(*carry, F.col(ids_col).alias("__ids"))
+    step = encoded.select(*carry, F.col(ids_col).alias(ids_name))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in _slices(it):
-            ids = batch.column("__ids")
+            ids = batch.column(ids_name)
             sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
             texts = model.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
             texts = [None if gone else t for t, gone in zip(texts, ids.is_null().to_pylist(), strict=True)]

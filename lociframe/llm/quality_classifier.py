@@ -3,7 +3,7 @@ partition-summed normal equations, isotonic calibration.
 
 fit() learns from at most MAX_TRAIN labelled rows (a documented bound); statistics and scores cover the
 whole text of every document. Null and empty texts have zero statistics and get the score of those.
-Repeated rows get equal scores; null ids, ties and extra columns pass through; an empty table gives an
+Very long texts are measured whole. Repeated rows get equal scores; null ids, ties and extra columns pass through; an empty table gives an
 empty result; without labels every score is 0.5.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, short_batches, text_blocks, word_hashes, word_spans
+from .shared import fresh, lower_ascii, short_batches, text_blocks, word_hashes, word_spans
 
 MAX_TRAIN = 20_000
 N_FEATURES = 256
@@ -113,9 +113,9 @@ def remainder(id_col: str, k: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % k
 
 
-def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
+def _rows(it: Iterator[pa.RecordBatch], text: str = "__text") -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
     for batch in it:
-        for low, high, data, offsets in text_blocks(batch.column("__text")):
+        for low, high, data, offsets in text_blocks(batch.column(text)):
             yield batch, low, high, statistics(data, offsets)
 
 
@@ -181,13 +181,14 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """id, the columns to carry, and the score (0 to 1) of every row, in the column out, which no carried column may be."""
     short_batches(docs.sparkSession)
     kept = list(dict.fromkeys([id_col, *carry]))
-    step = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    (text,) = fresh([*kept, out], "__text")
+    step = docs.select(*kept, F.col(text_col).cast("string").alias(text))
     if model is None:
         return step.select(*kept, F.lit(0.5).alias(out))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: N_FEATURES by N_STATISTICS numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, low, high, x in _rows(it):
+        for batch, low, high, x in _rows(it, text):
             cols = {c: batch.column(c).slice(low, high - low) for c in kept}
             yield pa.RecordBatch.from_pydict(cols | {out: np.clip(cast.value.score(x), 0, 1)})
 

@@ -4,8 +4,8 @@ Every rule is evaluated once a document; the ledger keeps one failure bit a rule
 Policies are versioned sets of rule bits, so applying another version or an ablation reads the ledger,
 not the texts.
 
-Null and empty texts have no words and fail too_few_words. Rows are judged one by one: ties, repeated
-rows and null ids pass through unchanged. Only the text and id columns are read, so extra columns with
+Null and empty texts have no words and fail too_few_words. Rows are judged one by one, very long texts
+as a whole: ties, repeated rows and null ids pass through unchanged. Only the text and id columns are read, so extra columns with
 any names do no harm; an empty table gives an empty ledger.
 """
 

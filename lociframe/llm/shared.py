@@ -59,6 +59,17 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """names, with underscores added until no column is called so (case doesn't tell names apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def few_rows(df: DataFrame, n: int) -> DataFrame:
     """df, of n rows of two longs at most, marked for broadcast if it is small enough for that."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df

@@ -3,7 +3,7 @@
 The paths of vocabulary files are parameters. Encoders are kept by each Python worker.
 
 token_lengths: null texts have no tokens (length 0), like empty ones. Repeated rows count as often as
-they occur; extra columns are not read; an empty table gives an empty histogram.
+they occur, very long texts at full length, ties in length in one row; extra columns are not read; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, short_batches, text_blocks, word_spans
+from .shared import fresh, lower_ascii, short_batches, text_blocks, word_spans
 from .word_cache import WordTable, span_strings
 
 #: Bytes of text whose words are looked up at once: the more, the more of them repeat.
@@ -106,14 +106,16 @@ def rank_encoder(path: str, pattern: str):
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The columns to carry and n_tokens of every row."""
+    """The columns to carry and n_tokens of every row; a column to carry of that name gives way."""
     short_batches(docs.sparkSession)
-    step = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    carry = tuple(c for c in carry if c.lower() != "n_tokens")
+    (text,) = fresh(list(carry), "__text")
+    step = docs.select(*carry, F.col(text_col).cast("string").alias(text))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(path, pattern)
         for batch in it:
-            n = np.fromiter((len(encoder.encode_ordinary(t or "")) for t in batch.column("__text").to_pylist()), np.int64, len(batch))
+            n = np.fromiter((len(encoder.encode_ordinary(t or "")) for t in batch.column(text).to_pylist()), np.int64, len(batch))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"n_tokens": n})
 
     return step.mapInArrow(run, docs.select(*carry).schema.add("n_tokens", "long"))

@@ -465,6 +465,23 @@ def test_quality_classifier(spark, none):
     assert quality_classifier.fit(docs, labels.limit(0)) is None and quality_classifier.score(docs, None).first().score == 0.5
 
 
+def test_clashing_names(spark):
+    """Columns that are called like those that operators make in passing, or return."""
+    rows = [(1, "the river walks under stones. " * 9, "a", "b", "c", "d", 5, 6), (2, None, "a", "b", "c", "d", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text string, __letters string, __id string, __gone string, __lines int, ids int")
+    carry = tuple(docs.columns)
+    same = lambda df: sorted((tuple(r) for r in df.select(*docs.columns).collect()), key=repr) == sorted(rows, key=repr)
+    assert same(line_dedup.dedup_lines(docs)) and same(quality_classifier.score(docs, None, carry=carry))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert same(quality_classifier.score(docs, quality_classifier.fit(docs, labels), carry=carry))
+    model = language_id.fit(docs.withColumn("lang", F.lit("en")))
+    assert same(language_id.identify(docs, model, carry=carry))
+    assert pieces.encode(docs, PIECES, carry=carry).columns == [c for c in carry if c != "ids"] + ["ids"]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counted = tokens.token_counts(docs.withColumn("n_tokens", F.lit(1)), path, public_tokenizers.PATTERN, carry=(*carry, "n_tokens"))
+    assert same(counted) and counted.columns == [*carry, "n_tokens"] and {r.n_tokens for r in counted.collect()} != {1}
+
+
 def test_isotonic():
     assert quality_classifier.isotonic(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
 
