@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,9 +11,65 @@ from pyspark.sql.types import IntegerType, StringType
 
 #: Stop words of pathway term tokens (fixed values).
 TERM_STOP_WORDS = ("and", "the", "for", "from", "with", "pathway", "process", "regulation")
-QUESTION_WORDS = "what|which|who|why|how|when|where|does|is|are|can|could|should"
-COMMAND_WORDS = "show|plot|run|find|compare|highlight|rename|merge|cluster|update|set|list|impute|link|clear|draw|identify"
-NAVIGATION_WORDS = "go to|open|switch to|back to|zoom"
+#: Patterns by which an input's kind is told, and how sure that is (fixed values, in order; the first kind that matches wins).
+INPUT_KINDS = (
+    ("navigation", 0.95, (
+        r"^(help|what can you do|commands|menu|options)$",
+        r"^(show|list)\s+(?:me\s+)?(?:the\s+)?(?:available\s+)?(?:commands?|options?|features?|capabilities?)",
+        r"^(\?|h\?|help\?)$",
+    )),
+    ("question", 0.85, (
+        r"^(what|how|why|when|where)\s+(?:is|are|does|do|can|will|would)(?!\s+about\s+cluster)",
+        r"^(can\s+you\s+)?(?:tell|explain|describe)\s+(?:me\s+)?(?:about|what|how)(?!\s+cluster)",
+        r"^(?:what|which)\s+(?:is|are)\s+(?:the\s+)?(?:meaning|definition|purpose|role|function)",
+        r"^(?:do\s+you\s+)?know\s+(?:about|what|how)(?!\s+cluster)",
+        r"^(?:is|are)\s+(?:there|this|that)\s+(?:a|any)",
+        r"^(?:what|how)\s+(?:does|do)\s+(?:this|that|it|the)",
+        r"^(?:what|how)\s+(?:can|should)\s+(?:i|we)",
+        r"^(?:what|which)\s+(?:does|do)\s+(?:this|that|it)\s+(?:mean|indicate|show)",
+        r"^what\s+about\s+(?!cluster)",
+    )),
+    ("command", 0.6, (
+        r"^(plot|show|display|visualize|create|run|execute|find|get|set|change|update|rename)",
+        r"^(?:please\s+)?(?:can\s+you\s+)?(?:plot|show|display|run|find|get)",
+        r"^(?:i\s+)?(?:want|would like|need)\s+(?:to\s+)?(?:plot|show|see|run|find|get)",
+        r"^what\s+about\s+cluster",
+        r"^do\s+you\s+know\s+(?:anything\s+)?about\s+cluster",
+    )),
+)
+#: Words of requests to highlight clusters, and of what makes them something else (fixed values).
+CLEAR_HIGHLIGHT = (
+    r"\bun-?highlight\w*|\bde-?select\w*|\bstop\s+highlighting\b",
+    r"\b(?:clear|remove|reset|undo|turn\s+off)\s+(?:the\s+|my\s+|this\s+)?(?:cluster\s+)?(?:highlight\w*|selection)\b",
+    r"\b(?:show|display|bring\s+back)\s+(?:all|every)\s+(?:the\s+|of\s+the\s+)?clusters?\b",
+    r"\bevery\s+cluster\s+(?:is\s+)?visible\b",
+)
+HIGHLIGHT = (
+    r"^(?:please\s+)?(?:(?:can|could|would)\s+you\s+)?(?:just\s+|only\s+)?(?:highlight|isolate|spotlight|select|focus\s+on)\b",
+    r"\b(?:show|display|plot|keep)\s+(?:me\s+)?only\b",
+    r"\bonly\s+(?:show|display)\b",
+    r"^(?:please\s+)?(?:can\s+you\s+)?just\s+(?:show|display)\b",
+)
+NOT_HIGHLIGHT = r"\b(?:markers?|genes?|degs?|differential\w*|violin|dot\s*plots?|dotplot|express\w*|rename|call|label)\b"
+#: Words of questions for a cluster's size or type, and of what makes them something else (fixed values).
+CLUSTER_SUMMARY = r"\b(?:size|how\s+(?:big|large|small)|how\s+many\s+cells|number\s+of\s+cells|cell\s+counts?|summar(?:y|i[sz]e)|overview|what\s+(?:cell\s+)?(?:type|kind\s+of\s+cells?)|which\s+cell\s+type)\b"
+NOT_SUMMARY = r"\b(?:markers?|genes?|degs?|differential\w*|rename|call|label|between|vs\.?|versus|disease|control|regions?|resolution|recluster\w*|umap|highlight\w*|motifs?|peaks?)\b"
+#: Words of comparisons of one cluster with all others (fixed values).
+DIFFERENTIAL = r"\b(?:de|degs?|differential\w*|markers?|genes?)\b"
+THE_REST = r"\b(?:vs\.?|versus|against|compared\s+(?:to|with))\s+(?:all\s+)?(?:the\s+)?(?:rest|everything(?:\s+else)?|all(?:\s+(?:other|the\s+other))?(?:\s+(?:cells|clusters))?|other\s+(?:cells|clusters)|others)\b"
+#: Words of questions for the settings in use, and of requests to change them (fixed values).
+ASKS_SETTINGS = r"\b(?:settings?|parameters?|params)\b|\b(?:you\s+(?:use|used|using)|are\s+you\s+using|being\s+used|(?:was|were)\s+(?:used|applied)|currently\s+(?:used|using|set))\b"
+SETTING_WORDS = r"\b(?:settings?|parameters?|params|thresholds?|resolution|variable\s+genes|hvgs?|pcs?|principal\s+components?|neighbou?rs|min[\s_]?dist|cutoffs?)\b"
+CHANGES_SETTINGS = r"\d|\b(?:set|change|update|increase|decrease|lower|raise|rerun|recompute|redo)\b"
+#: Steps whose parameters a text may mean, by their words (fixed values, in order).
+STEP_WORDS = (
+    ("featureSelection", r"\b(?:variable\s+genes?|hvgs?|feature\s+selection|features)\b"),
+    ("geneFiltering", r"\bgene\s+filter"),
+    ("cellFiltering", r"\b(?:filter(?:ing)?|thresholds?|qc|quality|min(?:imum)?\s+genes|mito)\b"),
+    ("pca", r"\b(?:pca|pcs?|principal\s+components?)\b"),
+    ("umap", r"\b(?:umap|embedding|min[\s_]*dist|neighbou?rs)\b"),
+    ("clustering", r"\b(?:cluster(?:ing|s)?|resolution)\b"),
+)
 STEPS = ("qc", "filtering", "normalization", "pca", "umap", "clustering")
 
 
@@ -20,15 +78,60 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"[\s.,!?;:]+$", ""), r"\s+", " ")
 
 
+def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+
+
 def input_type(text: Column) -> Column:
-    """navigation, command, question or unknown; the first rule that matches wins."""
+    """navigation, question, command or unknown."""
+    low, out = F.lower(F.trim(text)), F.lit("unknown")
+    for kind, _, patterns in reversed(INPUT_KINDS):
+        out = F.when(_any(low, patterns), kind).otherwise(out)
+    return out
+
+
+def input_confidence(text: Column) -> Column:
+    """How sure the kind of an input is; .3 for unknown ones."""
+    kind = input_type(text)
+    return F.coalesce(*[F.when(kind == name, F.lit(sure)) for name, sure, _ in INPUT_KINDS], F.lit(0.3))
+
+
+def highlight_direction(text: Column) -> Column:
+    """rna_on_atac or atac_on_rna: whose clusters are to be shown on the other's cells; null if a text doesn't say."""
+    low = F.lower(clean(text))
+    source, onto = F.regexp_extract(low, r"\b(rna|atac)\s+cluster\b", 1), F.regexp_extract(low, r"\b(?:on|onto|in)\s+(?:the\s+)?(rna|atac)\b", 1)
+    return F.when((source == "rna") | (source == "") & (onto == "atac"), "rna_on_atac").when((source == "atac") | (source == "") & (onto == "rna"), "atac_on_rna")
+
+
+def highlight_request(text: Column) -> Column:
+    """clear, highlight or null; texts on the chromatin modality are another command's."""
     low = F.lower(clean(text))
-    return (
-        F.when(low.rlike(f"^({NAVIGATION_WORDS})\\b"), "navigation")
-        .when(low.rlike(f"^(please )?({COMMAND_WORDS})\\b"), "command")
-        .when(low.rlike(f"^({QUESTION_WORDS})\\b") | F.trim(text).rlike(r"\?$"), "question")
-        .otherwise("unknown")
-    )
+    clear = F.when(~low.rlike(r"\brna\b"), "clear")
+    wanted = F.when(~low.rlike(NOT_HIGHLIGHT) & _any(low, HIGHLIGHT), "highlight")
+    return F.when(low.rlike(r"\batac\b"), F.lit(None).cast("string")).when(_any(low, CLEAR_HIGHLIGHT), clear).otherwise(wanted)
+
+
+def asks_cluster_summary(text: Column) -> Column:
+    low = F.lower(clean(text))
+    return low.rlike(CLUSTER_SUMMARY) & ~low.rlike(NOT_SUMMARY)
+
+
+def compares_with_rest(text: Column) -> Column:
+    low = F.lower(clean(text))
+    return low.rlike(DIFFERENTIAL) & low.rlike(THE_REST)
+
+
+def asks_settings(text: Column) -> Column:
+    low = F.lower(clean(text))
+    return ~low.rlike(CHANGES_SETTINGS) & low.rlike(ASKS_SETTINGS) & low.rlike(SETTING_WORDS)
+
+
+def parameter_group(text: Column) -> Column:
+    """The step whose parameters a text means, by its words; null if none."""
+    low, out = F.lower(clean(text)), F.lit(None).cast("string")
+    for step, pattern in reversed(STEP_WORDS):
+        out = F.when(low.rlike(pattern), step).otherwise(out)
+    return out
 
 
 def non_command(text: Column) -> Column:

@@ -156,6 +156,15 @@ def pathway_themes(terms: DataFrame, keep: int = 80, themes: int = 8, related: i
     return best.groupBy(F.lit(1).alias("all")).applyInPandas(run, "theme int, lead string, related array<string>")
 
 
+def _places(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with place, their place from 1 among the rows of one b in the order of keys; ranges hand on how many they hold."""
+    parts = ranged(rows, "b", *keys)
+    sizes = parts.groupBy("b", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("b", "__part", (F.sum("__n").over(Window.partitionBy("b").orderBy("__part")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("b", "__part").orderBy(*keys))
+    return parts.join(F.broadcast(before), ["b", "__part"]).withColumn("place", own + F.col("__before")).drop("__part", "__before")  # a row for each range
+
+
 def interactions(expression: DataFrame, groups: DataFrame, pairs: DataFrame, nboot: int = 20, half: float = 0.5) -> DataFrame:
     """source, target, pair, probability, p_value, ligand_pct, receptor_pct between groups(cell_id, grp).
 
@@ -163,9 +172,9 @@ def interactions(expression: DataFrame, groups: DataFrame, pairs: DataFrame, nbo
     the cells by a hash of cell and number and deals the labels anew in that order."""
     n = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     kept = groups.join(n, "grp", "left_semi")
-    order = kept.withColumn("place", F.row_number().over(Window.orderBy("cell_id")))  # the cell dimension's ids alone
-    boots = order.select("cell_id", "place", F.explode(F.sequence(F.lit(1), F.lit(nboot))).alias("b"))
-    shuffled = boots.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("cell_id", "b"), "cell_id")))
+    order = _places(kept.withColumn("b", F.lit(0)), "cell_id").drop("b")
+    boots = order.select("cell_id", F.explode(F.sequence(F.lit(1), F.lit(nboot))).alias("b")).withColumn("h", F.xxhash64("cell_id", "b"))
+    shuffled = _places(boots, "h", "cell_id")
     dealt = shuffled.join(order.select("place", "grp"), "place").select("cell_id", "b", "grp").unionByName(kept.select("cell_id", F.lit(0).alias("b"), "grp"))
     genes = pairs.select(F.explode(F.array("ligand", "receptor")).alias("feature_id")).distinct()
     own = expression.join(genes, "feature_id", "left_semi")

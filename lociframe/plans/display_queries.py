@@ -10,7 +10,7 @@ from ..model import rounded
 from ..operators import display, neighbors, stats
 from .interval_queries import _BAND, COV, FRAG, IV, TSS, _cov, _sizes
 from .matrix_queries import _DOTS, CELLS, LOGN, SC, SCELLS, C
-from .stats_queries import _rank_sql
+from .stats_queries import _KIND, _rank_sql
 
 
 def _data(spark, sf, sparse=False):
@@ -148,6 +148,45 @@ def gates(spark, sf):
     return rows.select("p_partkey", rounded(tx.gate(F.col("c"), F.col("has"))).alias("confidence"), tx.gated(F.lit("find_markers"), F.col("c"), F.col("has")).alias("action"))
 
 
+#: Requests and what they ask for: text, highlight, direction, cluster summary, against the rest, settings, group of parameters.
+REQUESTS = (
+    ("Highlight cluster 3", "highlight", None, False, False, False, "clustering"),
+    ("please show only the tubule cells.", "highlight", None, False, False, False, None),
+    ("show markers of cluster 2 only", None, None, False, False, False, "clustering"),
+    ("Clear the highlight!", "clear", None, False, False, False, None),
+    ("show all clusters", "clear", None, False, False, False, "clustering"),
+    ("clear the rna highlight", None, None, False, False, False, None),
+    ("show RNA cluster 4 on the ATAC view", None, "rna_on_atac", False, False, False, "clustering"),
+    ("select these on the rna", "highlight", "atac_on_rna", False, False, False, None),
+    ("how many cells are in cluster 5?", None, None, True, False, False, "clustering"),
+    ("how big is the podocyte region", None, None, False, False, False, None),
+    ("markers of cluster 3 versus the rest", None, None, False, True, False, "clustering"),
+    ("degs of podocytes compared to all other cells", None, None, False, True, False, None),
+    ("podocytes vs the rest", None, None, False, False, False, None),
+    ("which resolution are you using", None, None, False, False, True, "clustering"),
+    ("set the resolution parameter", None, None, False, False, False, "clustering"),
+    ("current umap settings", None, None, False, False, True, "umap"),
+    ("number of variable genes and gene filter", None, None, False, False, False, "featureSelection"),
+    ("gene filter thresholds", None, None, False, False, False, "geneFiltering"),
+    ("mito cutoff and qc", None, None, False, False, False, "cellFiltering"),
+    ("principal components", None, None, False, False, False, "pca"),
+)
+
+
+def requests(spark, sf):
+    from ..functions import text as tx
+
+    t = F.col("text")
+    rows = spark.createDataFrame([(r[0],) for r in REQUESTS], "text string")
+    return rows.select("text", tx.highlight_request(t).alias("highlight"), tx.highlight_direction(t).alias("direction"), tx.asks_cluster_summary(t).alias("summary"), tx.compares_with_rest(t).alias("rest"), tx.asks_settings(t).alias("settings"), tx.parameter_group(t).alias("grp"))
+
+
+def input_confidences(spark, sf):
+    from ..functions import text as tx
+
+    return m.table(spark, sf, "conversations").groupBy(rounded(tx.input_confidence(F.col("text"))).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- commands -----------------------------------------------------------------------------------------------
 
 
@@ -170,7 +209,7 @@ def command_dotplot(spark, sf):
 
 
 def command_find_markers(spark, sf):
-    found = commands.run(_data(spark, sf, True), "find_markers", cluster=3)
+    found = commands.run(_data(spark, sf), "find_markers", cluster=3)
     return found.select("feature_id", rounded(F.col("p_val"), 5).alias("p_val"), rounded(F.col("pct1")).alias("pct1"), rounded(F.col("pct2")).alias("pct2"))
 
 
@@ -246,7 +285,8 @@ def command_links(spark, sf):
 
     data = _data(spark, sf)
     data.links = iv.band_join(m.intervals(spark, sf), m.tss(spark, sf), DISTANCE)
-    return commands.run(data, "show_peak_gene_links", gene=12).select("peak_id", "distance")
+    gene = data.links.agg(F.min("gene")).first()[0]
+    return commands.run(data, "show_peak_gene_links", gene=gene).select("peak_id", "distance")
 
 
 def command_umap(spark, sf):
@@ -261,7 +301,13 @@ _LINK = "SELECT * FROM (SELECT '{how}' AS how, CAST(row_number() OVER (ORDER BY
 _PAGE = "SELECT {o} AS \"offset\", CAST(greatest(0, least({n}, total - {o})) AS INTEGER) AS shown, coalesce((SELECT string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 3 OFFSET {o})), '') AS first, total, total > {o} + {n} AS has_more, CAST(CASE WHEN total > {o} + {n} THEN {o} + {n} ELSE -1 END AS BIGINT) AS next_offset FROM c"
 _NAMED = "nm AS (SELECT p_partkey AS id, p_name || ' ' || CAST(p_partkey % 400 AS VARCHAR) AS name FROM part)"
 
+def _literal(x):
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'"
+
+
 QUERIES = {
+    "requests": (requests, "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_literal, r))})" for r in REQUESTS) + ") AS v(text, highlight, direction, summary, rest, settings, grp)"),
+    "input_confidences": (input_confidences, f"WITH k AS (SELECT {_KIND} AS kind FROM conversations) SELECT CASE kind WHEN 'navigation' THEN 0.95::DOUBLE WHEN 'question' THEN 0.85 WHEN 'command' THEN 0.6 ELSE 0.3 END AS confidence, count(*) AS n FROM k GROUP BY 1"),
     "expression_range": (expression_range, "WITH f AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderstatus = 'F'), w AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), u AS (SELECT 'shown' AS kind, lo, hi FROM f UNION ALL SELECT 'whole', lo, hi FROM w UNION ALL SELECT 'given', 10.0, 10.0 UNION ALL SELECT 'half', -1.0, hi FROM w) SELECT kind, round(lo, 6) + 0.0 AS low, round(CASE WHEN lo = hi THEN lo + 1e-6 ELSE hi END, 6) + 0.0 AS high FROM u"),
     "violin_guards": (violin_guards, "WITH v AS (SELECT c_nationkey AS cluster, CASE WHEN c_custkey % (c_nationkey + 1) = 0 THEN c_acctbal ELSE 0.0 END AS v FROM customer), g AS (SELECT cluster, count(*) AS n, avg(CASE WHEN v <> 0 THEN 1.0 ELSE 0.0 END) AS nz FROM v GROUP BY 1) SELECT cluster, n, round(nz, 6) + 0.0 AS nonzero, nz >= 0.2 AS drawn, round(greatest(0.4, sqrt(n / CAST(max(n) OVER () AS DOUBLE))), 6) + 0.0 AS width FROM g"),
     "coverage_completed": (coverage_completed, f"WITH {FRAG}, {COV}, {_SIZES}, k AS (SELECT DISTINCT cluster FROM sz), s AS (SELECT unnest(['a', 'b']) AS sample), v AS (SELECT cluster, sum(value) AS total FROM cov WHERE bin < 24 GROUP BY 1) SELECT sample, k.cluster AS cluster, CAST(24 AS BIGINT) AS n, round(coalesce(CASE WHEN sample = CASE WHEN k.cluster % 3 = 0 THEN 'a' ELSE 'b' END THEN total END, 0.0), 6) + 0.0 AS total, CAST(CASE WHEN sample = CASE WHEN k.cluster % 3 = 0 THEN 'a' ELSE 'b' END THEN n_cells ELSE 0 END AS BIGINT) AS n_cells FROM k CROSS JOIN s LEFT JOIN v ON v.cluster = k.cluster LEFT JOIN sz ON sz.cluster = k.cluster"),
@@ -284,7 +330,7 @@ QUERIES = {
     "command_spatial_gene": (command_spatial_gene, f"WITH {C}, {LOGN}, {_SEVEN} SELECT cell_id, round(value, 6) + 0.0 AS value, round(embedding[1]::DOUBLE, 5) + 0.0 AS x FROM seven JOIN embeddings ON vec_id = cell_id"),
     "command_violin": (command_violin, f"WITH {C}, {LOGN}, {_SEVEN} SELECT cluster, count(*) AS n, round(max(value), 5) + 0.0 AS max, round(quantile_cont(value, 0.5), 5) + 0.0 AS median FROM seven GROUP BY 1"),
     "command_dotplot": (command_dotplot, f"WITH {C}, {CELLS}, {_DOTS}, ids AS (SELECT min(p_partkey) AS feature_id FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_partkey IN (3, 7, 11)) GROUP BY lower(p_name)), z AS (SELECT *, avg(avg) OVER (PARTITION BY feature_id) AS mu, stddev_samp(avg) OVER (PARTITION BY feature_id) AS sd FROM dots SEMI JOIN ids USING (feature_id)) SELECT cluster, feature_id, round(greatest(-4.0, least(4.0, (avg - mu) / CASE WHEN sd IS NULL OR sd < 1e-12 THEN 1.0 ELSE sd END)), 5) + 0.0 AS scaled FROM z"),
-    "command_find_markers": (command_find_markers, _rank_sql("true", "cluster = 3") + " SELECT feature_id, p_val, pct1, pct2 FROM mk WHERE x1 > 0.2 OR x2 > 0.2"),
+    "command_find_markers": (command_find_markers, _rank_sql("true", "cluster = 3").replace(SC, C).replace(SCELLS, CELLS) + " SELECT feature_id, p_val, pct1, pct2 FROM mk WHERE x1 > 0.2 OR x2 > 0.2"),
     "command_region_markers": (command_region_markers, _rank_sql("true", "cluster IN (1, 2, 5, 8)") + " SELECT feature_id, p_val, p_val_adj FROM mk"),
     "command_deg": (command_deg, f"WITH {SC}, {SCELLS} SELECT count(DISTINCT feature_id) AS n FROM counts JOIN cells USING (cell_id) WHERE value > 0 AND cluster = 3 AND sample IN (0, 1)"),
     "command_cluster_info": (command_cluster_info, f"WITH {CELLS} SELECT cluster, count(*) AS n_cells, (SELECT count(*) FROM cells) AS total_cells, round(count(*) / (SELECT count(*) FROM cells)::DOUBLE, 6) + 0.0 AS fraction FROM cells WHERE cluster = 3 GROUP BY 1"),
@@ -299,6 +345,6 @@ QUERIES = {
     "command_list_clusters": (command_list_clusters, f"WITH {CELLS} SELECT DISTINCT cluster FROM cells ORDER BY cluster LIMIT 4 OFFSET 3"),
     "command_annotations": (command_annotations, f"WITH {CELLS} SELECT cell_id, CASE WHEN cluster % 3 = 0 THEN 'type ' || label ELSE label END AS annotation FROM cells"),
     "command_gene_info": (command_gene_info, f"WITH {C} SELECT feature_id, count(*) AS n_cells, sum(value) AS total, round(avg(value), 6) + 0.0 AS mean FROM counts WHERE feature_id = (SELECT min(p_partkey) FROM part WHERE lower(p_name) = (SELECT lower(p_name) FROM part WHERE p_partkey = 7)) AND value > 0 GROUP BY 1"),
-    "command_links": (command_links, f"WITH {IV}, {TSS}, {_BAND} SELECT peak_id, distance FROM band WHERE gene = 12"),
+    "command_links": (command_links, f"WITH {IV}, {TSS}, {_BAND} SELECT peak_id, distance FROM band WHERE gene = (SELECT min(gene) FROM band)"),
     "command_umap": (command_umap, "SELECT vec_id AS cell_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y FROM embeddings"),
 }

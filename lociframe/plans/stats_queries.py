@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import text as tx
 from ..functions.genomic import normal_tail_sql
 from ..model import rounded
 from ..operators import matrix, neighbors, stats, summaries
-from .matrix_queries import _DOTS, CELLS, SC, SCELLS, C
+from .matrix_queries import _DOTS, CELLS, LOGN, SC, SCELLS, C
 
 
 def _markers(spark, sf, one):
@@ -85,19 +87,23 @@ def motif_fold(spark, sf):
 
 
 def _terms(spark, sf):
-    chosen = m.table(spark, sf, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("gene"))
-    sets = m.table(spark, sf, "part").select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("gene"))
-    return stats.enrichment(chosen, sets, m.table(spark, sf, "part").count())
+    """Overlapping bands of part sizes as terms, and the parts of small size as the chosen ones."""
+    part = m.table(spark, sf, "part")
+    chosen = part.where("p_size <= 20").select(F.col("p_partkey").alias("gene"))
+    bands = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("p_size") - 6) / 3)), F.floor(F.col("p_size") / 3))
+    sets = part.select(F.explode(bands).alias("band"), F.col("p_partkey").alias("gene")).select(F.concat(F.lit("GO_SIZE_BAND_"), F.col("band").cast("string")).alias("term"), "gene")
+    return stats.enrichment(chosen, sets, part.count()), sets
 
 
 def set_enrichment(spark, sf):
-    return _terms(spark, sf)
+    found = _terms(spark, sf)[0]
+    return found.select("term", "overlap", "set_size", rounded(F.col("p_val"), 5).alias("p_val"), rounded(F.col("p_val_adj"), 5).alias("p_val_adj"))
 
 
 def pathway_themes(spark, sf):
-    genes = m.table(spark, sf, "part").groupBy(F.col("p_brand").alias("term")).agg(F.slice(F.sort_array(F.collect_set("p_size")), 1, 60).alias("genes"))
-    rows = _terms(spark, sf).join(genes, "term").withColumn("tokens", tx.term_tokens(F.col("term")))
-    return stats.pathway_themes(rows.withColumn("p_val", F.lit(0.005)))
+    rows, sets = _terms(spark, sf)
+    genes = sets.groupBy("term").agg(F.collect_set("gene").alias("genes"))
+    return stats.pathway_themes(rows.join(genes, "term").withColumn("tokens", tx.term_tokens(F.col("term"))))
 
 
 def ligand_receptor_perm(spark, sf):
@@ -108,6 +114,12 @@ def ligand_receptor_perm(spark, sf):
     return stats.interactions(matrix.log_normalize(m.counts(spark, sf)), groups, pairs)
 
 
+def ligand_receptor_observed(spark, sf):
+    """What ligand_receptor_perm observes, without its permutations' p."""
+    rows = ligand_receptor_perm(spark, sf)
+    return rows.select("source", "target", "pair", rounded(F.col("probability")).alias("probability"), rounded(F.col("ligand_pct")).alias("ligand_pct"), rounded(F.col("receptor_pct")).alias("receptor_pct"))
+
+
 # ---- texts -------------------------------------------------------------------------------------------------
 
 #: Command texts by the row's number; {n} is a number of the row.
@@ -160,7 +172,7 @@ def _scored(spark, sf):
     """Nearest-example scores: the largest cosine of a vector with an intent's examples (the first five of each label)."""
     emb = m.embedding(spark, sf)
     examples = emb.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("cell_id"))).where("k <= 5")
-    near = neighbors.knn(emb, examples, 1_000)
+    near = neighbors.knn(emb, examples, examples.count())
     own = examples.select(F.col("cell_id").alias("dst"), F.col("cluster").alias("intent"))
     return near.join(F.broadcast(own), "dst").groupBy("src", "intent").agg((1 - F.min("dist")).alias("score"))
 
@@ -201,7 +213,21 @@ _MK = 'SELECT feature_id, p_val, "avg_logFC", pct1, pct2, p_val_adj FROM mk'
 _INTENT = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM e) WHERE k <= 5),
     sc AS (SELECT a.id AS src, b.label AS intent, max(round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12)) AS score FROM e a, ex b GROUP BY 1, 2)"""
 _CLEAN = "lower(regexp_replace(regexp_replace(trim(text), '[\\s.,!?;:]+$', ''), '\\s+', ' ', 'g'))"
-_KIND = f"CASE WHEN regexp_matches({_CLEAN}, '^({tx.NAVIGATION_WORDS})\\b') THEN 'navigation' WHEN regexp_matches({_CLEAN}, '^(please )?({tx.COMMAND_WORDS})\\b') THEN 'command' WHEN regexp_matches({_CLEAN}, '^({tx.QUESTION_WORDS})\\b') OR regexp_matches(trim(text), '\\?$') THEN 'question' ELSE 'unknown' END"
+
+
+def _kind_sql() -> str:
+    """The patterns of input_type for an engine without look-ahead: what must not follow is matched and excluded."""
+    cases = []
+    for kind, _, patterns in tx.INPUT_KINDS:
+        tests = []
+        for p in patterns:
+            bare, ahead = re.sub(r"\(\?!.*?\)", "", p), re.search(r"\(\?!(.*?)\)", p)
+            tests.append(f"regexp_matches(lower(trim(text)), '{bare}')" + (f" AND NOT regexp_matches(lower(trim(text)), '{bare}{ahead[1]}')" if ahead else ""))
+        cases.append(f"WHEN {' OR '.join(tests)} THEN '{kind}'")
+    return f"CASE {' '.join(cases)} ELSE 'unknown' END"
+
+
+_KIND = _kind_sql()
 
 QUERIES = {
     "wilcoxon_markers": (wilcoxon_markers, _rank_sql("true", "cluster = 3") + " " + _MK),
@@ -214,7 +240,16 @@ QUERIES = {
     "jaccard_terms": (jaccard_terms, "WITH s AS (SELECT DISTINCT p_brand AS term, p_size AS gene FROM part), n AS (SELECT term, count(*) AS n FROM s GROUP BY 1), i AS (SELECT a.term AS term, b.term AS term2, count(*) AS k FROM s a JOIN s b ON a.gene = b.gene AND a.term < b.term GROUP BY 1, 2) SELECT a.term AS term, b.term AS term2, round(coalesce(k, 0) / CAST(a.n + b.n - coalesce(k, 0) AS DOUBLE), 6) + 0.0 AS jaccard FROM n a JOIN n b ON a.term < b.term LEFT JOIN i ON i.term = a.term AND i.term2 = b.term"),
     "term_tokens": (term_tokens, "WITH w AS (SELECT p_partkey, i, words[i] AS w FROM (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT p_partkey, string_split(lower(p_name || ' pathway of the ' || p_type), ' ') AS words FROM part))), k AS (SELECT p_partkey, w, min(i) AS i FROM w WHERE length(w) > 2 AND w NOT IN ('and', 'the', 'for', 'from', 'with', 'pathway', 'process', 'regulation') GROUP BY 1, 2) SELECT p_partkey, string_agg(w, ' ' ORDER BY i) AS tokens FROM k GROUP BY 1"),
     "motif_fold": (motif_fold, "WITH t AS (SELECT CAST(count(CASE WHEN p_size <= 15 THEN 1 END) AS DOUBLE) AS nq, CAST(count(*) AS DOUBLE) AS nb FROM part), r AS (SELECT p_type, count(CASE WHEN p_size <= 15 THEN 1 END) AS q, count(*) AS b FROM part GROUP BY 1) SELECT p_type, q, b, round((q / nq) / (b / nb), 6) + 0.0 AS fold FROM r, t"),
-    "set_enrichment": (set_enrichment, None),
+    "set_enrichment": (set_enrichment, """WITH s AS (SELECT 'GO_SIZE_BAND_' || CAST(b AS VARCHAR) AS term, p_partkey AS gene, p_size FROM part, (SELECT unnest(range(0, 40)) AS b) WHERE b <= floor(p_size / 3.0) AND b >= ceil((p_size - 6) / 3.0)),
+        n AS (SELECT CAST(count(*) AS DOUBLE) AS u, CAST(count(CASE WHEN p_size <= 20 THEN 1 END) AS DOUBLE) AS d FROM part), h AS (SELECT term, count(CASE WHEN p_size <= 20 THEN 1 END) AS overlap, count(*) AS set_size FROM s GROUP BY 1),
+        t AS (SELECT term, overlap, set_size, u, d, CAST(unnest(range(overlap, CAST(least(set_size, d) AS BIGINT) + 1)) AS DOUBLE) AS i FROM h, n),
+        p AS (SELECT term, any_value(overlap) AS overlap, any_value(set_size) AS set_size, least(1.0, sum(exp(lgamma(set_size + 1.0) - lgamma(i + 1) - lgamma(set_size - i + 1) + lgamma(u - set_size + 1) - lgamma(d - i + 1) - lgamma(u - set_size - d + i + 1) - lgamma(u + 1) + lgamma(d + 1) + lgamma(u - d + 1)))) AS p FROM t WHERE d - i <= u - set_size GROUP BY term),
+        q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, term) AS q, row_number() OVER (ORDER BY p, term) AS k FROM p)
+        SELECT term, overlap, set_size, round(p, 5) + 0.0 AS p_val, round(least(1.0, min(q) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 5) + 0.0 AS p_val_adj FROM q"""),
+    "ligand_receptor_observed": (ligand_receptor_observed, f"""WITH {C}, {CELLS}, {LOGN}, tp AS (SELECT feature_id, row_number() OVER (ORDER BY feature_id) AS k FROM (SELECT feature_id FROM counts GROUP BY 1 ORDER BY sum(value) DESC, feature_id LIMIT 12)),
+        pr AS (SELECT CAST(a.feature_id AS VARCHAR) || '_' || CAST(b.feature_id AS VARCHAR) AS pair, a.feature_id AS ligand, b.feature_id AS receptor FROM tp a JOIN tp b ON b.k = a.k + 1 WHERE a.k % 2 = 1),
+        sz AS (SELECT sample AS grp, count(*) AS n FROM cells GROUP BY 1 HAVING count(*) >= 3), mn AS (SELECT sample AS grp, feature_id, sum(value) / max(n) AS mean, count(CASE WHEN value > 0 THEN 1 END) / CAST(max(n) AS DOUBLE) AS pct FROM ln_ JOIN cells USING (cell_id) JOIN sz ON sz.grp = sample GROUP BY 1, 2)
+        SELECT l.grp AS source, r.grp AS target, pair, round(l.mean * r.mean / (0.5 + l.mean * r.mean), 6) + 0.0 AS probability, round(l.pct, 6) + 0.0 AS ligand_pct, round(r.pct, 6) + 0.0 AS receptor_pct FROM pr JOIN mn l ON l.feature_id = ligand JOIN mn r ON r.feature_id = receptor"""),
     "pathway_themes": (pathway_themes, None),
     "ligand_receptor_perm": (ligand_receptor_perm, None),
     "input_type": (input_type, f"WITH {_CMD} SELECT c_custkey, {_KIND} AS kind, CASE WHEN regexp_matches({_CLEAN}, '^(hi|hello|hey|good (morning|evening))\\b') THEN 'greeting' WHEN regexp_matches({_CLEAN}, '^(thanks|thank you|great|ok|okay|cool)\\b') THEN 'thanks' END AS reason FROM cmd"),
