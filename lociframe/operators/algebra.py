@@ -177,6 +177,17 @@ def impute(source: DataFrame, target: DataFrame, values: DataFrame, n_pv: int =
     return neighbors.weighted_values(neighbors.imputation_weights(near), values)
 
 
+def kmeans(emb: DataFrame, k: int, iterations: int = 25, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(cell_id, cluster) and the centres of k clusters of directions: seeds drawn by squared distance in parallel rounds, then
+    up to so many rounds of assignment and means, each a pass over partitions."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = emb.select("cell_id", array_to_vector("vec").alias("features"))
+    model = KMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="cosine", initMode="k-means||").fit(rows)
+    return model.transform(rows).select("cell_id", F.col("prediction").alias("cluster")), np.array(model.clusterCenters())
+
+
 def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, rounds: int = 20, inner: int = 20, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """(cell_id, vec, batch) with batch effects removed, and the objective after each round.
 
@@ -187,9 +198,8 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     n = emb.count()
     k = k or max(1, min(round(n / 30), 100))
     place = {b: i for i, b in enumerate(batches)}
-    first = emb.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(k).select("vec").collect()
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
-    centers = unit(np.array([r.vec for r in first]))
+    centers = unit(kmeans(emb, k, seed=seed)[1]) if k > 1 else unit(np.array([emb.select("vec").first().vec]))
     k = len(centers)
     penalty = np.ones((k, len(batches)))
     current, objective = emb.select(F.col("cell_id").alias("id"), "vec", "batch", F.col("vec").alias("orig")), []

@@ -63,6 +63,47 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", exc
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
+def knn_projected(queries: DataFrame, base: DataFrame, k: int, projections: int = 8, window: int = 40, seed: int = 7) -> DataFrame:
+    """src, rank, dst, dist: about the k nearest of base for each query (cell_id, vec), by cosine distance, exact for the candidates.
+
+    All rows are put in the order of each of so many random projections; a query's candidates are the base rows within window
+    places of its own. Orders are cut into blocks of BLOCK base rows, each with window rows of its neighbours."""
+    from .stats import running_places
+
+    rng = np.random.default_rng(seed)
+    size = base.select(F.size("vec")).first()
+    axes = rng.normal(size=(projections, size[0] if size else 1)).round(12).tolist()
+    unit = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    dots = F.array(*[F.aggregate(F.zip_with("vec", F.array(*[F.lit(x) for x in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.greatest(unit, F.lit(1e-300)) for axis in axes])
+    rows = base.select("cell_id", "vec", F.lit(1).alias("held")).unionByName(queries.select("cell_id", "vec", F.lit(0).alias("held")))
+    at = running_places(rows.select("*", F.posexplode(dots).alias("b", "v")), "held", "v", "held", "cell_id")
+    block, inside = F.floor(F.col("place") / BLOCK), F.pmod("place", F.lit(BLOCK))
+    near = F.array_compact(F.array(block, F.when(inside <= window, block - 1), F.when(inside >= BLOCK - window, block + 1)))
+    b = at.where("held = 1").select("b", F.explode(near).alias("block"), "place", F.col("cell_id").alias("id"), "vec")
+    # both come from one frame; names of their own keep the queries' columns apart
+    q = at.where("held = 0").select(F.col("b").alias("b"), block.alias("block"), F.col("place").alias("place"), F.col("cell_id").alias("id"), F.col("vec").alias("vec"))
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": [], "dst": [], "dist": []})]
+        if len(asked) and len(held):
+            held = held.sort_values("place", kind="stable")
+            x, places, names = np.stack(held["vec"].to_numpy()).astype(float), held["place"].to_numpy(), held["id"].to_numpy()
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            for src, place, vec in zip(asked["id"], asked["place"], asked["vec"], strict=True):
+                low, high = np.searchsorted(places, [place - window, place + window + 1])
+                v = np.asarray(vec, float)
+                dist = np.round(1 - x[low:high] @ v / max(np.linalg.norm(v), 1e-300), 12)
+                dist[names[low:high] == src] = np.inf
+                top = np.lexsort((names[low:high], dist))[:k]
+                top = top[dist[top] < np.inf]
+                out.append(pd.DataFrame({"src": src, "dst": names[low:high][top], "dist": dist[top]}))
+        return pd.concat(out)
+
+    found = q.groupBy("b", "block").cogroup(b.groupBy("b", "block")).applyInPandas(run, "src long, dst long, dist double")
+    found = found.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+
+
 def snn(neighbors: DataFrame, prune: float = 0.0) -> DataFrame:
     """src < dst, weight: one edge for each unordered neighbour pair, weighted by the Jaccard index of their neighbour
     lists (which do not hold the nodes themselves), kept if over prune."""

@@ -157,11 +157,16 @@ def pathway_themes(terms: DataFrame, keep: int = 80, themes: int = 8, related: i
 
 
 def _places(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows with place, their place from 1 among the rows of one b in the order of keys; ranges hand on how many they hold."""
+    """rows with place, their place from 1 among the rows of one b in the order of keys, which must tell rows apart."""
+    return running_places(rows.withColumn("__one", F.lit(1)), "__one", *keys).drop("__one")
+
+
+def running_places(rows: DataFrame, weight: str, *keys: str) -> DataFrame:
+    """rows with place: the sum of weight over the rows of the same b up to each, in the order of keys, by ranges."""
     parts = ranged(rows, "b", *keys)
-    sizes = parts.groupBy("b", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("b", "__part", (F.sum("__n").over(Window.partitionBy("b").orderBy("__part")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("b", "__part").orderBy(*keys))
+    sums = parts.groupBy("b", "__part").agg(F.sum(weight).alias("__sum"))
+    before = sums.select("b", "__part", (F.sum("__sum").over(Window.partitionBy("b").orderBy("__part")) - F.col("__sum")).alias("__before"))
+    own = F.sum(weight).over(Window.partitionBy("b", "__part").orderBy(*keys))
     return parts.join(F.broadcast(before), ["b", "__part"]).withColumn("place", own + F.col("__before")).drop("__part", "__before")  # a row for each range
 
 

@@ -107,10 +107,19 @@ def sketch_clustering(spark, sf):
     edges = m.materialized(_snn(sample), "snn")
     labels = m.materialized(graph.split_disconnected(graph.louvain(_nodes(sample), edges, 1.8), edges), "labels")
     labels = labels.select(F.col("node").alias("cell_id"), F.col("cluster").alias("label"))
-    near = neighbors.knn(emb.join(chosen, "cell_id", "left_anti"), sample, 5)
+    near = neighbors.knn_projected(emb.join(chosen, "cell_id", "left_anti"), sample, 5)
     return labels.unionByName(neighbors.vote(near, labels).withColumnRenamed("src", "cell_id"))
 
 
+def knn_projected(spark, sf):
+    emb = m.embedding(spark, sf)
+    return neighbors.knn_projected(emb.where("cell_id % 5 = 0"), emb, 5)
+
+
+def kmeans_clusters(spark, sf):
+    return algebra.kmeans(m.embedding(spark, sf), 10)[0]
+
+
 def banksy_regions(spark, sf):
     """Neighbourhood-augmented features, their principal components, and clusters of these."""
     pts = m.points(spark, sf).withColumnRenamed("id", "cell_id")
@@ -123,5 +132,5 @@ def banksy_regions(spark, sf):
 
 QUERIES = {
     f.__name__: (f, None)
-    for f in (lsi_embedding, pca_embedding, louvain, connected_split, harmony, spage_impute, single_sample_pipeline, multi_sample_pipeline, wnn_pipeline, sketch_clustering, banksy_regions)
+    for f in (lsi_embedding, pca_embedding, louvain, connected_split, harmony, spage_impute, single_sample_pipeline, multi_sample_pipeline, wnn_pipeline, sketch_clustering, banksy_regions, knn_projected, kmeans_clusters)
 }

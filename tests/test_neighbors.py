@@ -182,3 +182,29 @@ def test_imputation_recovers_values(spark, blobs):
     values = source.select("cell_id", F.lit(0).alias("feature_id"), F.floor(F.col("cell_id") / 30).cast("double").alias("value"))
     found = algebra.impute(source, target, values, 3, 5).collect()
     assert len(found) == 45 and all(abs(r.value - r.src // 30) < 0.01 for r in found)
+
+
+def test_projected_neighbours(spark, monkeypatch):
+    from lociframe.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(6, 5))
+    emb = spark.createDataFrame([(i, (centers[i % 6] + rng.normal(size=5) * 0.2).tolist()) for i in range(300)], "cell_id long, vec array<double>").repartition(3)
+    asked = emb.where("cell_id % 4 = 0")
+    exact = {(r.src, r.dst): r.dist for r in neighbors.knn(asked, emb, 5, exclude_self=True).collect()}
+    found = neighbors.knn_projected(asked, emb, 5, window=20).collect()
+    assert len(found) == 5 * 75 and sum((r.src, r.dst) in exact for r in found) >= 0.85 * len(found)
+    assert all(abs(exact[r.src, r.dst] - r.dist) < 1e-9 for r in found if (r.src, r.dst) in exact)
+    whole = neighbors.knn_projected(asked, emb, 5, window=300)
+    assert {(r.src, r.dst) for r in whole.collect()} == set(exact)
+
+
+def test_kmeans_finds_directions(spark):
+    from lociframe.operators import algebra
+
+    rng = np.random.default_rng(1)
+    centers = np.eye(4) * 3
+    emb = spark.createDataFrame([(i, (centers[i % 4] + rng.normal(size=4) * 0.1).tolist()) for i in range(120)], "cell_id long, vec array<double>")
+    labels = {r.cell_id: r.cluster for r in algebra.kmeans(emb, 4)[0].collect()}
+    assert len(set(labels.values())) == 4 and all(labels[i] == labels[i % 4] for i in labels)
