@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import short_batches
+from .shared import short_batches, together
 from .tokens import lower_word_encoder
 
 CAPACITY = 2048
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def sizes() -> Iterator[int]:
             nonlocal part
             number = 0
-            for held in _together(it, 3000):
+            for held in together(it):
                 part, texts, names = held.column("__part")[0].as_py(), held.column("__text").combine_chunks(), held.column(id_col)
                 found, starts = encode(texts)
                 for k, name in enumerate(names.to_pylist()):
@@ -164,18 +164,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return step.mapInArrow(run, fields)
 
 
-def _together(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """The batches, so many rows of them at a time: more words of more texts are the same."""
-    held: list[pa.RecordBatch] = []
-    for batch in it:
-        held += [batch] * (len(batch) > 0)
-        if sum(map(len, held)) >= rows:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import fresh, short_batches, spread, text_blocks
+from .shared import WORD_BLOCK, fresh, short_batches, spread, text_blocks, together
 from .word_cache import WordTable, span_strings
 
 MARK = "▁"
@@ -176,7 +176,7 @@ class PieceModel:
         """Ids of all texts, with begin and end ids, and where each text's ids begin (and the last end)."""
         texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
         all_ids, all_sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for low, high, data, offsets in text_blocks(texts):
+        for low, high, data, offsets in text_blocks(texts, WORD_BLOCK):
             words, rows = self.words(data, offsets)
             ids, lengths = self.table.look_up(words)
             all_ids.append(ids)
@@ -205,12 +205,6 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def _slices(it: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        for low in range(0, len(batch), rows):
-            yield batch.slice(low, rows)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to carry and ids, an array of the text's ids with begin and end; a column to carry of that name gives way."""
     carry = tuple(c for c in carry if c.lower() != "ids")
@@ -220,10 +214,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", carry: tuple[str,
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in _slices(it):
-            ids, starts = model.encode(batch.column(text))
+        for batch in together(it):
+            ids, starts = model.encode(batch.column(text).combine_chunks())
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"ids": lists})
+            yield from pa.table({c: batch.column(c) for c in carry} | {"ids": lists}).combine_chunks().to_batches()
 
     return step.mapInArrow(run, docs.select(*carry).schema.add("ids", ArrayType(IntegerType())))
 
@@ -237,12 +231,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", carry: tuple[str
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in _slices(it):
-            ids = batch.column(ids_name)
+        for batch in together(it):
+            ids = batch.column(ids_name).combine_chunks()
             sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
             texts = model.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))))
             texts = [None if gone else t for t, gone in zip(texts, ids.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in carry} | {"text": pa.array(texts, pa.string())})
+            yield from pa.table({c: batch.column(c) for c in carry} | {"text": pa.array(texts, pa.string())}).combine_chunks().to_batches()
 
     return step.mapInArrow(run, encoded.select(*carry).schema.add("text", "string"))
 
@@ -255,14 +249,14 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in _slices(it):
-            ids, starts = model.encode(batch.column("__text"))
+        for batch in together(it):
+            ids, starts = model.encode(batch.column("__text").combine_chunks())
             raw = ids.astype("<u4")
-            yield pa.RecordBatch.from_pydict({
+            yield from pa.table({
                 id_col: batch.column(id_col),
                 "n_tokens": np.diff(starts).astype(np.int64),
                 "ids_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts[:-1], starts[1:], strict=True)],
                 "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in model.decode(ids, starts)],
-            })
+            }).combine_chunks().to_batches()
 
     return step.mapInArrow(run, docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 512 << 10
+#: Bytes of text whose words are looked up at once: the more, the more of them repeat.
+WORD_BLOCK = 4 << 20
+#: Settings of the C library's and Arrow's allocators in Python workers.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of an Arrow batch of texts.
 TEXT_ROWS = 1000
 #: Rows of two longs that may be broadcast, 16 MB.
@@ -53,7 +57,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     """Arrow batches of TEXT_ROWS rows, unless the session says otherwise: batches are buffered whole on both sides of
-    a Python worker, and Spark's usual 10,000 rows of text, or of pairs of long ones, take hundreds of MB."""
+    a Python worker, and Spark's usual 10,000 rows of text, or of pairs of long ones, take hundreds of MB. New Python
+    workers also give large arrays back to the system as they are freed, rather than keep them for their next task."""
+    for key, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(key, value)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(TEXT_ROWS))
@@ -70,6 +77,18 @@ def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def together(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Table]:
+    """The batches, so many rows of them at a time: more words of more texts are the same."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        held += [batch] * (len(batch) > 0)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def few_rows(df: DataFrame, n: int) -> DataFrame:
     """df, of n rows of two longs at most, marked for broadcast if it is small enough for that."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df

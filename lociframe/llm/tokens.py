@@ -19,11 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, lower_ascii, short_batches, text_blocks, word_spans
+from .shared import WORD_BLOCK, fresh, lower_ascii, short_batches, text_blocks, word_spans
 from .word_cache import WordTable, span_strings
 
-#: Bytes of text whose words are looked up at once: the more, the more of them repeat.
-WORD_BLOCK = 4 << 20
 #: Classes of bytes by which such a vocabulary's pre-tokeniser parts a word: letters, digits, marks (no apostrophe, which
 #: may begin a contraction); 0: any other, next to which words stay whole.
 _CLASS = np.zeros(256, np.uint8)
@@ -39,8 +37,7 @@ def parted(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, rows: np.ndar
     left, right = kind[:-1], kind[1:]
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = (left > 0) & (right > 0) & ((left != right) | (left == 2))
-    sigmas = np.concatenate(([0], np.cumsum(data == _SIGMA)))
-    for word in np.flatnonzero(sigmas[ends] > sigmas[begins]):
+    for word in np.unique(np.searchsorted(begins, np.flatnonzero(data == _SIGMA), "right") - 1):
         cut[begins[word] + 1 : ends[word]] = False
     inside = np.flatnonzero(cut)
     if not len(inside) or not len(begins):
