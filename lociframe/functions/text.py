@@ -251,6 +251,15 @@ def first_json(text: pd.Series) -> pd.Series:
     return text.map(find)
 
 
+#: An object without objects inside; braces in its strings count for nothing.
+FLAT_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
+
+
+def complete_objects(text: Column) -> Column:
+    """The whole flat objects of a text, such as a list that breaks off; empty if there is none, null for null."""
+    return F.regexp_extract_all(text, F.lit(f"({FLAT_OBJECT})"), F.lit(1))
+
+
 def chained(text: Column) -> Column:
     """The commands of a text, parted at 'then' and semicolons."""
     return F.filter(F.transform(F.split(text, r"(?i)\s*(?:,?\s*(?:and\s+)?then\s+|;\s*)"), lambda x: F.trim(x)), lambda x: x != "")

@@ -168,6 +168,13 @@ def first_json(spark, sf):
     return rows.select("event_id", tx.first_json(F.col("text")).alias("json")).select("event_id", "json", F.get_json_object("json", "$.k").try_cast("int").alias("k"))
 
 
+def salvaged_items(spark, sf):
+    """The whole items of lists that break off in their last one."""
+    broken = F.concat(F.lit('said [{"a": "}{"}, '), "props", F.lit(', {"k": 4, "b'))
+    found = tx.complete_objects(broken)
+    return m.table(spark, sf, "events").select("event_id", F.size(found).alias("n"), found[0].alias("first"), found[1].alias("second"))
+
+
 def _scored(spark, sf):
     """Nearest-example scores: the largest cosine of a vector with an intent's examples (the first five of each label)."""
     emb = m.embedding(spark, sf)
@@ -258,6 +265,7 @@ QUERIES = {
     "chained_commands": (chained_commands, f"WITH {_CMD}, p AS (SELECT c_custkey, regexp_replace(text, ', then | then |; then ', '\x01', 'g') AS t FROM cmd), q AS (SELECT c_custkey, string_split(replace(t, '; then ', '\x01'), '\x01') AS a FROM p) SELECT c_custkey, CAST(i - 1 AS INTEGER) AS place, rtrim(a[i], ';') AS command FROM (SELECT c_custkey, a, unnest(range(1, len(a) + 1)) AS i FROM q)"),
     "fuzzy_names": (fuzzy_names, "WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_partkey, CAST(damerau_levenshtein(a, b) AS INTEGER) AS edits, length(a) + 1 >= 4 AS near FROM n"),
     "first_json": (first_json, "SELECT event_id, props AS json, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events"),
+    "salvaged_items": (salvaged_items, """SELECT event_id, CAST(2 AS INTEGER) AS n, '{"a": "}{"}' AS first, props AS second FROM events"""),
     "intent_cosine": (intent_cosine, f"WITH {_INTENT} SELECT src, intent, round(score, 6) + 0.0 AS score FROM sc"),
     "intent_softmax": (intent_softmax, f"WITH {_INTENT}, x AS (SELECT src, intent, exp(5 * score - max(5 * score) OVER (PARTITION BY src)) AS x FROM sc) SELECT src, intent, round(x / sum(x) OVER (PARTITION BY src), 6) + 0.0 AS p FROM x"),
     "ambiguity_flag": (ambiguity_flag, f"WITH {_INTENT}, r AS (SELECT *, lead(score) OVER (PARTITION BY src ORDER BY round(score, 9) DESC, intent) AS second, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, intent) AS k FROM sc), c AS (SELECT src, intent, score < 0.6 AND score - coalesce(second, 0.0) < 0.15 AS unclear, score FROM r WHERE k = 1), d AS (SELECT src, intent, unclear, CASE WHEN unclear THEN least(score, 0.45) ELSE score END AS confidence FROM c) SELECT src, intent, unclear, round(CASE WHEN src % 2 = 0 THEN greatest(confidence, 0.75) ELSE least(confidence, 0.3) END, 6) + 0.0 AS confidence FROM d"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociframe import commands
 from lociframe.sources import folders, readers, results
-from lociframe.streaming import coverage
+from lociframe.streaming import coverage, progress
 
 
 def put(folder, name, text):
@@ -123,5 +123,7 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     folder = f"file://{tmp_path}/events"
     events.write.parquet(folder)
     stream = coverage.windowed_counts(coverage.stream_table(spark, folder, events.schema))
-    stream.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert progress.progress(spark, query).agg({"rows": "sum"}).first()[0] == 30
     assert rows(spark.table("live")) == rows(coverage.windowed_counts(events))
