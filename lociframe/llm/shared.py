@@ -18,7 +18,7 @@ BLOCK_BYTES = 512 << 10
 #: Bytes of text whose words are looked up at once: the more, the more of them repeat.
 WORD_BLOCK = 4 << 20
 #: Settings of the C library's and Arrow's allocators in Python workers.
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of an Arrow batch of texts.
 TEXT_ROWS = 1000
 #: Rows of two longs that may be broadcast, 16 MB.
@@ -77,7 +77,7 @@ def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def together(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Table]:
+def together(it: Iterator[pa.RecordBatch], rows: int = 3000) -> Iterator[pa.Table]:
     """The batches, so many rows of them at a time: more words of more texts are the same."""
     held: list[pa.RecordBatch] = []
     for batch in it:
