@@ -15,6 +15,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: By application: its folder for stored tables, in local mode without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +32,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, deleted when the driver's JVM ends.
 
     Where that is unset, a temporary folder serves a driver that runs its tasks itself; on a cluster it is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not where:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lociframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lociframe-")
     path = f"{where}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
