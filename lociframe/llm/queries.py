@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, line_dedup, packing, pieces, quality_classifier, quality_rules, tokens, warc
+from . import ann, conversation_repair, jaccard_join, language_id, line_dedup, oracles, packing, pieces, quality_classifier, quality_rules, tokens, vector_codes, warc
 from .shared import shared_path
 
 
@@ -73,8 +73,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None if books is None else books.digest()).cast("string")
+    found = vector_codes.with_label_errors(coded)
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+    digest = F.sha2(conversation_repair.repaired_text(F.col("turns")), 256)
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest.alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier, op11_vector_codes, op12_conversation_repair)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -134,4 +147,4 @@ ORACLE_SQL: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op11_vector_codes": oracles.vector_codes_sql(), "op12_conversation_repair": oracles.conversation_repair_sql()}

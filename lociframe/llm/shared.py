@@ -23,6 +23,8 @@ WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_":
 TEXT_ROWS = 1000
 #: Rows of two longs that may be broadcast, 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: By application: its folder for stored tables, in local mode without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -30,12 +32,12 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir. Where that is unset, a temporary one serves a driver that
     runs its tasks itself; on a cluster it is an error, as executors wouldn't see such a folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lociframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    found = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lociframe-")
     return found
 
 
@@ -47,6 +49,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later step reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: later steps neither recompute it nor hang on
     executors that computed it."""
