@@ -102,3 +102,75 @@ def conversation_repair_sql() -> str:
         SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(best.o[2:]) AS repaired_sha256
         FROM convs c JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
     """
+
+
+def disclosure_sql() -> str:
+    """Personal data and disclosing terms, with the contract's plain patterns; offsets are running sums over the pieces between matches."""
+    email, ip, phone = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"\+[0-9][\x20().0-9-]+[0-9]"
+    card, term = r"[0-9](?:[\x20-]?[0-9])+", r"[\p{L}\p{N}_]{3,}"
+    long_card = r"[0-9](?:[\x20-]?[0-9]){13,}"
+    either = "|".join((email, phone, long_card, ip))
+
+    def placed(source: str, keys: str, text: str, pattern: str) -> str:
+        """keys, m, start (from 0) and i (from 1) of every match."""
+        return rf"""SELECT {keys}, m, i, CAST(sum(length(piece) + CASE WHEN i > 1 THEN length(ms[i - 1]) ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) AS start FROM (
+            SELECT {keys}, ms, unnest(ms) AS m, unnest(pieces[1:len(ms)]) AS piece, unnest(range(1, len(ms) + 1)) AS i FROM (
+                SELECT {keys}, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS pieces FROM {source}))"""
+
+    def valid(kind: str) -> str:
+        digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+        return {
+            "email": "true",
+            "ip": "len(list_filter(string_split(m, '.'), lambda o: length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(o AS HUGEINT), 999) > 255)) = 0",
+            "card": f"length({digits}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN (length({digits}) - k) % 2 = 0 THEN CAST({digits}[k] AS INT) ELSE 2 * CAST({digits}[k] AS INT) - CASE WHEN {digits}[k] > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
+            "phone": f"length({digits}) BETWEEN 10 AND 15",
+        }[kind]
+
+    kinds = {"email": email, "ip": ip, "card": card, "phone": phone}
+    base = " UNION ALL ".join(f"SELECT row, start, {at} AS kind_at, '{k}' AS kind, start + length(m) AS stop FROM ({placed('docs', 'row', 'text', p)}) WHERE {valid(k)}" for at, (k, p) in enumerate(kinds.items()))
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    entity = f"CASE WHEN contains(m, '@') THEN 'email:' || lower(m) WHEN m[1] = '+' THEN CASE WHEN {valid('phone')} THEN 'phone:' || {digits} END WHEN contains(m, '.') THEN CASE WHEN {valid('ip')} THEN 'ip:' || m END ELSE CASE WHEN {valid('card')} THEN 'card:' || {digits} END END"
+
+    def words(text: str) -> str:
+        return f"list_filter(regexp_extract_all(lower({text}), '{term}'), lambda t: length(t) <= 64)"
+
+    plain = f"regexp_replace(text, '{either}', ' ', 'g')"
+    return rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+        ), base AS ({base}
+        ), cut AS (
+            SELECT row, text, regexp_extract_all(text, '{either}') AS ms, string_split_regex(text, '{either}') AS pieces FROM docs WHERE row IN (SELECT row FROM base)
+        ), near AS (
+            SELECT row, text, {entity} AS entity, {words('ahead')} AS ahead, {words('behind')} AS behind
+            FROM (SELECT row, text, unnest(ms) AS m, unnest(pieces[1:len(ms)]) AS ahead, unnest(pieces[2:len(ms) + 1]) AS behind FROM cut)
+        ), pairs AS (
+            SELECT DISTINCT row, text, entity, term FROM (SELECT row, text, entity, unnest(list_concat(ahead[greatest(len(ahead) - 9, 1):], behind[1:10])) AS term FROM near WHERE entity IS NOT NULL)
+        ), paired AS (
+            SELECT entity, term, count(*) AS n_both FROM pairs GROUP BY entity, term HAVING count(*) >= 2 AND min(text) < max(text)
+        ), entities AS (
+            SELECT entity, count(DISTINCT row) AS n_entity FROM near WHERE entity IS NOT NULL GROUP BY entity
+        ), terms AS (
+            SELECT term, count(*) AS n_term FROM (SELECT DISTINCT row, unnest({words(plain)}) AS term FROM docs) WHERE term IN (SELECT term FROM paired) GROUP BY term
+        ), going AS (
+            SELECT entity, term, log2(n_term / n_both) <= 0.15 AS removed FROM (SELECT *, (SELECT count(*) FROM docs) AS n FROM paired JOIN entities USING (entity) JOIN terms USING (term))
+            WHERE log2(n / n_entity) - log2(n_term / n_both) >= 0.5 * log2(n / n_entity) AND n > n_entity AND log2(n_term / n_both) <= 1.0
+        ), flagged AS (
+            SELECT row, term, max(removed) AS removed FROM pairs JOIN going USING (entity, term) GROUP BY row, term
+        ), masked AS (
+            SELECT row, array_to_string(list_transform(range(1, len(pieces) + 1), lambda k: pieces[k] || repeat(' ', coalesce(length(ms[k]), 0))), '') AS text FROM cut WHERE row IN (SELECT row FROM flagged)
+        ), gone AS (
+            SELECT p.row, p.start, 4 AS kind_at, 'term' AS kind, p.start + length(m) AS stop, removed FROM ({placed('masked', 'row', 'text', term)}) p JOIN flagged f ON f.row = p.row AND f.term = lower(p.m)
+            WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = p.row AND b.start < p.start + length(p.m) AND p.start < b.stop)
+        ), spans AS (
+            SELECT *, NULL AS removed FROM base UNION ALL SELECT * FROM gone
+        ), told AS (
+            SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_at) FILTER (kind_at < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_at) AS spans,
+                count(*) FILTER (kind_at = 4) AS n_terms, count(*) FILTER (removed) AS n_removed
+            FROM spans GROUP BY row
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+            coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms, coalesce(n_removed, 0) AS n_removed
+        FROM docs LEFT JOIN told USING (row)
+    """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversation_repair, jaccard_join, language_id, line_dedup, oracles, packing, pieces, quality_classifier, quality_rules, tokens, vector_codes, warc
+from . import ann, conversation_repair, disclosure, jaccard_join, language_id, line_dedup, oracles, packing, pieces, quality_classifier, quality_rules, tokens, vector_codes, warc
 from .shared import shared_path
 
 
@@ -86,8 +86,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", digest.alias("repaired_sha256"))
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(_table(spark, sf_dir, "documents"))
+    counts = [disclosure.number_of(k).alias(f"n_{k}") for k in disclosure.KINDS]
+    removed = F.size(F.filter("terms", lambda s: s.removed)).cast("long").alias("n_removed")
+    return found.select("doc_id", *counts, F.sha2(disclosure.named(F.col("base")), 256).alias("base_sha256"), disclosure.named(disclosure.all_spans()).alias("spans"), F.size("terms").cast("long").alias("n_terms"), removed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier, op11_vector_codes, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_jaccard_join, op4_token_counts, op5_packing, op6_warc, op7_language_id, op8_ann, op9_piece_codec, op10_quality_classifier, op11_vector_codes, op12_conversation_repair, op13_disclosure)}
 
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -147,4 +154,4 @@ ORACLE_SQL: dict[str, str] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op11_vector_codes": oracles.vector_codes_sql(), "op12_conversation_repair": oracles.conversation_repair_sql()}
+    return ORACLE_SQL | {"op11_vector_codes": oracles.vector_codes_sql(), "op12_conversation_repair": oracles.conversation_repair_sql(), "op13_disclosure": oracles.disclosure_sql()}
