@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from .places import let
+
 #: Stop words of pathway term tokens (fixed values).
 TERM_STOP_WORDS = ("and", "the", "for", "from", "with", "pathway", "process", "regulation")
 #: Patterns by which an input's kind is told, and how sure that is (fixed values, in order; the first kind that matches wins).
@@ -70,7 +72,6 @@ STEP_WORDS = (
     ("umap", r"\b(?:umap|embedding|min[\s_]*dist|neighbou?rs)\b"),
     ("clustering", r"\b(?:cluster(?:ing|s)?|resolution)\b"),
 )
-STEPS = ("qc", "filtering", "normalization", "pca", "umap", "clustering")
 
 
 def clean(text: Column) -> Column:
@@ -134,45 +135,182 @@ def parameter_group(text: Column) -> Column:
     return out
 
 
-def non_command(text: Column) -> Column:
-    """Why a text asks for nothing, by ordered rules; null if it may ask for something."""
-    low = F.lower(clean(text))
-    return F.when(low == "", "empty").when(low.rlike("^(hi|hello|hey|good (morning|evening))\\b"), "greeting").when(low.rlike("^(thanks|thank you|great|ok|okay|cool)\\b"), "thanks").when(~low.rlike(r"\p{L}"), "no_words").when(F.length(low) > 400, "too_long")
+#: Texts that ask for nothing the engine does, and why, in order (fixed values).
+SOCIAL = r"^(?:hi|hello|hey|yo|hiya|thanks?|thank\s+you|thx|ty|ok(?:ay)?|cool|great|nice|awesome|perfect|good\s+(?:morning|afternoon|evening|night)|bye|goodbye|see\s+you|sorry|help|i\s*(?:am|'m)\s+(?:confused|lost|stuck))\b"
+GENERAL_CHAT = r"\b(?:joke|weather|poem|story|email|e-mail|what\s+time\s+is\s+it|who\s+(?:made|built|created|wrote)|your\s+name)\b"
+UNSUPPORTED = (
+    (r"\b(?:trajector(?:y|ies)|pseudo-?time|lineage|monocle|slingshot|paga|palantir|cellrank)\b", "run trajectory or pseudotime analysis"),
+    (r"\b(?:rna\s+velocity|velocity|scvelo|velocyto)\b", "estimate RNA velocity"),
+    (r"\b(?:go\s+(?:enrichment|terms?|analysis)|gene\s+ontology|kegg|reactome|gsea|pathway\s+(?:enrichment|analysis))\b", "run GO or pathway enrichment"),
+    (r"\b(?:export|download)\b|\bsave\b.*\b(?:as|to)\b|\b(?:csv|pdf|png|svg|tiff?|xlsx|excel|h5ad|rds|loom)\b", "export or save files"),
+    (r"\b(?:doublets?|scrublet|doubletfinder)\b", "detect doublets"),
+    (r"\bcell[\s-]*cycle\b|\bs[\s-]*phase\b|\bg2m?\b", "score the cell cycle"),
+    (r"\b(?:infercnv|copy[\s-]*number|cnvs?)\b", "infer copy-number changes (CNV)"),
+    (r"\b(?:deconvol\w*|cell2location|rctd|spotlight|cibersort)\b", "deconvolute spots"),
+    (r"\b(?:harmony|scvi|bbknn|combat|scanorama|batch[\s-]*(?:correct\w*|effects?|integration|removal))\b|\bintegrat\w*\s+(?:the\s+|all\s+|across\s+(?:the\s+)?)?samples\b", "batch-correct or integrate samples from chat (WNN joins RNA and ATAC, not samples)"),
+    (r"\b(?:azimuth|singler|celltypist|scanvi|label\s+transfer|cell\s+atlas|reference\s+(?:atlas|mapping|annotation)|predict\s+(?:the\s+)?cell\s+types?)\b", "annotate cells automatically with a reference atlas"),
+)
+#: Words by which questions on genes at large, on settings and on the data are told from requests (fixed values).
+GENE_KNOWLEDGE = r"\b(?:role|roles|function|functions|involved|disease|diseases|disorders?|mutations?|variants?|associated|literature|papers?|publications?|known\s+for|biology|regulates?|what\s+does\s+\S+\s+do)\b"
+GENERAL_TRUTH = r"\b(?:normally|usually|typically|generally|in\s+general|commonly|known\s+to\s+be)\b"
+OWN_DATA = r"\b(?:plot|show|display|visuali[sz]e|violin|dot\s*plot|dotplot|umap|my|this|our|here|cluster\s*\d+)\b"
+LOOKS_AT_DATA = r"\b(?:express\w*|levels?|plot|show|display|visuali[sz]e|violin|dot\s*plot|dotplot|umap|where|distribut\w*|markers?)\b"
+QUESTION_START = r"^(?:what|what's|whats|how|why|who|where|which|is|are|does|do\s+(?:you|i|we|they|these|those|the|this|cells|genes)|should|could\s+you\s+explain|can\s+you\s+explain|explain|define|tell\s+me\s+what)\b"
+EMBEDDED_REQUEST = r"(?:^|[?.!,;]\s*|\b(?:and|then|please)\s+)(?:please\s+)?(?:show|plot|run|find|give|list|make|draw|display|rename|compute|calculate|recluster|rerun|redo|highlight|impute|segment|annotate|compare)\b"
+DATA_OBJECT = r"\b(?:cluster|clusters|region|regions|sample|samples)\s*#?\s*\d+\b|\b(?:selected|selection|selections|my\s+(?:area|areas|region|regions|roi)|between\s+the\s+samples|across\s+(?:the\s+)?samples|per\s+sample)\b"
+EXPRESSION_WORDS = r"\b(?:express(?:ed|es|ion|ing)?|levels?|distribut(?:ed|ion)|linked|links?|peaks?)\b"
+SETTINGS_QUESTION = r"\b(?:you\s+(?:use|used|using)|are\s+you\s+using|being\s+used|(?:was|were)\s+(?:used|applied)|applied|current(?:ly)?|right\s+now|at\s+the\s+moment)\b"
+GATE_SETTINGS = r"\b(?:settings?|parameters?|thresholds?|resolution|variable\s+genes|hvgs?|pcs?|principal\s+components?|neighbou?rs|min[\s_]?dist|filter(?:ing)?|cutoffs?)\b"
+GENE_SHAPED = r"\b[A-Za-z]{2,}\d+[A-Za-z0-9]*\b"
+#: Words of the engine's own field (fixed values).
+VOCABULARY = (
+    "umap", "tsne", "embedding", r"dimension\w*", "reduction", "clusters?", "clustering", r"recluster\w*", "cells?", "genes?",
+    "markers?", "degs?", r"differential\w*", "upregulated", "enriched", r"express\w*", "violins?", r"dot\s*plots?", "dotplots?",
+    "bubble", r"plot\w*", r"visuali[sz]\w*", r"feature\s+plot", "qc", "quality", r"mito\w*", "mt", "umis?", "counts?", r"filter\w*", "thresholds?",
+    "cutoffs?", "resolution", "leiden", "louvain", "pca", "pcs?", "principal", "components?", "hvgs?", "variable", "features?",
+    "neighbou?rs?", r"min[\s_-]*dist\w*", "spread", "parameters?", "settings?", "rename", "relabel", "labels?", r"annotat\w*",
+    "banksy", "regions?", "domains?", "niches?", "tissue", r"spatial\w*", r"segment\w*", "composition", "fractions?",
+    "proportions?", "samples?", "control", "disease", "atac", "rna", "wnn", "multiome", r"modalit\w*", r"integrat\w*",
+    "peaks?", "links?", "linked", "linkpeaks", "motifs?", "tfs?", "transcription", r"imput\w*", "spage", "cellchat",
+    r"ligand\w*", "receptors?", "interactions?", r"communicat\w*", "crosstalk", r"highlight\w*", r"un-?highlight\w*", r"de-?select\w*", "selection", "selected",
+    "selections", "roi", "colou?rs?", "colormap", "viridis", "magma", "plasma", "inferno", "dataset", "data",
+)
 
 
-def number_after(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(F.lower(text), pattern + r"\D{0,20}?(\d+(?:\.\d+)?)", 1).try_cast("double")
+def non_command(text: Column, n_genes: Column | int = 0, n_labels: Column | int = 0, has_genes: bool = False) -> Column:
+    """Why a text asks for nothing that can be done, by ordered rules; null if it may ask for something.
 
+    n_genes and n_labels are the numbers of names that entities() found in it; without a list of genes (has_genes) words of a
+    gene's shape count as genes."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[.!?,;:]+$", ""), r"\s+", " ")
+    gene = (F.lit(0) + n_genes > 0) | (F.lit(not has_genes) & t.rlike(GENE_SHAPED))
+    label, embedded, named = F.lit(0) + n_labels > 0, t.rlike(EMBEDDED_REQUEST), t.rlike(DATA_OBJECT)
+    out = F.when(t == "", "empty")
+    for pattern, topic in UNSUPPORTED:
+        out = out.when(t.rlike(pattern), "unsupported:" + topic)
+    out = out.when(gene & t.rlike(GENE_KNOWLEDGE) & ~t.rlike(LOOKS_AT_DATA) | gene & t.rlike(GENERAL_TRUTH) & ~t.rlike(OWN_DATA), "gene knowledge")
+    out = out.when(t.rlike(SOCIAL) & (F.size(F.split(t, " ")) <= 6) & ~embedded, "small talk").when(t.rlike(GENERAL_CHAT), "general chat")
+    out = out.when(~t.rlike(QUESTION_START) | embedded | t.rlike(SETTINGS_QUESTION) & t.rlike(GATE_SETTINGS), F.lit(None).cast("string"))
+    out = out.when(t.rlike(r"^(?:why|should)\b"), "question")
+    out = out.when(t.rlike(r"^how\s+many\s+(?:cells|genes|clusters|samples)\b") & ~(t.rlike(r"^how\s+many\s+cells\b") & (named | label)), "question")
+    out = out.when(t.rlike(r"^(?:how|where)\s+(?:do|can|should)\s+i\b"), "how-to question")
+    return out.when(named | label | gene & t.rlike(EXPRESSION_WORDS), F.lit(None).cast("string")).otherwise("question")
 
-def cell_filter(text: Column) -> Column:
-    """Struct of min_features, min_total and max_mito_pct named in a text, null where not named."""
-    return F.struct(number_after(text, "(?:min(?:imum)? (?:genes|features))").alias("min_features"), number_after(text, "(?:min(?:imum)? (?:umi|counts?))").alias("min_total"), number_after(text, "(?:mito\\w*)").alias("max_mito_pct"))
 
+def on_topic(text: Column, n_genes: Column | int = 0, n_labels: Column | int = 0, has_genes: bool = False) -> Column:
+    """Whether a text is about the data at all: it names a gene, a label or a numbered cluster, or uses a word of the field."""
+    t = F.coalesce(text, F.lit(""))
+    named = (F.lit(0) + n_genes > 0) | (F.lit(0) + n_labels > 0) | (F.lit(not has_genes) & t.rlike(GENE_SHAPED))
+    return named | t.rlike(r"(?i)\b(?:cluster|region|sample)\s*#?\s*\d+\b") | t.rlike(r"(?i)\b(?:" + "|".join(VOCABULARY) + r")\b")
 
-def hvg_count(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"(\d+)\s+(?:highly\s+)?(?:variable|hvg)", 1).try_cast("int")
 
+def plain(text: Column) -> Column:
+    """Trimmed, without closing punctuation (commas stay), single spaces."""
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"[.!?;]+$", ""), r"\s+", " ")
 
-def min_dist(text: Column) -> Column:
-    return F.regexp_extract(F.lower(text), r"min[_ ]?dist\w*\D{0,10}?(\d*\.?\d+)", 1).try_cast("double")
 
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """What a group of pattern's first match holds; null without one."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
-def parameter_step(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for step in reversed(STEPS):
-        out = F.when(F.contains(F.lower(text), F.lit(step)), step).otherwise(out)
-    return out
 
+_NUMBER = r"(\d+(?:\.\d+)?)"
 
-def rename(text: Column) -> Column:
-    """Struct (old, new) of 'rename X to Y'; null without both."""
-    pattern = r"(?i)^\s*rename\s+(?:cluster\s+|region\s+)?[\"']?(.+?)[\"']?\s+(?:to|as)\s+[\"']?(.+?)[\"']?\s*[.!]?\s*$"
-    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).alias("old"), F.regexp_extract(text, pattern, 2).alias("new")))
 
+def cell_filter(text: Column) -> Column:
+    """Struct of min_features, min_total and max_mito_pct named in a text, null where not named. Numbers of variable genes are
+    no filter."""
+    return let(F.lower(plain(text)), _cell_filter)
+
+
+def _cell_filter(t: Column) -> Column:
+    mito = F.coalesce(
+        _found(t, _NUMBER + r"\s*(?:%|percent)?\s*(?:of\s+)?(?:mito(?:chondrial)?|mt)\b"),
+        _found(t, r"\b(?:mito(?:chondrial)?|mt)(?:\s*(?:percent(?:age)?|fraction|reads|counts|threshold|cutoff))?\s*(?:<=|<|>|=|to|of|at|above|below|over|under|less\s+than|more\s+than)?\s*" + _NUMBER),
+    )
+    genes = []
+    for pattern in (
+        r"\bmin(?:imum)?\s*(?:detected\s+)?genes?(?:\s+per\s+cell)?\s*(?:=|>=|>|to|of|at)?\s*" + _NUMBER,
+        r"\bgenes?\s*(?:detected|per\s+cell)?\s*(?:cutoff|threshold|filter|minimum)\s*(?:=|to|of|at)?\s*" + _NUMBER,
+        r"\b(?:cutoff|threshold|filter)\s+(?:of|to|at)\s+(?:at\s+least\s+)?" + _NUMBER + r"\s*(?:detected\s+)?(?:genes?|per\s+cell)",
+        _NUMBER + r"\s*\+?\s*(?:or\s+more\s+)?(?:detected\s+)?genes?\b",
+    ):
+        around = F.regexp_extract(t, r"(.{0,12}" + pattern.replace(_NUMBER, _NUMBER.replace("(\\d+", "(?:\\d+", 1)) + ")", 1)
+        genes.append(F.when(~around.rlike("variable|hvg"), _found(t, pattern)))
+    total = F.coalesce(_found(t, _NUMBER + r"\s*(?:umis?|counts|reads)\b"), _found(t, r"\b(?:min(?:imum)?\s*)?(?:umis?|counts)\s*(?:=|>=|>|to|of|at)?\s*" + _NUMBER))
+    total = F.when(~total.eqNullSafe(mito), total)
+    return F.struct(F.coalesce(*genes).try_cast("double").alias("min_features"), total.try_cast("double").alias("min_total"), mito.try_cast("double").alias("max_mito_pct"))
 
-def sample_pair(text: Column) -> Column:
-    pattern = r"(?i)\bbetween\s+(\S+)\s+and\s+(\S+?)[.?!]?\s*$"
-    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).alias("a"), F.regexp_extract(text, pattern, 2).alias("b")))
+
+def hvg_count(text: Column) -> Column:
+    t = F.lower(plain(text))
+    before = _found(t, r"(\d+)\s*(?:highly\s+)?(?:variable|hvgs?)(?:\s+(?:genes?|features?))?")
+    return F.coalesce(before, _found(t, r"\b(?:(?:highly\s+)?variable\s+(?:genes?|features?)|hvgs?|features?)\s*(?:=|to|of|,|:)?\s*(?:like\s+)?(\d+)")).try_cast("int")
+
+
+def min_dist(text: Column) -> Column:
+    t = plain(text)
+    after = _found(t, r"(?i)\bmin(?:imum)?[\s_-]*dist(?:ance)?\s*(?:=|to|of|:)?\s*(\d*\.?\d+)")
+    return F.coalesce(after, _found(t, r"(?i)(\d*\.?\d+)\s*min(?:imum)?[\s_-]*dist")).try_cast("double")
+
+
+def _unquoted(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, "^[\"'\u201c\u201d\u2018\u2019]+|[\"'\u201c\u201d\u2018\u2019]+$", ""))
+
+
+def rename(text: Column, known: Column | None = None) -> Column:
+    """Struct (kind, old, new) of a request to rename a cluster or region; null without one, or where several are chained.
+
+    known, an array of labels, allows "rename X to Y" where X is one of them."""
+    t = F.regexp_replace(plain(text), r"(?i)^(?:please|pls|can you|could you|would you|let'?s|lets|i want to|i'd like to)\s+", "")
+    t = F.regexp_replace(t, r"(?i)\s*,?\s*(?:please\s+|can you\s+|could you\s+)?rename\s+it\b.*$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)\s+please$", ""), r"(?i)^(?:i\s+think|i\s+believe|looks\s+like)\s+", "")
+
+    return let(t, lambda x: _renamed(x, known))
+
+
+def _renamed(t: Column, known: Column | None) -> Column:
+    def made(kind: Column, old: Column, new: Column) -> Column:
+        return let(F.when(kind == "region", F.regexp_replace(_unquoted(plain(new)), r"(?i)^the\s+", "")).otherwise(_unquoted(plain(new))), lambda x: told(kind, old, x))
+
+    def told(kind: Column, old: Column, new: Column) -> Column:
+        chain = new.rlike(r"(?i)\bthen\b") | new.rlike(r"(?i)(?:\band\b|,)\s*(?:rename\s+|relabel\s+|call\s+|label\s+|change\s+)?(?:cluster|region)\s+\S+\s+(?:to|as)\b")
+        return F.when((new != "") & ~new.rlike("(?i)^(?:it|this|that)$") & ~chain, F.struct(kind.alias("kind"), old.alias("old"), new.alias("new")))
+
+    out = None
+    for pattern in (
+        r"(?i)^(?:rename|relabel|call|name|label|mark)\s+(cluster|region)\s+(\S+)\s+(?:(?:to|as|=)\s+)?(.+)$",
+        r"(?i)^(?:change|set|update)\s+(?:the\s+)?(?:name|label)\s+(?:of|for)\s+(cluster|region)\s+(\S+)\s+(?:to|as|=)\s+(.+)$",
+        r"(?i)^(?:change|set|update)\s+(cluster|region)\s+(\S+)(?:'s)?\s+(?:name|label)\s+(?:to|as|=)\s+(.+)$",
+        r"(?i)^(cluster|region)\s+(\d+)\s+(?:is|=|should\s+be(?:\s+(?:named|called|labell?ed))?|will\s+be(?:\s+(?:named|called))?)\s+(.+)$",
+        r"(?i)^(?:rename|relabel)\s+()(\d+)\s+(?:to|as)\s+(.+)$",
+    ):
+        kind = F.lower(F.regexp_extract(t, pattern, 1))
+        one = made(F.when(kind == "", "cluster").otherwise(kind), F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3))
+        out = F.when(t.rlike(pattern), one) if out is None else out.when(t.rlike(pattern), one)
+    if known is None:
+        return out
+    pattern = r"(?i)^(?:rename|relabel)\s+(.+?)\s+(?:to|as)\s+(.+)$"
+    old = F.regexp_replace(_unquoted(F.regexp_extract(t, pattern, 1)), r"(?i)^(?:the\s+)?cluster\s+", "")
+    listed = F.array_contains(F.transform(known, F.lower), F.lower(old))
+    return out.when(t.rlike(pattern) & listed, made(F.lit("cluster"), old, F.regexp_extract(t, pattern, 2)))
+
+
+def sample_pair(text: Column, samples: tuple[str, ...] = ()) -> Column:
+    """Struct (a, b) of two samples that a text compares: the first two of samples by where they stand, else by its words."""
+    t = plain(text)
+    out = None
+    if len(samples) >= 2:
+        at = F.array_sort(F.filter(F.array(*[F.struct(F.locate(s.lower(), F.lower(t)).alias("at"), F.lit(s).alias("name")) for s in samples]), lambda x: x["at"] > 0))
+        out = F.when(F.size(at) >= 2, F.struct(at[0]["name"].alias("a"), at[1]["name"].alias("b")))
+    for pattern in (
+        r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\s+(?:in|for|within)\s+cluster\b.*)?$",
+        r"(?i)\b(sample\s*\d+|\S+)\s+(?:vs\.?|versus)\s+(sample\s*\d+|\S+)",
+        r"(?i)\bcompare\s+(\S+)\s+(?:and|with|to)\s+(\S+)\s+(?:in|for|within)\s+cluster\b",
+    ):
+        one = F.struct(*[F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(t, pattern, k), "(?i)^(?:the\\s+)?", ""), r"(?i)\s+(?:in|for)\s+cluster.*$", "")).alias(name) for k, name in ((1, "a"), (2, "b"))])
+        out = F.when(t.rlike(pattern), one) if out is None else out.when(t.rlike(pattern), one)
+    return out
 
 
 def choice(text: Column, n: int) -> Column:
@@ -260,11 +398,6 @@ def complete_objects(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({FLAT_OBJECT})"), F.lit(1))
 
 
-def chained(text: Column) -> Column:
-    """The commands of a text, parted at 'then' and semicolons."""
-    return F.filter(F.transform(F.split(text, r"(?i)\s*(?:,?\s*(?:and\s+)?then\s+|;\s*)"), lambda x: F.trim(x)), lambda x: x != "")
-
-
 def gate(confidence: Column, has_required: Column) -> Column:
     """Confidence after the parameter check: missing ones cap it at .3, present ones raise it to .75."""
     return F.when(has_required, F.greatest(confidence, F.lit(0.75))).otherwise(F.least(confidence, F.lit(0.3)))

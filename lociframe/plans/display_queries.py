@@ -177,8 +177,9 @@ def requests(spark, sf):
     from ..functions import text as tx
 
     t = F.col("text")
-    rows = spark.createDataFrame([(r[0],) for r in REQUESTS], "text string")
-    return rows.select("text", tx.highlight_request(t).alias("highlight"), tx.highlight_direction(t).alias("direction"), tx.asks_cluster_summary(t).alias("summary"), tx.compares_with_rest(t).alias("rest"), tx.asks_settings(t).alias("settings"), tx.parameter_group(t).alias("grp"))
+    pick = F.element_at(F.array(*[F.lit(r[0]) for r in REQUESTS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(REQUESTS) + 1).cast("int"))
+    rows = m.table(spark, sf, "conversations").select("conv_id", "turn", pick.alias("text"))
+    return rows.select("conv_id", "turn", "text", tx.highlight_request(t).alias("highlight"), tx.highlight_direction(t).alias("direction"), tx.asks_cluster_summary(t).alias("summary"), tx.compares_with_rest(t).alias("rest"), tx.asks_settings(t).alias("settings"), tx.parameter_group(t).alias("grp"))
 
 
 def input_confidences(spark, sf):
@@ -306,7 +307,7 @@ def _literal(x):
 
 
 QUERIES = {
-    "requests": (requests, "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_literal, r))})" for r in REQUESTS) + ") AS v(text, highlight, direction, summary, rest, settings, grp)"),
+    "requests": (requests, "SELECT conv_id, turn, text, highlight, direction, summary, rest, settings, grp FROM (SELECT conv_id, turn, (conv_id * 7 + turn) % " + str(len(REQUESTS)) + " AS k FROM conversations) JOIN (VALUES " + ", ".join(f"({k}, {', '.join(map(_literal, r))})" for k, r in enumerate(REQUESTS)) + ") AS v(k, text, highlight, direction, summary, rest, settings, grp) USING (k)"),
     "input_confidences": (input_confidences, f"WITH k AS (SELECT {_KIND} AS kind FROM conversations) SELECT CASE kind WHEN 'navigation' THEN 0.95::DOUBLE WHEN 'question' THEN 0.85 WHEN 'command' THEN 0.6 ELSE 0.3 END AS confidence, count(*) AS n FROM k GROUP BY 1"),
     "expression_range": (expression_range, "WITH f AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderstatus = 'F'), w AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), u AS (SELECT 'shown' AS kind, lo, hi FROM f UNION ALL SELECT 'whole', lo, hi FROM w UNION ALL SELECT 'given', 10.0, 10.0 UNION ALL SELECT 'half', -1.0, hi FROM w) SELECT kind, round(lo, 6) + 0.0 AS low, round(CASE WHEN lo = hi THEN lo + 1e-6 ELSE hi END, 6) + 0.0 AS high FROM u"),
     "violin_guards": (violin_guards, "WITH v AS (SELECT c_nationkey AS cluster, CASE WHEN c_custkey % (c_nationkey + 1) = 0 THEN c_acctbal ELSE 0.0 END AS v FROM customer), g AS (SELECT cluster, count(*) AS n, avg(CASE WHEN v <> 0 THEN 1.0 ELSE 0.0 END) AS nz FROM v GROUP BY 1) SELECT cluster, n, round(nz, 6) + 0.0 AS nonzero, nz >= 0.2 AS drawn, round(greatest(0.4, sqrt(n / CAST(max(n) OVER () AS DOUBLE))), 6) + 0.0 AS width FROM g"),

@@ -11,7 +11,7 @@ from .. import model as m
 from ..functions import text as tx
 from ..functions.genomic import normal_tail_sql
 from ..model import rounded
-from ..operators import matrix, neighbors, stats, summaries
+from ..operators import matrix, neighbors, requests, stats, summaries
 from .matrix_queries import _DOTS, CELLS, LOGN, SC, SCELLS, C
 
 
@@ -150,12 +150,12 @@ def turn_types(spark, sf):
 
 def param_extract(spark, sf):
     t = F.col("text")
-    rows = _commands(spark, sf).select("c_custkey", tx.rename(t).alias("r"), tx.cell_filter(t).alias("f"), tx.hvg_count(t).alias("hvg"), tx.min_dist(t).alias("min_dist"), tx.parameter_step(t).alias("step"), tx.sample_pair(t).alias("p"), tx.choice(t, 3).alias("choice"))
+    rows = _commands(spark, sf).select("c_custkey", tx.rename(t).alias("r"), tx.cell_filter(t).alias("f"), tx.hvg_count(t).alias("hvg"), tx.min_dist(t).alias("min_dist"), tx.parameter_group(t).alias("step"), tx.sample_pair(t).alias("p"), tx.choice(t, 3).alias("choice"))
     return rows.select("c_custkey", F.col("r.old").alias("old_name"), F.col("r.new").alias("new_name"), F.col("f.min_features").alias("min_features"), F.col("f.max_mito_pct").alias("max_mito"), "hvg", "min_dist", "step", F.col("p.a").alias("sample_a"), F.col("p.b").alias("sample_b"), "choice")
 
 
 def chained_commands(spark, sf):
-    return _commands(spark, sf).select("c_custkey", F.posexplode(tx.chained(F.col("text"))).alias("place", "command"))
+    return _commands(spark, sf).select("c_custkey", F.posexplode(requests.commands(F.col("text"))).alias("place", "command"))
 
 
 def fuzzy_names(spark, sf):
@@ -259,9 +259,9 @@ QUERIES = {
         SELECT l.grp AS source, r.grp AS target, pair, round(l.mean * r.mean / (0.5 + l.mean * r.mean), 6) + 0.0 AS probability, round(l.pct, 6) + 0.0 AS ligand_pct, round(r.pct, 6) + 0.0 AS receptor_pct FROM pr JOIN mn l ON l.feature_id = ligand JOIN mn r ON r.feature_id = receptor"""),
     "pathway_themes": (pathway_themes, None),
     "ligand_receptor_perm": (ligand_receptor_perm, None),
-    "input_type": (input_type, f"WITH {_CMD} SELECT c_custkey, {_KIND} AS kind, CASE WHEN regexp_matches({_CLEAN}, '^(hi|hello|hey|good (morning|evening))\\b') THEN 'greeting' WHEN regexp_matches({_CLEAN}, '^(thanks|thank you|great|ok|okay|cool)\\b') THEN 'thanks' END AS reason FROM cmd"),
+    "input_type": (input_type, f"WITH {_CMD} SELECT c_custkey, {_KIND} AS kind, CASE WHEN regexp_matches({_CLEAN}, '^(hello|thanks)\\b') THEN 'small talk' END AS reason FROM cmd"),
     "turn_types": (turn_types, f"SELECT role, {_KIND} AS kind, count(*) AS n FROM conversations GROUP BY 1, 2"),
-    "param_extract": (param_extract, f"WITH {_CMD}, k AS (SELECT c_custkey, CAST(c_custkey % {len(SAMPLES)} AS INTEGER) AS k, CAST(c_custkey % 40 + 1 AS VARCHAR) AS n FROM cmd) SELECT c_custkey, CASE WHEN k = 2 THEN n END AS old_name, CASE WHEN k = 2 THEN 'Tubule cells' END AS new_name, CASE WHEN k = 5 THEN CAST(n AS DOUBLE) END AS min_features, CASE WHEN k = 5 THEN 12.0::DOUBLE END AS max_mito, CASE WHEN k = 6 THEN CAST(n AS INTEGER) END AS hvg, CASE WHEN k = 7 THEN 0.4::DOUBLE END AS min_dist, CASE WHEN k = 9 THEN 'pca' WHEN k = 12 THEN 'umap' END AS step, CASE WHEN k = 8 THEN 's' || n END AS sample_a, CASE WHEN k = 8 THEN 's7' END AS sample_b, CASE WHEN k = 11 THEN 1 WHEN k IN (1, 2, 5, 6, 12) AND CAST(n AS INTEGER) <= 3 THEN CAST(n AS INTEGER) - 1 END AS choice FROM k"),
+    "param_extract": (param_extract, f"WITH {_CMD}, k AS (SELECT c_custkey, CAST(c_custkey % {len(SAMPLES)} AS INTEGER) AS k, CAST(c_custkey % 40 + 1 AS VARCHAR) AS n FROM cmd) SELECT c_custkey, CASE WHEN k = 2 THEN n END AS old_name, CASE WHEN k = 2 THEN 'Tubule cells' END AS new_name, CASE WHEN k = 5 THEN CAST(n AS DOUBLE) END AS min_features, CASE WHEN k = 5 THEN 12.0::DOUBLE END AS max_mito, CASE WHEN k = 6 THEN CAST(n AS INTEGER) END AS hvg, CASE WHEN k = 7 THEN 0.4::DOUBLE END AS min_dist, CASE WHEN k = 9 THEN 'pca' WHEN k IN (7, 12) THEN 'umap' WHEN k IN (1, 2) THEN 'clustering' WHEN k = 5 THEN 'cellFiltering' WHEN k = 6 THEN 'featureSelection' END AS step, CASE WHEN k = 8 THEN 's' || n END AS sample_a, CASE WHEN k = 8 THEN 's7' END AS sample_b, CASE WHEN k = 11 THEN 1 WHEN k IN (1, 2, 5, 6, 12) AND CAST(n AS INTEGER) <= 3 THEN CAST(n AS INTEGER) - 1 END AS choice FROM k"),
     "chained_commands": (chained_commands, f"WITH {_CMD}, p AS (SELECT c_custkey, regexp_replace(text, ', then | then |; then ', '\x01', 'g') AS t FROM cmd), q AS (SELECT c_custkey, string_split(replace(t, '; then ', '\x01'), '\x01') AS a FROM p) SELECT c_custkey, CAST(i - 1 AS INTEGER) AS place, rtrim(a[i], ';') AS command FROM (SELECT c_custkey, a, unnest(range(1, len(a) + 1)) AS i FROM q)"),
     "fuzzy_names": (fuzzy_names, "WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_partkey, CAST(damerau_levenshtein(a, b) AS INTEGER) AS edits, length(a) + 1 >= 4 AS near FROM n"),
     "first_json": (first_json, "SELECT event_id, props AS json, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events"),

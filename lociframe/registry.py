@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import analysis_queries, display_queries, interval_queries, matrix_queries, neighbor_queries, source_queries, stats_queries
+from .plans import analysis_queries, display_queries, interval_queries, matrix_queries, neighbor_queries, request_queries, source_queries, stats_queries
 
-MODULES = (matrix_queries, interval_queries, neighbor_queries, stats_queries, analysis_queries, source_queries, display_queries)
+MODULES = (matrix_queries, interval_queries, neighbor_queries, stats_queries, analysis_queries, source_queries, display_queries, request_queries)
 
 
 def queries():
