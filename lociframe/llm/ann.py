@@ -153,12 +153,17 @@ def _joined(queries: DataFrame, rows: DataFrame, keys: list[str], keep: int) ->
     return found.groupBy("query", "class").agg(F.max("score").alias("score"))
 
 
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("class"), blocks)
+
+
 def exhaustive(queries: DataFrame, packed: DataFrame, keep: int) -> DataFrame:
     """query, class, score: the nearest classes among all, by blocks of vectors that every query block meets."""
-    blocks = max(1, -(-packed.count() // MAX_BUCKET))
-    rows = packed.withColumns({"block": F.pmod(F.xxhash64("class"), F.lit(blocks)), "size": F.length("vec")})
-    asked = queries.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "size": F.length("vec")})
-    return _joined(asked, rows, ["block", "size"], keep)
+    blocks, turns = (max(1, -(-df.count() // MAX_BUCKET)) for df in (packed, queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = packed.withColumns({"block": _dealt(F.lit(blocks)), "turn": every(turns), "size": F.length("vec")})
+    asked = queries.withColumns({"block": every(blocks), "turn": _dealt(F.lit(turns)), "size": F.length("vec")})
+    return _joined(asked, rows, ["block", "turn", "size"], keep)
 
 
 def _answers(hits: DataFrame, asked: DataFrame, packed: DataFrame, keep: int, k: int) -> DataFrame:
@@ -195,13 +200,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     if exact:
         return _answers(exhaustive(probing, packed, keep), asked, packed, keep, k)
     index, wanted = _placed(packed, 1), _placed(probing, n_probes)
-    # large buckets are dealt out in blocks that each of their queries visits
-    blocks = index.groupBy("part", "bucket").agg(F.ceil(F.count(F.lit(1)) / MAX_BUCKET).cast("long").alias("blocks")).where("blocks > 1")
-    blocks = stored(blocks, "ann-blocks")  # a row for each large bucket
-    index = index.join(blocks, ["part", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1).cast("long"))))
-    renamed = blocks.select(F.col("part").alias("part"), F.col("bucket").alias("bucket"), F.col("blocks").alias("n"))
-    wanted = wanted.join(renamed, ["part", "bucket"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("n", F.lit(1).cast("long")) - 1)))
-    hits = stored(_joined(wanted, index, ["part", "bucket", "block"], keep), "ann-hits")
+    # buckets of many vectors or many visits are dealt out: blocks of vectors by blocks (turns) of the queries that visit them
+    many = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / MAX_BUCKET).cast("long")
+    sizes = index.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).join(wanted.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("m")), ["part", "bucket"])
+    blocks = stored(sizes.where((F.col("n") > MAX_BUCKET) | (F.col("m") > MAX_BUCKET)).select("part", "bucket", many(F.col("n")).alias("blocks"), many(F.col("m")).alias("turns")), "ann-blocks")  # a row for each large bucket
+    one = F.lit(1).cast("long")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, one) - 1))
+    index = index.join(blocks, ["part", "bucket"], "left").withColumns({"block": _dealt(F.coalesce("blocks", one)), "turn": every(F.col("turns"))})
+    blocks = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])  # names of its own
+    wanted = wanted.join(blocks, ["part", "bucket"], "left").withColumns({"turn": _dealt(F.coalesce("turns", one)), "block": every(F.col("blocks"))})
+    hits = stored(_joined(wanted, index, ["part", "bucket", "block", "turn"], keep), "ann-hits")
     answers = _answers(hits, asked, packed, keep, k)
     # queries with fewer answers than asked: all vectors (the most that any can have is one less than there are)
     least = F.lit(min(k, rows.limit(k + 1).count() - 1))

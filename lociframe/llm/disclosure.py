@@ -27,19 +27,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import all_matches, let, placed
 from .shared import stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, with possessive runs that start where runs start or the last match ended: the same matches in one pass.
+_RUN_START, _EMAIL = r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": rf"(?:\G|{_RUN_START}){_EMAIL}",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What every ip, card and phone holds; with "@" for emails, a cheap first look.
 NUMBER = r"[0-9][\x20().0-9-]{5,}[0-9]"
-ANY = "|".join(PATTERNS[k] for k in ("email", "phone", "card", "ip"))
+#: What parts a text for its terms. An email begins where a run does here: looking on from each match of another kind would take the square
+#: of a long run.
+ANY = "|".join((_RUN_START + _EMAIL, PATTERNS["phone"], PATTERNS["card"], PATTERNS["ip"]))
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 TERM = r"[\p{L}\p{N}_]{3,}"
 LONGEST_TERM = 64
@@ -48,14 +52,9 @@ MIN_DOCUMENTS = 2
 DISCLOSED, MOST_LEFT, REMOVE_LEFT = 0.5, 1.0, 0.15
 #: Rows of a term, or of an entity and a term, that may be broadcast: at most some 400 bytes each.
 BROADCAST_TERMS = 50_000
-_BLOCK = 256
 _JOINT = "\u001f"
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -77,47 +76,18 @@ VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def running(x: Column) -> Column:
-    """Running sums of an array of longs, in blocks: arrays grow by copying, so one fold would take the square of its length."""
-    none = F.array().cast("array<bigint>")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int"))), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
-
-    def grown(values: Column, first: Column) -> Column:
-        return F.aggregate(values, F.concat(none, F.array(first)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
-
-    zero = F.lit(0).cast("long")
-    parts = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, zero, lambda s, v: s + v).alias("s")))
-
-    def placed(p: Column) -> Column:
-        before = grown(p.s, zero)
-        return F.transform(F.array(before), lambda at: F.flatten(F.transform(p.b, lambda b, i: F.slice(grown(b, F.get(at, i)), 2, _BLOCK))))[0]
-
-    return F.transform(F.array(F.struct(parts.b.alias("b"), parts.s.alias("s"))), placed)[0]
-
-
-def _placed(text: Column, pattern: str) -> Column:
-    """The matches of pattern as (m, start), start in code points from 0."""
-    found, pieces = _all(text, pattern), F.split(text, pattern, -1)
-
-    def places(z: Column) -> Column:
-        gaps = F.transform(z.found, lambda m, i: (F.length(F.get(z.pieces, i)) + F.when(i > 0, F.length(F.get(z.found, i - 1))).otherwise(0)).cast("long"))
-        return F.arrays_zip(z.found.alias("m"), running(gaps).alias("start"))
-
-    return F.transform(F.array(F.struct(found.alias("found"), pieces.alias("pieces"))), places)[0]
-
-
 def base_spans(text: Column) -> Column:
     """The personal data of a text, an array of (start, kind_at, kind, end) in order."""
 
     def of(at: int, kind: str) -> Column:
-        found = F.filter(_placed(text, PATTERNS[kind]), lambda z: VALID[kind](z.m))
+        found = F.filter(placed(text, PATTERNS[kind]), lambda z: VALID[kind](z.m))
         return F.transform(found, lambda z: F.struct(z.start.alias("start"), F.lit(at).alias("kind_at"), F.lit(kind).alias("kind"), (z.start + F.length(z.m)).alias("end")))
 
     return F.sort_array(F.concat(*[of(at, kind) for at, kind in enumerate(KINDS)]))
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(_all(F.lower(text), TERM), lambda t: F.length(t) <= LONGEST_TERM)
+    return F.filter(all_matches(F.lower(text), TERM), lambda t: F.length(t) <= LONGEST_TERM)
 
 
 def _maybe(text: Column) -> Column:
@@ -136,7 +106,7 @@ def _entity(m: Column) -> Column:
 
 def contexts(text: Column) -> Column:
     """The distinct (entity, term) of a text as joined strings: terms within CONTEXT terms of the entity."""
-    found, pieces = _all(text, ANY), F.split(text, ANY, -1)
+    found, pieces = all_matches(text, ANY), F.split(text, ANY, -1)
 
     def pairs(z: Column) -> Column:
         def of(m: Column, i: Column) -> Column:
@@ -147,7 +117,7 @@ def contexts(text: Column) -> Column:
 
         return F.array_distinct(F.flatten(F.transform(z.found, of)))
 
-    return F.transform(F.array(F.struct(found.alias("found"), F.transform(pieces, _terms).alias("terms"))), pairs)[0]
+    return let(F.struct(found.alias("found"), F.transform(pieces, _terms).alias("terms")), pairs)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +126,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("base", F.when(_maybe(text), base_spans(text)))
     rows = rows.withColumn("private", F.coalesce(F.size("base"), F.lit(0)) > 0)
-    own = {"text": text, "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text"), "entities": F.array_distinct(F.filter(F.transform(_all(text, ANY), _entity), lambda e: e.isNotNull())), "pairs": contexts(text)}
+    own = {"text": text, "h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text"), "entities": F.array_distinct(F.filter(F.transform(all_matches(text, ANY), _entity), lambda e: e.isNotNull())), "pairs": contexts(text)}
     return rows.select(F.col(id_col), "private", F.when(F.col("private"), F.col("base")).alias("base"), *[F.when(F.col("private"), c).alias(name) for name, c in own.items()])
 
 
@@ -183,9 +153,9 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """The spans of a text's flagged terms ((term, removed) in terms) outside its personal data."""
-    masked = F.array_join(F.transform(F.arrays_zip(F.split(text, ANY, -1).alias("p"), _all(text, ANY).alias("m")), lambda z: F.concat(z.p, F.repeat(F.lit(" "), F.coalesce(F.length(z.m), F.lit(0))))), "")
+    masked = F.array_join(F.transform(F.arrays_zip(F.split(text, ANY, -1).alias("p"), all_matches(text, ANY).alias("m")), lambda z: F.concat(z.p, F.repeat(F.lit(" "), F.coalesce(F.length(z.m), F.lit(0))))), "")
     keys = F.map_from_entries(terms)
-    hits = F.filter(_placed(masked, TERM), lambda z: F.map_contains_key(keys, F.lower(z.m)))
+    hits = F.filter(placed(masked, TERM), lambda z: F.map_contains_key(keys, F.lower(z.m)))
     spans = F.transform(hits, lambda z: F.struct(z.start.alias("start"), F.lit(len(KINDS)).alias("kind_at"), F.lit("term").alias("kind"), (z.start + F.length(z.m)).alias("end"), F.element_at(keys, F.lower(z.m)).alias("removed"), z.m.alias("m")))
     return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
 
@@ -234,5 +204,5 @@ def sanitised() -> Column:
         return F.struct(F.greatest(a["at"], s.end).alias("at"), F.concat(a["out"], F.array(F.concat(gap, label))).alias("out"))
 
     done = F.aggregate(merged, start, put)
-    rest = F.transform(F.array(done), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))[0]
+    rest = let(done, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
     return F.when(F.col("text").isNotNull(), rest)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import few_rows, free_shuffles, lower_ascii, mix, shingle_hashes, short_batches, stored, text_blocks, word_hashes, word_spans
+from .shared import few_rows, free_shuffles, fresh, lower_ascii, mix, shingle_hashes, short_batches, stored, text_blocks, word_hashes, word_spans
 
 GROUPS = 256
 CEILING = 255
@@ -146,7 +146,7 @@ def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_docs: int) -> DataFrame:
-    """id, n (set size), sid (the class; null for empty sets), point, keys and hot (buckets, and those of tokens in
+    """id, h (a hash of the text), n (set size), sid (the class; null for empty sets), point, keys and hot (buckets, and those of tokens in
     many documents); the last three once a class and task, on a row with an id, as rows without one are left
     out later."""
     least = max(FREQUENT, min(n_docs, SAMPLE_DOCS) // OFTEN_ONE_IN)
@@ -182,12 +182,12 @@ def signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_docs
                 points = np.full(high - low, None, object)
                 points[rows] = [p.tobytes() for p in group_counts(own, begins)]
                 yield pa.RecordBatch.from_pydict({
-                    "id": ids, "n": n, "sid": pa.array(sid, mask=n == 0), "point": pa.array(points, pa.binary()),
+                    "id": ids, "h": batch.column("h").slice(low, high - low), "n": n, "sid": pa.array(sid, mask=n == 0), "point": pa.array(points, pa.binary()),
                     "keys": _lists(rows[np.concatenate((of, po[~hot]))], np.concatenate((keys, pk[~hot])), high - low),
                     "hot": _lists(rows[po[hot]], pk[hot], high - low),
                 })
 
-    return texts.mapInArrow(run, "id long, n long, sid long, point binary, keys array<long>, hot array<long>")
+    return texts.mapInArrow(run, "id long, h long, n long, sid long, point binary, keys array<long>, hot array<long>")
 
 
 def _runs(it: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 62) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
@@ -420,21 +420,22 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h (a hash of the text), n and, where the set isn't empty and the id isn't null, component: the smallest (id, h) reachable."""
     short_batches(docs.sparkSession)
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     n_docs = docs.count()
     signed = stored(signatures(texts, frequent_tokens(texts, n_docs), n_docs), "signatures")
     named = signed.where("id is not null and sid is not null")
-    classes = stored(named.groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "classes")
+    classes = stored(named.groupBy("sid").agg(F.min(F.struct("id", "h")).alias("rep"), F.max("n").alias("n"), F.max("point").alias("point")), "classes")
     members = stored(buckets(named), "buckets")
     free_shuffles(spark)
     shared = stored(members.select("sid").distinct().join(classes, "sid"), "shared")
     points = shared.select("sid", "n", "point")
-    reps = few_rows(shared.select(F.col("rep").alias("id"), "sid"), shared.count())
-    needed = stored(texts.join(reps, "id").select("sid", "text"), "texts")
+    reps = few_rows(shared.select("rep.id", "rep.h", "sid"), shared.count())
+    needed = stored(texts.join(reps, ["id", "h"]).select("sid", "text"), "texts")
     pairs = stored(star_pairs(members, points), "pairs")
     links = stored(verified(pairs, needed), "links")
     free_shuffles(spark)
@@ -458,17 +459,30 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     least = _placed(classes.select("sid", "rep"), roots)
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("sid", "component")
-    out = signed.select("id", "n", "sid").join(least, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    out = signed.select("id", "h", "n", "sid").join(least, "sid", "left")
+    return out.select("id", "h", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    found = _classed(docs, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component.id", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller id; of rows that repeat an id one stays, rows with a null id all do."""
-    found = similarity_components(docs, id_col, text_col)
-    gone = stored(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id")).distinct(), "gone")
+    """docs with one row of each component: that of the smallest id and, where an id has several texts, of the smallest hash of its
+    text. Rows that repeat an id with an unlike text are documents of their own; of equal (id, text) one row stays, and of texts
+    without words, or rows with a null id, all do."""
+    found = stored(_classed(docs, id_col, text_col), "classed")
+    gone = stored(found.where("id != component.id or h != component.h").select("id", "h").distinct(), "gone")
     gone = few_rows(gone, gone.count())
-    kept = docs.join(gone, F.col(id_col).cast("long") == gone["id"], "left_anti")
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
+    id_, of_ = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    kept = docs.join(gone, (id_ == gone["id"]) & (of_ == gone["h"]), "left_anti")
+    twice = found.where("component is not null").groupBy("id", "h").count().where("count > 1").limit(1)
     if twice.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    own_id, own_of = fresh(docs.columns, "__id", "__of")
+    kept = kept.withColumns({own_id: id_, own_of: of_})
+    once = stored(found.where("component is not null").select(F.col("id").alias(own_id), F.col("h").alias(own_of)).distinct(), "once")
+    single = kept.join(once, [own_id, own_of], "left_semi").dropDuplicates([own_id, own_of])
+    return single.unionByName(kept.join(once, [own_id, own_of], "left_anti")).select(*docs.columns)

@@ -113,14 +113,14 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model | None:
-    """Learn from docs' texts and non-null languages. Of each language about max_docs rows are kept, those of the
-    smallest hashes of their texts, and the one of the smallest hash in any case."""
+    """Learn from docs' texts and non-null languages. Of each language about max_docs different texts are kept,
+    those of the smallest hashes, and the one of the smallest hash in any case."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("h", F.xxhash64(F.lit(7), "text").bitwiseAND(F.lit((1 << 31) - 1)))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).withColumn("most", F.greatest("least", F.ceil(F.lit((1 << 31) * max_docs) / F.col("n"))))
     counts = stored(counts.select("lang", "most"), "languages")
-    sample = rows.join(few_rows(counts, counts.count()), "lang").where("h <= most").select("lang", "text")
+    sample = rows.join(few_rows(counts, counts.count()), "lang").where("h <= most").select("lang", "text").distinct()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

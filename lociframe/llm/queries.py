@@ -45,7 +45,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archives(pages, "page_id", "url", "html")
     records = warc.with_revisits(warc.convert(files), warc.convert(files, payloads=False))
     path = shared_path(spark, "warc")
-    warc.write_warc(records, path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    warc.write_warc(records, path, largest)
     read = warc.referred(warc.read_warc(spark, path).drop("payload"))
     return read.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 

@@ -7,7 +7,8 @@ digests. Records with equal payloads become one response, the one with the small
 of it; keys that are null come after all others, and rows that repeat the smallest key are responses too.
 
 Null payloads are empty ones, null addresses 'urn:none'. Extra columns are not read. An empty table
-gives no record. Very long payloads are one record each, held whole by the task that has it. In an ARC file, a
+gives no record. Very long payloads are one record each, held whole by the task that has it; files and batches end by
+bytes as well as by number, so that long payloads don't add up in one. In an ARC file, a
 line that is no header (too few fields, no number for a date or a length) is skipped up to the next that is,
 a record that its declared length breaks off ends the file, and bytes without a version block hold no record.
 """
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ KEY_HEADER = "X-Archive-Key"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS_PER_ARCHIVE = 256
 RECORDS_PER_FILE = 1000
+#: Bytes of payloads about at which an ARC file or an Arrow batch ends, and a WARC file; one record may be larger.
+BATCH_BYTES = 32 << 20
+FILE_BYTES = 256 << 20
 #: Bytes that are decompressed at a time.
 STEP = 1 << 20
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -108,13 +113,26 @@ def convert_record(record: dict) -> tuple:
     return f"urn:uuid:{made}", unquote(key) if key is not None else None, record["URL"], date, head, payload, len(payload), said
 
 
+def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of at most `most` items that end once they hold BATCH_BYTES."""
+    low = held = 0
+    for k, size in enumerate(sizes):
+        held += size
+        if held >= BATCH_BYTES or k + 1 - low == most:
+            yield low, k + 1
+            low, held = k + 1, 0
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
 def archives(pages: DataFrame, key_col: str, url_col: str, html_col: str, version: int = 1) -> DataFrame:
-    """content: ARC files of the rows, ROWS_PER_ARCHIVE at most in each."""
+    """content: ARC files of the rows, ROWS_PER_ARCHIVE and about BATCH_BYTES at most in each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for low in range(0, len(batch), ROWS_PER_ARCHIVE):
-                keys, urls, htmls = (c.to_pylist() for c in batch.slice(low, ROWS_PER_ARCHIVE).columns)
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for low, high in _spans(sizes, ROWS_PER_ARCHIVE):
+                keys, urls, htmls = (c.to_pylist() for c in batch.slice(low, high - low).columns)
                 yield pa.RecordBatch.from_pydict({"content": [write_arc(((k, u, (h or "").encode()) for k, u, h in zip(keys, urls, htmls, strict=True)), version)]})
 
     short_batches(pages.sparkSession)
@@ -135,8 +153,8 @@ def convert(files: DataFrame, content_col: str = "content", payloads: bool = Tru
                 rows = [convert_record(r) for r in read_arc(content.as_py() or b"")]
                 if not payloads:
                     rows = [(*r[:4], None, None, *r[6:]) for r in rows]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                for low, high in _spans([len(r[5] or b"") for r in rows], len(rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[low:high], strict=True), schema.types, strict=True)], schema=schema)
 
     return files.select(content_col).mapInArrow(run, fields)
 
@@ -157,19 +175,30 @@ def with_revisits(records: DataFrame, known: DataFrame | None = None, key_type:
     return records.join(again, "record_id", "left")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(records: DataFrame, path: str, largest: int | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
     """WARC/1.1 files, gzip-compressed, at path: a response, or where refers_to is set a revisit without payload.
 
-    A block that isn't UTF-8 text is written in base64 and says so in its header."""
+    A block that isn't UTF-8 text is written in base64 and says so in its header. Files end by number of records, so payloads of
+    over FILE_BYTES / records_per_file bytes go to files of their own, of as many as fit; largest is the most bytes of a payload,
+    where the caller knows."""
+    if largest is None:
+        largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    usual = FILE_BYTES // records_per_file
+    if largest <= usual:
+        return _write(records, path, records_per_file)
+    _write(records.where(F.col("payload_bytes") <= usual), path, records_per_file)
+    _write(records.where(F.col("payload_bytes") > usual), path, max(1, FILE_BYTES // largest))
+
 
+def _write(records: DataFrame, path: str, records_per_file: int) -> None:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for low in range(0, len(batch), 256):
-                yield pa.RecordBatch.from_pydict({"value": pa.array([_warc(r) for r in batch.slice(low, 256).to_pylist()], pa.string())})
+            for low, high in _spans(pc.fill_null(pc.binary_length(batch.column("payload")), 0).to_pylist(), 256):
+                yield pa.RecordBatch.from_pydict({"value": pa.array([_warc(r) for r in batch.slice(low, high - low).to_pylist()], pa.string())})
 
     done = records.select("record_id", "url", "date", "http_head", "payload", "payload_bytes", "payload_digest", "refers_to", "refers_to_url", "refers_to_date").mapInArrow(run, "value string")
     # a record ends with CR LF CR LF; the last LF is the text sink's line separator
-    done.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    done.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).mode("append").text(path)
 
 
 def _warc(r: dict) -> str:
@@ -244,12 +273,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for head, block in parse_warc(inflated(content.as_py())):
                     rows.append(row(head, block))
-                    if len(rows) == 256:
+                    held += len(block)
+                    if len(rows) == 256 or held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 

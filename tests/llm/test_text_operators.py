@@ -3,8 +3,11 @@ tables and extra columns."""
 
 import base64
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -329,7 +332,7 @@ def test_warc_round_trip(spark, tmp_path):
     for version in (1, 2):
         records = warc.with_revisits(warc.convert(warc.archives(pages, "page_id", "url", "html", version)))
         path = f"file://{tmp_path}/v{version}"
-        warc.write_warc(records, path, 3)
+        warc.write_warc(records, path, records_per_file=3)
         read = warc.referred(warc.read_warc(spark, path)).collect()
         said = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
         found = {r.key: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read}
@@ -373,6 +376,33 @@ def test_warc_parts_of_any_size():
     assert len(list(warc.parse_warc(warc.inflated(data[:-20])))) == 8
 
 
+def test_warc_by_bytes(spark, tmp_path, monkeypatch):
+    """Archives, batches and files end by bytes: with tiny limits a long page has files of its own."""
+    monkeypatch.setattr(warc, "BATCH_BYTES", 500)
+    monkeypatch.setattr(warc, "FILE_BYTES", 3_000)
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "é" * 20_000 if k == 5 else f"<p>{k}</p>" * (1 + 30 * (k % 3))) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    archives = warc.archives(pages, "page_id", "url", "html")
+    assert archives.count() > 10
+    warc.write_warc(warc.with_revisits(warc.convert(archives)), f"file://{tmp_path}/w", records_per_file=10)
+    assert len(list((tmp_path / "w").glob("*.gz"))) > 4
+    read = {int(r.key): r.payload.decode() for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    assert read == {r.page_id: r.html for r in pages.collect()}
+
+
+def test_one_id_with_several_texts(spark):
+    """Rows that repeat an id with an unlike text are documents of their own: no line and no text is lost."""
+    rows = [(1, "p\na one\nb two\nc three\nq"), (2, "x\na one\nb two\nc three\ny"), (2, "u1\nu2\nu3\nu4\nu5"), (2, "u1\nu2\nu3\nu4\nu5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(r.text for r in line_dedup.dedup_lines(docs).collect()) == sorted([rows[0][1], "x\ny", rows[2][1], rows[3][1]])
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, same), (2, same + " more"), (2, "quite another text of six words"), (2, "quite another text of six words"), (3, same + " end"), (4, "a third text that has five words"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __id int").repartition(3)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]])
+    assert sorted(tuple(r)[::2] for r in jaccard_join.similarity_components(docs).collect()) == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 1), (4, 4), (4, 4), (4, 4)]
+
+
 def test_binary_payloads(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\n\r\n\xff\xfe"
     data = warc.write_arc(iter([])) + b"\nhttp://x 0.0.0.0 2001020304 a/b %d\n" % len(block) + block
@@ -514,6 +544,36 @@ def test_ann(spark):
         assert [a for a, _ in found[0]] == [400, 401, 402, 403, 404] and found[0][0][1] == pytest.approx(1)
 
 
+def test_ann_in_blocks(spark, monkeypatch):
+    """Buckets of more vectors, or of more queries, than fit one block: the same answers as without blocks."""
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=5) + 4 * (k % 2)]) for k in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 3 == 0).collect()))
+    exact = sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 3 == 0, exact=True).collect()))
+    monkeypatch.setattr(ann, "MAX_BUCKET", 7)
+    assert sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 3 == 0).collect())) == whole and len(whole) == 500
+    assert sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 3 == 0, exact=True).collect())) == exact
+
+
+def test_session_without_a_checkpoint_folder():
+    """In local mode a temporary folder serves; a session of its own, with no Spark settings of the machine."""
+    code = """
+import tempfile, os
+os.environ["SPARK_CONF_DIR"] = tempfile.mkdtemp()
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+from lociframe.llm import ann
+from lociframe.operators import intervals
+rows = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(40)], "vec_id long, embedding array<double>")
+assert ann.search(rows, F.col("vec_id") % 20 == 0).count() == 10
+from lociframe.model import materialized
+assert materialized(spark.range(5), "x").count() == 5
+"""
+    done = subprocess.run([sys.executable, "-c", code], env={k: v for k, v in os.environ.items() if k != "SPARK_CONF_DIR"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_ann_on_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.0]), (3, [1.0])], "vec_id long, embedding array<double>")
     found = sorted(tuple(r)[:3] for r in ann.search(few, F.col("vec_id") == 0).collect())
