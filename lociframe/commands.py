@@ -221,10 +221,12 @@ def normalize(data: Dataset) -> DataFrame:
     return matrix.log_normalize(data.counts)
 
 
-def variable_features(data: Dataset, counts: DataFrame, most: int = 300_000_000) -> DataFrame:
-    """The settings' number of variable features of counts, fewer where their entries would be too many."""
+def variable_features(data: Dataset, counts: DataFrame, most: int | None = None) -> DataFrame:
+    """The settings' number of variable features of counts; with most, fewer where their entries would be more than that."""
     n_cells = counts.select("cell_id").distinct().count()
     top = matrix.highly_variable(counts, n_cells, int(data.settings["n_top"]))
+    if most is None:
+        return top
     nnz = counts.join(top.select("feature_id"), "feature_id", "left_semi").count()
     return top.limit(matrix.memory_capped_top(int(data.settings["n_top"]), nnz, most))
 

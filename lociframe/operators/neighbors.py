@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import blocks_of
+from ..model import blocks_of, materialized
 
 BLOCK = 4096
 
@@ -63,45 +63,81 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", exc
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
-def knn_projected(queries: DataFrame, base: DataFrame, k: int, projections: int = 8, window: int = 40, seed: int = 7) -> DataFrame:
-    """src, rank, dst, dist: about the k nearest of base for each query (cell_id, vec), by cosine distance, exact for the candidates.
-
-    All rows are put in the order of each of so many random projections; a query's candidates are the base rows within window
-    places of its own. Orders are cut into blocks of BLOCK base rows, each with window rows of its neighbours."""
-    from .stats import running_places
-
-    rng = np.random.default_rng(seed)
-    size = base.select(F.size("vec")).first()
-    axes = rng.normal(size=(projections, size[0] if size else 1)).round(12).tolist()
-    unit = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    dots = F.array(*[F.aggregate(F.zip_with("vec", F.array(*[F.lit(x) for x in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.greatest(unit, F.lit(1e-300)) for axis in axes])
-    rows = base.select("cell_id", "vec", F.lit(1).alias("held")).unionByName(queries.select("cell_id", "vec", F.lit(0).alias("held")))
-    at = running_places(rows.select("*", F.posexplode(dots).alias("b", "v")), "held", "v", "held", "cell_id")
-    block, inside = F.floor(F.col("place") / BLOCK), F.pmod("place", F.lit(BLOCK))
-    near = F.array_compact(F.array(block, F.when(inside <= window, block - 1), F.when(inside >= BLOCK - window, block + 1)))
-    b = at.where("held = 1").select("b", F.explode(near).alias("block"), "place", F.col("cell_id").alias("id"), "vec")
-    # both come from one frame; names of their own keep the queries' columns apart
-    q = at.where("held = 0").select(F.col("b").alias("b"), block.alias("block"), F.col("place").alias("place"), F.col("cell_id").alias("id"), F.col("vec").alias("vec"))
-
-    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"src": [], "dst": [], "dist": []})]
-        if len(asked) and len(held):
-            held = held.sort_values("place", kind="stable")
-            x, places, names = np.stack(held["vec"].to_numpy()).astype(float), held["place"].to_numpy(), held["id"].to_numpy()
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            for src, place, vec in zip(asked["id"], asked["place"], asked["vec"], strict=True):
-                low, high = np.searchsorted(places, [place - window, place + window + 1])
-                v = np.asarray(vec, float)
-                dist = np.round(1 - x[low:high] @ v / max(np.linalg.norm(v), 1e-300), 12)
-                dist[names[low:high] == src] = np.inf
-                top = np.lexsort((names[low:high], dist))[:k]
-                top = top[dist[top] < np.inf]
-                out.append(pd.DataFrame({"src": src, "dst": names[low:high][top], "dist": dist[top]}))
-        return pd.concat(out)
-
-    found = q.groupBy("b", "block").cogroup(b.groupBy("b", "block")).applyInPandas(run, "src long, dst long, dist double")
-    found = found.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length 1, and which of them have a length at all."""
+    x = np.stack(column.to_numpy()).astype(float)
+    norm = np.linalg.norm(x, axis=1)
+    return x / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+
+def _angles(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Straight distances of unit vectors."""
+    return np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
+
+
+def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, pivots: int = 512, first: int = 4) -> DataFrame:
+    """src, rank (from 1), dst, dist: the k nearest of base for each query (cell_id, vec) by cosine distance, ties to the smaller id: what knn()
+    gives, without comparing all with all where the vectors lie in groups.
+
+    Base rows go to the nearest of so many pivots, base rows of the smallest hashes. A query first meets the groups of its `first` nearest
+    pivots, which bounds its k-th distance; then only groups that may hold something nearer: those whose pivot isn't farther from it than
+    that bound and the group's radius together (distances of unit vectors obey the triangle inequality). Vectors without a length have
+    distance 1 to all and a group of their own. Groups are dealt out in blocks of BLOCK rows by BLOCK queries."""
+    chosen = base.select("vec", F.xxhash64("cell_id").alias("h")).where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0).orderBy("h").limit(pivots).collect()
+    p = _unit(pd.Series([r.vec for r in chosen]))[0] if chosen else np.zeros((0, 1))
+
+    def placed(it):
+        for rows in it:
+            if len(rows):
+                x, real = _unit(rows["vec"])
+                far = _angles(x, p) if len(p) else np.zeros((len(x), 1))
+                yield pd.DataFrame({"pivot": np.where(real, far.argmin(1), -1).astype(np.int64), "id": rows["cell_id"], "vec": rows["vec"], "r": far.min(1)})
+
+    held = materialized(base.select("cell_id", "vec").mapInPandas(placed, "pivot long, id long, vec array<double>, r double"), "pivots")
+    groups = held.groupBy("pivot").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("pivot")  # a row for each pivot
+    names, radius, sizes = groups["pivot"].to_numpy(), groups["radius"].to_numpy(), groups["n"].to_numpy()
+    inner = names >= 0
+
+    def visits(bounded: bool):
+        """(group, id, vec) of each query's groups: its nearest ones, or those that its bound leaves."""
+
+        def run(it):
+            for rows in it:
+                for low in range(0, len(rows), BLOCK):
+                    some = rows.iloc[low : low + BLOCK]
+                    x, real = _unit(some["vec"])
+                    far = np.full((len(x), len(names)), np.inf)
+                    if inner.any():
+                        far[:, inner] = _angles(x, p[names[inner]])
+                    nearest = np.argsort(far, axis=1, kind="stable")
+                    seen = np.zeros(far.shape, bool)
+                    np.put_along_axis(seen, nearest[:, :first], True, axis=1)
+                    if bounded:
+                        most = np.sqrt(2 * np.nan_to_num(some["most"].to_numpy(float), nan=np.inf))[:, None] + 1e-6
+                        seen = np.where(inner, far <= most + radius, most >= np.sqrt(2) - 1e-6) & ~seen | (~real[:, None] & ~seen)
+                    at, of = np.nonzero(seen)
+                    yield pd.DataFrame({"pivot": names[of], "id": some["cell_id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at]})
+
+        return run
+
+    many = {int(name): blocks_of(int(n), BLOCK) for name, n in zip(names, sizes, strict=True) if n > BLOCK}
+    blocks = F.coalesce(F.create_map(*[F.lit(x).cast("long") for pair in many.items() for x in pair])[F.col("pivot")], F.lit(1).cast("long")) if many else F.lit(1).cast("long")
+
+    def met(asked: DataFrame) -> DataFrame:
+        turns = asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("turns"))  # a row for each pivot
+        b = held.select("pivot", "id", "vec", F.pmod(F.xxhash64("id"), blocks).alias("bb")).join(F.broadcast(turns), "pivot").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+        q = asked.join(F.broadcast(turns), "pivot").select("pivot", "id", "vec", F.pmod(F.xxhash64("id"), F.col("turns")).alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        keys = ("pivot", "bb", "qb")
+        return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_nearest("cosine", k, exclude_self), "src long, dst long, dist double")
+
+    nearest = Window.partitionBy("src").orderBy("dist", "dst")
+    shape = "pivot long, id long, vec array<double>"
+    asked = queries.select("cell_id", "vec")
+    near = materialized(met(materialized(asked.mapInPandas(visits(False), shape), "visits")), "near")
+    most = near.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") == k).select(F.col("src").alias("cell_id"), F.col("dist").alias("most"))
+    again = materialized(asked.join(most, "cell_id", "left").mapInPandas(visits(True), shape), "visits")
+    found = near.unionByName(met(again))
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
 def snn(neighbors: DataFrame, prune: float = 0.0) -> DataFrame:

@@ -9,18 +9,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genomic import normal_tail
-from ..model import ranged
+from ..model import materialized, ranged
 
 PSEUDO = 1e-9
+#: Rows of a test table that one task ranks.
+ONE_WINDOW = 1_000_000
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, partition: list[str] | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """tests with p_val_adj: min(1, running minimum of p m / rank from the largest p), within the partition.
 
-    Without a partition, tests are ranked in ranges of p: each range learns how many tests the ranges below it hold and
-    the least p m / rank of those above."""
-    if partition:
-        own = Window.partitionBy(*partition)
+    Without a partition, up to ONE_WINDOW stored tests are one window; more are ranked in ranges of p: each range learns how many
+    tests the ranges below it hold and the least p m / rank of those above. Both give the same."""
+    tests = tests if partition else materialized(tests, "tests")
+    if partition or tests.count() <= ONE_WINDOW:
+        own = Window.partitionBy(*(partition or []))
         ranked = tests.withColumns({"__rank": F.row_number().over(own.orderBy(p, *order)), "__m": F.count(F.lit(1)).over(own)})
         ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__rank"))
         rest = own.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)

@@ -107,13 +107,15 @@ def sketch_clustering(spark, sf):
     edges = m.materialized(_snn(sample), "snn")
     labels = m.materialized(graph.split_disconnected(graph.louvain(_nodes(sample), edges, 1.8), edges), "labels")
     labels = labels.select(F.col("node").alias("cell_id"), F.col("cluster").alias("label"))
-    near = neighbors.knn_projected(emb.join(chosen, "cell_id", "left_anti"), sample, 5)
+    near = neighbors.knn_pruned(emb.join(chosen, "cell_id", "left_anti"), sample, 5)
     return labels.unionByName(neighbors.vote(near, labels).withColumnRenamed("src", "cell_id"))
 
 
 def knn_projected(spark, sf):
+    """The five nearest of each fifth row among all, by pivots: exact."""
     emb = m.embedding(spark, sf)
-    return neighbors.knn_projected(emb.where("cell_id % 5 = 0"), emb, 5)
+    found = neighbors.knn_pruned(emb.where("cell_id % 5 = 0"), emb, 5, exclude_self=True)
+    return found.select("src", "rank", "dst", m.rounded(F.col("dist")).alias("dist"))
 
 
 def kmeans_clusters(spark, sf):
@@ -132,5 +134,7 @@ def banksy_regions(spark, sf):
 
 QUERIES = {
     f.__name__: (f, None)
-    for f in (lsi_embedding, pca_embedding, louvain, connected_split, harmony, spage_impute, single_sample_pipeline, multi_sample_pipeline, wnn_pipeline, sketch_clustering, banksy_regions, knn_projected, kmeans_clusters)
+    for f in (lsi_embedding, pca_embedding, louvain, connected_split, harmony, spage_impute, single_sample_pipeline, multi_sample_pipeline, wnn_pipeline, sketch_clustering, banksy_regions, kmeans_clusters)
 }
+QUERIES["knn_projected"] = (knn_projected, """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id AS src, b.id AS dst, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) AS dist FROM e a, e b WHERE a.id % 5 = 0 AND a.id <> b.id)
+    SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 5""")

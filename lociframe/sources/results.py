@@ -12,10 +12,18 @@ from .readers import SIZE_COMMENT
 VERSION = 1
 
 
+def _nested(df: DataFrame, name: str) -> bool:
+    """Whether nulls may hide inside a column's values."""
+    return df.schema[name].dataType.typeName() in ("array", "map", "struct")
+
+
 def content_hash(df: DataFrame) -> str:
-    """A hash of the rows that does not depend on their order."""
+    """A hash of the rows, the names and types of their columns, that does not depend on the order of either. Spark's hashes pass
+    over nulls, so which columns are null is hashed too."""
     cols = sorted(df.columns)
-    found = df.select(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
+    shape = F.lit(str([(c, df.schema[c].dataType.simpleString()) for c in cols]))
+    values = [shape, F.array(*[F.col(c).isNull() for c in cols]), *[F.to_json(F.struct(c)) if _nested(df, c) else F.col(c) for c in cols]]
+    found = df.select(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
     return f"{found.n}-{found.a}-{found.b}"
 
 

@@ -192,12 +192,20 @@ def test_projected_neighbours(spark, monkeypatch):
     centers = rng.normal(size=(6, 5))
     emb = spark.createDataFrame([(i, (centers[i % 6] + rng.normal(size=5) * 0.2).tolist()) for i in range(300)], "cell_id long, vec array<double>").repartition(3)
     asked = emb.where("cell_id % 4 = 0")
-    exact = {(r.src, r.dst): r.dist for r in neighbors.knn(asked, emb, 5, exclude_self=True).collect()}
-    found = neighbors.knn_projected(asked, emb, 5, window=20).collect()
-    assert len(found) == 5 * 75 and sum((r.src, r.dst) in exact for r in found) >= 0.85 * len(found)
-    assert all(abs(exact[r.src, r.dst] - r.dist) < 1e-9 for r in found if (r.src, r.dst) in exact)
-    whole = neighbors.knn_projected(asked, emb, 5, window=300)
-    assert {(r.src, r.dst) for r in whole.collect()} == set(exact)
+    exact = sorted(map(tuple, neighbors.knn(asked, emb, 5, exclude_self=True).collect()))
+    assert sorted(map(tuple, neighbors.knn_pruned(asked, emb, 5, exclude_self=True, pivots=12).collect())) == exact and len(exact) == 5 * 75
+
+
+def test_pruned_neighbours_of_odd_rows(spark, monkeypatch):
+    """Ties, vectors of no length, fewer rows than asked, blocks of few rows: what comparing all with all gives."""
+    rng = np.random.default_rng(4)
+    x = [[float(a) for a in v] for v in rng.normal(size=(90, 4))] + [[0.0] * 4] * 3 + [[1.0, 0.0, 0.0, 0.0]] * 9
+    emb = spark.createDataFrame(list(enumerate(x)), "cell_id long, vec array<double>")
+    for size in (4096, 8):
+        monkeypatch.setattr(neighbors, "BLOCK", size)
+        for base in (emb, emb.limit(0), emb.where("cell_id < 3"), emb.where("cell_id between 90 and 92")):
+            want = sorted(map(tuple, neighbors.knn(emb, base, 6).collect())) if base.count() else []
+            assert sorted(map(tuple, neighbors.knn_pruned(emb, base, 6, pivots=7, first=2).collect())) == want
 
 
 def test_kmeans_finds_directions(spark):

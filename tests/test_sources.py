@@ -57,6 +57,17 @@ def test_save_load(spark, tmp_path, rows):
     assert results.load(spark, f"file://{tmp_path}/none") is None
 
 
+def test_saved_nulls_count(spark, tmp_path, rows):
+    """Tables that differ in where their nulls are, or in the names of their columns, are written anew."""
+    path, shape = f"file://{tmp_path}/n", "a int, b int, c array<int>"
+    made = [[(1, None, [1, None])], [(None, 1, [1, None])], [(None, 1, [None, 1])], [(None, 1, None)]]
+    for table in made:
+        assert results.save(spark, path, {"t": spark.createDataFrame(table, shape)}) == ["t"]
+        assert rows(results.load(spark, path)[0]["t"]) == table
+        assert results.save(spark, path, {"t": spark.createDataFrame(table, shape)}) == []
+    assert results.save(spark, path, {"t": spark.createDataFrame(made[-1], shape).withColumnRenamed("a", "z")}) == ["t"]
+
+
 def test_matrix_round_trip(spark, tmp_path, rows):
     counts = spark.createDataFrame([(0, 0, 2.0), (4, 2, 1.0)], "feature_id long, cell_id long, value double")
     results.write_matrix_market(counts, 5, 3, f"file://{tmp_path}/m")
