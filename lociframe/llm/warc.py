@@ -113,12 +113,12 @@ def convert_record(record: dict) -> tuple:
     return f"urn:uuid:{made}", unquote(key) if key is not None else None, record["URL"], date, head, payload, len(payload), said
 
 
-def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """(first, last + 1) of runs of at most `most` items that end once they hold BATCH_BYTES."""
+def _spans(sizes: list[int], most: int, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of at most `most` items that end once they hold limit bytes."""
     low = held = 0
     for k, size in enumerate(sizes):
         held += size
-        if held >= BATCH_BYTES or k + 1 - low == most:
+        if held >= limit or k + 1 - low == most:
             yield low, k + 1
             low, held = k + 1, 0
     if low < len(sizes):
@@ -131,7 +131,7 @@ def archives(pages: DataFrame, key_col: str, url_col: str, html_col: str, versio
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
-            for low, high in _spans(sizes, ROWS_PER_ARCHIVE):
+            for low, high in _spans(sizes, ROWS_PER_ARCHIVE, BATCH_BYTES):
                 keys, urls, htmls = (c.to_pylist() for c in batch.slice(low, high - low).columns)
                 yield pa.RecordBatch.from_pydict({"content": [write_arc(((k, u, (h or "").encode()) for k, u, h in zip(keys, urls, htmls, strict=True)), version)]})
 
@@ -153,7 +153,7 @@ def convert(files: DataFrame, content_col: str = "content", payloads: bool = Tru
                 rows = [convert_record(r) for r in read_arc(content.as_py() or b"")]
                 if not payloads:
                     rows = [(*r[:4], None, None, *r[6:]) for r in rows]
-                for low, high in _spans([len(r[5] or b"") for r in rows], len(rows)):
+                for low, high in _spans([len(r[5] or b"") for r in rows], len(rows), BATCH_BYTES):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[low:high], strict=True), schema.types, strict=True)], schema=schema)
 
     return files.select(content_col).mapInArrow(run, fields)
@@ -193,7 +193,7 @@ def write_warc(records: DataFrame, path: str, largest: int | None = None, record
 def _write(records: DataFrame, path: str, records_per_file: int) -> None:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for low, high in _spans(pc.fill_null(pc.binary_length(batch.column("payload")), 0).to_pylist(), 256):
+            for low, high in _spans(pc.fill_null(pc.binary_length(batch.column("payload")), 0).to_pylist(), 256, BATCH_BYTES):
                 yield pa.RecordBatch.from_pydict({"value": pa.array([_warc(r) for r in batch.slice(low, high - low).to_pylist()], pa.string())})
 
     done = records.select("record_id", "url", "date", "http_head", "payload", "payload_bytes", "payload_digest", "refers_to", "refers_to_url", "refers_to_date").mapInArrow(run, "value string")
