@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. Null texts count as empty; very long texts are judged
-whole; of rows that repeat an id or a text one stays, from the fourth stage on; rows with null ids pass the
-first four stages; extra columns, whatever their names, pass through all but the last.
+whole; of rows that repeat an id with the same text, and of near copies, one stays from the fourth stage on (an id
+with unlike texts names several documents); rows with null ids pass the first four stages; extra columns, whatever their names, pass through all but the last.
 """
 
 from __future__ import annotations
