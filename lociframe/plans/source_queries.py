@@ -8,7 +8,7 @@ from .. import model as m
 from ..functions import genomic
 from ..model import rounded
 from ..operators import spatial
-from ..sources import folders, readers, results
+from ..sources import folders, hdf5, readers, results, tabix
 from ..streaming import coverage
 from .interval_queries import FRAG, IV
 from .matrix_queries import CELLS, SCELLS, C
@@ -33,6 +33,44 @@ def matrix_market_round_trip(spark, sf):
     return readers.matrix_market(spark, path)
 
 
+def _hdf5(spark, sf):
+    """A folder of HDF5 files of the counts, 40 cells in each, and the first cell of every file."""
+    path = _folder(spark, "hdf5")
+    files = m.materialized(hdf5.write_counts(m.counts(spark, sf), m.table(spark, sf, "part").count() + 1, path, cells_per_file=40), "files")
+    return path, files
+
+
+def hdf5_counts(spark, sf):
+    """All counts, written to HDF5 files and read back by their chunks."""
+    path, files = _hdf5(spark, sf)
+    return hdf5.counts(spark, path, cells=15).join(files, "file").select("feature_id", (F.col("cell_id") + F.col("first")).alias("cell_id"), "value")
+
+
+def hdf5_features(spark, sf):
+    """Totals by name of every fiftieth feature: only chunks that hold one are read of the values."""
+    path, files = _hdf5(spark, sf)
+    wanted = [r[0] for r in m.features(spark, sf).where("feature_id % 50 = 0").select("feature_id").collect()]
+    names = hdf5.column(spark, files.first().file, "names").select(F.col("pos").alias("feature_id"), F.col("value").alias("name"))
+    n_cells = hdf5.column(spark, path, "barcodes").agg(F.count_distinct("value").alias("n_barcodes"))
+    found = hdf5.counts(spark, path, features=wanted).groupBy("feature_id").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    return found.join(names, "feature_id").crossJoin(F.broadcast(n_cells)).select("feature_id", "name", "total", "n", "n_barcodes")
+
+
+#: Regions that are read by index: chromosome, first and last place.
+REGIONS = (("chr1", 0, 10**9), ("2", 86_400, 400_000), ("CHR3", 1_000_000, 1_200_000), ("chr4", 5_000_000, 5_000_000))
+
+
+def indexed_fragments(spark, sf):
+    """Fragments of some regions, read from block files by their indexes, and the blocks that this took."""
+    path = _folder(spark, "tabix")
+    m.materialized(tabix.write_indexed(m.fragments(spark, sf), path, 4), "files")
+    out = None
+    for k, region in enumerate(REGIONS):
+        one = tabix.region(spark, path, *region).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.count_distinct("barcode").alias("n_barcodes"), (F.count_distinct("file", "block") > 0).alias("read")).withColumn("region", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def matrix_market_size(spark, sf):
     path = _folder(spark, "mtx")
     results.write_matrix_market(m.counts(spark, sf), m.table(spark, sf, "part").count(), m.table(spark, sf, "supplier").count(), path)
@@ -260,6 +298,9 @@ _GENOMES = "CASE CAST(p_partkey % 7 AS INTEGER) WHEN 0 THEN 'hg38' WHEN 1 THEN '
 
 QUERIES = {
     "matrix_market_round_trip": (matrix_market_round_trip, f"WITH {C} SELECT feature_id, cell_id, value FROM counts"),
+    "hdf5_counts": (hdf5_counts, f"WITH {C} SELECT feature_id, cell_id, value FROM counts"),
+    "hdf5_features": (hdf5_features, f"WITH {C} SELECT feature_id, 'Gene' || CAST(feature_id AS VARCHAR) AS name, sum(value) AS total, count(*) AS n, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT max(cell_id) - min(cell_id // 40 * 40) + 1 AS n FROM counts GROUP BY cell_id // 40)) AS n_barcodes FROM counts WHERE feature_id % 50 = 0 GROUP BY 1, 2"),
+    "indexed_fragments": (indexed_fragments, f"WITH {FRAG}, g AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, 'chr{c.lower().removeprefix('chr')}', {a}, {b})" for k, (c, a, b) in enumerate(REGIONS)) + ") AS v(region, chrom, a, b)) SELECT region, f.chrom AS chrom, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, count(DISTINCT barcode) AS n_barcodes, true AS read FROM frag f JOIN g ON g.chrom = f.chrom AND f.e >= a AND f.s <= b GROUP BY 1, 2"),
     "matrix_market_size": (matrix_market_size, f"WITH {C} SELECT (SELECT count(*) FROM part) AS n_features, (SELECT count(*) FROM supplier) AS n_cells, count(*) AS n_entries FROM counts"),
     "tenx_folder": (tenx_folder, f"WITH {C}, {_T} SELECT cell_id, total, (SELECT count(*) FROM part) AS n_features, (SELECT count(*) FROM supplier) AS n_barcodes FROM t"),
     "bed_peaks": (bed_peaks, f"WITH {IV} SELECT chr, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends FROM iv GROUP BY 1"),

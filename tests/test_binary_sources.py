@@ -1,5 +1,6 @@
 """HDF5 count matrices and indexed fragment files: written, read back, read in part."""
 
+import gzip
 import random
 import struct
 import zlib
@@ -7,7 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from lociframe.sources import hdf5
+from lociframe.operators import intervals
+from lociframe.sources import hdf5, tabix
 from lociframe.sources.ranges import opened
 
 
@@ -118,3 +120,56 @@ def test_what_is_not_hdf5(tmp_path):
     (tmp_path / "z.h5").write_bytes(b"nothing of the kind" * 9)
     with opened(f"file://{tmp_path}/z.h5") as file, pytest.raises(ValueError, match="no HDF5"):
         hdf5.Headers(file)
+
+
+# ---- fragments with an index --------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def fragments(spark):
+    rnd = random.Random(5)
+    made = []
+    for k in range(60_000):
+        start = rnd.randrange(1 << rnd.choice([14, 20, 26]))
+        made.append((rnd.choice(["chr1", "chr2", "chrX"]), start, start + rnd.choice([1, 40, 200, 200, 20_000]), f"AACC{rnd.randrange(900)}-{'x' * rnd.randrange(30)}", rnd.randint(1, 5)))
+    return spark.createDataFrame(made, "chrom string, start long, end long, barcode string, count long")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_region_by_index_equals_scan(spark, tmp_path, fragments, rows, files):
+    path = f"file://{tmp_path}/f"
+    told = tabix.write_indexed(fragments, path, files).collect()
+    assert len(told) == files and sum(t.n_rows for t in told) == 60_000
+    blocks = sum(t.n_blocks for t in told)
+    for chrom, start, end in (("chr1", 0, 1 << 30), ("1", 5_000, 9_000), ("CHR2", 1 << 20, (1 << 20) + 300_000), ("chrX", 40_000_000, 40_400_000), ("chr9", 0, 10**6), ("chr2", 70_000_000, 80_000_000), ("chr1", 7, 7)):
+        found = tabix.region(spark, path, chrom, start, end)
+        want = rows(intervals.in_region(fragments, chrom, start, end))
+        assert rows(found.drop("file", "block")) == want
+        assert rows(tabix.region(spark, path, chrom, start, end, split=100_000).drop("file", "block")) == want
+        touched = found.select("file", "block").distinct().count()
+        assert touched <= blocks
+        if end - start < 500_000 and want and start > 1 << 15:
+            assert touched < blocks / 3
+    whole = gzip.decompress((tmp_path / "f" / told[0].file.rsplit("/", 1)[1]).read_bytes())  # blocks are plain gzip to others
+    assert whole.count(b"\n") == told[0].n_rows
+
+
+def test_blocks_read_are_few(spark, tmp_path, fragments):
+    """The places an index names for a small region are a small part of the file."""
+    path = f"file://{tmp_path}/g"
+    (told,) = tabix.write_indexed(fragments, path, 1).collect()
+    with opened(told.file + ".tbi") as file:
+        index = tabix.Index.read(file.read())
+    size = (tmp_path / "g" / "part-00000.tsv.gz").stat().st_size
+    assert sum((b >> 16) - (a >> 16) for a, b in index.places("chr2", 30_000_000, 30_010_000)) < size / 4
+    assert index.places("chr7", 0, 10) == []
+
+
+def test_bins():
+    assert tabix.bins_of(np.array([0, 0, 16_383, 1 << 20]), np.array([1, 16_385, 16_384, (1 << 20) + 1])).tolist() == [4681, 585, 4681, 4681 + 64]
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, c = rnd.randrange(1 << 28), rnd.randrange(1 << 28)
+        b, d = a + rnd.randrange(1, 1 << 22), c + rnd.randrange(1, 1 << 22)
+        if a < d and c < b:
+            assert int(tabix.bins_of(np.array([a]), np.array([b]))[0]) in tabix.bins_over(c, d)
