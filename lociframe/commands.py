@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -91,8 +92,12 @@ def plot_gene_dotplot(data: Dataset, genes: list[str]) -> DataFrame:
 
 
 @action("cluster")
-def find_markers(data: Dataset, cluster: int) -> DataFrame:
-    return stats.expressed_filter(stats.markers(data.counts, _one_group(data, F.col("cluster") == cluster)))
+def find_markers(data: Dataset, cluster: int | list[int]) -> DataFrame:
+    """Markers of a cluster against all others; of several, one after another under their cluster."""
+    if not isinstance(cluster, list):
+        return stats.expressed_filter(stats.markers(data.counts, _one_group(data, F.col("cluster") == cluster)))
+    each = [find_markers(data, c).withColumn("cluster", F.lit(c)) for c in dict.fromkeys(cluster)]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 @action("selected")
@@ -154,12 +159,19 @@ def link_peaks(data: Dataset, peaks: DataFrame, genes: DataFrame, peak_counts: D
 
 
 @action()
-def cluster_and_visualize(data: Dataset, resolution: float | None = None) -> DataFrame:
+def cluster_and_visualize(data: Dataset, resolution: float | None = None, method: str = "louvain", pruned: bool = False) -> DataFrame:
+    """node, cluster by louvain (multilevel), leiden or walktrap, over neighbours that share neighbours. pruned looks for them by pivots: the
+    same ones, with less work where cells lie in groups."""
     from .model import materialized
 
-    k = int(data.settings["n_neighbors"])
-    edges = materialized(neighbors.snn(neighbors.knn(data.embedding, data.embedding, k, exclude_self=True)), "snn")
-    return graph.louvain(data.embedding.select(F.col("cell_id").alias("node")), edges, resolution or data.settings["resolution"])
+    k, nodes = int(data.settings["n_neighbors"]), data.embedding.select(F.col("cell_id").alias("node"))
+    find = neighbors.knn_pruned if pruned else neighbors.knn
+    edges = materialized(neighbors.snn(find(data.embedding, data.embedding, k, exclude_self=True)), "snn")
+    if method == "walktrap":
+        return graph.walktrap(nodes, edges)
+    if method not in ("louvain", "multilevel", "leiden"):
+        raise ValueError(f"no clustering is called {method}")
+    return (graph.leiden if method == "leiden" else graph.louvain)(nodes, edges, resolution or data.settings["resolution"])
 
 
 @action("old", "new")
@@ -243,9 +255,10 @@ def run_pca(data: Dataset) -> DataFrame:
 
 @action()
 def run_umap(data: Dataset) -> DataFrame:
-    """cell_id, x, y: the first two components of the embedding. The layout of the reference is a third party's; this one
-    stands in for it, so min_dist has no effect."""
-    return data.embedding.select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    """cell_id, x, y: the layout of the embedding by the settings' n_neighbors and min_dist."""
+    from .operators import layout
+
+    return layout.place(data.embedding.select("cell_id", "vec"), int(data.settings["n_neighbors"]), float(data.settings["min_dist"]))
 
 
 @action("gene")
@@ -317,3 +330,49 @@ def update(data: Dataset, **changes: float) -> Dataset:
     if unknown:
         raise KeyError(f"no parameter is called {', '.join(sorted(unknown))}")
     return dataclasses.replace(data, settings={**data.settings, **changes})
+
+
+# ---- changed parameters: each gives what its step then makes -----------------------------------------------
+
+
+@action()
+def update_cell_filtering(data: Dataset, **changes: float) -> DataFrame:
+    """min_features, min_total, max_mito_pct: the cells that are left."""
+    return filter_cells(_changed(data, "qc", changes))
+
+
+@action("min_cells")
+def update_gene_filtering(data: Dataset, min_cells: float) -> DataFrame:
+    """The features that are left, by their sums."""
+    return matrix.axis_sums(filtered(update(data, min_cells=min_cells)), "feature_id")
+
+
+@action("n_top")
+def update_variable_genes(data: Dataset, n_top: int) -> DataFrame:
+    changed = update(data, n_top=n_top)
+    return variable_features(changed, matrix.log_normalize(filtered(changed)))
+
+
+@action("resolution")
+def update_clustering_resolution(data: Dataset, resolution: float, method: str = "louvain") -> DataFrame:
+    return cluster_and_visualize(update(data, resolution=resolution), method=method)
+
+
+@action("n_components")
+def update_pca_for_umap(data: Dataset, n_components: int) -> DataFrame:
+    """The layout of that many components of the counts."""
+    changed = update(data, n_components=n_components)
+    return run_umap(dataclasses.replace(changed, embedding=run_pca(changed)))
+
+
+@action()
+def update_umap_parameters(data: Dataset, **changes: float) -> DataFrame:
+    """n_neighbors, min_dist: the layout by them."""
+    return run_umap(_changed(data, "umap", changes))
+
+
+def _changed(data: Dataset, step: str, changes: dict) -> Dataset:
+    """data with changed parameters of one step; there must be some, and no others."""
+    if not changes or set(changes) - set(STEPS[step]):
+        raise ValueError(f"{step} takes {', '.join(STEPS[step])}")
+    return update(data, **changes)

@@ -48,44 +48,169 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return sums.join(F.broadcast(total), F.lit(True)).agg(F.sum(share).alias("modularity"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
-    """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters.
+def _moved(graph: DataFrame, own: DataFrame, m2: float, resolution: float, level: int, sweeps: int) -> DataFrame:
+    """own (node, c, k) once no node gains modularity by moving to a neighbour's cluster.
 
     Moves are made for all nodes of a round at once. A sweep is two rounds: a hash of node and sweep names the half that may
     move in the first, the others may in the second, which stops pairs of nodes from swapping for ever. Sweeps go on until
-    one moves nothing (100 at most, as in the reference), and levels until no clusters merge. Level by level the graph
-    shrinks; edges within a cluster become a self loop."""
+    one moves nothing (100 at most, as in the reference)."""
+    moving = True
+    for turn in range(2 * sweeps):
+        totals = own.groupBy("c").agg(F.sum("k").alias("tot"))
+        links = graph.where("src != dst").join(own.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("w"))
+        stay = own.select("node", "c").withColumn("w", F.lit(0.0))
+        choice = links.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(totals, "c").join(own.select("node", F.col("c").alias("now"), "k"), "node")
+        rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.col("w") - resolution * F.col("k") * rest / m2
+        best = choice.withColumn("gain", gain).groupBy("node").agg(F.max_by("c", F.struct(F.round("gain", 9), -F.col("c"))).alias("to"), F.max("now").alias("now"), F.max("k").alias("k"), F.max("gain").alias("g"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("g0"))
+        free = F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
+        moves = free & (F.col("g") > F.col("g0") + 1e-9)
+        step = materialized(best.select("node", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("c"), "k", moves.alias("moved")), "louvain-step")
+        own = step.select("node", "c", "k")
+        moved = not step.where("moved").isEmpty()
+        if turn % 2 and not (moved or moving):
+            break
+        moving = moved
+    return own
+
+
+def _merged(graph: DataFrame, parts: DataFrame) -> DataFrame:
+    """The graph of parts (node, c); edges within a part become a self loop."""
+    a, b = parts.select(F.col("node").alias("src"), F.col("c").alias("cs")), parts.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
+    return materialized(graph.join(a, "src").join(b, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-graph")
+
+
+def _dense(label: DataFrame) -> DataFrame:
+    names = label.select("cluster").distinct().withColumn("dense", F.dense_rank().over(Window.orderBy("cluster")) - 1)
+    return label.join(names, "cluster").select("node", F.col("dense").alias("cluster"))
+
+
+def _begun(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = materialized(nodes.select("node", F.col("node").alias("cluster")), "louvain")
-    graph = materialized(symmetric(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain-graph")
+    return label, materialized(symmetric(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "louvain-graph")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
+    """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters, until no clusters merge."""
+    label, graph = _begun(nodes, edges)
     level = 0
     while True:
         degree = materialized(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
         m2 = degree.agg(F.sum("k")).first()[0]
         if not m2:
             break
-        own = degree.select("node", F.col("node").alias("c"), "k")
-        nodes_before, moving = own.count(), True
-        for turn in range(2 * sweeps):
-            totals = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            links = graph.where("src != dst").join(own.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("weight").alias("w"))
-            stay = own.select("node", "c").withColumn("w", F.lit(0.0))
-            choice = links.unionByName(stay).groupBy("node", "c").agg(F.sum("w").alias("w")).join(totals, "c").join(own.select("node", F.col("c").alias("now"), "k"), "node")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
-            gain = F.col("w") - resolution * F.col("k") * rest / m2
-            best = choice.withColumn("gain", gain).groupBy("node").agg(F.max_by("c", F.struct(F.round("gain", 9), -F.col("c"))).alias("to"), F.max("now").alias("now"), F.max("k").alias("k"), F.max("gain").alias("g"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("g0"))
-            free = F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn // 2)), F.lit(2)) == turn % 2
-            moves = free & (F.col("g") > F.col("g0") + 1e-9)
-            step = materialized(best.select("node", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("c"), "k", moves.alias("moved")), "louvain-step")
-            own = step.select("node", "c", "k")
-            moved = not step.where("moved").isEmpty()
-            if turn % 2 and not (moved or moving):
-                break
-            moving = moved
+        nodes_before = degree.count()
+        own = _moved(graph, degree.select("node", F.col("node").alias("c"), "k"), m2, resolution, level, sweeps)
         label = materialized(label.join(own.select(F.col("node").alias("cluster"), "c"), "cluster", "left").select("node", F.coalesce("c", "cluster").alias("cluster")), "louvain")
-        a, b = own.select(F.col("node").alias("src"), F.col("c").alias("cs")), own.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
-        graph = materialized(graph.join(a, "src").join(b, "dst").groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-graph")
+        graph = _merged(graph, own)
         level += 1
         if own.select("c").distinct().count() >= nodes_before:
             break
-    names = label.select("cluster").distinct().withColumn("dense", F.dense_rank().over(Window.orderBy("cluster")) - 1)
-    return label.join(names, "cluster").select("node", F.col("dense").alias("cluster"))
+    return _dense(label)
+
+
+def _refined(graph: DataFrame, own: DataFrame, m2: float, resolution: float, level: int, rounds: int = 8) -> DataFrame:
+    """node, c: the parts of each cluster of own (node, c, k) that hang well together.
+
+    Every node begins as a part of its own. In a round the nodes of one half (by hash) that still are alone, and that are well
+    connected to the rest of their cluster, join the part of the other half with the largest gain, if it is positive and that part is
+    well connected too. What joins is linked to what it joins and what is joined doesn't move, so parts are connected."""
+    within = graph.where("src != dst").join(own.select(F.col("node").alias("src"), "c"), "src").join(own.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("c = cd").select("src", "dst", "weight")
+    within = materialized(within, "leiden-within")
+    totals = own.groupBy("c").agg(F.sum("k").alias("tot"))
+    linked = within.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("w"))
+    held = own.join(totals, "c").join(linked, "node", "left")
+    well = F.coalesce("w", F.lit(0.0)) >= resolution * F.col("k") * (F.col("tot") - F.col("k")) / m2
+    parts = materialized(held.select("node", "c", "k", "tot", well.alias("well"), F.col("node").alias("part")), "leiden-parts")
+    for turn in range(rounds):
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("kp"), F.max("tot").alias("tot"))
+        a = parts.select(F.col("node").alias("src"), F.col("part").alias("ps"))
+        b = parts.select(F.col("node").alias("dst"), F.col("part").alias("pd"))
+        cut = within.join(a, "src").join(b, "dst").where("ps != pd")
+        outer = cut.groupBy(F.col("ps").alias("part")).agg(F.sum("weight").alias("out"))
+        sizes = sizes.join(outer, "part", "left").withColumn("firm", F.coalesce("out", F.lit(0.0)) >= resolution * F.col("kp") * (F.col("tot") - F.col("kp")) / m2)
+        mover = F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn)), F.lit(2)) == 0
+        alone = parts.join(sizes.select("part", "n"), "part").where((F.col("n") == 1) & F.col("well") & mover).select(F.col("node").alias("src"), F.col("k").alias("ks"))
+        still = sizes.where("firm").join(alone.select(F.col("src").alias("part")), "part", "left_anti").select(F.col("part").alias("pd"), "kp")
+        offers = cut.join(alone, "src").groupBy("src", "ks", "pd").agg(F.sum("weight").alias("w")).join(still, "pd")
+        offers = offers.withColumn("gain", F.col("w") - resolution * F.col("ks") * F.col("kp") / m2).where("gain > 1e-9")
+        best = offers.groupBy(F.col("src").alias("node")).agg(F.max_by("pd", F.struct(F.round("gain", 9), -F.col("pd"))).alias("to"))
+        step = materialized(parts.join(best, "node", "left").select("node", "c", "k", "tot", "well", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")), "leiden-parts")
+        parts = step.drop("moved")
+        if turn % 2 and step.where("moved").isEmpty():
+            break
+    return parts.select("node", F.col("part").alias("c"))
+
+
+def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
+    """node, cluster (dense from 0): as louvain(), but the next level's nodes are the well-connected parts of the clusters, which begin there
+    in their cluster. So parts may leave it again. Every cluster is connected."""
+    label, graph = _begun(nodes, edges)  # label: the part that each node is in
+    own, level = None, 0
+    while True:
+        degree = materialized(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
+        m2 = degree.agg(F.sum("k")).first()[0]
+        if not m2:
+            break
+        begun = degree.select("node", F.col("node").alias("c"), "k") if own is None else degree.join(own, "node").select("node", "c", "k")
+        moved = _moved(graph, begun, m2, resolution, level, sweeps)
+        parts = _refined(graph, moved, m2, resolution, level)
+        n, n_parts = degree.count(), parts.select("c").distinct().count()
+        if n_parts == n:  # nothing merges: the clusters are final
+            label = label.join(moved.select(F.col("node").alias("cluster"), "c"), "cluster", "left").select("node", F.coalesce("c", "cluster").alias("cluster"))
+            break
+        label = materialized(label.join(parts.select(F.col("node").alias("cluster"), F.col("c").alias("part")), "cluster", "left").select("node", F.coalesce("part", "cluster").alias("cluster")), "louvain")
+        own = materialized(parts.select("node", F.col("c").alias("part")).join(moved.select("node", "c"), "node").groupBy(F.col("part").alias("node")).agg(F.max("c").alias("c")), "leiden-own")
+        graph = _merged(graph, parts)
+        level += 1
+    return split_disconnected(_dense(materialized(label, "louvain")), edges)
+
+
+def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float = 0.0, rounds: int = 200) -> DataFrame:
+    """node, cluster (dense from 0): clusters merge by how alike short random walks from them are (Ward's distance of where they are after
+    so many steps, places weighted by their degree); of all stages of merging the one of largest modularity is given.
+
+    In a round all pairs merge that are each other's nearest among linked clusters; the nearest pair of all is one of them, so every
+    round merges. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
+    weighs as much as its edges do on average."""
+    both = symmetric(edges)
+    loops = both.groupBy("src").agg(F.avg("weight").alias("weight"))
+    looped = nodes.select(F.col("node").alias("src")).join(loops, "src", "left").select("src", F.col("src").alias("dst"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    graph = both.unionByName(looped).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    degree = materialized(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "walk-degree")
+    step = materialized(graph.join(degree, F.col("src") == F.col("node")).select(F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("weight") / F.col("k")).alias("p")), "walk-step")
+    walk = step.select(F.col("at").alias("c"), "to", "p")
+    for _ in range(steps - 1):
+        far = walk.withColumnRenamed("to", "at").withColumnRenamed("p", "so_far").join(step, "at")
+        walk = materialized(far.groupBy("c", "to").agg(F.sum(F.col("so_far") * F.col("p")).alias("p")).where(F.col("p") > least), "walks")
+    own = degree.select(F.col("node").alias("to"), F.sqrt("k").alias("root"))
+    profile = materialized(walk.join(own, "to").select("c", "to", (F.col("p") / F.col("root")).alias("v")), "profiles")
+    sizes = nodes.select(F.col("node").alias("c"), F.lit(1.0).alias("n"))
+    links = materialized(edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "walk-links")
+    label = materialized(nodes.select("node", F.col("node").alias("cluster")), "walk-label")
+    best, best_label = -1.0, label
+    for _ in range(rounds):
+        x = profile.select(F.col("c").alias("a"), "to", F.col("v").alias("va"))
+        y = profile.select(F.col("c").alias("b"), "to", F.col("v").alias("vb"))
+        norm = profile.groupBy("c").agg(F.sum(F.col("v") * F.col("v")).alias("norm")).join(sizes, "c")
+        dots = links.join(x, "a").join(y, ["b", "to"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
+        pairs = links.join(dots, ["a", "b"], "left").join(norm.select(F.col("c").alias("a"), F.col("norm").alias("na"), F.col("n").alias("sa")), "a").join(norm.select(F.col("c").alias("b"), F.col("norm").alias("nb"), F.col("n").alias("sb")), "b")
+        cost = F.round(F.col("sa") * F.col("sb") / (F.col("sa") + F.col("sb")) * (F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0))), 12)
+        pairs = materialized(pairs.select("a", "b", cost.alias("cost")), "walk-pairs")
+        ends = pairs.select(F.col("a").alias("c"), F.struct("cost", "a", "b").alias("way")).unionByName(pairs.select(F.col("b").alias("c"), F.struct("cost", "a", "b").alias("way")))
+        chosen = ends.groupBy("c").agg(F.min("way").alias("way")).groupBy("way.a", "way.b").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
+        into = materialized(chosen.select(F.col("b").alias("c"), F.col("a").alias("to_c")), "walk-into")
+        if into.isEmpty():
+            break
+        new = F.coalesce("to_c", "c")
+        grown = sizes.join(into, "c", "left").select("c", "n", new.alias("new"))
+        profile = materialized(profile.join(grown, "c").groupBy(F.col("new").alias("c"), "to").agg((F.sum(F.col("v") * F.col("n"))).alias("v")).join(grown.groupBy(F.col("new").alias("c")).agg(F.sum("n").alias("n")), "c").select("c", "to", (F.col("v") / F.col("n")).alias("v")), "profiles")
+        sizes = materialized(grown.groupBy(F.col("new").alias("c")).agg(F.sum("n").alias("n")), "walk-sizes")
+        names_a, names_b = into.select(F.col("c").alias("a"), F.col("to_c").alias("ta")), into.select(F.col("c").alias("b"), F.col("to_c").alias("tb"))
+        moved = links.join(names_a, "a", "left").join(names_b, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x != y")
+        links = materialized(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "walk-links")
+        label = materialized(label.join(into.withColumnRenamed("c", "cluster"), "cluster", "left").select("node", F.coalesce("to_c", "cluster").alias("cluster")), "walk-label")
+        share = modularity(label, edges).first()[0] or 0.0
+        if share > best:
+            best, best_label = share, label
+    return _dense(best_label)

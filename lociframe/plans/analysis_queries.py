@@ -45,6 +45,25 @@ def louvain(spark, sf):
     return graph.louvain(_nodes(emb), m.materialized(_snn(emb), "snn"), 0.8)
 
 
+def _quality(spark, sf, find):
+    """One row: the nodes, whether every cluster is connected, and whether modularity is above that of the given labels."""
+    emb = m.embedding(spark, sf)
+    edges, nodes = m.materialized(_snn(emb), "snn"), _nodes(emb)
+    found = m.materialized(find(nodes, edges), "clusters")
+    parts = graph.split_disconnected(found, edges).select("cluster").distinct().count() == found.select("cluster").distinct().count()
+    given = emb.select(F.col("cell_id").alias("node"), "cluster")
+    above = graph.modularity(found, edges).first()[0] > graph.modularity(given, edges).first()[0]
+    return found.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("node").alias("n_distinct")).withColumns({"connected": F.lit(parts), "above_labels": F.lit(above)})
+
+
+def leiden(spark, sf):
+    return _quality(spark, sf, lambda nodes, edges: graph.leiden(nodes, edges, 1.0))
+
+
+def walktrap(spark, sf):
+    return _quality(spark, sf, graph.walktrap)
+
+
 def connected_split(spark, sf):
     emb = m.embedding(spark, sf)
     return graph.split_disconnected(emb.select(F.col("cell_id").alias("node"), "cluster"), m.materialized(_snn(emb), "snn"))
@@ -138,3 +157,5 @@ QUERIES = {
 }
 QUERIES["knn_projected"] = (knn_projected, """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id AS src, b.id AS dst, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) AS dist FROM e a, e b WHERE a.id % 5 = 0 AND a.id <> b.id)
     SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 5""")
+_QUALITY = "SELECT count(*) AS n_nodes, count(DISTINCT vec_id) AS n_distinct, true AS connected, true AS above_labels FROM embeddings"
+QUERIES |= {"leiden": (leiden, _QUALITY), "walktrap": (walktrap, _QUALITY)}

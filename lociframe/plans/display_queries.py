@@ -291,7 +291,34 @@ def command_links(spark, sf):
 
 
 def command_umap(spark, sf):
-    return commands.run(_data(spark, sf), "run_umap").select("cell_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+    """The layout against two components of the embedding: all cells have a place, and more of a cell's neighbours stay among its nearest."""
+    data = commands.update(_data(spark, sf), n_neighbors=15, min_dist=0.1)
+    at = m.materialized(commands.run(data, "run_umap"), "layout")
+    near = m.materialized(neighbors.knn(data.embedding, data.embedding, 15, exclude_self=True).select("src", "dst"), "near")
+
+    def kept(places):
+        return neighbors.knn(places, places, 15, "euclidean", exclude_self=True).join(near, ["src", "dst"]).count()
+
+    closer = kept(at.select("cell_id", F.array("x", "y").alias("vec"))) > kept(data.embedding.select("cell_id", F.slice("vec", 1, 2).alias("vec")))
+    finite = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6)
+    return at.agg(F.count(F.lit(1)).alias("n_cells"), F.every(finite).alias("finite")).withColumn("closer", F.lit(closer))
+
+
+def command_update_cells(spark, sf):
+    """A changed threshold of cells gives the cells that are left."""
+    data = commands.update(_data(spark, sf, True), min_total=500, max_mito_pct=100, min_cells=20)
+    return commands.run(data, "update_cell_filtering", min_features=35).select("cell_id", "nnz", "total")
+
+
+def command_update_genes(spark, sf):
+    data = commands.update(_data(spark, sf, True), min_features=35, min_total=500, max_mito_pct=100)
+    return commands.run(data, "update_gene_filtering", min_cells=20).select("feature_id", "nnz", "total")
+
+
+def command_find_several(spark, sf):
+    """Markers of two clusters: how many each has, and how many lie in over half of its cells."""
+    found = commands.run(_data(spark, sf), "find_markers", cluster=[3, 4, 3])
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pct1") > 0.5).alias("n_half"))
 
 
 _SEVEN = "seven AS (SELECT s_suppkey AS cell_id, s_nationkey AS cluster, coalesce(value, 0.0) AS value FROM supplier LEFT JOIN (SELECT * FROM ln_ WHERE feature_id = (SELECT min(p_partkey) FROM part WHERE lower(p_name) = (SELECT lower(p_name) FROM part WHERE p_partkey = 7))) ON cell_id = s_suppkey)"
@@ -338,6 +365,8 @@ QUERIES = {
     "command_cell_types": (command_cell_types, f"WITH {C}, {CELLS}, {_DOTS}, ids AS (SELECT p_partkey AS feature_id FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_brand = 'Brand#7')) SELECT cluster, count(CASE WHEN pct >= 0.1 THEN 1 END) AS n_expressed, count(CASE WHEN pct >= 0.5 THEN 1 END) AS n_strong FROM dots SEMI JOIN ids USING (feature_id) GROUP BY 1"),
     "command_parameters": (command_parameters, "SELECT * FROM (VALUES ('min_features', 30.0::DOUBLE), ('min_total', 0.0), ('max_mito_pct', 100.0), ('resolution', 1.2), ('lambda', 0.3)) AS v(name, value)"),
     "command_filter": (command_filter, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT cell_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),
+    "command_update_cells": (command_update_cells, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT cell_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),
+    "command_update_genes": (command_update_genes, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT feature_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),
     "command_fraction": (command_fraction, f"WITH {SCELLS} SELECT sample, cluster, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY sample) AS DOUBLE), 6) + 0.0 AS fraction FROM cells GROUP BY 1, 2"),
     "command_region_composition": (command_region_composition, f"WITH {SCELLS} SELECT 'r' || CAST(cell_id % 2 AS VARCHAR) AS grp, cluster, count(*) AS n FROM cells WHERE cell_id % 4 < 2 GROUP BY 1, 2"),
     "command_rename": (command_rename, f"WITH {CELLS} SELECT cell_id, cluster, CASE WHEN cluster = (SELECT min(n_nationkey) FROM nation) THEN 'Tubule' ELSE label END AS label FROM cells"),
@@ -347,5 +376,6 @@ QUERIES = {
     "command_annotations": (command_annotations, f"WITH {CELLS} SELECT cell_id, CASE WHEN cluster % 3 = 0 THEN 'type ' || label ELSE label END AS annotation FROM cells"),
     "command_gene_info": (command_gene_info, f"WITH {C} SELECT feature_id, count(*) AS n_cells, sum(value) AS total, round(avg(value), 6) + 0.0 AS mean FROM counts WHERE feature_id = (SELECT min(p_partkey) FROM part WHERE lower(p_name) = (SELECT lower(p_name) FROM part WHERE p_partkey = 7)) AND value > 0 GROUP BY 1"),
     "command_links": (command_links, f"WITH {IV}, {TSS}, {_BAND} SELECT peak_id, distance FROM band WHERE gene = (SELECT min(gene) FROM band)"),
-    "command_umap": (command_umap, "SELECT vec_id AS cell_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS x, round(embedding[2]::DOUBLE, 6) + 0.0 AS y FROM embeddings"),
+    "command_umap": (command_umap, "SELECT count(*) AS n_cells, true AS finite, true AS closer FROM embeddings"),
+    "command_find_several": (command_find_several, f"WITH {C}, {CELLS}, " + "g AS (SELECT cell_id, k AS cluster, cluster = k AS one FROM cells, (VALUES (3), (4)) AS v(k)), sz AS (SELECT cluster, count(CASE WHEN one THEN 1 END) AS n1, count(CASE WHEN NOT one THEN 1 END) AS n2 FROM g GROUP BY 1), x AS (SELECT g.cluster AS cluster, feature_id, count(CASE WHEN one THEN 1 END) AS p1, count(CASE WHEN NOT one THEN 1 END) AS p2 FROM counts JOIN g USING (cell_id) WHERE value > 0 GROUP BY 1, 2) SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, count(CASE WHEN p1 / CAST(n1 AS DOUBLE) > 0.5 THEN 1 END) AS n_half FROM x JOIN sz USING (cluster) WHERE p1 / CAST(n1 AS DOUBLE) > 0.2 OR p2 / CAST(n2 AS DOUBLE) > 0.2 GROUP BY 1"),
 }
