@@ -170,8 +170,8 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
     """node, cluster (dense from 0): clusters merge by how alike short random walks from them are (Ward's distance of where they are after
     so many steps, places weighted by their degree); of all stages of merging the one of largest modularity is given.
 
-    In a round all pairs merge that are each other's nearest among linked clusters; the nearest pair of all is one of them, so every
-    round merges. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
+    In a round pairs merge that are each other's nearest among linked clusters and no farther apart than half of the clusters are from
+    their nearest; the nearest pair of all is one of them, so every round merges. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
     weighs as much as its edges do on average."""
     both = symmetric(edges)
     loops = both.groupBy("src").agg(F.avg("weight").alias("weight"))
@@ -198,7 +198,9 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
         cost = F.round(F.col("sa") * F.col("sb") / (F.col("sa") + F.col("sb")) * (F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0))), 12)
         pairs = materialized(pairs.select("a", "b", cost.alias("cost")), "walk-pairs")
         ends = pairs.select(F.col("a").alias("c"), F.struct("cost", "a", "b").alias("way")).unionByName(pairs.select(F.col("b").alias("c"), F.struct("cost", "a", "b").alias("way")))
-        chosen = ends.groupBy("c").agg(F.min("way").alias("way")).groupBy("way.a", "way.b").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
+        nearest = materialized(ends.groupBy("c").agg(F.min("way").alias("way")), "walk-nearest")
+        most = nearest.agg(F.median("way.cost")).first()[0]  # null once no clusters are linked
+        chosen = nearest.where(F.col("way.cost") <= F.lit(most)).groupBy("way.a", "way.b").agg(F.count(F.lit(1)).alias("votes")).where("votes = 2")
         into = materialized(chosen.select(F.col("b").alias("c"), F.col("a").alias("to_c")), "walk-into")
         if into.isEmpty():
             break

@@ -159,3 +159,10 @@ QUERIES["knn_projected"] = (knn_projected, """WITH e AS (SELECT vec_id AS id, em
     SELECT src, CAST(rank AS INTEGER) AS rank, dst, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 5""")
 _QUALITY = "SELECT count(*) AS n_nodes, count(DISTINCT vec_id) AS n_distinct, true AS connected, true AS above_labels FROM embeddings"
 QUERIES |= {"leiden": (leiden, _QUALITY), "walktrap": (walktrap, _QUALITY)}
+QUERIES["connected_split"] = (connected_split, """WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
+    d AS (SELECT a.id AS src, b.id AS dst, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 12) AS dist FROM e a, e b WHERE a.id <> b.id),
+    knn AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM d) WHERE r <= 15), pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM knn),
+    sh AS (SELECT pr.a AS a, pr.b AS b, count(*) AS n FROM pr JOIN knn x ON x.src = pr.a JOIN knn y ON y.src = pr.b AND y.dst = x.dst GROUP BY 1, 2),
+    ed AS (SELECT a, b FROM sh JOIN e x ON x.id = a JOIN e y ON y.id = b WHERE n / CAST(30 - n AS DOUBLE) > 1 / 15.0::DOUBLE AND x.label = y.label), both_ AS (SELECT a AS src, b AS dst FROM ed UNION ALL SELECT b, a FROM ed),
+    reach(node, root) AS (SELECT id, id FROM e UNION SELECT dst, root FROM reach JOIN both_ ON src = node), r AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)
+    SELECT node, CAST(dense_rank() OVER (ORDER BY label, root) - 1 AS INTEGER) AS cluster FROM r JOIN e ON id = node""")

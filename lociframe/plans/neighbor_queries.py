@@ -141,6 +141,11 @@ def tile_sample(spark, sf):
     return sp.tile_sample(m.points(spark, sf), BOX)
 
 
+def tile_sample_sizes(spark, sf):
+    """How many points each tile's sample holds."""
+    return sp.tile_sample(m.points(spark, sf), BOX).groupBy("level", "tx", "ty").agg(F.count_distinct("id").alias("n"))
+
+
 def viewport_level(spark, sf):
     found = sp.viewport_level(sp.pyramid(m.points(spark, sf), BOX), BOX, (-0.1, 0.1, -0.1, 0.1), 150)
     return found.select("level", "n")
@@ -223,6 +228,7 @@ QUERIES = {
     "spatial_extent": (spatial_extent, f"WITH {_P} SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p"),
     "tile_pyramid": (tile_pyramid, f"WITH {_P}, {_PYR} SELECT level, tx, ty, n, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy FROM pyr"),
     "tile_sample": (tile_sample, None),
+    "tile_sample_sizes": (tile_sample_sizes, f"WITH {_P}, {_PYR} SELECT level, tx, ty, CAST(least(n, 64, round(4 * pow(1.5, level))) AS BIGINT) AS n FROM pyr"),
     "viewport_level": (viewport_level, f"WITH {_P}, {_PYR}, l AS (SELECT level, CAST(sum(least(n, 32)) AS BIGINT) AS n FROM pyr WHERE -1 + tx * (2.0 / pow(2.0, level)) <= 0.1 AND -1 + (tx + 1) * (2.0 / pow(2.0, level)) >= -0.1 AND -1 + ty * (2.0 / pow(2.0, level)) <= 0.1 AND -1 + (ty + 1) * (2.0 / pow(2.0, level)) >= -0.1 GROUP BY 1) SELECT level, n FROM l WHERE level = (SELECT coalesce(max(CASE WHEN n <= 150 THEN level END), min(level)) FROM l)"),
     "point_in_polygon": (point_in_polygon, f"WITH {_P} SELECT id, x, y FROM p WHERE {_polygon_sql()}"),
     "affine_points": (affine_points, f"WITH {_P} SELECT id, round({_AX}, 6) + 0.0 AS x, round({_AY}, 6) + 0.0 AS y, round({_BX}, 5) + 0.0 AS back_x, round({_BY}, 5) + 0.0 AS back_y FROM p"),
