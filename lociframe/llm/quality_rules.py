@@ -64,9 +64,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _size(F.array_distinct("words")).alias("n_distinct"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    step = step.withColumn("shifted", F.arrays_zip(*[F.slice("h", i + 1, far).alias(f"w{i}") for i in range(WINDOW)]))
-    step = step.withColumn("windows", F.slice(F.transform("shifted", lambda z: F.xxhash64(z)), 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int"))).drop("shifted", "h")
-    step = step.withColumn("repeats", _size(F.array_distinct("windows")) < _size(F.col("windows")))
+    for half in (1, 2, 4):  # hashes of runs of 2, 4 and 8 words from those of half their length; a text of fewer words than WINDOW + 1 repeats no window
+        step = step.withColumn("h", F.when(F.col("n_words") > WINDOW, F.zip_with("h", F.slice("h", half + 1, far), lambda x, y: F.xxhash64(x, y))))
+    step = step.withColumn("windows", F.slice("h", 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int"))).drop("h")
+    step = step.withColumn("repeats", F.coalesce(_size(F.array_distinct("windows")) < _size(F.col("windows")), F.lit(False)))
     # first word of each window that occurs twice or more: neighbours in (hash, place) order
     step = step.withColumn("placed", F.when(F.col("repeats"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     step = step.withColumn("near", F.arrays_zip(F.col("placed").alias("b"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.col("placed")).alias("a"), F.slice("placed", 2, far).alias("c")))
