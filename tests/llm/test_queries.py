@@ -183,7 +183,7 @@ def test_normal_equations_against_all_rows_at_once(spark):
 
 
 def test_empty_tables(spark, tmp_path):
-    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
