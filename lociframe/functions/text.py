@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from .places import let
+from .places import let, placed, running
 
 #: Stop words of pathway term tokens (fixed values).
 TERM_STOP_WORDS = ("and", "the", "for", "from", "with", "pathway", "process", "regulation")
@@ -398,6 +398,26 @@ def complete_objects(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({FLAT_OBJECT})"), F.lit(1))
 
 
+def whole_items(text: Column) -> Column:
+    """The outermost objects of a text that are whole and valid JSON, nested ones too, such as those of a list that breaks off.
+
+    Strings, escapes and braces are found once; an object goes from where the running depth of braces becomes 1 to where it is 0 again."""
+    braces = F.filter(placed(text, r'(?s)"(?:[^"\\]|\\.)*+(?:"|$)|\\.|[{}]'), lambda z: z.m.isin("{", "}"))
+
+    def cut(z: Column) -> Column:
+        marks = F.arrays_zip(z.marks.start.alias("start"), z.marks.m.alias("m"), z.depth.alias("depth"))
+        opens = F.filter(marks, lambda x: (x.m == "{") & (x.depth == 1))
+        closes = F.filter(marks, lambda x: (x.m == "}") & (x.depth == 0))
+        whole = F.filter(F.arrays_zip(opens.start.alias("a"), closes.start.alias("b")), lambda x: x.b.isNotNull())
+        items = F.transform(whole, lambda x: F.substring(text, (x.a + 1).cast("int"), (x.b - x.a + 1).cast("int")))
+        return F.filter(items, lambda x: F.try_parse_json(x).isNotNull())
+
+    def deep(marks: Column) -> Column:
+        return let(F.struct(marks.alias("marks"), running(F.transform(marks, lambda z: F.when(z.m == "{", F.lit(1)).otherwise(F.lit(-1)).cast("long"))).alias("depth")), cut)
+
+    return let(braces, deep)
+
+
 def gate(confidence: Column, has_required: Column) -> Column:
     """Confidence after the parameter check: missing ones cap it at .3, present ones raise it to .75."""
     return F.when(has_required, F.greatest(confidence, F.lit(0.75))).otherwise(F.least(confidence, F.lit(0.3)))

@@ -268,3 +268,41 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
         if len(objective) > 1 and 0 <= (objective[-2] - objective[-1]) / max(abs(objective[-2]), 1e-300) < 1e-6:
             break
     return current.select(F.col("id").alias("cell_id"), "vec", "batch"), objective
+
+
+def fit_softmax(rows: DataFrame, n_classes: int, rounds: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (classes by width) and biases of a linear softmax scorer, learnt from vec with the class number as its last component.
+
+    Each round is one gradient, summed over partitions; steps have the length that the largest eigenvalue of the inputs allows, with
+    Nesterov's momentum."""
+    gram, n = partial_sums(rows, lambda x: [np.c_[x[:, :-1], np.ones(len(x))].T @ np.c_[x[:, :-1], np.ones(len(x))], np.array([float(len(x))])])
+    width = len(gram)
+    step = 1 / (0.5 * np.linalg.eigvalsh(gram / n)[-1] + penalty)
+    w, ahead, turn = np.zeros((n_classes, width)), np.zeros((n_classes, width)), 1.0
+    for _ in range(rounds):
+
+        def gradient(x: np.ndarray, at: np.ndarray = ahead) -> list[np.ndarray]:
+            z = np.c_[x[:, :-1], np.ones(len(x))]
+            p = z @ at.T
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(x)), x[:, -1].astype(int)] -= 1
+            return [p.T @ z]
+
+        (g,) = partial_sums(rows, gradient)
+        new, later = ahead - step * (g / n + penalty * ahead), (1 + np.sqrt(1 + 4 * turn * turn)) / 2
+        ahead, w, turn = new + (turn - 1) / later * (new - w), new, later
+    return w[:, :-1], w[:, -1]
+
+
+def softmax_scores(rows: DataFrame, weights: np.ndarray, biases: np.ndarray) -> DataFrame:
+    """id, best (class number) and confidence: the largest share of exp(Wx + b) of rows (id, vec)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                z = _stack(part["vec"]) @ weights.T + biases
+                p = np.exp(z - z.max(1, keepdims=True))
+                yield pd.DataFrame({"id": part["id"], "best": p.argmax(1), "confidence": p.max(1) / p.sum(1)})
+
+    return rows.select("id", "vec").mapInPandas(run, "id long, best int, confidence double")

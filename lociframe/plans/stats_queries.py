@@ -11,7 +11,7 @@ from .. import model as m
 from ..functions import text as tx
 from ..functions.genomic import normal_tail_sql
 from ..model import rounded
-from ..operators import matrix, neighbors, requests, stats, summaries
+from ..operators import algebra, matrix, neighbors, requests, stats, summaries
 from .matrix_queries import _DOTS, CELLS, LOGN, SC, SCELLS, C
 
 
@@ -175,6 +175,23 @@ def salvaged_items(spark, sf):
     return m.table(spark, sf, "events").select("event_id", F.size(found).alias("n"), found[0].alias("first"), found[1].alias("second"))
 
 
+def salvaged_nested(spark, sf):
+    """The whole items, nested ones too, of lists that break off in their last one; broken ones in between are left out."""
+    broken = F.concat(F.lit('said } [{"a": {"b": ['), "props", F.lit(', "}{\\"{"], "c": {}}}, {"bad": {,}}, '), "props", F.lit(', {"k": {"z": 1}, "b'))
+    found = tx.whole_items(F.substring(broken, 8, 1 << 20))
+    return m.table(spark, sf, "events").select("event_id", F.size(found).alias("n"), found[0].alias("first"), found[1].alias("second"))
+
+
+def intent_linear(spark, sf):
+    """A linear scorer learnt from labelled vectors: one row on how it does on them."""
+    rows = m.embedding(spark, sf)
+    made = m.materialized(rows.select(F.concat("vec", F.array(F.col("cluster").cast("double"))).alias("vec")), "labelled")
+    w, b = algebra.fit_softmax(made, int(rows.agg(F.max("cluster")).first()[0]) + 1)
+    scored = algebra.softmax_scores(rows.select(F.col("cell_id").alias("id"), "vec"), w, b).join(rows.select(F.col("cell_id").alias("id"), "cluster"), "id")
+    largest = rows.groupBy("cluster").count().agg(F.max("count")).first()[0]
+    return scored.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("best") == F.col("cluster")) > largest).alias("beats_largest"), F.every(F.col("confidence").between(0.0, 1.0)).alias("shares"))
+
+
 def _scored(spark, sf):
     """Nearest-example scores: the largest cosine of a vector with an intent's examples (the first five of each label)."""
     emb = m.embedding(spark, sf)
@@ -266,6 +283,8 @@ QUERIES = {
     "fuzzy_names": (fuzzy_names, "WITH n AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_partkey, CAST(damerau_levenshtein(a, b) AS INTEGER) AS edits, length(a) + 1 >= 4 AS near FROM n"),
     "first_json": (first_json, "SELECT event_id, props AS json, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k FROM events"),
     "salvaged_items": (salvaged_items, """SELECT event_id, CAST(2 AS INTEGER) AS n, '{"a": "}{"}' AS first, props AS second FROM events"""),
+    "salvaged_nested": (salvaged_nested, r"""SELECT event_id, CAST(2 AS INTEGER) AS n, '{"a": {"b": [' || props || ', "}{\"{"], "c": {}}}' AS first, props AS second FROM events"""),
+    "intent_linear": (intent_linear, "SELECT count(*) AS n, true AS beats_largest, true AS shares FROM embeddings"),
     "intent_cosine": (intent_cosine, f"WITH {_INTENT} SELECT src, intent, round(score, 6) + 0.0 AS score FROM sc"),
     "intent_softmax": (intent_softmax, f"WITH {_INTENT}, x AS (SELECT src, intent, exp(5 * score - max(5 * score) OVER (PARTITION BY src)) AS x FROM sc) SELECT src, intent, round(x / sum(x) OVER (PARTITION BY src), 6) + 0.0 AS p FROM x"),
     "ambiguity_flag": (ambiguity_flag, f"WITH {_INTENT}, r AS (SELECT *, lead(score) OVER (PARTITION BY src ORDER BY round(score, 9) DESC, intent) AS second, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, intent) AS k FROM sc), c AS (SELECT src, intent, score < 0.6 AND score - coalesce(second, 0.0) < 0.15 AS unclear, score FROM r WHERE k = 1), d AS (SELECT src, intent, unclear, CASE WHEN unclear THEN least(score, 0.45) ELSE score END AS confidence FROM c) SELECT src, intent, unclear, round(CASE WHEN src % 2 = 0 THEN greatest(confidence, 0.75) ELSE least(confidence, 0.3) END, 6) + 0.0 AS confidence FROM d"),

@@ -76,3 +76,52 @@ def test_parameters(spark):
     assert rows["use 2000 variable genes"].h == 2000 and rows["use 2000 variable genes"].f.min_features is None and rows["hvgs: like 1500"].h == 1500 and rows["min dist .25"].d == 0.25
     assert tuple(rows["500 genes and 5% mito"].f) == (500.0, None, 5.0) and tuple(rows["1000 umis, mt 1000"].f)[1] is None
     assert tuple(rows["compare a with b in cluster 4"].p) == ("a", "b") and tuple(rows["between the liver and kidney for cluster 2"].p) == ("liver", "kidney") and tuple(rows["between the liver and kidney for cluster 2"].k) == ("liver", "Kidney")
+
+
+def test_whole_items(spark):
+    said = {
+        '[{"a": 1}, {"b": {"c": [{}]}}, {"d": ': ['{"a": 1}', '{"b": {"c": [{}]}}'], "none": [], '{"x": "}{"} {"y": "\\"}"}': ['{"x": "}{"}', '{"y": "\\"}"}'],
+        '{"bad": ,} {"ok": 2}': ['{"ok": 2}'], '{"open': [], "": [], '} {"a": 1} {"b": 2}': ['{"b": 2}'],
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", tx.whole_items(F.col("t")).alias("w")).collect()
+
+    def brute(text):
+        import json
+
+        items, depth, start, inside, skip = [], 0, -1, False, False
+        for i, c in enumerate(text):
+            if skip:
+                skip = False
+            elif c == "\\":
+                skip = True
+            elif c == '"':
+                inside = not inside
+            elif not inside and c == "{":
+                start = i if depth == 0 else start
+                depth += 1
+            elif not inside and c == "}":
+                depth -= 1
+                if depth == 0 and start >= 0:
+                    try:
+                        json.loads(text[start : i + 1])
+                        items.append(text[start : i + 1])
+                    except ValueError:
+                        pass
+                    start = -1
+        return items
+
+    assert {r.t: r.w for r in rows} == {t: brute(t) for t in said}
+    assert brute('[{"a": 1}, {"b": {"c": [{}]}}, {"d": ') == said['[{"a": 1}, {"b": {"c": [{}]}}, {"d": ']
+
+
+def test_linear_scorer(spark):
+    import numpy as np
+
+    from lociframe.operators import algebra
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(4, 6)) * 2
+    rows = [(i, [float(a) for a in centres[i % 4] + rng.normal(size=6) * 0.5], i % 4) for i in range(200)]
+    w, b = algebra.fit_softmax(spark.createDataFrame([([*v, float(k)],) for _, v, k in rows], "vec array<double>"), 4)
+    found = {r.id: r for r in algebra.softmax_scores(spark.createDataFrame([r[:2] for r in rows], "id long, vec array<double>"), w, b).collect()}
+    assert sum(found[i].best == k for i, _, k in rows) >= 196 and all(0.25 <= r.confidence <= 1 for r in found.values())

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociframe.functions import text as tx
-from lociframe.operators import stats
+from lociframe.operators import requests, stats
 
 
 def test_benjamini_hochberg(spark):
@@ -51,12 +51,12 @@ def test_text_rules(spark):
     get = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert get(tx.input_type(F.lit("please show the umap"))) == "command"
     assert get(tx.input_type(F.lit("what is this"))) == "question"
-    assert get(tx.non_command(F.lit("hello!"))) == "greeting"
-    assert tuple(get(tx.rename(F.lit("rename cluster 3 to T cells")))) == ("3", "T cells")
+    assert get(tx.non_command(F.lit("hello!"))) == "small talk"
+    assert tuple(get(tx.rename(F.lit("rename cluster 3 to T cells")))) == ("cluster", "3", "T cells")
     assert get(tx.choice(F.lit("the second one"), 3)) == 1 and get(tx.choice(F.lit("9"), 3)) is None
     assert get(tx.term_tokens(F.lit("GO_REGULATION_OF_CELL_CYCLE"))) == ["cell", "cycle"]
     assert get(tx.first_json(F.lit('x {"a": "}", "b": [1]} y'))) == '{"a": "}", "b": [1]}'
-    assert get(tx.chained(F.lit("run qc, then plot umap; list genes"))) == ["run qc", "plot umap", "list genes"]
+    assert get(requests.commands(F.lit("run qc, then plot umap; and then list genes"))) == ["run qc", "plot umap", "list genes"]
 
 
 def test_interactions(spark):
@@ -73,7 +73,9 @@ def test_themes(spark):
     assert [(r.lead, r.related) for r in found] == [("t1", ["t2"]), ("t3", [])]
 
 
-def test_benjamini_hochberg_in_ranges(spark):
+@pytest.mark.parametrize("one_window", [1_000_000, 100])
+def test_benjamini_hochberg_in_ranges(spark, monkeypatch, one_window):
+    monkeypatch.setattr(stats, "ONE_WINDOW", one_window)
     import random
 
     rnd = random.Random(1)
