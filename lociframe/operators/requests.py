@@ -56,8 +56,10 @@ def entities(texts: DataFrame, genes: DataFrame | None = None, labels: DataFrame
     shouting = F.length(F.regexp_replace(letters, "[^A-Z]", "")) > 0.8 * F.length(letters)
 
     def with_cue(z: Column) -> Column:
-        def before(i: Column) -> Column:  # enough pieces and tokens to make CUE_LENGTH characters
-            near = F.arrays_zip(F.slice(z.pieces, F.greatest(i - CUE_LENGTH, F.lit(0)) + 1, F.least(i, F.lit(CUE_LENGTH)) + 1).alias("p"), F.slice(z.toks, F.greatest(i - CUE_LENGTH, F.lit(0)) + 1, F.least(i, F.lit(CUE_LENGTH))).alias("m"))
+        many = CUE_LENGTH // 2 + 1  # tokens that make CUE_LENGTH characters, as something stands between any two
+
+        def before(i: Column) -> Column:
+            near = F.arrays_zip(F.slice(z.pieces, F.greatest(i - many, F.lit(0)) + 1, F.least(i, F.lit(many)) + 1).alias("p"), F.slice(z.toks, F.greatest(i - many, F.lit(0)) + 1, F.least(i, F.lit(many))).alias("m"))
             return F.right(F.array_join(F.transform(near, lambda x: F.concat(x.p, F.coalesce(x.m, F.lit("")))), ""), F.lit(CUE_LENGTH))
 
         return F.transform(z.at, lambda a, i: F.struct(a.m.alias("tok"), a.start.alias("start"), before(i).alias("before")))

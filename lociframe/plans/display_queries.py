@@ -235,7 +235,9 @@ def command_cell_types(spark, sf):
 
 def command_parameters(spark, sf):
     data = commands.update(_data(spark, sf), min_features=30, resolution=1.2)
-    return commands.run(data, "show_parameters", step="qc").unionByName(commands.run(data, "show_parameters", step="clustering"))
+    shown = commands.run(data, "show_parameters", step="qc").unionByName(commands.run(data, "show_parameters", step="clustering"))
+    left = commands.run(data, "run_qc").where(F.col("n_features") >= data.settings["min_features"]).agg(F.count(F.lit(1)).alias("n_left"))  # what a setting leaves
+    return shown.crossJoin(F.broadcast(left))
 
 
 def command_filter(spark, sf):
@@ -363,7 +365,7 @@ QUERIES = {
     "command_deg": (command_deg, f"WITH {SC}, {SCELLS} SELECT count(DISTINCT feature_id) AS n FROM counts JOIN cells USING (cell_id) WHERE value > 0 AND cluster = 3 AND sample IN (0, 1)"),
     "command_cluster_info": (command_cluster_info, f"WITH {CELLS} SELECT cluster, count(*) AS n_cells, (SELECT count(*) FROM cells) AS total_cells, round(count(*) / (SELECT count(*) FROM cells)::DOUBLE, 6) + 0.0 AS fraction FROM cells WHERE cluster = 3 GROUP BY 1"),
     "command_cell_types": (command_cell_types, f"WITH {C}, {CELLS}, {_DOTS}, ids AS (SELECT p_partkey AS feature_id FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_brand = 'Brand#7')) SELECT cluster, count(CASE WHEN pct >= 0.1 THEN 1 END) AS n_expressed, count(CASE WHEN pct >= 0.5 THEN 1 END) AS n_strong FROM dots SEMI JOIN ids USING (feature_id) GROUP BY 1"),
-    "command_parameters": (command_parameters, "SELECT * FROM (VALUES ('min_features', 30.0::DOUBLE), ('min_total', 0.0), ('max_mito_pct', 100.0), ('resolution', 1.2), ('lambda', 0.3)) AS v(name, value)"),
+    "command_parameters": (command_parameters, f"WITH {C} SELECT name, value, (SELECT count(*) FROM (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 30)) AS n_left FROM (VALUES ('min_features', 30.0::DOUBLE), ('min_total', 0.0), ('max_mito_pct', 100.0), ('resolution', 1.2), ('lambda', 0.3)) AS v(name, value)"),
     "command_filter": (command_filter, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT cell_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),
     "command_update_cells": (command_update_cells, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT cell_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),
     "command_update_genes": (command_update_genes, f"WITH {SC}, k AS (SELECT cell_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 35 AND sum(value) >= 500), f AS (SELECT * FROM counts SEMI JOIN k USING (cell_id)), g AS (SELECT feature_id FROM f GROUP BY 1 HAVING count(*) >= 20) SELECT feature_id, count(*) AS nnz, sum(value) AS total FROM f SEMI JOIN g USING (feature_id) GROUP BY 1"),

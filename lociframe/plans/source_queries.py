@@ -201,14 +201,14 @@ def integrated_samples(spark, sf):
 
 
 def layouts(spark, sf):
-    """What kind of data set a folder is taken for, by the names in it."""
+    """What kind of data set a folder of the cells is taken for, by the names in it, and the rows it holds."""
     names = ("cells.csv", "tissue_positions.csv", "a_exprMat_file.csv", "cell_by_gene.csv", "matrix.mtx", "x.h5", "fragments.tsv", "notes.txt")
     found = []
     for name in names:
         path = _folder(spark, "layout")
-        _put(spark, f"{path}/{name}", "x")
-        found.append((name, readers.detect_layout(spark, path)))
-    return spark.createDataFrame(found, "file string, layout string")
+        m.cells(spark, sf).select("cell_id", "cluster", "label").write.csv(f"{path}/{name}")
+        found.append((name, readers.detect_layout(spark, path), spark.read.text(f"{path}/{name}").count()))
+    return spark.createDataFrame(found, "file string, layout string, n_rows long")
 
 
 def genome_names(spark, sf):
@@ -313,7 +313,7 @@ QUERIES = {
     "merfish_folder": (merfish_folder, f"WITH {CELLS}, f AS (SELECT l_suppkey AS cell_id, l_returnflag, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), t AS (SELECT cell_id, sum(v) AS total, count(*) AS n FROM f WHERE v > 0 GROUP BY 1) SELECT CAST(cell_id AS VARCHAR) AS cell, cell_id / 2.0::DOUBLE AS x, CAST(cluster AS DOUBLE) AS y, CASE WHEN cell_id % 2 = 0 THEN label END AS label, cell_id * 1.5::DOUBLE AS volume, total, n FROM cells LEFT JOIN t USING (cell_id)"),
     "cosmx_matrix": (cosmx_matrix, "SELECT CAST(l_suppkey % 5 AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS cell, l_returnflag AS feature, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_suppkey, l_returnflag HAVING sum(l_quantity) >= 1"),
     "integrated_samples": (integrated_samples, f"WITH {CELLS} SELECT CASE WHEN cell_id % 2 = 0 THEN 'a' ELSE 'b' END AS sample, cluster, count(*) AS n FROM cells GROUP BY 1, 2"),
-    "layouts": (layouts, "SELECT * FROM (VALUES ('cells.csv', 'xenium'), ('tissue_positions.csv', 'visium_hd'), ('a_exprMat_file.csv', 'cosmx'), ('cell_by_gene.csv', 'merfish'), ('matrix.mtx', 'mtx'), ('x.h5', 'h5'), ('fragments.tsv', 'fragments'), ('notes.txt', NULL)) AS v(file, layout)"),
+    "layouts": (layouts, "SELECT file, layout, (SELECT count(*) FROM supplier) AS n_rows FROM (VALUES ('cells.csv', 'xenium'), ('tissue_positions.csv', 'visium_hd'), ('a_exprMat_file.csv', 'cosmx'), ('cell_by_gene.csv', 'merfish'), ('matrix.mtx', 'mtx'), ('x.h5', 'h5'), ('fragments.tsv', 'fragments'), ('notes.txt', NULL)) AS v(file, layout)"),
     "genome_names": (genome_names, f"SELECT p_partkey, {_GENOMES} AS genome FROM part"),
     "fragment_file": (fragment_file, f"WITH {FRAG} SELECT CAST(barcode AS VARCHAR) AS barcode, count(*) AS n, CAST(sum(CASE WHEN s % 3 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS counted, min(s) AS first FROM frag WHERE chrom = 'chr2' AND s % 11 <> 0 AND e >= 0 AND s <= 900000 GROUP BY 1"),
     "projection_file": (projection_file, f"WITH {CELLS} SELECT 'AA-' || CAST(cell_id AS VARCHAR) AS cell, cell_id / 4.0::DOUBLE AS x, CAST(cell_id % 10 AS DOUBLE) AS y FROM cells"),

@@ -1,7 +1,7 @@
 """Readers of single-cell and spatial file layouts, as DataFrames of the data model.
 
-Readers take explicit schemas and work on splittable text wherever the format allows it. HDF5 files must be
-converted to Parquet first: no HDF5 library is part of Spark.
+Readers take explicit schemas and work on splittable text wherever the format allows it. HDF5 files have a source of their own (hdf5),
+and so have fragment files with an index (tabix).
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def tenx_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     names = _listing(spark, path)
     found = [find_file(names, p) for p in (r"matrix\.mtx(\.gz)?$", r"(features|genes|peaks)\.(tsv|bed)(\.gz)?$", r"barcodes\.tsv(\.gz)?$")]
     if None in found:
-        raise FileNotFoundError(f"{path} lacks a matrix, features or barcodes file; HDF5 must be converted to Parquet")
+        raise FileNotFoundError(f"{path} lacks a matrix, features or barcodes file; sources.hdf5 reads .h5 files")
     m, f, b = (f"{path}/{n}" for n in found)
     return matrix_market(spark, m), named_lines(spark, f), named_lines(spark, b)
 
