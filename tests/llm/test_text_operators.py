@@ -189,6 +189,23 @@ def test_tree_pairs_against_all_pairs():
     assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)} == want and len(want) >= 40
 
 
+def test_a_tree_of_three_levels_prunes(monkeypatch):
+    """800 points make leaves, boxes and boxes of boxes; sizes part them, and no pair that links is lost."""
+    rng = np.random.default_rng(1)
+    base = rng.poisson(np.geomspace(0.5, 40, 400)[:, None], (400, jaccard_join.GROUPS))
+    points = np.vstack([base, np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0)]).astype(np.uint16)
+    sizes, comp, bounded, old = points.sum(1).astype(np.int64), np.arange(800), [], jaccard_join.may_link
+
+    def counted(a, b, total):
+        bounded.append(len(a))
+        return old(a, b, total)
+
+    monkeypatch.setattr(jaccard_join, "may_link", counted)
+    found = {(max(x, y), min(x, y)) for a, b in jaccard_join.tree_pairs(points, sizes, comp) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i in range(800) for j in range(i) if 9 * int(np.minimum(points[i], points[j]).sum()) >= 4 * (sizes[i] + sizes[j])}
+    assert found == want and len(want) >= 400 and len(bounded) >= 3 and sum(bounded) < 0.6 * 800 * 799 / 2
+
+
 def test_token_histogram(docs, none):
     counted = tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoder = tokens.rank_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
