@@ -171,7 +171,8 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
     so many steps, places weighted by their degree); of all stages of merging the one of largest modularity is given.
 
     In a round pairs merge that are each other's nearest among linked clusters and no farther apart than half of the clusters are from
-    their nearest; the nearest pair of all is one of them, so every round merges. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
+    their nearest; the nearest pair of all is one of them, so every round merges. Stages of more clusters than half of the nodes
+    aren't weighed. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
     weighs as much as its edges do on average."""
     both = symmetric(edges)
     loops = both.groupBy("src").agg(F.avg("weight").alias("weight"))
@@ -185,11 +186,11 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
         walk = materialized(far.groupBy("c", "to").agg(F.sum(F.col("so_far") * F.col("p")).alias("p")).where(F.col("p") > least), "walks")
     own = degree.select(F.col("node").alias("to"), F.sqrt("k").alias("root"))
     profile = materialized(walk.join(own, "to").select("c", "to", (F.col("p") / F.col("root")).alias("v")), "profiles")
-    sizes = nodes.select(F.col("node").alias("c"), F.lit(1.0).alias("n"))
     links = materialized(edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "walk-links")
     label = materialized(nodes.select("node", F.col("node").alias("cluster")), "walk-label")
-    best, best_label = -1.0, label
+    best, best_label, n_nodes = -1.0, label, label.count()
     for _ in range(rounds):
+        sizes = label.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
         x = profile.select(F.col("c").alias("a"), "to", F.col("v").alias("va"))
         y = profile.select(F.col("c").alias("b"), "to", F.col("v").alias("vb"))
         norm = profile.groupBy("c").agg(F.sum(F.col("v") * F.col("v")).alias("norm")).join(sizes, "c")
@@ -207,12 +208,12 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
         new = F.coalesce("to_c", "c")
         grown = sizes.join(into, "c", "left").select("c", "n", new.alias("new"))
         profile = materialized(profile.join(grown, "c").groupBy(F.col("new").alias("c"), "to").agg((F.sum(F.col("v") * F.col("n"))).alias("v")).join(grown.groupBy(F.col("new").alias("c")).agg(F.sum("n").alias("n")), "c").select("c", "to", (F.col("v") / F.col("n")).alias("v")), "profiles")
-        sizes = materialized(grown.groupBy(F.col("new").alias("c")).agg(F.sum("n").alias("n")), "walk-sizes")
         names_a, names_b = into.select(F.col("c").alias("a"), F.col("to_c").alias("ta")), into.select(F.col("c").alias("b"), F.col("to_c").alias("tb"))
         moved = links.join(names_a, "a", "left").join(names_b, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x != y")
         links = materialized(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "walk-links")
         label = materialized(label.join(into.withColumnRenamed("c", "cluster"), "cluster", "left").select("node", F.coalesce("to_c", "cluster").alias("cluster")), "walk-label")
-        share = modularity(label, edges).first()[0] or 0.0
-        if share > best:
-            best, best_label = share, label
+        if 2 * label.select("cluster").distinct().count() <= n_nodes:  # pairs at least, on average
+            share = modularity(label, edges).first()[0] or 0.0
+            if share > best:
+                best, best_label = share, label
     return _dense(best_label)
