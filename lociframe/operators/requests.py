@@ -179,8 +179,8 @@ def _renames(verb: Column, numbers: Column, name: Column) -> Column:
 
 def _after_then(text: Column) -> Column:
     """The commands of clauses parted by "then": a clause without a verb takes the first one's, renames of several clusters become
-    one each; empty unless two or more are commands."""
-    then = r"(?i)(?:,\s*|\s+)(?:and\s+)?then\s+"
+    one each; empty unless two or more are commands. A "then" right after "to" or "as" is a new name."""
+    then = r"(?i)(?<!\b(?:to|as)\s{0,20})(?:,\s*|\s+)(?:and\s+)?then\s+"
     section = rf"(?i)(?:{RENAMES})\s+(.+?)\s+(?:to|as)\s+([^,]+?)(?:\s*,\s*then|$)"
     command = rf"(?i)^(?:{VERBS})\b"
 

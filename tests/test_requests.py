@@ -49,6 +49,8 @@ def test_spelling(spark):
     ("find markers of 1, then show qc plots", ["find markers of 1", "show qc plots"]),
     ("rerun steps with 20 pcs and plot umap", ["rerun steps with 20 pcs", "plot umap"]),
     ("", [""]),
+    ("can you rename cluster 1 to Then then cluster 2 to then too", ["can you rename cluster 1 to Then", "rename cluster 2 to then too"]),
+    ("rename cluster 1, cluster 2 and cluster 9 to then and then run umap", ["rename cluster 1 to then", "rename cluster 2 to then", "rename cluster 9 to then", "run umap"]),
 ])
 def test_commands(spark, said, want):
     assert spark.createDataFrame([(said,)], "t string").select(rq.commands(F.col("t"))).first()[0] == want
