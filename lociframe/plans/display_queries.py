@@ -288,7 +288,7 @@ def command_links(spark, sf):
 
     data = _data(spark, sf)
     data.links = iv.band_join(m.intervals(spark, sf), m.tss(spark, sf), DISTANCE)
-    gene = data.links.agg(F.min("gene")).first()[0]
+    gene = iv.linked_genes(m.intervals(spark, sf), m.tss(spark, sf), DISTANCE).agg(F.min("gene")).first()[0]
     return commands.run(data, "show_peak_gene_links", gene=gene).select("peak_id", "distance")
 
 
