@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,28 +110,48 @@ def image_tiles(spark, width: int, height: int, tile: int = 512, m: Affine = (1,
 def spatial_knn(points: DataFrame, k: int, cell: float) -> DataFrame:
     """src, rank, dst, dist (squared): the exact k nearest of points(cell_id, x, y), self left out.
 
-    Each point meets the points of the 3 x 3 grid cells around it; where its k-th distance reaches beyond these, it meets
-    those of a grid of twice the size, until none is open. A point on its own, however far, is nine rows a round."""
+    Points of one place count once, with the k + 1 smallest of their ids. Grids have sides of cell times powers of two; each place
+    begins at the finest one whose cell around it holds k / 2 places, so it meets about as many others however dense they lie. It
+    meets those of the 3 x 3 cells around it; where its k-th distance reaches beyond these, it goes on to the next coarser grid."""
     from ..model import materialized
 
-    far = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    size, open_, done, most, extent = cell, points, None, min(k, far[2] - 1), max(far[0] or 0, far[1] or 0)
+    points = points.select("cell_id", "x", "y").where("x is not null and y is not null")
+    wide, high, total = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    top = float(cell)
+    while top < max(wide or 0, high or 0):
+        top *= 2
+    nth = F.row_number().over(Window.partitionBy("x", "y").orderBy("cell_id"))
+    places = points.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("x", "y").agg(F.sort_array(F.collect_list("cell_id")).alias("ids"))
+    places = materialized(places.select(F.col("ids")[0].alias("at"), "x", "y", "ids"), "places")
+    side = F.lit(top) / F.pow(F.lit(2.0), F.col("level"))
+    grid = {"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)}
+    first = max(0, math.ceil(math.log(max(total, 1) / 4096, 4)))  # about 4096 points a cell, were they spread evenly
+    levels = places.select("at", "x", "y", F.explode(F.sequence(F.lit(first), F.lit(first + 20))).alias("level")).withColumns(grid)
+    full = levels.groupBy("level", "gx", "gy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, k // 2)).drop("n")
+    finest = levels.where(F.col("level") > first).join(full, ["level", "gx", "gy"]).groupBy("at").agg(F.max("level").alias("level"))
+    open_ = places.select("at", "x", "y").join(finest, "at", "left").withColumn("level", F.coalesce("level", F.lit(first)))
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    at = lambda c: F.floor(F.col(c) / size)
+    done = None
     while True:
-        base = points.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), at("x").alias("gx"), at("y").alias("gy"))
-        q = open_.select(F.col("cell_id").alias("src"), "x", "y", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
-        q = q.select("src", "x", "y", (at("x") + F.col("dx")).alias("gx"), (at("y") + F.col("dy")).alias("gy"))
+        open_ = materialized(open_, "open")
+        used = sorted(r.level for r in open_.select("level").distinct().collect())
+        if not used and done is not None:
+            break
+        base = places.select("x", "y", "ids", F.explode(F.array(*[F.lit(v) for v in used] or [F.lit(0)])).alias("level")).withColumns(grid)
+        base = base.select("level", "gx", "gy", F.col("x").alias("bx"), F.col("y").alias("by"), "ids")
+        q = open_.withColumns(grid).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        q = q.select("at", "x", "y", "level", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"))
         dist = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-        near = q.join(base, ["gx", "gy"]).where("src != dst").withColumn("dist", dist)
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
-        ranked = materialized(ranked, "spatial-knn")
-        settled = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("worst"))
-        if size < extent:
-            settled = settled.where((F.col("n") >= most) & (F.col("worst") <= float(size**2)))
-        part = ranked.join(settled.select("src"), "src", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        open_ = open_.join(settled.select(F.col("src").alias("cell_id")), "cell_id", "left_anti")
-        if size >= extent or open_.isEmpty():
-            return done
-        size *= 2
+        near = q.join(base, ["level", "gx", "gy"]).select("at", "level", dist.alias("dist"), F.explode("ids").alias("dst"))
+        nth = F.row_number().over(Window.partitionBy("at").orderBy("dist", "dst"))
+        near = near.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+        found = near.groupBy("at", "level").agg(F.sort_array(F.collect_list(F.struct("dist", "dst"))).alias("near"))
+        found = materialized(found, "spatial-knn")
+        enough = (F.size("near") >= min(k + 1, total)) & (F.element_at("near", -1)["dist"] <= F.pow(side * (1 - 1e-9), F.lit(2.0)))
+        settled = found.where(enough | (F.col("level") == 0)).select("at", "near")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = open_.join(settled.select("at"), "at", "left_anti").withColumn("level", F.col("level") - 1)
+    named = points.join(places.select("at", "x", "y"), ["x", "y"]).select(F.col("cell_id").alias("src"), "at").join(done, "at")
+    others = F.slice(F.filter("near", lambda n: n.dst != F.col("src")), 1, k)
+    rows = named.select("src", F.posexplode(others).alias("rank", "n"))
+    return rows.select("src", (F.col("rank") + 1).alias("rank"), "n.dst", "n.dist")

@@ -74,6 +74,19 @@ def test_spatial_knn_is_exact(spark, cell):
     assert {(r.src, r.dst) for r in spatial.spatial_knn(pts, 4, cell).collect()} == want
 
 
+def test_spatial_knn_of_dense_and_equal_places(spark):
+    """The pairs met don't grow with density or with copies: a coarse cell holds all points here."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(300, 2)) * 1e-4, np.repeat(rng.normal(size=(4, 2)), 60, axis=0), [[50.0, 50.0]]])
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "cell_id long, x double, y double")
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, n + 1, int(j)) for i in range(len(x)) for n, j in enumerate(np.argsort(d[i], kind="stable")[:5])}
+    found = spatial.spatial_knn(pts, 5, 100.0)
+    assert {(r.src, r["rank"], r.dst) for r in found.collect()} == want
+    assert found.dtypes == [("src", "bigint"), ("rank", "int"), ("dst", "bigint"), ("dist", "double")]
+
+
 def test_polygon(spark):
     square = [(0, 0), (4, 0), (4, 4), (0, 4)]
     pts = spark.createDataFrame([(2.0, 2.0), (5.0, 2.0)], "x double, y double")
