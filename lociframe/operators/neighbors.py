@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..model import blocks_of, materialized
 
 BLOCK = 4096
+#: Rows of (group, query, vector) that a task makes at once.
+VISITS = 16_384
 
 
 def _nearest(metric: str, k: int, exclude_self: bool):
@@ -82,7 +84,10 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
     Base rows go to the nearest of so many pivots, base rows of the smallest hashes. A query first meets the groups of its `first` nearest
     pivots, which bounds its k-th distance; then only groups that may hold something nearer: those whose pivot isn't farther from it than
     that bound and the group's radius together (distances of unit vectors obey the triangle inequality). Vectors without a length have
-    distance 1 to all and a group of their own. Groups are dealt out in blocks of BLOCK rows by BLOCK queries."""
+    distance 1 to all and a group of their own. Groups are dealt out in blocks of BLOCK rows by BLOCK queries. A base of no more rows than
+    pivots has nothing to leave out and goes to knn()."""
+    if base.count() <= pivots:
+        return knn(queries, base, k, exclude_self=exclude_self)
     chosen = base.select("vec", F.xxhash64("cell_id").alias("h")).where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0).orderBy("h").limit(pivots).collect()
     p = _unit(pd.Series([r.vec for r in chosen]))[0] if chosen else np.zeros((0, 1))
 
@@ -103,8 +108,9 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
 
         def run(it):
             for rows in it:
-                for low in range(0, len(rows), BLOCK):
-                    some = rows.iloc[low : low + BLOCK]
+                step = max(1, VISITS // max(1, len(names)))  # a query may visit every group
+                for low in range(0, len(rows), step):
+                    some = rows.iloc[low : low + step]
                     x, real = _unit(some["vec"])
                     far = np.full((len(x), len(names)), np.inf)
                     if inner.any():

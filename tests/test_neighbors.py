@@ -229,3 +229,14 @@ def test_kmeans_finds_directions(spark):
     emb = spark.createDataFrame([(i, (centers[i % 4] + rng.normal(size=4) * 0.1).tolist()) for i in range(120)], "cell_id long, vec array<double>")
     labels = {r.cell_id: r.cluster for r in algebra.kmeans(emb, 4)[0].collect()}
     assert len(set(labels.values())) == 4 and all(labels[i] == labels[i % 4] for i in labels)
+
+
+def test_pruned_neighbours_visit_in_small_batches(spark, monkeypatch):
+    """A task never makes the visits of a whole block of queries at once; a base as small as the pivots isn't dealt out by them."""
+    rng = np.random.default_rng(6)
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 6)))], E)
+    monkeypatch.setattr(neighbors, "VISITS", 64)
+    want = sorted(map(tuple, neighbors.knn(emb, emb, 3, exclude_self=True).collect()))
+    assert sorted(map(tuple, neighbors.knn_pruned(emb, emb, 3, exclude_self=True, pivots=40).collect())) == want
+    monkeypatch.setattr(neighbors, "materialized", None)  # what pivots would need
+    assert sorted(map(tuple, neighbors.knn_pruned(emb, emb, 3, exclude_self=True, pivots=200).collect())) == want
