@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from ..model import materialized
 from . import neighbors
 
 VEC = "id long, vec array<double>"
+#: Numbers of the dense rows that a task holds in a pass over a matrix, entries of a feature in one row, and entries met at once.
+HELD = 1 << 25
+PIECE = 4096
+MET = 1 << 10
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -52,11 +57,127 @@ def linear(rows: DataFrame, matrix: np.ndarray, shift: np.ndarray | float = 0.0)
     return rows.select("id", "vec").mapInPandas(run, VEC)
 
 
-def _product(counts: DataFrame, dense: DataFrame, on: str, to: str, width: int) -> DataFrame:
-    """(id, vec) sums of value times dense rows, combined before the shuffle."""
-    wide = dense.select(F.col("id").alias(on), *[F.col("vec")[i].alias(f"b{i}") for i in range(width)])
-    sums = counts.join(wide, on).groupBy(to).agg(*[F.sum(F.col("value") * F.col(f"b{i}")).alias(f"b{i}") for i in range(width)])
-    return sums.select(F.col(to).alias("id"), F.array(*[f"b{i}" for i in range(width)]).alias("vec"))
+def _packed(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The matrix by ranges of features: (block, feature_id, cells, values) in pieces of a feature, the blocks that each cell_id
+    meets, and the number of blocks. All are stored."""
+    n = counts.sparkSession.sparkContext.defaultParallelism
+    entries = counts.where("value is not null and feature_id is not null and cell_id is not null").select("feature_id", "cell_id", F.col("value").cast("double").alias("value"))
+    lists = entries.repartitionByRange(n, "feature_id").groupBy("feature_id").agg(F.collect_list(F.struct("cell_id", "value")).alias("row"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("row") - 1) / PIECE).cast("int"))
+    pieces = lists.select(F.spark_partition_id().alias("block"), "feature_id", F.explode(F.transform(starts, lambda i: F.slice("row", i * PIECE + 1, PIECE))).alias("row"))
+    matrix = materialized(pieces.select("block", "feature_id", F.col("row.cell_id").alias("cells"), F.col("row.value").alias("numbers")), "matrix")
+    meets = matrix.select("block", F.explode("cells").alias("id")).groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    return matrix, materialized(meets, "meets"), n
+
+
+def _passed(packed: tuple[DataFrame, DataFrame, int], dense: DataFrame | None, width: int, n_cells: int, center: bool, seed: int = 0, heaviest: bool = False) -> DataFrame:
+    """One pass over the matrix A of cells by features: (id, vec) of A A' dense, or of A times random rows if dense is None.
+
+    A task takes a range of features, by columns if HELD numbers don't suffice for its cells' rows. These come first and are held; the
+    features stream past, each one's row of A' dense is used as soon as it is made and never leaves the task. With center the feature
+    means are subtracted as a rank-one correction. With heaviest, one row: A' dense's entry of largest size in each column."""
+    matrix, meets, n = packed
+    per = max(1, min(width, HELD // max(1, n_cells)))
+    slices, drawn = -(-width // per), dense is None
+    asked = meets.withColumn("vec", F.array().cast("array<double>")) if dense is None else meets.join(dense, "id")
+    total = partial_sums(dense, lambda x: [x.sum(0)])[0] if center and dense is not None else np.zeros(width)
+    task = lambda block, s: (block * slices + s).alias("task")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    held = asked.select(F.explode("blocks").alias("block"), "id", "vec").select("*", every).select(
+        task(F.col("block"), F.col("slice")), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("feature"), F.array("id").alias("cells"), F.slice("vec", F.col("slice") * per + 1, F.lit(per)).alias("numbers"))
+    streamed = matrix.select("*", every).select(task(F.col("block"), F.col("slice")), F.lit(1).alias("kind"), F.col("feature_id").cast("long").alias("feature"), "cells", "numbers")
+    dealt = held.unionByName(streamed).repartitionById(n * slices, F.col("task")).sortWithinPartitions("task", "kind", "feature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows, early, late = [], [], None, None
+        made = shift = best = q = None
+        columns = slice(0, 0)
+
+        def add(features: np.ndarray, cells: np.ndarray, values: np.ndarray) -> None:
+            nonlocal best
+            starts = np.flatnonzero(np.r_[True, features[1:] != features[:-1]])
+            lengths = np.diff(np.r_[starts, len(features)])
+            at = np.searchsorted(names, cells)
+            mu = np.add.reduceat(values, starts)[:, None] / n_cells if center else None
+            if q is None:
+                z = np.stack([np.random.default_rng((seed, int(i) & (1 << 62) - 1)).normal(size=width)[columns] for i in features[starts]])
+            else:
+                z = np.add.reduceat(values[:, None] * q[at], starts, axis=0)
+                if center:
+                    z -= mu * total[columns]
+            if heaviest:
+                x = z if best is None else np.vstack([best, z])
+                best = x[np.abs(x).argmax(0), np.arange(x.shape[1])][None]
+                return
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+            made[at[order[first]]] += np.add.reduceat((values[:, None] * np.repeat(z, lengths, axis=0))[order], first, axis=0)
+            if center:
+                shift[:] += (mu * z).sum(0)
+
+        def parts(x: tuple, last: bool) -> tuple | None:
+            """Adds whole features, MET entries or more at once; gives back what may go on."""
+            features = x[0]
+            ends = np.r_[np.flatnonzero(features[1:] != features[:-1]) + 1, *([len(features)] if last else [])].astype(np.int64)
+            low = 0
+            while len(ends):
+                k = min(int(np.searchsorted(ends, low + MET)), len(ends) - 1)
+                add(*[y[low : ends[k]] for y in x])
+                low, ends = ends[k], ends[k + 1 :]
+            return tuple(y[low:] for y in x) if low < len(features) else None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            s = pa.array([columns.start // per], pa.int32())
+            if heaviest:
+                if best is not None:
+                    yield _batch(s, [None], best)
+                return
+            if center:
+                yield _batch(s, [None], shift[None])
+            for low in range(0, len(names), 1000):
+                yield _batch(s, names[low : low + 1000], made[low : low + 1000])
+
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            k = int(np.searchsorted(kinds, 1))
+            if k:
+                some = batch.slice(0, k)
+                early = batch.column("task")[0].as_py() % slices
+                names.append(some.column("cells").flatten().to_numpy())
+                rows.append(some.column("numbers").flatten().to_numpy().reshape(k, -1))
+            if k == len(kinds):
+                continue
+            if made is None:
+                columns = slice(early * per, min(width, (early + 1) * per))
+                names = np.concatenate(names)
+                order = np.argsort(names)
+                names, q = names[order], None if drawn else np.concatenate(rows)[order]
+                rows, made, shift = [], np.zeros((len(names) if not heaviest else 0, columns.stop - columns.start)), np.zeros(columns.stop - columns.start)
+            some = batch.slice(k)
+            lists = some.column("cells")
+            new = np.repeat(some.column("feature").to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(), some.column("numbers").flatten().to_numpy()
+            late = parts(new if late is None else tuple(np.concatenate(y) for y in zip(late, new, strict=True)), False)
+        if late is not None:
+            parts(late, True)
+        if made is not None:
+            yield from told()
+
+    found = dealt.mapInArrow(run, "slice int, id long, vec array<double>")
+    if heaviest:
+        return found
+    whole = found.groupBy("id", "slice").agg(*[F.sum(F.get("vec", F.lit(i))).alias(f"b{i}") for i in range(per)])
+    whole = whole.select("id", "slice", F.array_compact(F.array(*[f"b{i}" for i in range(per)])).alias("vec"))
+    if slices > 1:
+        whole = whole.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "vec"))), lambda x: x.vec)).alias("vec"))
+    whole = materialized(whole.select("id", "vec"), "sketch")
+    rows = whole.where("id is not null")
+    return linear(rows, np.eye(width), -np.array(whole.where("id is null").first().vec)) if center else rows
+
+
+def _batch(number: pa.Array, ids, rows: np.ndarray) -> pa.RecordBatch:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(number.to_pylist() * len(rows), pa.int32()), pa.array(ids, pa.int64()), lists], names=["slice", "id", "vec"])
 
 
 def _orthonormal(rows: DataFrame) -> DataFrame:
@@ -67,15 +188,6 @@ def _orthonormal(rows: DataFrame) -> DataFrame:
     return linear(rows, vector @ np.diag(np.where(keep, 1 / np.sqrt(np.where(keep, value, 1)), 0.0)))
 
 
-def _gaussian(ids: DataFrame, width: int, seed: int) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                yield pd.DataFrame({"id": part["id"], "vec": [np.random.default_rng((seed, int(i) & (1 << 62) - 1)).normal(size=width) for i in part["id"]]})
-
-    return ids.mapInPandas(run, VEC)
-
-
 def embed(counts: DataFrame, n_cells: int, n_features: int, k: int = 10, over: int = 6, iterations: int = 2, center: bool = False, scale: bool = True, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """(cell_id, vec) of the k leading components of cells by features, and their standard deviations.
 
@@ -83,32 +195,20 @@ def embed(counts: DataFrame, n_cells: int, n_features: int, k: int = 10, over: i
     stays sparse. Components are left singular vectors without singular values, z-scored if scale; each one's sign makes its
     heaviest loading positive. sdev divides by sqrt(features - 1)."""
     width = min(k + over, n_cells, n_features)
-    ids = counts.select(F.col("feature_id").alias("id")).distinct()
-    means = counts.groupBy(F.col("feature_id").alias("id")).agg((F.sum("value") / n_cells).alias("mu"))
-
-    def forward(b: DataFrame) -> DataFrame:
-        y = _product(counts, b, "feature_id", "cell_id", width)
-        if not center:
-            return materialized(y, "sketch")
-        shift = np.array(b.join(means, "id").agg(*[F.sum(F.col("mu") * F.col("vec")[i]) for i in range(width)]).first(), float)
-        return linear(materialized(y, "sketch"), np.eye(width), -shift)
-
-    def backward(q: DataFrame) -> DataFrame:
-        z = _product(counts, q, "cell_id", "feature_id", width)
-        if center:
-            total = partial_sums(q, lambda y: [y.sum(0)])[0]
-            z = z.join(means, "id").select("id", F.array(*[F.col("vec")[i] - F.col("mu") * float(total[i]) for i in range(width)]).alias("vec"))
-        return materialized(z, "loadings")
-
-    q = _orthonormal(forward(_gaussian(ids, width, seed)))
+    packed = _packed(counts)
+    q = _orthonormal(_passed(packed, None, width, n_cells, center, seed))
     for _ in range(iterations):
-        q = _orthonormal(forward(backward(q)))
+        q = _orthonormal(_passed(packed, q, width, n_cells, center))
     q = materialized(q, "range")
-    w = backward(q)
-    value, u = np.linalg.eigh(partial_sums(w, lambda z: [z.T @ z])[0])
+    both = _passed(packed, q, width, n_cells, center).withColumnRenamed("vec", "made").join(q, "id")
+    inner = partial_sums(both.select(F.concat("vec", "made").alias("vec")), lambda x: [x[:, :width].T @ x[:, width:]])[0]
+    value, u = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-value)[:k]
     value, u = np.maximum(value[order], 0), u[:, order]
-    heaviest = partial_max(linear(w, u))
+    best: dict[int, list[np.ndarray]] = {}
+    for r in _passed(packed, materialized(linear(q, u), "turned"), len(order), n_cells, center, heaviest=True).toLocalIterator():  # a row for each task
+        best.setdefault(r.slice, []).append(np.array(r.vec))
+    heaviest = np.concatenate([np.stack(x)[np.abs(np.stack(x)).argmax(0), np.arange(len(x[0]))] for _, x in sorted(best.items())])
     u = u * np.where(heaviest < 0, -1.0, 1.0)
     emb = linear(q, u)
     if scale:
@@ -120,23 +220,6 @@ def embed(counts: DataFrame, n_cells: int, n_features: int, k: int = 10, over: i
     return emb.withColumnRenamed("id", "cell_id"), np.sqrt(value) / np.sqrt(max(1, n_features - 1))
 
 
-def partial_max(rows: DataFrame) -> np.ndarray:
-    """Of each component the entry of largest size, with its sign."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in parts:
-            if len(part):
-                x = _stack(part["vec"])
-                x = x if best is None else np.vstack([best, x])
-                best = x[np.abs(x).argmax(0), np.arange(x.shape[1])][None]
-        if best is not None:
-            yield pd.DataFrame({"vec": list(best)})
-
-    found = np.stack([np.array(r.vec) for r in rows.mapInPandas(run, "vec array<double>").toLocalIterator()])
-    return found[np.abs(found).argmax(0), np.arange(found.shape[1])]
-
-
 def dense_pca(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """(cell_id, vec) of dense rows' k principal components, scaled by singular values, and the loadings (k by width)."""
     named = rows.select(F.col("cell_id").alias("id"), "vec")

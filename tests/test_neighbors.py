@@ -146,6 +146,33 @@ def test_svd_matches_numpy(spark):
         assert np.all(np.diff(sdev) <= 0)
 
 
+@pytest.mark.parametrize("centre", [False, True])
+def test_svd_stores_no_dense_row_a_feature(spark, monkeypatch, centre):
+    """With many features and few cells only rows of the cells are stored and dealt out; columns and features may be cut for that."""
+    stored = {}
+
+    def materialized(df, name):
+        made = model.materialized(df, name)
+        if "vec" in made.columns:
+            stored[name] = max(made.count(), stored.get(name, 0))
+        return made
+
+    from lociframe import model
+
+    for name, value in (("materialized", materialized), ("HELD", 60), ("PIECE", 4), ("MET", 7)):
+        monkeypatch.setattr(algebra, name, value, raising=False)
+    rng = np.random.default_rng(9)
+    a = rng.poisson(0.7, (12, 300)) * rng.gamma(2.0, 2.0, 300)
+    counts = spark.createDataFrame([(int(j), int(i), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "feature_id long, cell_id long, value double")
+    emb, sdev = algebra.embed(counts, 12, 300, 4, 8, 1, center=centre, scale=False)
+    u, s, v = np.linalg.svd(a - a.mean(0) * centre, full_matrices=False)
+    x = np.stack([r.vec for r in emb.orderBy("cell_id").collect()])
+    assert max(stored.values()) <= 13  # the cells and one row of sums
+    assert np.abs(np.linalg.svd(u[:, :4].T @ x)[1] - 1).max() < 1e-6
+    w = (a - a.mean(0) * centre).T @ x
+    assert (w[np.abs(w).argmax(0), range(4)] > 0).all() and sdev == pytest.approx(np.linalg.norm(w, axis=0) / 299**0.5)
+
+
 def test_harmony_moves_batches_together(spark, blobs):
     x, _ = blobs
     shifted = [(i, (v + (i % 2) * np.array([0, 0, 0, 0, 0, 2.0])).tolist(), i % 2) for i, v in enumerate(x)]
