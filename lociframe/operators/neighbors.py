@@ -12,6 +12,8 @@ from ..model import blocks_of, materialized
 BLOCK = 4096
 #: Rows of (group, query, vector) that a task makes at once.
 VISITS = 16_384
+#: A row that is dealt out costs about as much as so many distances.
+ROW = 200
 
 
 def _nearest(metric: str, k: int, exclude_self: bool):
@@ -85,8 +87,10 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
     pivots, which bounds its k-th distance; then only groups that may hold something nearer: those whose pivot isn't farther from it than
     that bound and the group's radius together (distances of unit vectors obey the triangle inequality). Vectors without a length have
     distance 1 to all and a group of their own. Groups are dealt out in blocks of BLOCK rows by BLOCK queries. A base of no more rows than
-    pivots has nothing to leave out and goes to knn()."""
-    if base.count() <= pivots:
+    pivots has nothing to leave out and goes to knn(); so do queries whose bounds leave so many groups that to deal them out there is
+    more work than blocks of all."""
+    n_base = base.count()
+    if n_base <= pivots:
         return knn(queries, base, k, exclude_self=exclude_self)
     chosen = base.select("vec", F.xxhash64("cell_id").alias("h")).where(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) > 0).orderBy("h").limit(pivots).collect()
     p = _unit(pd.Series([r.vec for r in chosen]))[0] if chosen else np.zeros((0, 1))
@@ -103,8 +107,8 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
     names, radius, sizes = groups["pivot"].to_numpy(), groups["radius"].to_numpy(), groups["n"].to_numpy()
     inner = names >= 0
 
-    def visits(bounded: bool):
-        """(group, id, vec) of each query's groups: its nearest ones, or those that its bound leaves."""
+    def visits(bounded: bool, counted: bool = False):
+        """(group, id, vec) of each query's groups: its nearest ones, or those that its bound leaves; or how many visits and distances these are."""
 
         def run(it):
             for rows in it:
@@ -121,6 +125,9 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
                     if bounded:
                         most = np.sqrt(2 * np.nan_to_num(some["most"].to_numpy(float), nan=np.inf))[:, None] + 1e-6
                         seen = np.where(inner, far <= most + radius, most >= np.sqrt(2) - 1e-6) & ~seen | (~real[:, None] & ~seen)
+                    if counted:
+                        yield pd.DataFrame({"visits": [int(seen.sum())], "met": [int((seen @ sizes).sum())]})
+                        continue
                     at, of = np.nonzero(seen)
                     yield pd.DataFrame({"pivot": names[of], "id": some["cell_id"].to_numpy()[at], "vec": some["vec"].to_numpy()[at]})
 
@@ -141,7 +148,12 @@ def knn_pruned(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool =
     asked = queries.select("cell_id", "vec")
     near = materialized(met(materialized(asked.mapInPandas(visits(False), shape), "visits")), "near")
     most = near.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") == k).select(F.col("src").alias("cell_id"), F.col("dist").alias("most"))
-    again = materialized(asked.join(most, "cell_id", "left").mapInPandas(visits(True), shape), "visits")
+    bounds = materialized(asked.join(most, "cell_id", "left"), "bounds")
+    left = bounds.mapInPandas(visits(True, True), "visits long, met long").agg(F.sum("visits").alias("visits"), F.sum("met").alias("met"), F.lit(bounds.count()).alias("n")).first()
+    dealt = left.n * blocks_of(n_base, BLOCK) + n_base * blocks_of(left.n, BLOCK)
+    if left.n and left.met + ROW * left.visits > left.n * n_base + ROW * dealt:
+        return knn(queries, base, k, exclude_self=exclude_self)
+    again = materialized(bounds.mapInPandas(visits(True), shape), "visits")
     found = near.unionByName(met(again))
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 

@@ -267,3 +267,17 @@ def test_pruned_neighbours_visit_in_small_batches(spark, monkeypatch):
     assert sorted(map(tuple, neighbors.knn_pruned(emb, emb, 3, exclude_self=True, pivots=40).collect())) == want
     monkeypatch.setattr(neighbors, "materialized", None)  # what pivots would need
     assert sorted(map(tuple, neighbors.knn_pruned(emb, emb, 3, exclude_self=True, pivots=200).collect())) == want
+
+
+def test_pruned_neighbours_of_vectors_without_groups(spark, monkeypatch):
+    """Where bounds leave out next to nothing, visits aren't dealt out: blocks of all serve. Where they do, pivots go on."""
+    plain, calls = neighbors.knn, []
+    monkeypatch.setattr(neighbors, "knn", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    rng = np.random.default_rng(8)
+    loose = rng.normal(size=(150, 30))
+    tight = np.eye(30)[np.arange(150) % 15] * 9 + rng.normal(size=(150, 30)) * 0.01
+    for x, times in ((loose, 1), (tight, 0)):
+        emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], E).repartition(2)
+        calls.clear()
+        found = sorted(map(tuple, neighbors.knn_pruned(emb, emb, 4, exclude_self=True, pivots=40).collect()))
+        assert len(calls) == times and found == sorted(map(tuple, plain(emb, emb, 4, exclude_self=True).collect()))
