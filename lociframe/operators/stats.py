@@ -26,19 +26,19 @@ def benjamini_hochberg(tests: DataFrame, p: str, partition: list[str] | None = N
         own = Window.partitionBy(*(partition or []))
         ranked = tests.withColumns({"__rank": F.row_number().over(own.orderBy(p, *order)), "__m": F.count(F.lit(1)).over(own)})
         ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / F.col("__rank"))
-        rest = own.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
+        rest = own.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that ends with its row sums up once
         return ranked.withColumn("p_val_adj", F.least(F.lit(1.0), F.min("__q").over(rest))).drop("__rank", "__m", "__q")
     rows = ranged(tests, p, *order)
     parts = Window.orderBy("__part")  # over a row for each range
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.select("__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__below"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
     up = Window.partitionBy("__part").orderBy(p, *order)
-    q = F.col(p) * F.col("__m") / (F.row_number().over(up) + F.col("__below"))
-    ranked = rows.join(F.broadcast(sizes), "__part").withColumn("__q", q)
+    ranked = rows.join(F.broadcast(sizes), "__part").withColumn("__up", F.row_number().over(up))
+    ranked = ranked.withColumn("__q", F.col(p) * F.col("__m") / (F.col("__up") + F.col("__below")))
     above = ranked.groupBy("__part").agg(F.min("__q").alias("__least"))
-    above = above.select("__part", F.min("__least").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
-    rest = F.min("__q").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return ranked.join(F.broadcast(above), "__part").withColumn("p_val_adj", F.least(F.lit(1.0), rest, F.col("__above"))).drop("__part", "__below", "__m", "__q", "__above")
+    above = above.select("__part", F.min("__least").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__above"))
+    rest = F.min("__q").over(Window.partitionBy("__part").orderBy(F.desc("__up")).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.join(F.broadcast(above), "__part").withColumn("p_val_adj", F.least(F.lit(1.0), rest, F.col("__above"))).drop("__part", "__below", "__m", "__q", "__above", "__up")
 
 
 def markers(counts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -96,3 +96,11 @@ def test_motif_enrichment(spark):
     found = {r.motif: r for r in stats.motif_enrichment(motifs, ids(10), ids(40)).collect()}
     assert (found["a"].query_hits, found["a"].background_hits, found["a"].fold) == (10, 10, 4.0) and found["a"].p_val < 1e-7
     assert found["b"].fold == 1.2 and 0.3 < found["b"].p_val <= found["b"].p_val_adj <= 1
+
+
+@pytest.mark.parametrize("partition,one_window", [(["k"], 9), (None, 9), (None, 2)])
+def test_benjamini_hochberg_sums_up_each_frame_once(spark, monkeypatch, partition, one_window):
+    monkeypatch.setattr(stats, "ONE_WINDOW", one_window)
+    found = stats.benjamini_hochberg(spark.range(5).selectExpr("id", "id % 2 AS k", "(id + 1) / 9D AS p"), "p", partition, ("id",))
+    plan = found._jdf.queryExecution().toString().lower()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")  # Spark goes through all later rows again for each row of such a frame
