@@ -53,6 +53,17 @@ def test_counts_round_trip(spark, tmp_path, matrix, rows):
     assert [r.value for r in hdf5.column(spark, told[0][0], "/matrix/shape").orderBy("pos").collect()][0] == "40"
 
 
+def test_names_are_compressed_once_for_all_files():
+    hdf5._stored_names.cache_clear()
+    made = []
+    for _ in range(3):
+        one = hdf5.Writer()
+        made.append(one.file({"id": one.names("f", 1234)}))
+    plain = hdf5.Writer()
+    assert made == [plain.file({"id": plain.dataset(np.array([f"f{k}".encode() for k in range(1234)]))})] * 3
+    assert hdf5._stored_names.cache_info().misses == 1
+
+
 def test_chunks_read_only_where_needed(tmp_path):
     """A tree of chunks of two levels; a range and one feature read their chunks only."""
     values = np.arange(200_000, dtype="<i8")
