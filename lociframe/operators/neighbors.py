@@ -17,6 +17,23 @@ ROW = 200
 
 
 def _nearest(metric: str, k: int, exclude_self: bool):
+    """For a block of queries and one of the base: each query's k nearest, ties to the smaller id.
+
+    Single precision finds which rows can be among them, with room for its error; distances are those of double precision."""
+
+    def exact(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of the rows of q from those of b, row by row."""
+        if metric == "cosine":
+            size = np.linalg.norm(q, axis=1) * np.linalg.norm(b, axis=1)
+            dist = np.where(size > 0, 1 - np.einsum("ij,ij->i", q, b) / np.where(size > 0, size, 1), 1.0)
+        else:
+            dist = np.maximum((q * q).sum(1) + (b * b).sum(1) - 2 * np.einsum("ij,ij->i", q, b), 0) if q.shape[1] > 8 else ((q - b) ** 2).sum(1)
+        return np.round(dist, 12)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
+
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(base):
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
@@ -24,29 +41,34 @@ def _nearest(metric: str, k: int, exclude_self: bool):
         names = base["id"].to_numpy()
         order = np.argsort(names, kind="stable")
         b, names = b[order], names[order]
-        norm = np.linalg.norm(b, axis=1)
+        cosine = metric == "cosine"
+        rough = unit(b) if cosine else b.astype(np.float32)
+        square = None if cosine else (rough * rough).sum(1)
+        top = 1.0 if cosine else 2 * float(np.abs(b).max(initial=0)) ** 2 * b.shape[1]
         out = []
-        for low in range(0, len(queries), 512):
-            some = queries.iloc[low : low + 512]
+        for low in range(0, len(queries), 256):
+            some = queries.iloc[low : low + 256]
             q = np.stack(some["vec"].to_numpy()).astype(float)
-            if metric == "cosine":
-                size = np.linalg.norm(q, axis=1)[:, None] * norm
-                dist = np.where(size > 0, 1 - (q @ b.T) / np.where(size > 0, size, 1), 1.0)
+            ids = some["id"].to_numpy()
+            fair = cosine or top + 2 * float(np.abs(q).max(initial=0)) ** 2 * b.shape[1] < 1e30
+            if k < len(names) and fair and np.isfinite(q).all() and np.isfinite(rough).all():
+                far = -(unit(q) @ rough.T) if cosine else square - 2 * (q.astype(np.float32) @ rough.T)  # all a query's by one constant less
+                if exclude_self:
+                    far[ids[:, None] == names] = np.inf
+                nth = np.partition(far, k - 1, axis=1)[:, k - 1, None]
+                scale = 1.0 if cosine else np.maximum((q * q).sum(1).max(), (b * b).sum(1).max())
+                at, of = np.nonzero(far <= nth + np.float32(4e-7 * scale * (q.shape[1] + 8)))
             else:
-                dist = np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1) - 2 * q @ b.T, 0) if q.shape[1] > 8 else ((q[:, None] - b) ** 2).sum(2)
-            dist = np.round(dist, 12)
+                at, of = np.divmod(np.arange(len(q) * len(names)), len(names))
             if exclude_self:
-                dist[some["id"].to_numpy()[:, None] == names] = np.inf
-            if k < len(names):  # the k nearest and all that tie with the last of them; then only these are sorted
-                last = np.partition(dist, k - 1, axis=1)[:, k - 1, None]
-                width = int((dist <= last).sum(1).max())
-                some_at = np.sort(np.argpartition(dist, width - 1, axis=1)[:, :width], axis=1)
-                top = np.take_along_axis(some_at, np.argsort(np.take_along_axis(dist, some_at, 1), axis=1, kind="stable")[:, :k], 1)
-            else:
-                top = np.argsort(dist, axis=1, kind="stable")
-            near = np.take_along_axis(dist, top, 1)
-            real = near < np.inf
-            out.append(pd.DataFrame({"src": np.repeat(some["id"].to_numpy(), top.shape[1])[real.ravel()], "dst": names[top[real]], "dist": near[real]}))
+                other = ids[at] != names[of]
+                at, of = at[other], of[other]
+            dist = np.concatenate([exact(q[at[i : i + 65_536]], b[of[i : i + 65_536]]) for i in range(0, max(1, len(at)), 65_536)])
+            ranked = np.lexsort((of, dist, at))
+            at, of, dist = at[ranked], of[ranked], dist[ranked]
+            first = np.searchsorted(at, np.arange(len(q)))
+            kept = (np.arange(len(at)) - first[at] < k) & (dist < np.inf)
+            out.append(pd.DataFrame({"src": ids[at[kept]], "dst": names[of[kept]], "dist": dist[kept]}))
         return pd.concat(out)
 
     return run
@@ -56,8 +78,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", exc
     """src, rank (from 1), dst, dist: for each query (cell_id, vec) the k nearest rows of base, ties to the smaller id.
 
     Exact. Base and queries are dealt out in blocks; each pair of blocks is one matrix product in one task, from
-    which k rows a query come back. Cosine distance is 1 where a norm is 0; 'euclidean' is squared."""
-    nb, nq = blocks_of(base.count(), BLOCK), blocks_of(queries.count(), BLOCK)
+    which k rows a query come back. Blocks grow with their side, up to four times BLOCK, so rows go to fewer of them. Cosine distance is 1 where a norm is 0; 'euclidean' is squared."""
+    nb, nq = (blocks_of(n, min(4 * BLOCK, max(BLOCK, n // 16))) for n in (base.count(), queries.count()))
     b = base.select(F.col("cell_id").alias("id"), "vec").withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
     b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     q = queries.select(F.col("cell_id").alias("id"), "vec").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,25 @@ def test_pruned_neighbours_of_vectors_without_groups(spark, monkeypatch):
         calls.clear()
         found = sorted(map(tuple, neighbors.knn_pruned(emb, emb, 4, exclude_self=True, pivots=40).collect()))
         assert len(calls) == times and found == sorted(map(tuple, plain(emb, emb, 4, exclude_self=True).collect()))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_few_pairs_are_ranked_in_double_precision(monkeypatch, metric):
+    """Of a block of all pairs only those that single precision can't tell from the nearest are rounded and sorted; ties go by id."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[600:800] = x[:200] * (1 + 1e-9)  # nearer than single precision tells
+    x[800:810], x[900] = x[0], 0
+    rows = pd.DataFrame({"id": rng.permutation(5000)[:1200], "vec": list(x)})
+    seen, rounds = [], np.round
+    monkeypatch.setattr(neighbors.np, "round", lambda a, *more: seen.append(np.size(a)) or rounds(a, *more))
+    found = neighbors._nearest(metric, 6, True)(rows, rows)
+    assert sum(seen) < 1200 * 1200 / 5
+    monkeypatch.undo()
+    norm = np.linalg.norm(x, axis=1)
+    size = norm[:, None] * norm
+    dist = np.where(size > 0, 1 - (x @ x.T) / np.where(size > 0, size, 1), 1.0) if metric == "cosine" else ((x[:, None] - x) ** 2).sum(2)
+    for i in rng.permutation(1200)[:200]:
+        near = found[found["src"] == rows["id"][i]]
+        want = sorted((round(dist[i, j], 10), rows["id"][j]) for j in range(1200) if j != i)[:6]
+        assert sorted(near["dst"]) == sorted(d for _, d in want) and sorted(near["dist"]) == pytest.approx([d for d, _ in want], abs=1e-9)
