@@ -21,6 +21,8 @@ VEC = "id long, vec array<double>"
 HELD = 1 << 25
 PIECE = 4096
 MET = 1 << 10
+#: Rows of a block file of harmony().
+BLOCK_ROWS = 1 << 16
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -277,7 +279,8 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     Soft k-means on unit vectors with a diversity penalty (E / (O + E))^theta, then a ridge correction of the original
     vectors for each cluster. Inner rounds end when the objective's sum over three changes by under 1e-5 of itself, outer
     ones when a round gains under 1e-6; rounds and inner are the most there can be.
-    Every step is one pass of partition sums of clusters by batches by dimensions; the driver holds those only."""
+    Every step is one pass of partition sums of clusters by batches by dimensions; the driver holds those only. Rows lie in blocks, as the
+    bytes of their matrices, so a pass makes no object for each row."""
     n = emb.count()
     k = k or max(1, min(round(n / 30), 100))
     place = {b: i for i, b in enumerate(batches)}
@@ -285,20 +288,34 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     centers = unit(kmeans(emb, k, seed=seed)[1]) if k > 1 else unit(np.array([emb.select("vec").first().vec]))
     k = len(centers)
     penalty = np.ones((k, len(batches)))
-    current, objective = emb.select(F.col("cell_id").alias("id"), "vec", "batch", F.col("vec").alias("orig")), []
+    objective: list[float] = []
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                x = _stack(part["vec"]).tobytes()
+                yield pd.DataFrame({"n": [len(part)], "id": [part["cell_id"].to_numpy(np.int64).tobytes()], "batch": [part["batch"].map(place).to_numpy(np.int64).tobytes()], "vec": [x], "orig": [x]})
+
+    tasks = max(emb.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS))
+    current = materialized(emb.select("cell_id", "vec", "batch").repartition(tasks).mapInPandas(packed, "n long, id binary, batch binary, vec binary, orig binary"), "harmony")
+
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """A row for each block, its vectors, the places of their batches, and the vectors as they were."""
+        for part in parts:
+            for r in part.itertuples(index=False):
+                yield r, np.frombuffer(r.vec).reshape(r.n, -1), np.frombuffer(r.batch, np.int64), np.frombuffer(r.orig).reshape(r.n, -1)
 
     def soft(x: np.ndarray, b: np.ndarray, centers: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = 2 * (1 - unit(x) @ centers.T)
         r = np.exp(-(d - d.min(1, keepdims=True)) / sigma) * penalty[:, b].T
         return r / np.maximum(r.sum(1, keepdims=True), 1e-300), d
 
-    def sums(rows: DataFrame, f, *more: str) -> list[np.ndarray]:
+    def sums(rows: DataFrame, f) -> list[np.ndarray]:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
-            for part in parts:
-                if len(part):
-                    made = f(_stack(part["vec"]), part["batch"].map(place).to_numpy(), *[_stack(part[c]) for c in more])
-                    total = made if total is None else [p + q for p, q in zip(total, made, strict=True)]
+            for _, x, b, orig in blocks(parts):
+                made = f(x, b, orig)
+                total = made if total is None else [p + q for p, q in zip(total, made, strict=True)]
             if total is not None:
                 yield pd.DataFrame({"k": range(len(total)), "a": [np.asarray(x, float).tobytes() for x in total]})
 
@@ -311,7 +328,7 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     for _ in range(rounds):
         costs: list[float] = []
         for _ in range(inner):
-            def step(x: np.ndarray, b: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
+            def step(x: np.ndarray, b: np.ndarray, orig: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
                 r, d = soft(x, b, centers, penalty)
                 return [r.T @ unit(x), r.T @ np.eye(len(batches))[b], np.array([(r * d).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()])]
 
@@ -330,7 +347,7 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
             one = np.eye(len(batches))[b]
             return [r.T @ one, np.stack([(one * r[:, [j]]).T @ orig for j in range(k)])]
 
-        mass, moment = sums(current, design, "orig")
+        mass, moment = sums(current, design)
         mass, moment = mass.reshape(k, -1), moment.reshape(k, len(batches), -1)
         shift = np.zeros((k, len(batches), moment.shape[2]))
         for j in range(k):
@@ -341,16 +358,22 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
             shift[j] = w[1:]  # the intercept isn't taken out
 
         def correct(parts: Iterator[pd.DataFrame], centers=centers, penalty=penalty, shift=shift) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if len(part):
-                    x, b = _stack(part["vec"]), part["batch"].map(place).to_numpy()
-                    r, _ = soft(x, b, centers, penalty)
-                    yield pd.DataFrame({"id": part["id"], "vec": list(_stack(part["orig"]) - np.einsum("nk,knd->nd", r, shift[:, b])), "batch": part["batch"], "orig": part["orig"]})
+            for row, x, b, orig in blocks(parts):
+                r, _ = soft(x, b, centers, penalty)
+                made = orig.copy()
+                for j in range(k):
+                    made -= r[:, [j]] * shift[j][b]
+                yield pd.DataFrame([row._replace(vec=made.tobytes())])
 
         current = materialized(current.mapInPandas(correct, current.schema), "harmony")
         if len(objective) > 1 and 0 <= (objective[-2] - objective[-1]) / max(abs(objective[-2]), 1e-300) < 1e-6:
             break
-    return current.select(F.col("id").alias("cell_id"), "vec", "batch"), objective
+
+    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, x, b, _ in blocks(parts):
+            yield pd.DataFrame({"cell_id": np.frombuffer(row.id, np.int64), "vec": list(x), "batch": pd.Series([batches[i] for i in b])})
+
+    return current.mapInPandas(told, f"cell_id long, vec array<double>, batch {emb.schema['batch'].dataType.simpleString()}"), objective
 
 
 def fit_softmax(rows: DataFrame, n_classes: int, rounds: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
