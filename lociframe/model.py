@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: By application: its folder for stored tables, in local mode without spark.checkpoint.dir.
 _LOCAL: dict[str, str] = {}
 
@@ -44,10 +45,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, to cut the lineage of iterations."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again, to cut the lineage of iterations.
+
+    What was shuffled for it is deleted as soon as it is written: Spark otherwise keeps that until the driver collects its garbage."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ranged(rows: DataFrame, *keys: str) -> DataFrame:

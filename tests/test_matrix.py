@@ -107,3 +107,13 @@ def test_empty_counts(spark, cells, features, rows):
     none = spark.createDataFrame([], C)
     assert rows(matrix.tfidf(none, 3)) == []
     assert rows(matrix.axis_sums(none, "cell_id", cells)) == [(0, 0.0, 0), (1, 0.0, 0), (2, 0.0, 0)]
+
+
+def test_stored_tables_leave_no_shuffle(spark):
+    from lociframe import model
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, was = held(), spark.conf.get(model.SHUFFLE_CLEANUP, None)
+    stored = model.materialized(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "grouped")
+    assert held() <= before and spark.conf.get(model.SHUFFLE_CLEANUP, None) == was
+    assert sorted(stored.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
