@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 256
-
 
 def let(x: Column, f) -> Column:
     """f(x), with x evaluated once."""
@@ -18,18 +16,23 @@ def all_matches(text: Column, pattern: str) -> Column:
 
 
 def running(x: Column) -> Column:
-    """Running sums of an array of longs, in blocks: arrays grow by copying, so one fold would take the square of its length."""
+    """Running sums of an array of longs, in about as many blocks as each holds: arrays grow by copying, so one fold would take the square of
+    its length."""
     none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int"))), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
 
     def grown(values: Column, first: Column) -> Column:
         return F.aggregate(values, F.concat(none, F.array(first)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
 
-    def summed(b: Column) -> Column:
-        sums = F.transform(b, lambda v: F.aggregate(v, zero, lambda s, y: s + y))
-        return let(grown(sums, zero), lambda at: F.flatten(F.transform(b, lambda v, i: F.slice(grown(v, F.get(at, i)), 2, _BLOCK))))
+    def summed(z: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(z.x) - 1) / z.most).cast("int"))), lambda b: F.slice(z.x, b * z.most + 1, z.most))
+
+        def joined(b: Column) -> Column:
+            sums = F.transform(b, lambda v: F.aggregate(v, zero, lambda s, y: s + y))
+            return let(grown(sums, zero), lambda at: F.flatten(F.transform(b, lambda v, i: F.slice(grown(v, F.get(at, i)), F.lit(2), F.greatest(F.size(v), F.lit(1))))))
+
+        return let(blocks, joined)
 
-    return let(blocks, summed)
+    return let(x, lambda v: let(F.struct(v.alias("x"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")).alias("most")), summed))
 
 
 def placed(text: Column, pattern: str) -> Column:

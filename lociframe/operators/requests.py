@@ -55,17 +55,7 @@ def entities(texts: DataFrame, genes: DataFrame | None = None, labels: DataFrame
     letters = F.regexp_replace(text, "[^A-Za-z]", "")
     shouting = F.length(F.regexp_replace(letters, "[^A-Z]", "")) > 0.8 * F.length(letters)
 
-    def with_cue(z: Column) -> Column:
-        many = CUE_LENGTH // 2 + 1  # tokens that make CUE_LENGTH characters, as something stands between any two
-
-        def before(i: Column) -> Column:
-            near = F.arrays_zip(F.slice(z.pieces, F.greatest(i - many, F.lit(0)) + 1, F.least(i, F.lit(many)) + 1).alias("p"), F.slice(z.toks, F.greatest(i - many, F.lit(0)) + 1, F.least(i, F.lit(many))).alias("m"))
-            return F.right(F.array_join(F.transform(near, lambda x: F.concat(x.p, F.coalesce(x.m, F.lit("")))), ""), F.lit(CUE_LENGTH))
-
-        return F.transform(z.at, lambda a, i: F.struct(a.m.alias("tok"), a.start.alias("start"), before(i).alias("before")))
-
-    found = let(F.struct(placed(text, TOKEN).alias("at"), all_matches(text, TOKEN).alias("toks"), F.split(text, TOKEN, -1).alias("pieces")), with_cue)
-    tokens = texts.select(F.col(id_col).alias("of"), shouting.alias("shouting"), F.explode(found).alias("t")).select("of", "shouting", "t.*")
+    tokens = texts.select(F.col(id_col).alias("of"), F.explode(placed(text, TOKEN)).alias("t")).select("of", F.col("t.m").alias("tok"), "t.start")
     if genes is None:
         tokens = tokens.withColumn("symbol", F.lit(None).cast("string"))
     else:
@@ -76,19 +66,29 @@ def entities(texts: DataFrame, genes: DataFrame | None = None, labels: DataFrame
     else:
         index = labels.where("label is not null").groupBy(F.lower("label").alias("label_key")).agg(F.sort_array(F.collect_list(F.col("cluster").cast("long"))).alias("ids"))
         tokens = tokens.join(index, F.lower("tok") == F.col("label_key"), "left")
-    tok, before, symbol, ids = (F.col(c) for c in ("tok", "before", "symbol", "ids"))
-    explicit, low = before.rlike(r"(?i)\bgenes?\s*$"), F.lower(tok)
-    capitals = (tok == F.upper(tok)) & ~F.col("shouting")
-    barred = tok.rlike(r"^\d+(?:\.\d+)?$") | ~explicit & ((F.length(tok) == 1) | low.isin(*TECHNICAL_GENES) | low.isin(*ENGLISH_GENES) & ~capitals)
-    kind = F.when(tok.rlike(PEAK), "peak").when(ids.isNotNull() & ~(symbol.isNotNull() & before.rlike(GENE_CUE)), "cluster")
+    tok, symbol, ids = (F.col(c) for c in ("tok", "symbol", "ids"))
+    can_be = symbol.isNotNull() | ids.isNotNull() | tok.rlike(PEAK)
     if genes is None:
-        kind = kind.when(ids.isNull() & tok.rlike(GENE_SHAPED), "guess")
-    kind = kind.when(symbol.isNotNull() & ~barred, "gene")
-    named = tokens.withColumn("kind", kind).where("kind is not null")
-    span = F.struct("start", (F.col("start") + F.length("tok")).alias("end"), F.col("tok").alias("text"), F.when(F.col("kind") == "gene", symbol).otherwise(tok).alias("symbol"), "ids", "kind")
-    spans = named.groupBy("of").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    rows = texts.select(F.col(id_col), text.alias("said")).join(spans, F.col(id_col) == F.col("of"), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint,text:string,symbol:string,ids:array<bigint>,kind:string>>"))
+        can_be |= tok.rlike(GENE_SHAPED)
+    span = F.struct("start", (F.col("start") + F.length("tok")).alias("end"), tok.alias("text"), "symbol", "ids")
+    spans = tokens.where(can_be).groupBy("of").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    rows = texts.select(F.col(id_col), text.alias("said"), shouting.alias("shouting")).join(spans, F.col(id_col) == F.col("of"), "left")
+
+    def kind(s: Column) -> Column:
+        """What a token that can be a name is; what stands before it is looked at only where that decides."""
+        before = F.substring(F.col("said"), (F.greatest(s.start - CUE_LENGTH, F.lit(0)) + 1).cast("int"), F.least(s.start, F.lit(CUE_LENGTH)).cast("int"))
+        low, capitals = F.lower(s.text), (s.text == F.upper(s.text)) & ~F.col("shouting")
+        word = (F.length(s.text) == 1) | low.isin(*TECHNICAL_GENES) | low.isin(*ENGLISH_GENES) & ~capitals
+        barred = s.text.rlike(r"^\d+(?:\.\d+)?$") | word & ~before.rlike(r"(?i)\bgenes?\s*$")
+        out = F.when(s.text.rlike(PEAK), "peak").when(s.ids.isNotNull() & ~(s.symbol.isNotNull() & before.rlike(GENE_CUE)), "cluster")
+        if genes is None:
+            out = out.when(s.ids.isNull() & s.text.rlike(GENE_SHAPED), "guess")
+        return out.when(s.symbol.isNotNull() & ~barred, "gene")
+
+    told = F.transform("spans", lambda s: let(kind(s), lambda k: F.struct(s.start.alias("start"), s.end.alias("end"), s.text.alias("text"), F.when(k == "gene", s.symbol).otherwise(s.text).alias("symbol"), s.ids.alias("ids"), k.alias("kind"))))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,text:string,symbol:string,ids:array<bigint>,kind:string>>")
+    rows = rows.select(id_col, "said", F.coalesce(F.filter(told, lambda s: s.kind.isNotNull()), none).alias("named"))
+    spans = F.col("named")
     genes_ = F.transform(F.filter(spans, lambda s: s.kind != "cluster"), lambda s: F.struct(s.text.alias("text"), s.symbol.alias("symbol"), s.start.alias("start"), s.end.alias("end"), (s.kind == "guess").alias("guessed")))
     clusters = F.transform(F.filter(spans, lambda s: s.kind == "cluster"), lambda s: F.struct(s.text.alias("text"), s.ids.alias("ids"), s.start.alias("start"), s.end.alias("end")))
     return rows.select(id_col, genes_.alias("genes"), clusters.alias("clusters"), masked(F.col("said"), spans).alias("masked"))

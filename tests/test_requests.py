@@ -33,6 +33,24 @@ def test_entities(spark):
     assert [(g.text, g.guessed) for g in guessed.genes] == [("abc12", True)] and guessed.clusters == []
 
 
+def test_what_stands_before_a_name_is_looked_at_only_where_it_decides(spark):
+    texts = ["é" * 50 + " gene max", "gene" + " " * 39 + "max", "gene" + " " * 34 + "max", "show podocin", "show" + " " * 45 + "podocin"]
+    genes = spark.createDataFrame([("MAX",), ("podocin",)], "name string")
+    labels = spark.createDataFrame([("Podocin", 9)], "label string, cluster int")
+    found = rq.entities(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), genes, labels)
+    told = {r.id: ([g.symbol for g in r.genes], [c.text for c in r.clusters]) for r in found.collect()}
+    assert told == {0: (["MAX"], []), 1: ([], []), 2: (["MAX"], []), 3: (["podocin"], []), 4: ([], ["podocin"])}
+    assert "before" not in found._jdf.queryExecution().optimizedPlan().toString()  # no such text for each token
+
+
+def test_running_sums(spark):
+    sums = [[], [5], [3, -1, 2], list(range(70)), [1] * 5000]
+    found = spark.createDataFrame([(x,) for x in sums], "x array<bigint>").select("x", places.running(F.col("x")).alias("s")).collect()
+    import itertools
+
+    assert all(r.s == list(itertools.accumulate(r.x)) for r in found)
+
+
 def test_spelling(spark):
     said = ["Shwo the clsuter  5,", "rename clutser 3 to Clsuter plott", "rename cluster 3 to Clsuter plott", "vln plots of Gene", "how now market lsit of gnees!", "make it brigth x1y plott2", "", None, "Parametres", "dim plot featureplot"]
     found = {r.id: r.text for r in rq.corrected(spark.createDataFrame(list(enumerate(said)), "id long, text string")).collect()}
