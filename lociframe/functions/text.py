@@ -182,7 +182,12 @@ def non_command(text: Column, n_genes: Column | int = 0, n_labels: Column | int
 
     n_genes and n_labels are the numbers of names that entities() found in it; without a list of genes (has_genes) words of a
     gene's shape count as genes."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[.!?,;:]+$", ""), r"\s+", " ")
+    tidy = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[.!?,;:]+$", ""), r"\s+", " ")
+    return let(tidy, lambda t: _why_not(t, n_genes, n_labels, has_genes))
+
+
+def _why_not(t: Column, n_genes: Column | int, n_labels: Column | int, has_genes: bool) -> Column:
+    """non_command() of a tidied text, which some forty patterns look at."""
     gene = (F.lit(0) + n_genes > 0) | (F.lit(not has_genes) & t.rlike(GENE_SHAPED))
     label, embedded, named = F.lit(0) + n_labels > 0, t.rlike(EMBEDDED_REQUEST), t.rlike(DATA_OBJECT)
     out = F.when(t == "", "empty")

@@ -51,6 +51,11 @@ def test_running_sums(spark):
     assert all(r.s == list(itertools.accumulate(r.x)) for r in found)
 
 
+def test_the_gate_tidies_a_text_once(spark):
+    gated = spark.createDataFrame([("what is",)], "t string").select(tx.non_command(F.col("t")).alias("why"))
+    assert gated._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1 and gated.first().why == "question"
+
+
 def test_spelling(spark):
     said = ["Shwo the clsuter  5,", "rename clutser 3 to Clsuter plott", "rename cluster 3 to Clsuter plott", "vln plots of Gene", "how now market lsit of gnees!", "make it brigth x1y plott2", "", None, "Parametres", "dim plot featureplot"]
     found = {r.id: r.text for r in rq.corrected(spark.createDataFrame(list(enumerate(said)), "id long, text string")).collect()}
