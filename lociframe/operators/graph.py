@@ -2,11 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import materialized
 
+#: Links and entries of walks up to which the rounds of a clustering run in one task: as jobs they would cost more than their work.
+SMALL = 1 << 22
+
+
+def _in_one_task(rows: DataFrame, find: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """node, c: what find gives for all rows, by column; a table whose size is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            t = pa.Table.from_batches(held)
+            found = find({c: t[c].to_numpy() for c in t.column_names})
+            yield from pa.table({"node": found[0].astype(np.int64), "c": found[1].astype(np.int64)}).to_batches(65_536)
+
+    return materialized(rows.repartition(1).mapInArrow(run, "node long, c long"), "clusters")
+
+
+def _half(nodes: np.ndarray, *more: int) -> np.ndarray:
+    """pmod(xxhash64(node, *more), 2)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    h = (np.full(len(nodes), 42, np.uint64) + p5 + np.uint64(8)) ^ (turned(nodes.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = mixed(turned(h, 27) * p1 + p4)
+    for x in more:
+        h = h + p5 + np.uint64(4)
+        h = mixed(turned(h ^ (np.full(len(nodes), x, np.uint64) * p1), 23) * p2 + p3)
+    return (h & np.uint64(1)).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    start = np.flatnonzero(np.diff(keys[order], prepend=-1) != 0)
+    return keys[order[start]], np.add.reduceat(values[order], start) if len(start) else np.zeros(0)
+
+
+def _swept(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, names: np.ndarray, m2: float, resolution: float, level: int, sweeps: int) -> np.ndarray:
+    """_moved() in one task: the place of each node's cluster; src and dst are places in names, which ascend."""
+    n = len(names)
+    k = np.bincount(src, weight, n)
+    own, other = np.arange(n), src != dst
+    src, dst, weight, moving = src[other], dst[other], weight[other], True
+    for turn in range(2 * sweeps):
+        total = np.bincount(own, k, n)
+        pair, w = _summed(np.r_[src * n + own[dst], np.arange(n) * n + own], np.r_[weight, np.zeros(n)])
+        node, to = pair // n, pair % n
+        now = to == own[node]
+        gain = w - resolution * k[node] * (total[to] - np.where(now, k[node], 0.0)) / m2
+        start = np.searchsorted(node, np.arange(n))
+        close = np.round(gain, 9)
+        best = np.flatnonzero(close == np.maximum.reduceat(close, start)[node])
+        best = to[best[np.searchsorted(node[best], np.arange(n))]]  # of equal ones the smallest
+        moves = (_half(names, level, turn // 2) == turn % 2) & (np.maximum.reduceat(gain, start) > gain[now] + 1e-9)
+        own = np.where(moves, best, own)
+        moved = bool(moves.any())
+        if turn % 2 and not (moved or moving):
+            break
+        moving = moved
+    return own
+
+
+def _louvain_of(graph: dict[str, np.ndarray], resolution: float, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """louvain() of graph (src, dst, weight) in one task: its nodes and their clusters' names."""
+    names, ends = np.unique(np.r_[graph["src"], graph["dst"]], return_inverse=True)
+    src, dst, weight = ends[: len(graph["src"])], ends[len(graph["src"]) :], graph["weight"].astype(float)
+    label, level, nodes = np.arange(len(names)), 0, names
+    while (m2 := weight.sum()) > 0:
+        own = _swept(src, dst, weight, names, m2, resolution, level, sweeps)
+        left, place = np.unique(own, return_inverse=True)
+        label = place[label]
+        pair, weight = _summed(place[src] * len(left) + place[dst], weight)
+        src, dst, before = pair // len(left), pair % len(left), len(names)
+        names, level = names[left], level + 1
+        if len(left) >= before:
+            break
+    return nodes, names[label]
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -91,8 +177,12 @@ def _begun(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps: int = 100) -> DataFrame:
-    """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters, until no clusters merge."""
+    """node, cluster (dense from 0): local moving by modularity gain, then the same on the graph of clusters, until no clusters merge.
+    Up to SMALL links that is one task, more go by jobs for each round; either gives the same."""
     label, graph = _begun(nodes, edges)
+    if graph.schema["src"].dataType.simpleString() == "bigint" and graph.count() <= SMALL:
+        found = _in_one_task(graph, lambda g: _louvain_of(g, resolution, sweeps))
+        return _dense(label.join(found, "node", "left").select("node", F.coalesce("c", "cluster").alias("cluster")))
     level = 0
     while True:
         degree = materialized(graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "louvain-degree")
@@ -166,14 +256,86 @@ def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, sweeps:
     return split_disconnected(_dense(materialized(label, "louvain")), edges)
 
 
+def _walks_merged(rows: dict[str, np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds of walktrap() in one task: nodes and clusters of rows (kind, a, b, v), the walks' places (0), edges (1) and nodes (2)."""
+    walk, edge, node = (rows["kind"] == k for k in range(3))
+    names, at = np.unique(np.r_[rows["a"], rows["b"]], return_inverse=True)
+    n, size = len(names), len(rows["a"])
+    a, b = at[:size], at[size:]
+    src, dst, weight = a[edge], b[edge], rows["v"][edge].astype(float)
+    key, v = _summed(a[walk] * n + b[walk], rows["v"][walk].astype(float))
+    here = np.unique(a[node])
+    label = np.arange(n)
+    count = np.bincount(here, minlength=n).astype(float)
+    links = np.unique(np.minimum(src, dst)[src != dst] * n + np.maximum(src, dst)[src != dst])
+    known, dots, changed = np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
+    best, best_label = -1.0, label
+    for _ in range(rounds):
+        if not len(links):
+            break
+        begin = np.searchsorted(key, np.arange(n + 1) * n)
+        norm = np.bincount(key // n, v * v, n)
+        x, y = links // n, links % n
+        dot = np.zeros(len(links))
+        if len(known):
+            place = np.minimum(np.searchsorted(known, links), len(known) - 1)
+            old = (known[place] == links) & ~changed[x] & ~changed[y]
+            dot[old] = dots[place[old]]
+        else:
+            old = np.zeros(len(links), bool)
+        todo = np.flatnonzero(~old)
+        swap = begin[x + 1] - begin[x] > begin[y + 1] - begin[y]
+        short, long = np.where(swap, y, x), np.where(swap, x, y)
+        many = begin[short + 1] - begin[short]
+        low, ends = 0, np.cumsum(many[todo])
+        while low < len(todo):  # the shorter row's places are looked up in the other
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), "right")))
+            some = todo[low:high]
+            from_ = np.repeat(begin[short[some]] - np.cumsum(many[some]) + many[some], many[some]) + np.arange(many[some].sum())
+            of = np.repeat(np.arange(len(some)), many[some])
+            want = long[some][of] * n + key[from_] % n
+            place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            dot[some] = np.bincount(of, np.where(key[place] == want, v[from_] * v[place], 0.0), len(some))
+            low = high
+        known, dots = links, dot
+        cost = np.round(count[x] * count[y] / (count[x] + count[y]) * (norm[x] + norm[y] - 2 * dot), 12)
+        rank = np.empty(len(links), np.int64)
+        rank[np.lexsort((links, cost))] = np.arange(len(links))
+        nearest = np.full(n, len(links))
+        np.minimum.at(nearest, x, rank)
+        np.minimum.at(nearest, y, rank)
+        ranked = np.sort(cost)
+        most = np.median(ranked[nearest[nearest < len(links)]])
+        chosen = (nearest[x] == rank) & (nearest[y] == rank) & (cost <= most)
+        if not chosen.any():
+            break
+        into = np.arange(n)
+        into[y[chosen]] = x[chosen]
+        changed = np.zeros(n, bool)
+        changed[x[chosen]] = changed[y[chosen]] = True
+        grown = np.bincount(into, count, n)
+        moved = changed[key // n]
+        new, sums = _summed(into[key[moved] // n] * n + key[moved] % n, v[moved] * count[key[moved] // n])
+        key, v = np.r_[key[~moved], new], np.r_[v[~moved], sums / grown[new // n]]
+        order = np.argsort(key, kind="stable")
+        key, v, count = key[order], v[order], grown
+        p, q = into[x], into[y]
+        links = np.unique(np.minimum(p, q)[p != q] * n + np.maximum(p, q)[p != q])
+        label = into[label]
+        inner, degree = 2 * weight[label[src] == label[dst]].sum(), np.bincount(label[src], weight, n) + np.bincount(label[dst], weight, n)
+        share = inner / degree.sum() - ((degree / degree.sum()) ** 2).sum() if degree.sum() else 0.0
+        if share > best:
+            best, best_label = share, label
+    return names[here], names[best_label[here]]
+
+
 def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float = 0.0, rounds: int = 200) -> DataFrame:
     """node, cluster (dense from 0): clusters merge by how alike short random walks from them are (Ward's distance of where they are after
     so many steps, places weighted by their degree); of all stages of merging the one of largest modularity is given.
 
     In a round pairs merge that are each other's nearest among linked clusters and no farther apart than half of the clusters are from
-    their nearest; the nearest pair of all is one of them, so every round merges. Stages of more clusters than half of the nodes
-    aren't weighed. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
-    weighs as much as its edges do on average."""
+    their nearest; the nearest pair of all is one of them, so every round merges. Walks are sparse rows; shares of at most least are left out, for graphs where walks get everywhere. A node's own loop
+    weighs as much as its edges do on average. Up to SMALL entries of walks merge in one task, more by jobs; either gives the same."""
     both = symmetric(edges)
     loops = both.groupBy("src").agg(F.avg("weight").alias("weight"))
     looped = nodes.select(F.col("node").alias("src")).join(loops, "src", "left").select("src", F.col("src").alias("dst"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
@@ -186,9 +348,14 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
         walk = materialized(far.groupBy("c", "to").agg(F.sum(F.col("so_far") * F.col("p")).alias("p")).where(F.col("p") > least), "walks")
     own = degree.select(F.col("node").alias("to"), F.sqrt("k").alias("root"))
     profile = materialized(walk.join(own, "to").select("c", "to", (F.col("p") / F.col("root")).alias("v")), "profiles")
+    plain = edges.schema["src"].dataType.simpleString() == "bigint" and profile.schema["v"].dataType.simpleString() == "double"
+    if plain and profile.count() <= SMALL and edges.count() <= SMALL:
+        shape = lambda df, kind, a, b, v: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(v).cast("double").alias("v"))
+        rows = shape(profile, 0, "c", "to", "v").unionByName(shape(edges, 1, "src", "dst", "weight")).unionByName(nodes.select(F.lit(2).alias("kind"), F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("v")))
+        return _dense(_in_one_task(rows, lambda x: _walks_merged(x, rounds)).withColumnRenamed("c", "cluster"))
     links = materialized(edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "walk-links")
     label = materialized(nodes.select("node", F.col("node").alias("cluster")), "walk-label")
-    best, best_label, n_nodes = -1.0, label, label.count()
+    best, best_label = -1.0, label
     for _ in range(rounds):
         sizes = label.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
         x = profile.select(F.col("c").alias("a"), "to", F.col("v").alias("va"))
@@ -212,8 +379,7 @@ def walktrap(nodes: DataFrame, edges: DataFrame, steps: int = 4, least: float =
         moved = links.join(names_a, "a", "left").join(names_b, "b", "left").select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x != y")
         links = materialized(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "walk-links")
         label = materialized(label.join(into.withColumnRenamed("c", "cluster"), "cluster", "left").select("node", F.coalesce("to_c", "cluster").alias("cluster")), "walk-label")
-        if 2 * label.select("cluster").distinct().count() <= n_nodes:  # pairs at least, on average
-            share = modularity(label, edges).first()[0] or 0.0
-            if share > best:
-                best, best_label = share, label
+        share = modularity(label, edges).first()[0] or 0.0
+        if share > best:
+            best, best_label = share, label
     return _dense(best_label)

@@ -25,6 +25,30 @@ def test_groups_are_found(groups, find):
     assert sorted(set(found.values())) == list(range(6))
 
 
+def test_walktrap_weighs_all_stages(spark):
+    """Two linked pairs among many nodes without links: the clusters never are half as many as the nodes."""
+    edges = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "src long, dst long, weight double")
+    found = {r.node: r.cluster for r in graph.walktrap(spark.range(1, 13).withColumnRenamed("id", "node"), edges).collect()}
+    assert found[1] == found[2] != found[3] == found[4] and len(set(found.values())) == 10
+
+
+def test_small_graphs_go_through_one_task(spark, monkeypatch):
+    """The rounds of one task give the clusters of the rounds of jobs, and store a few tables whatever the number of rounds."""
+    rng = np.random.default_rng(2)
+    edges = [(g * 8 + i, g * 8 + j, float(rng.integers(1, 4))) for g in range(3) for i in range(8) for j in range(i) if rng.random() < 0.6] + [(0, 11, 1.0), (8, 19, 2.0), (5, 4, 1.0), (3, 3, 1.0)]
+    nodes, edges = spark.range(-1, 24).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "src long, dst long, weight double")
+    stored, keep = [], graph.materialized
+    monkeypatch.setattr(graph, "materialized", lambda df, name: stored.append(name) or keep(df, name))
+    made = {}
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        for find in (graph.louvain, graph.walktrap):
+            stored.clear()
+            made[find, small] = sorted(tuple(r) for r in find(nodes, edges).collect())
+            assert not small or len(stored) < 10
+    assert all(made[f, small] == made[f, 0] for f, small in made)
+
+
 def test_leiden_is_connected_and_no_worse(spark, groups):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(150, 4))
