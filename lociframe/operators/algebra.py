@@ -23,6 +23,8 @@ PIECE = 4096
 MET = 1 << 10
 #: Rows of a block file of harmony().
 BLOCK_ROWS = 1 << 16
+#: Numbers of vectors and clusters' shares up to which all rounds of a batch correction run in one task.
+HARMONY_NUMBERS = 1 << 23
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -280,15 +282,14 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
     vectors for each cluster. Inner rounds end when the objective's sum over three changes by under 1e-5 of itself, outer
     ones when a round gains under 1e-6; rounds and inner are the most there can be.
     Every step is one pass of partition sums of clusters by batches by dimensions; the driver holds those only. Rows lie in blocks, as the
-    bytes of their matrices, so a pass makes no object for each row."""
+    bytes of their matrices, so a pass makes no object for each row. Up to HARMONY_NUMBERS numbers all passes run in one task, where jobs would cost more
+    than their work."""
     n = emb.count()
     k = k or max(1, min(round(n / 30), 100))
     place = {b: i for i, b in enumerate(batches)}
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
     centers = unit(kmeans(emb, k, seed=seed)[1]) if k > 1 else unit(np.array([emb.select("vec").first().vec]))
     k = len(centers)
-    penalty = np.ones((k, len(batches)))
-    objective: list[float] = []
 
     def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -310,64 +311,101 @@ def harmony(emb: DataFrame, batches: list, k: int | None = None, theta: float =
         r = np.exp(-(d - d.min(1, keepdims=True)) / sigma) * penalty[:, b].T
         return r / np.maximum(r.sum(1, keepdims=True), 1e-300), d
 
-    def sums(rows: DataFrame, f) -> list[np.ndarray]:
+    def advanced(sums, corrected, centers: np.ndarray) -> list[float]:
+        """The objective after each round; sums(f) adds up f(x, b, orig) of all blocks, corrected(f) gives each the vectors f(x, b, orig)."""
+        penalty = np.ones((k, len(batches)))
+        objective: list[float] = []
+        for _ in range(rounds):
+            costs: list[float] = []
+            for _ in range(inner):
+                def step(x: np.ndarray, b: np.ndarray, orig: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
+                    r, d = soft(x, b, centers, penalty)
+                    return [r.T @ unit(x), r.T @ np.eye(len(batches))[b], np.array([(r * d).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()])]
+
+                c, o, cost = sums(step)
+                centers, o = unit(c.reshape(k, -1)), o.reshape(k, -1)
+                expected = o.sum(1, keepdims=True) * o.sum(0) / max(o.sum(), 1e-300)
+                penalty = (expected / np.maximum(o + expected, 1e-300)) ** theta
+                mixed = sigma * theta * (o * np.log((np.maximum(o, 1e-8) + np.maximum(expected, 1e-8)) / np.maximum(expected, 1e-8))).sum()
+                costs.append(float(cost.ravel()[0] + mixed) * 2000 / n)
+                if len(costs) > 4 and abs(sum(costs[-4:-1]) - sum(costs[-3:])) < 1e-5 * abs(sum(costs[-4:-1])):
+                    break
+            objective.append(costs[-1])
+
+            def design(x: np.ndarray, b: np.ndarray, orig: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
+                r, _ = soft(x, b, centers, penalty)
+                one = np.eye(len(batches))[b]
+                return [r.T @ one, np.stack([(one * r[:, [j]]).T @ orig for j in range(k)])]
+
+            mass, moment = sums(design)
+            mass, moment = mass.reshape(k, -1), moment.reshape(k, len(batches), -1)
+            shift = np.zeros((k, len(batches), moment.shape[2]))
+            for j in range(k):
+                phi = np.zeros((len(batches) + 1, len(batches) + 1))
+                phi[0, 0], phi[0, 1:], phi[1:, 0] = mass[j].sum(), mass[j], mass[j]
+                phi[1:, 1:] = np.diag(mass[j] + ridge)
+                w = np.linalg.pinv(phi) @ np.vstack([moment[j].sum(0), moment[j]])
+                shift[j] = w[1:]  # the intercept isn't taken out
+
+            def correct(x: np.ndarray, b: np.ndarray, orig: np.ndarray, centers=centers, penalty=penalty, shift=shift) -> np.ndarray:
+                r, _ = soft(x, b, centers, penalty)
+                made = orig.copy()
+                for j in range(k):
+                    made -= r[:, [j]] * shift[j][b]
+                return made
+
+            corrected(correct)
+            if len(objective) > 1 and 0 <= (objective[-2] - objective[-1]) / max(abs(objective[-2]), 1e-300) < 1e-6:
+                break
+        return objective
+
+    def added(made: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+        total = None
+        for x in made:
+            total = x if total is None else [p + q for p, q in zip(total, x, strict=True)]
+        return total
+
+    def in_one_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [list(x) for x in blocks(parts)]
+        if not held:
+            return
+
+        def corrected(f) -> None:
+            for x in held:
+                x[1] = f(*x[1:])
+
+        objective = advanced(lambda f: added(f(*x[1:]) for x in held), corrected, centers)
+        for row, x, *_ in held:
+            yield pd.DataFrame([row._replace(vec=x.tobytes())]).assign(objective=np.array(objective).tobytes())
+
+    def by_jobs(f) -> list[np.ndarray]:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for _, x, b, orig in blocks(parts):
-                made = f(x, b, orig)
-                total = made if total is None else [p + q for p, q in zip(total, made, strict=True)]
+            total = added(f(*x[1:]) for x in blocks(parts))
             if total is not None:
                 yield pd.DataFrame({"k": range(len(total)), "a": [np.asarray(x, float).tobytes() for x in total]})
 
         out: dict[int, np.ndarray] = {}
-        for r in rows.mapInPandas(run, "k int, a binary").toLocalIterator():
+        for r in current.mapInPandas(run, "k int, a binary").toLocalIterator():
             x = np.frombuffer(r.a)
             out[r.k] = out[r.k] + x if r.k in out else x
         return [out[i] for i in sorted(out)]
 
-    for _ in range(rounds):
-        costs: list[float] = []
-        for _ in range(inner):
-            def step(x: np.ndarray, b: np.ndarray, orig: np.ndarray, centers=centers, penalty=penalty) -> list[np.ndarray]:
-                r, d = soft(x, b, centers, penalty)
-                return [r.T @ unit(x), r.T @ np.eye(len(batches))[b], np.array([(r * d).sum() + sigma * (r * np.log(np.maximum(r, 1e-300))).sum()])]
-
-            c, o, cost = sums(current, step)
-            centers, o = unit(c.reshape(k, -1)), o.reshape(k, -1)
-            expected = o.sum(1, keepdims=True) * o.sum(0) / max(o.sum(), 1e-300)
-            penalty = (expected / np.maximum(o + expected, 1e-300)) ** theta
-            mixed = sigma * theta * (o * np.log((np.maximum(o, 1e-8) + np.maximum(expected, 1e-8)) / np.maximum(expected, 1e-8))).sum()
-            costs.append(float(cost[0] + mixed) * 2000 / n)
-            if len(costs) > 4 and abs(sum(costs[-4:-1]) - sum(costs[-3:])) < 1e-5 * abs(sum(costs[-4:-1])):
-                break
-        objective.append(costs[-1])
-
-        def design(x: np.ndarray, b: np.ndarray, orig: np.ndarray) -> list[np.ndarray]:
-            r, _ = soft(x, b, centers, penalty)
-            one = np.eye(len(batches))[b]
-            return [r.T @ one, np.stack([(one * r[:, [j]]).T @ orig for j in range(k)])]
-
-        mass, moment = sums(current, design)
-        mass, moment = mass.reshape(k, -1), moment.reshape(k, len(batches), -1)
-        shift = np.zeros((k, len(batches), moment.shape[2]))
-        for j in range(k):
-            phi = np.zeros((len(batches) + 1, len(batches) + 1))
-            phi[0, 0], phi[0, 1:], phi[1:, 0] = mass[j].sum(), mass[j], mass[j]
-            phi[1:, 1:] = np.diag(mass[j] + ridge)
-            w = np.linalg.pinv(phi) @ np.vstack([moment[j].sum(0), moment[j]])
-            shift[j] = w[1:]  # the intercept isn't taken out
-
-        def correct(parts: Iterator[pd.DataFrame], centers=centers, penalty=penalty, shift=shift) -> Iterator[pd.DataFrame]:
+    def corrected_by_jobs(f) -> None:
+        nonlocal current
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row, x, b, orig in blocks(parts):
-                r, _ = soft(x, b, centers, penalty)
-                made = orig.copy()
-                for j in range(k):
-                    made -= r[:, [j]] * shift[j][b]
-                yield pd.DataFrame([row._replace(vec=made.tobytes())])
+                yield pd.DataFrame([row._replace(vec=f(x, b, orig).tobytes())])
+
+        current = materialized(current.mapInPandas(run, current.schema), "harmony")
 
-        current = materialized(current.mapInPandas(correct, current.schema), "harmony")
-        if len(objective) > 1 and 0 <= (objective[-2] - objective[-1]) / max(abs(objective[-2]), 1e-300) < 1e-6:
-            break
+    if n * (centers.shape[1] + k) <= HARMONY_NUMBERS:
+        shape = "n long, id binary, batch binary, vec binary, orig binary, objective binary"
+        current = materialized(current.repartition(1).mapInPandas(in_one_task, shape), "harmony")
+        objective = list(np.frombuffer(current.first().objective)) if n else []
+        current = current.drop("objective")
+    else:
+        objective = advanced(by_jobs, corrected_by_jobs, centers)
 
     def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, x, b, _ in blocks(parts):

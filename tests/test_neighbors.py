@@ -184,6 +184,22 @@ def test_harmony_moves_batches_together(spark, blobs):
     assert np.isfinite(objective).all()
 
 
+def test_harmony_of_few_cells_is_one_task(spark, blobs, monkeypatch):
+    """As by jobs for each pass, but with two stored tables whatever the number of rounds."""
+    x, _ = blobs
+    emb = spark.createDataFrame([(i, (v + (i % 2) * np.array([0, 0, 0, 0, 0, 2.0])).tolist(), i % 2) for i, v in enumerate(x)], "cell_id long, vec array<double>, batch int")
+    stored, keep = [], algebra.materialized
+    monkeypatch.setattr(algebra, "materialized", lambda df, name: stored.append(name) or keep(df, name))
+    made = []
+    for most in (algebra.HARMONY_NUMBERS, 0):
+        monkeypatch.setattr(algebra, "HARMONY_NUMBERS", most)
+        stored.clear()
+        fixed, objective = algebra.harmony(emb, [0, 1], k=3, rounds=3)
+        made.append((np.array([r.vec for r in fixed.orderBy("cell_id").collect()]), objective))
+        assert not most or len(stored) == 2
+    assert made[0][0] == pytest.approx(made[1][0], abs=1e-8) and made[0][1] == pytest.approx(made[1][1])
+
+
 def test_multi_sample_steps(spark, tmp_path, monkeypatch):
     """Top features before TF-IDF, 50 components less the first, 20 by 20 rounds at most, 20 neighbours."""
     orders = [(i, 22 * i, f"1992-01-{1 + i % 28:02d}") for i in range(1, 41)]
