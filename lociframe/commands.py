@@ -254,11 +254,11 @@ def run_pca(data: Dataset) -> DataFrame:
 
 
 @action()
-def run_umap(data: Dataset) -> DataFrame:
-    """cell_id, x, y: the layout of the embedding by the settings' n_neighbors and min_dist."""
+def run_umap(data: Dataset, near: DataFrame | None = None) -> DataFrame:
+    """cell_id, x, y: the layout of the embedding by the settings' n_neighbors and min_dist; near (src, dst, dist) has the neighbours, if they are known."""
     from .operators import layout
 
-    return layout.place(data.embedding.select("cell_id", "vec"), int(data.settings["n_neighbors"]), float(data.settings["min_dist"]))
+    return layout.place(data.embedding.select("cell_id", "vec"), int(data.settings["n_neighbors"]), float(data.settings["min_dist"]), near=near)
 
 
 @action("gene")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import commands
 from .. import model as m
 from ..model import rounded
-from ..operators import display, neighbors, stats
+from ..operators import display, neighbors, spatial, stats
 from .interval_queries import _BAND, COV, FRAG, IV, TSS, _cov, _sizes
 from .matrix_queries import _DOTS, CELLS, LOGN, SC, SCELLS, C
 from .stats_queries import _KIND, _rank_sql
@@ -295,14 +295,14 @@ def command_links(spark, sf):
 def command_umap(spark, sf):
     """The layout against two components of the embedding: all cells have a place, and more of a cell's neighbours stay among its nearest."""
     data = commands.update(_data(spark, sf), n_neighbors=15, min_dist=0.1)
-    at = m.materialized(commands.run(data, "run_umap"), "layout")
-    near = m.materialized(neighbors.knn(data.embedding, data.embedding, 15, exclude_self=True).select("src", "dst"), "near")
+    near = m.materialized(neighbors.knn_pruned(data.embedding, data.embedding, 15, exclude_self=True).select("src", "dst", "dist"), "near")
+    at = m.materialized(commands.run(data, "run_umap", near=near), "layout")
+    finite = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6)
 
     def kept(places):
-        return neighbors.knn(places, places, 15, "euclidean", exclude_self=True).join(near, ["src", "dst"]).count()
+        return spatial.spatial_knn(places, 15, 1.0).join(near, ["src", "dst"]).count()
 
-    closer = kept(at.select("cell_id", F.array("x", "y").alias("vec"))) > kept(data.embedding.select("cell_id", F.slice("vec", 1, 2).alias("vec")))
-    finite = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6)
+    closer = kept(at.where(finite)) > kept(data.embedding.select("cell_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")))
     return at.agg(F.count(F.lit(1)).alias("n_cells"), F.every(finite).alias("finite")).withColumn("closer", F.lit(closer))
 
 

@@ -94,3 +94,23 @@ def test_layout_keeps_groups(spark):
         nearest = far.argsort(1)[:, :5]
         assert (nearest % 4 == np.arange(160)[:, None] % 4).mean() > 0.95
     assert spread[0.9] > 1.3 * spread[0.05]
+
+
+def test_umap_query_compares_all_cells_once(spark, monkeypatch):
+    """All pairs of cells meet for the neighbours only: these serve the layout too, and neighbours in the plane come from grids."""
+    from lociframe.plans import display_queries as queries
+
+    seen, keep = [], neighbors.knn
+    monkeypatch.setattr(neighbors, "knn", lambda *a, **more: seen.append(a[3:] + tuple(more)) or keep(*a, **more))
+    emb = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(4).normal(size=(60, 5)))], "cell_id long, vec array<double>")
+    given = {}
+
+    def run(data, name, **more):
+        given.update(more)
+        return emb.select("cell_id", F.col("vec")[2].alias("x"), F.when(F.col("cell_id") == 7, F.lit(float("nan"))).otherwise(F.col("vec")[3]).alias("y"))
+
+    monkeypatch.setattr(queries.commands, "run", run)
+    monkeypatch.setattr(queries.commands, "update", lambda data, **more: type("Data", (), {"embedding": emb}))
+    monkeypatch.setattr(queries, "_data", lambda *a: None)
+    (row,) = queries.command_umap(spark, "").collect()
+    assert row.n_cells == 60 and row.finite is False and len(seen) == 1 and given["near"].count() == 900
